@@ -7,7 +7,8 @@ share stay out of the prefixes. A candidate pair must also share prefix tokens u
 The frequencies only choose an order; any order gives the same links.
 
 Two sets' parity signatures (bit i: parity of the shingles whose hash falls on i) differ in no more bits than the sets differ in
-shingles, so the join on prefix tokens drops a pair whose signatures differ too much without reading the sets, and loses no link.
+shingles, so the join on prefix tokens drops a pair whose signatures differ too much without reading the sets, and loses no link. Signatures
+of as many bits as a set has shingles then do the same for long sets.
 
 A large group of near copies would make a pair of each two members. So each prefix group is first linked to its leader; then only members
 of different components are paired. Links inside a component change nothing and aren't formed.
@@ -128,12 +129,40 @@ def _postings(k: int, num: int, den: int, hot) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _wide(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity signatures of at least as many bits as a set has shingles; a power of two, so that a longer one folds onto a shorter one."""
+    out = []
+    for i in range(len(bounds) - 1):
+        x = h[bounds[i] : bounds[i + 1]]
+        bits = max(BITS, 1 << max(0, len(x) - 1).bit_length())
+        out.append(np.packbits((np.bincount((x >> U64(9) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def _narrow(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b, sizes, wide signatures) whose signatures allow a link"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            sizes = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            for i in range(len(b)):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
+                least = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+                if int(np.bitwise_count(x ^ y).sum()) * (den + num) <= int(sizes[i]) * (den - num):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, data, offsets in text_parts(b.column(0)):
                 h, bounds = shingles(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([_i64(_classes(h, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _i64(h))], ["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([_i64(_classes(h, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _i64(h)), pa.array(np.diff(bounds)), pa.array(_wide(h, bounds), pa.binary())], ["cls", "shingles", "size", "wide"])
 
     return run
 
@@ -194,9 +223,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(signatures.select("cls", "text_key"), "cls").select("text_key").distinct()
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        sets = table(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text").mapInArrow(_sets(k), "cls long, shingles array<long>"))
-        side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"set_{c}"))
-        return table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(num, den), "a long, b long"))
+        sets = table(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text").mapInArrow(_sets(k), "cls long, shingles array<long>, size long, wide binary"))
+        side = lambda c, *more: sets.select(F.col("cls").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
+        pairs = pairs.join(side("a", "size", "wide"), "a").join(side("b", "size", "wide"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+        pairs = table(pairs.mapInArrow(_narrow(num, den), "a long, b long"))
+        return table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify(num, den), "a long, b long"))
 
     bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))
     led = groups.withColumn("bucket", bucket)
