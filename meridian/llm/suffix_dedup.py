@@ -7,8 +7,9 @@ with equal minimizers, and a shard is a set of whole minimizers: all copies of a
 1. Segments are counted by (minimizer, content). Equal contents repeat wholly. A minimizer with one segment is done.
 2. Of a minimizer with several contents, each distinct content goes once into the suffix array of its shard: induced sorting, then
    permuted common prefixes; a string start whose common prefix with a neighbour of the suffix array reaches `length` is repeated.
-3. A minimizer with more than GROUP contents (a passage with other surroundings each time) is dealt out further by each string's own
-   hash, so no shard grows with the number of places a passage has.
+3. A minimizer with more than GROUP contents (a passage with other surroundings each time) is dealt out further: its segments are cut into
+   parts of PART string starts, keyed by all bytes that the strings of a part share, and what is still open by each string's own
+   hash. So no shard grows with the number of places that a passage has.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .kernels import U64, mix, prefix_hash, text_parts
 
-ANCHOR, GROUP = 64, 256
+ANCHOR, GROUP, PART = 64, 256, 16
 #: Bytes of a shard's suffix array; whole minimizers are added until it is reached.
 SHARD = 1 << 20
 #: Symbols up to which a reduced string is sorted by the induced sort again; above, by doubling of ranks.
@@ -257,19 +258,65 @@ def _shards(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _strings(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(anchor, content, position, hash) of each string start of the segments of hot minimizers."""
+def _parts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments of hot minimizers cut into parts of PART string starts, at the same distances from the minimizer in every copy.
+
+    (anchor, content, first, last, hash of the bytes that all strings of the part share, hash of all bytes of the part)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for anchor, content, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 sums, down = prefix_hash(np.frombuffer(raw, np.uint8))
-                at = np.arange(len(raw) - length + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), anchor)), pa.array(np.full(len(at), content)), pa.array(at), pa.array(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64))], ["anchor", "content", "first", "string"])
+                n = len(raw) - length + 1
+                at = np.arange(n - 1, length - ANCHOR + 1)
+                gram = mix((sums[at + ANCHOR] - sums[at]) * down[at])
+                far = int(at[np.flatnonzero(gram == np.array(anchor).view(U64))[0]]) - np.arange(n)
+                first = np.flatnonzero(np.concatenate(([True], np.diff(far // PART) != 0)))
+                last = np.append(first[1:], n) - 1
+                size = last - first + length
+                part = mix((sums[first + size] - sums[first]) * down[first] + size.astype(U64))
+                # What all strings at these distances share, whether or not the segment holds all of them.
+                left, right = far[first] // PART * PART, (far[first] // PART * PART + PART - 1)
+                start, stop = first + far[first] - left, first + far[first] - right + length
+                sub = mix((sums[stop] - sums[start]) * down[start] + left.astype(U64)) ^ np.array(anchor).view(U64)
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, anchor)), pa.array(np.full(k, content)), pa.array(first), pa.array(last), pa.array(sub.view(np.int64)), pa.array((part ^ sub).view(np.int64))], ["anchor", "content", "first", "last", "sub", "part"])
 
     return run
 
 
+def _strings(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(sub, part, position in the part, hash) of each string of the wanted parts of (bytes, wanted parts)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                sums, down = prefix_hash(np.frombuffer(b.column(0)[i].as_buffer(), np.uint8))
+                sub, part, first, last = (np.asarray(x) for x in b.column(1)[i].values.flatten())
+                n = last - first + 1
+                which = np.repeat(np.arange(len(n)), n)
+                rel = np.arange(len(which)) - (np.cumsum(n) - n)[which]
+                at = first[which] + rel
+                yield pa.RecordBatch.from_arrays([pa.array(sub[which]), pa.array(part[which]), pa.array(rel), pa.array(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64))], ["sub", "part", "first", "string"])
+
+    return run
+
+
+def _hot_runs(cut: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated string starts of the contents of hot minimizers, found like those of segments but with parts in the place of segments and single strings in the place of shards."""
+    parts = table(cut.mapInArrow(_parts(length), "anchor long, content long, first long, last long, sub long, part long"))
+    kinds = parts.groupBy("sub", "part").agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "content", "first", "last")).alias("one"))
+    subs = kinds.groupBy("sub").agg(F.count("*").alias("contents"), F.sum("copies").alias("rows")).where("rows > 1")
+    several = table(kinds.join(subs, "sub").select("sub", "part", "copies", "contents", "one.*"))
+    wanted = several.where("contents > 1").groupBy("anchor", "content").agg(F.collect_list(F.struct("sub", "part", "first", "last")).alias("want"))
+    strings = table(cut.join(wanted, ["anchor", "content"]).select("bytes", "want").mapInArrow(_strings(length), "sub long, part long, first long, string long"))
+    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    whole = several.where("copies > 1").select("sub", "part", F.lit(0).cast("long").alias("from"), (F.col("last") - F.col("first")).alias("to"))
+    single = strings.join(twice, "string").select("sub", "part", F.col("first").alias("from"), F.col("first").alias("to"))
+    found = whole.unionByName(single.join(whole.select("sub", "part"), ["sub", "part"], "left_anti"))
+    return parts.join(found, ["sub", "part"]).select("anchor", "content", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"))
+
+
 def _remove(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,11 +363,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     cut = table(source.mapInArrow(_cut, "anchor long, content long, hot boolean, bytes binary"))
     schema = "anchor long, content long, first long, last long"
     shards = cut.where("not hot").select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), schema)
-    strings = cut.where("hot").select("anchor", "content", "bytes").mapInArrow(_strings(length), "anchor long, content long, first long, string long")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    single = strings.join(twice, "string").select("anchor", "content", "first", F.col("first").alias("last"))
     parts = several.where("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
-    runs = table(parts.unionByName(shards.join(several.where("copies > 1").select("content", "anchor"), ["anchor", "content"], "left_anti")).unionByName(single.join(several.where("copies > 1").select("content", "anchor"), ["anchor", "content"], "left_anti")))
+    partly = shards.unionByName(_hot_runs(cut.where("hot").drop("hot"), length))
+    runs = table(parts.unionByName(partly.join(several.where("copies > 1").select("content", "anchor"), ["anchor", "content"], "left_anti")))
     places = found.join(runs, ["anchor", "content"]).select("text_key", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).distinct()
     ranges = places.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     return docs.join(ranges, "text_key", "left").select("doc_id", "text", "ranges").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
