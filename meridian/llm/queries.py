@@ -37,7 +37,7 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(_read(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+    return encode_texts(_read(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,16 +37,30 @@ SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
 _SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
 
 
+#: White space of Python's split() that the splitter takes for ordinary characters.
+_ODD = regex.compile("[\x1c-\x1f]")
+
+
+def _normal(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def _plain(text: str) -> bool:
+    """Whether white space alone parts the text into pieces whose words can be found one by one."""
+    return "<|" not in text and not _ODD.search(text)
+
+
+def _words_of(token: str) -> list[str]:
+    return [token] if token.isalpha() else WORD.findall(token)
+
+
 def split_words(text: str) -> list[str]:
     """The words that the tokenizer's normaliser and splitter make of a text; special strings stand for themselves."""
+    if _plain(text):
+        return [w for t in _normal(text).split() for w in _words_of(t)]
     out: list[str] = []
-    for part in _SPECIAL.split(text) if "<|" in text else (text,):
-        if part in SPECIAL:
-            out.append(part)
-        elif part.isascii():
-            out += WORD.findall(part.lower())
-        else:
-            out += WORD.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+    for part in _SPECIAL.split(text):
+        out += [part] if part in SPECIAL else WORD.findall(_normal(part))
     return out
 
 
@@ -67,21 +81,30 @@ def pieces(path: str) -> list[str]:
 
 
 def _batched(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
+    odd: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for token, n in seen.items():
+            for w in _words_of(token):
+                odd[w] += n
+        out = pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], ["word", "n"])
         seen.clear()
+        odd.clear()
         return out
 
     for b in batches:
-        for text in b.column(0):
-            seen.update(split_words(text.as_py() or ""))
-            if len(seen) > 500_000:
+        for value in b.column(0):
+            text = value.as_py() or ""
+            if _plain(text):
+                seen.update(_normal(text).split())
+            else:
+                odd.update(split_words(text))
+            if len(seen) + len(odd) > 600_000:
                 yield flush()
     yield flush()
 
@@ -99,11 +122,34 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, list[int], list[str]]]:
-    hole = len(known)
-    for i, text in enumerate(batch.column(1)):
-        words = split_words(text.as_py() or "")
-        yield i, [known.get(w, hole) for w in words], words
+#: Of this worker: the broadcast words that the codes below belong to, and the codes of pieces between white space (several: a tuple).
+_memo: list = [None, {}]
+
+
+def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, str]]:
+    """(row, word numbers, text); the number len(known) stands for a word that isn't known."""
+    if _memo[0] is not known:
+        _memo[:] = [known, {}]
+    memo, hole = _memo[1], len(known)
+    for i, value in enumerate(batch.column(1)):
+        text = value.as_py() or ""
+        if _plain(text):
+            tokens = _normal(text).split()
+            if len(memo) > 500_000:
+                memo.clear()
+            out: list[int] = []
+            for t in tokens:
+                c = memo.get(t)
+                if c is None:
+                    words = _words_of(t)
+                    c = memo[t] = known.get(words[0], hole) if len(words) == 1 else tuple(known.get(w, hole) for w in words)
+                if c.__class__ is int:
+                    out.append(c)
+                else:
+                    out += c
+        else:
+            out = [known.get(w, hole) for w in split_words(text)]
+        yield i, np.array(out, np.uint32), text
 
 
 def _packed(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
@@ -113,9 +159,8 @@ def _packed(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
         known = hot.value[0]
         for b in batches:
             codes = []
-            for _, c, _ in _codes(b, known):
-                x = np.array(c, np.uint32)
-                codes.append(zlib.compress(np.concatenate(((x & 255).astype(np.uint8), (x >> 8 & 255).astype(np.uint8), (x >> 16).astype(np.uint8))).tobytes(), 1))
+            for _, x, _ in _codes(b, known):
+                codes.append(zlib.compress(np.concatenate(((x & 255).astype(np.uint8), (x >> 8 & 255).astype(np.uint8), (x >> 16).astype(np.uint8))).tobytes(), 6))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary())], ["row_key", "doc_id", "codes"])
 
     return run
@@ -128,59 +173,76 @@ def _holes(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         known = hot.value[0]
         for b in batches:
             keys, rows = b.column(0), []
-            for i, c, words in _codes(b, known):
-                key, hole = keys[i].as_py(), len(known)
-                rows += [(key, p, words[p]) for p in np.flatnonzero(np.array(c, np.int64) == hole).tolist()]
+            for i, c, text in _codes(b, known):
+                empty = np.flatnonzero(c == len(known)).tolist()
+                if empty:
+                    key, words = keys[i].as_py(), split_words(text)
+                    rows += [(key, p, words[p]) for p in empty]
             yield _batched(rows, ["row_key", "position", "word"], [pa.int64(), pa.int32(), pa.string()])
 
     return run
 
 
-def _assemble(path: str, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+#: Of this worker: the broadcast ids that the strings below belong to, and each word's ids as text, its pieces, and how many.
+_shown: list = [None, [], [], None, None, False]
+
+
+def _show(table_ids: list[list[int]], piece: list[str]) -> list:
+    if _shown[0] is not table_ids:
+        size = np.array([len(x) for x in table_ids] or [0])
+        flat = np.array([i for x in table_ids for i in x], np.int32)
+        _shown[:] = [table_ids, [" ".join(map(str, x)) for x in table_ids], [" ".join([piece[i] for i in x]) for x in table_ids], size, flat, bool((size == 0).any())]
+    return _shown[1:]
+
+
+def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces(path)
         table_ids = hot.value[1]
-        as_text = [" ".join(map(str, x)) for x in table_ids]
-        as_pieces = [" ".join([piece[i] for i in x]) for x in table_ids]
-        size = np.array([len(x) for x in table_ids] or [0])
+        as_text, as_pieces, size, _, gaps = _show(table_ids, piece)
         hole = len(table_ids)
         for b in batches:
             rows, held = [], 0
             for i in range(len(b)):
-                code = np.frombuffer(zlib.decompress(b.column(1)[i].as_buffer()), np.uint8).astype(np.int64).reshape(3, -1)
+                code = np.frombuffer(zlib.decompress(b.column(1)[i].as_buffer()), np.uint8).astype(np.int32).reshape(3, -1)
                 code = code[0] | code[1] << 8 | code[2] << 16
                 empty = np.flatnonzero(code == hole).tolist()
                 filled = {}
                 if empty:
                     at, ids = b.column(2)[i].values.flatten()
                     filled = dict(zip(at.to_pylist(), ids.to_pylist(), strict=True))
-                known = code[code != hole]
-                n = int(size[known].sum()) + sum(map(len, filled.values()))
+                n = int(size[code[code != hole]].sum()) + sum(map(len, filled.values()))
                 word = code.tolist()
-                for p in empty:
-                    word[p] = 0
-                text, shown = [as_text[c] for c in word] if hole else [""] * len(word), [as_pieces[c] for c in word] if hole else [""] * len(word)
+                if not hole:
+                    text, shown = [""] * len(word), [""] * len(word)
+                else:
+                    for p in empty:
+                        word[p] = 0
+                    text, shown = [as_text[c] for c in word], [as_pieces[c] for c in word]
                 for p in empty:
                     text[p] = " ".join(map(str, filled[p]))
                     shown[p] = " ".join([piece[c] for c in filled[p]])
-                text = " ".join(filter(None, text))
-                rows.append((b.column(0)[i].as_py(), n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(filter(None, shown)).encode()).hexdigest(), np.array(text.split(), np.int32)))
+                if gaps or not all(filled.values()):
+                    text, shown = list(filter(None, text)), list(filter(None, shown))
+                text = " ".join(text)
+                ids = np.fromstring(text, np.int32, sep=" ") if with_ids and text else np.zeros(0, np.int32)
+                rows.append((b.column(0)[i].as_py(), n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(shown).encode()).hexdigest(), ids))
                 held += n
                 if held > 2_000_000:
-                    yield _batched(rows, names, types)
+                    yield _batched(rows, names[: 4 + with_ids], types)
                     rows, held = [], 0
-            yield _batched(rows, names, types)
+            yield _batched(rows, names[: 4 + with_ids], types)
 
     return run
 
 
-def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", hot_words: int = HOT) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", hot_words: int = HOT, with_ids: bool = True) -> DataFrame:
     """Encode every whole text as the library's encode(text, add_special_tokens=False) does, and decode the ids.
 
     path: a word-level BPE file of the tokenizers library (lower case, words end in a suffix, no decoder). Returns, for each row, doc_id, n_tokens,
-    ids_sha256 (decimal ids joined by one space), decoded_sha256 (decode(ids, skip_special_tokens=False)) and ids. A null text is empty:
+    ids_sha256 (decimal ids joined by one space), decoded_sha256 (decode(ids, skip_special_tokens=False)) and, unless with_ids is false, ids. A null text is empty:
     no ids, hashes of the empty string. Special strings in a text become their ids. Repeated rows give repeated results; a null doc_id
     keeps its row. Other columns are not read. An empty table gives no rows."""
     spark = docs.sparkSession
@@ -189,8 +251,8 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     words = table(counted.mapInArrow(_encode(path), "word string, n long, ids array<int>"))
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
     hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("ids").to_pylist()))
-    holes = docs.mapInArrow(_holes(hot), "row_key long, position int, word string").distinct()
+    holes = docs.mapInArrow(_holes(hot), "row_key long, position int, word string")  # equal rows give equal holes, of which one is used
     filled = holes.join(words.select("word", "ids"), "word").groupBy("row_key").agg(F.collect_list(F.struct("position", "ids")).alias("filled"))
     packed = docs.mapInArrow(_packed(hot), "row_key long, doc_id long, codes binary")
     both = packed.join(filled, "row_key", "left").select("doc_id", "codes", "filled")
-    return both.mapInArrow(_assemble(path, hot), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    return both.mapInArrow(_assemble(path, hot, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
