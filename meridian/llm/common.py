@@ -25,7 +25,7 @@ def table(df: DataFrame) -> DataFrame:
     """Cut the lineage: df written as Parquet into the shared folder, so that a lost executor costs only a new read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -80,6 +80,12 @@ def pieces(path: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
 
 
+@lru_cache(2)
+def id_type(path: str) -> np.dtype:
+    """Ids are joined as packed bytes, two or four each as the vocabulary's size needs."""
+    return np.dtype("<u2" if len(pieces(path)) <= 1 << 16 else "<u4")
+
+
 def _batched(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
 
@@ -117,7 +123,7 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for s in range(0, len(words), 5000):
                 part = words[s : s + 5000]
                 ids = [[SPECIAL[w]] if w in SPECIAL else e.ids for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, len(part)), b.column(1).slice(s, len(part)), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, len(part)), b.column(1).slice(s, len(part)), pa.array([np.array(x, id_type(path)).tobytes() for x in ids], pa.binary())], ["word", "n", "ids"])
 
     return run
 
@@ -212,7 +218,7 @@ def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBat
                 filled = {}
                 if empty:
                     at, ids = b.column(2)[i].values.flatten()
-                    filled = dict(zip(at.to_pylist(), ids.to_pylist(), strict=True))
+                    filled = {p: np.frombuffer(x, id_type(path)).tolist() for p, x in zip(at.to_pylist(), ids.to_pylist(), strict=True)}
                 n = int(size[code[code != hole]].sum()) + sum(map(len, filled.values()))
                 word = code.tolist()
                 if not hole:
@@ -248,9 +254,9 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     docs = docs.select(F.xxhash64(key, text).alias("row_key"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
     counted = docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = table(counted.mapInArrow(_encode(path), "word string, n long, ids array<int>"))
+    words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"))
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
-    hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("ids").to_pylist()))
+    hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, [np.frombuffer(x, id_type(path)).tolist() for x in top.column("ids").to_pylist()]))
     holes = docs.mapInArrow(_holes(hot), "row_key long, position int, word string")  # equal rows give equal holes, of which one is used
     filled = holes.join(words.select("word", "ids"), "word").groupBy("row_key").agg(F.collect_list(F.struct("position", "ids")).alias("filled"))
     packed = docs.mapInArrow(_packed(hot), "row_key long, doc_id long, codes binary")
