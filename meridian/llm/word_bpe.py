@@ -141,7 +141,7 @@ def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int,
         text = value.as_py() or ""
         if _plain(text):
             tokens = _normal(text).split()
-            if len(memo) > 500_000:
+            if len(memo) > 150_000:
                 memo.clear()
             out: list[int] = []
             for t in tokens:
@@ -190,14 +190,15 @@ def _holes(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 #: Of this worker: the broadcast ids that the strings below belong to, and each word's ids as text, its pieces, and how many.
-_shown: list = [None, [], [], None, None, False]
+_shown: list = [None, [], [], None, False]
 
 
-def _show(table_ids: list[list[int]], piece: list[str]) -> list:
+def _show(table_ids: list[bytes], piece: list[str], packed: np.dtype) -> list:
     if _shown[0] is not table_ids:
-        size = np.array([len(x) for x in table_ids] or [0])
-        flat = np.array([i for x in table_ids for i in x], np.int32)
-        _shown[:] = [table_ids, [" ".join(map(str, x)) for x in table_ids], [" ".join([piece[i] for i in x]) for x in table_ids], size, flat, bool((size == 0).any())]
+        _shown[:] = [None, [], [], None, False]  # those of another table go first
+        read = lambda x: np.frombuffer(x, packed).tolist()
+        size = np.array([len(x) // packed.itemsize for x in table_ids] or [0])
+        _shown[:] = [table_ids, [" ".join(map(str, read(x))) for x in table_ids], [" ".join([piece[i] for i in read(x)]) for x in table_ids], size, bool((size == 0).any())]
     return _shown[1:]
 
 
@@ -207,7 +208,7 @@ def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces(path)
         table_ids = hot.value[1]
-        as_text, as_pieces, size, _, gaps = _show(table_ids, piece)
+        as_text, as_pieces, size, gaps = _show(table_ids, piece, id_type(path))
         hole = len(table_ids)
         for b in batches:
             rows, held = [], 0
@@ -256,7 +257,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     counted = docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"))
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
-    hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, [np.frombuffer(x, id_type(path)).tolist() for x in top.column("ids").to_pylist()]))
+    hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("ids").to_pylist()))
     holes = docs.mapInArrow(_holes(hot), "row_key long, position int, word string")  # equal rows give equal holes, of which one is used
     filled = holes.join(words.select("word", "ids"), "word").groupBy("row_key").agg(F.collect_list(F.struct("position", "ids")).alias("filled"))
     packed = docs.mapInArrow(_packed(hot), "row_key long, doc_id long, codes binary")
