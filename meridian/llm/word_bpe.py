@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from .common import table
 HOT = 1 << 18
 #: A longer word is never broadcast.
 HOT_CHARS = 64
+#: Compresses the packed word numbers.
+_ZSTD = pa.Codec("zstd", compression_level=1)
 #: Fixed values of the vocabulary file: its splitter and its special strings with their ids.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
@@ -38,7 +40,7 @@ _SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
 
 
 #: White space of Python's split() that the splitter takes for ordinary characters.
-_ODD = regex.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def _normal(text: str) -> str:
@@ -47,7 +49,7 @@ def _normal(text: str) -> str:
 
 def _plain(text: str) -> bool:
     """Whether white space alone parts the text into pieces whose words can be found one by one."""
-    return "<|" not in text and not _ODD.search(text)
+    return "<|" not in text and not any(c in text for c in _ODD)
 
 
 def _words_of(token: str) -> list[str]:
@@ -128,34 +130,75 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-#: Of this worker: the broadcast words that the codes below belong to, and the codes of pieces between white space (several: a tuple).
-_memo: list = [None, {}]
+#: Of this worker: the broadcast words that the codes below belong to, the codes of pieces between white space, and the codes of the words in
+#: each piece of several words (piece code len(known) + 1 + i stands for entry i).
+_memo: list = [None, {}, []]
+#: Pieces of several words that a worker remembers.
+MEMO = 200_000
 
 
-def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, str]]:
-    """(row, word numbers, text); the number len(known) stands for a word that isn't known."""
-    if _memo[0] is not known:
-        _memo[:] = [known, {}]
-    memo, hole = _memo[1], len(known)
+def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, Callable[[], tuple[list[int], list[str]]]]]:
+    """(row, word numbers, function giving the holes' positions and words); the number len(known) stands for a word that isn't known."""
+    hole = len(known)
+    if _memo[0] is not known or len(_memo[2]) > MEMO:
+        _memo[:] = [known, dict(known), []]
+    _, memo, several = _memo
+
+    def of_words(code: np.ndarray, words: list[str]) -> tuple[list[int], list[str]]:
+        at = np.flatnonzero(code == hole).tolist()
+        return at, [words[p] for p in at]
+
+    def of_pieces(code: np.ndarray, start: np.ndarray, pieces_: list[str]) -> tuple[list[int], list[str]]:
+        at = np.flatnonzero(code == hole)
+        which = np.searchsorted(start, at, side="right") - 1
+        single = np.diff(start)[which] == 1
+        inside = (at - start[which]).tolist()
+        return at.tolist(), [pieces_[w] if one else _words_of(pieces_[w])[i] for w, one, i in zip(which.tolist(), single.tolist(), inside, strict=True)]
+
     for i, value in enumerate(batch.column(1)):
         text = value.as_py() or ""
-        if _plain(text):
-            tokens = _normal(text).split()
-            if len(memo) > 150_000:
-                memo.clear()
-            out: list[int] = []
-            for t in tokens:
-                c = memo.get(t)
-                if c is None:
-                    words = _words_of(t)
-                    c = memo[t] = known.get(words[0], hole) if len(words) == 1 else tuple(known.get(w, hole) for w in words)
-                if c.__class__ is int:
-                    out.append(c)
-                else:
-                    out += c
+        if not _plain(text):
+            words = split_words(text)
+            code = np.array([known.get(w, hole) for w in words], np.uint32)
+            yield i, code, partial(of_words, code, words)
+            continue
+        tokens = _normal(text).split()
+        piece = np.array(list(map(memo.get, tokens, repeat(-1))), np.int64)
+        for p in np.flatnonzero(piece < 0).tolist():
+            t = tokens[p]
+            words = () if t.isalpha() else WORD.findall(t)
+            if len(words) < 2:
+                piece[p] = hole
+                continue
+            c = memo.get(t)
+            if c is None:
+                c = memo[t] = hole + 1 + len(several)
+                several.append(tuple(known.get(w, hole) for w in words))
+            piece[p] = c
+        many = np.flatnonzero(piece > hole)
+        if not len(many):
+            code, start = piece.astype(np.uint32), np.arange(len(piece) + 1)
         else:
-            out = [known.get(w, hole) for w in split_words(text)]
-        yield i, np.array(out, np.uint32), text
+            parts = [several[c] for c in (piece[many] - hole - 1).tolist()]
+            size = np.ones(len(piece), np.int64)
+            size[many] = list(map(len, parts))
+            start = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+            code = np.repeat(piece, size)
+            code[np.repeat(size > 1, size)] = np.fromiter(chain.from_iterable(parts), np.int64)
+            code = code.astype(np.uint32)
+        yield i, code, partial(of_pieces, code, start, tokens)
+
+
+def _pack(code: np.ndarray) -> bytes:
+    """Word numbers below 2**24 as the planes of their three bytes, compressed, after their count."""
+    planes = code.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    return len(code).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(packed: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(packed[:8].to_pybytes(), "little")
+    planes = np.frombuffer(_ZSTD.decompress(packed[8:], 3 * n), np.uint8).astype(np.int32).reshape(3, n)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def _packed(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
@@ -164,9 +207,7 @@ def _packed(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value[0]
         for b in batches:
-            codes = []
-            for _, x, _ in _codes(b, known):
-                codes.append(zlib.compress(np.concatenate(((x & 255).astype(np.uint8), (x >> 8 & 255).astype(np.uint8), (x >> 16).astype(np.uint8))).tobytes(), 6))
+            codes = [_pack(x) for _, x, _ in _codes(b, known)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary())], ["row_key", "doc_id", "codes"])
 
     return run
@@ -178,13 +219,14 @@ def _holes(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value[0]
         for b in batches:
-            keys, rows = b.column(0), []
-            for i, c, text in _codes(b, known):
-                empty = np.flatnonzero(c == len(known)).tolist()
-                if empty:
-                    key, words = keys[i].as_py(), split_words(text)
-                    rows += [(key, p, words[p]) for p in empty]
-            yield _batched(rows, ["row_key", "position", "word"], [pa.int64(), pa.int32(), pa.string()])
+            keys = b.column(0)
+            row, at, words = [], [], []
+            for i, _, holes in _codes(b, known):
+                p, w = holes()
+                row += [i] * len(p)
+                at += p
+                words += w
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.string())], ["row_key", "position", "word"])
 
     return run
 
@@ -213,8 +255,7 @@ def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBat
         for b in batches:
             rows, held = [], 0
             for i in range(len(b)):
-                code = np.frombuffer(zlib.decompress(b.column(1)[i].as_buffer()), np.uint8).astype(np.int32).reshape(3, -1)
-                code = code[0] | code[1] << 8 | code[2] << 16
+                code = _unpack(b.column(1)[i].as_buffer())
                 empty = np.flatnonzero(code == hole).tolist()
                 filled = {}
                 if empty:
