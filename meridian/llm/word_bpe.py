@@ -2,8 +2,9 @@
 
 1. Partitions count the words of their texts (after the tokenizer's normaliser and splitter); Spark sums them into one row a word.
 2. Each distinct word is encoded once. The HOT most frequent words, a fixed number, are broadcast with their ids.
-3. A text becomes the sequence of its words' numbers in that table; a word that isn't there leaves a hole, and goes as (text, position, word)
-   to a join with the table of all words; the ids come back by position and fill the holes.
+3. A text becomes the sequence of its words' numbers in that table; a word that isn't there leaves a hole, and goes as
+   (text, position, word) to a join with the table of all words; the ids come back by position and fill the holes. The text is split once for
+   both: the packed numbers and the holes' words cross one exchange, which is used twice.
 4. Ids become pieces through the id-to-piece table, whose size the vocabulary fixes.
 
 No row of texts is shuffled, only the packed numbers and the rare words.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
@@ -137,23 +139,22 @@ _memo: list = [None, {}, []]
 MEMO = 200_000
 
 
-def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, Callable[[], tuple[list[int], list[str]]]]]:
-    """(row, word numbers, function giving the holes' positions and words); the number len(known) stands for a word that isn't known."""
+def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, Callable[[], list[str]]]]:
+    """(row, word numbers, function giving the holes' words); the number len(known) stands for a word that isn't known."""
     hole = len(known)
     if _memo[0] is not known or len(_memo[2]) > MEMO:
         _memo[:] = [known, dict(known), []]
     _, memo, several = _memo
 
-    def of_words(code: np.ndarray, words: list[str]) -> tuple[list[int], list[str]]:
-        at = np.flatnonzero(code == hole).tolist()
-        return at, [words[p] for p in at]
+    def of_words(code: np.ndarray, words: list[str]) -> list[str]:
+        return [words[p] for p in np.flatnonzero(code == hole).tolist()]
 
-    def of_pieces(code: np.ndarray, start: np.ndarray, pieces_: list[str]) -> tuple[list[int], list[str]]:
+    def of_pieces(code: np.ndarray, start: np.ndarray, pieces_: list[str]) -> list[str]:
         at = np.flatnonzero(code == hole)
         which = np.searchsorted(start, at, side="right") - 1
         single = np.diff(start)[which] == 1
         inside = (at - start[which]).tolist()
-        return at.tolist(), [pieces_[w] if one else _words_of(pieces_[w])[i] for w, one, i in zip(which.tolist(), single.tolist(), inside, strict=True)]
+        return [pieces_[w] if one else _words_of(pieces_[w])[i] for w, one, i in zip(which.tolist(), single.tolist(), inside, strict=True)]
 
     for i, value in enumerate(batch.column(1)):
         text = value.as_py() or ""
@@ -202,33 +203,32 @@ def _unpack(packed: pa.Buffer) -> np.ndarray:
 
 
 def _packed(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """(row_key, doc_id, packed word numbers)"""
+    """(row_key, doc_id, packed word numbers, words of the holes in their order; a word has no line break)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value[0]
         for b in batches:
-            codes = [_pack(x) for _, x, _ in _codes(b, known)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary())], ["row_key", "doc_id", "codes"])
+            codes, rare = [], []
+            for _, x, holes in _codes(b, known):
+                codes.append(_pack(x))
+                rare.append(zlib.compress("\n".join(holes()).encode(), 6))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["row_key", "doc_id", "codes", "rare"])
 
     return run
 
 
-def _holes(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """(row_key, position, word) of the words that aren't broadcast"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value[0]
-        for b in batches:
-            keys = b.column(0)
-            row, at, words = [], [], []
-            for i, _, holes in _codes(b, known):
-                p, w = holes()
-                row += [i] * len(p)
-                at += p
+def _holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, position among the row's holes, word)"""
+    for b in batches:
+        row, at, words = [], [], []
+        for i, x in enumerate(b.column(3)):
+            text = zlib.decompress(x.as_buffer()).decode()
+            if text:
+                w = text.split("\n")
+                row += [i] * len(w)
+                at += range(len(w))
                 words += w
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.string())], ["row_key", "position", "word"])
-
-    return run
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.string())], ["row_key", "position", "word"])
 
 
 #: Of this worker: the broadcast ids that the strings below belong to, and each word's ids as text, its pieces, and how many.
@@ -260,7 +260,7 @@ def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBat
                 filled = {}
                 if empty:
                     at, ids = b.column(2)[i].values.flatten()
-                    filled = {p: np.frombuffer(x, id_type(path)).tolist() for p, x in zip(at.to_pylist(), ids.to_pylist(), strict=True)}
+                    filled = {empty[p]: np.frombuffer(x, id_type(path)).tolist() for p, x in zip(at.to_pylist(), ids.to_pylist(), strict=True)}
                 n = int(size[code[code != hole]].sum()) + sum(map(len, filled.values()))
                 word = code.tolist()
                 if not hole:
@@ -299,8 +299,9 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"))
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
     hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("ids").to_pylist()))
-    holes = docs.mapInArrow(_holes(hot), "row_key long, position int, word string")  # equal rows give equal holes, of which one is used
+    # Both uses below read all columns of `packed`, so that its exchange is made once and used twice.
+    packed = docs.mapInArrow(_packed(hot), "row_key long, doc_id long, codes binary, rare binary").repartition("row_key")
+    holes = packed.mapInArrow(_holes, "row_key long, position int, word string")  # equal rows give equal holes, of which one is used
     filled = holes.join(words.select("word", "ids"), "word").groupBy("row_key").agg(F.collect_list(F.struct("position", "ids")).alias("filled"))
-    packed = docs.mapInArrow(_packed(hot), "row_key long, doc_id long, codes binary")
-    both = packed.join(filled, "row_key", "left").select("doc_id", "codes", "filled")
+    both = packed.join(filled, "row_key", "left").select("doc_id", "codes", "filled", "rare", "row_key")
     return both.mapInArrow(_assemble(path, hot, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
