@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of a batch that goes to Python, where the session hasn't set its own bound; a single longer row is its own batch.
+BATCH_BYTES, _KEY, _UNSET = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what an executor holds of wide rows: batches end by bytes, not only by their number of rows."""
+    if spark.conf.get(_KEY) == _UNSET:
+        spark.conf.set(_KEY, str(BATCH_BYTES))
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back, since workers are reused by later stages."""
+
+    def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return with_release
+
+
 def table(df: DataFrame) -> DataFrame:
     """Cut the lineage: df written as Parquet into the shared folder, so that a lost executor costs only a new read."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, released
 from .kernels import U64, mix, text_parts
 
 #: Buckets of hashed n-grams; training texts a language; centroids a language.
@@ -120,8 +121,8 @@ def fit(docs: DataFrame):  # noqa: ANN201
     for lang, n in zip(counts["lang"], counts["count"], strict=True):
         share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n) * 1e6).otherwise(share)
     sample = train.where(pick < share).dropDuplicates(["lang", "text"]).orderBy("lang", F.xxhash64("text")).limit(2 * SAMPLE * len(counts))
-    rows = sample.mapInArrow(_vectors, "lang string, counts binary").toPandas()
-    frequency = train.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInArrow(released(_vectors), "lang string, counts binary").toPandas()
+    frequency = train.select("text").mapInArrow(released(_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BUCKETS + 1)
     seen[frequency["bucket"]] = frequency["n"]
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])).astype(np.float32) + np.float32(0.1)
@@ -145,11 +146,12 @@ def identify(docs: DataFrame, train: DataFrame | None = None, keep: list[str] |
     language. Repeated rows give repeated results. Rows with a null id or lang are predicted but not learned from. An empty table gives
     no rows."""
     keep = ["doc_id"] if keep is None else keep
+    bound_batches(docs.sparkSession)
     model = fit((docs if train is None else train).select("doc_id", "text", "lang"))
     rows = docs.select(*keep, held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.coalesce("text", F.lit("")).alias("meridian_text"))
     if model is None:
         return rows.select(*keep, "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
-    found = rows.mapInArrow(_predict(shared), schema)
+    found = rows.mapInArrow(released(_predict(shared)), schema)
     return found.select(*keep, "held_out", F.when(F.col("has_letter"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"), F.when(F.col("has_letter"), F.col("score")).otherwise(0.0).alias("score"), (~F.col("has_letter") | (F.col("score") < reject)).alias("rejected"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import bound_batches, components, released, table
 from .kernels import U64, mix, shingles, text_parts
 
 WORDS, BITS, ORDERS = 8, 512, 3
@@ -203,10 +203,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     a null or blank text has an empty set, n_copies 1, and is linked with nothing. Repeated rows count as copies. A null doc_id keeps its
     row and never names a component unless no other id is in it. Other columns of docs are not read. An empty table gives no rows."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     schema = "doc_id long, text_key long, n long, cls long, " + ", ".join(f"s{i} long" for i in range(WORDS))
-    features = table(texts.mapInArrow(_features(k), schema))
+    features = table(texts.mapInArrow(released(_features(k)), schema))
     rows = features.where("s0 is not null")
     hot = features.where("s0 is null").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "cls").limit(HOT).toPandas()
     tokens, rank = hot["cls"].to_numpy(np.int64).view(U64), np.argsort(np.argsort(hot["n"].to_numpy(), kind="stable"))
@@ -214,7 +215,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     known = spark.sparkContext.broadcast((tokens[order], rank[order]))
 
     signatures = table(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(WORDS))))))
-    postings = table(docs.select("text").mapInArrow(_postings(k, num, den, known), "token long, cls long, n long"))
+    postings = table(docs.select("text").mapInArrow(released(_postings(k, num, den, known)), "token long, cls long, n long"))
     several = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("token")
     groups = table(postings.join(several, "token").distinct())
 
@@ -223,11 +224,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(signatures.select("cls", "text_key"), "cls").select("text_key").distinct()
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        sets = table(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text").mapInArrow(_sets(k), "cls long, shingles array<long>, size long, wide binary"))
+        sets = table(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text").mapInArrow(released(_sets(k)), "cls long, shingles array<long>, size long, wide binary"))
         side = lambda c, *more: sets.select(F.col("cls").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
         pairs = pairs.join(side("a", "size", "wide"), "a").join(side("b", "size", "wide"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
-        pairs = table(pairs.mapInArrow(_narrow(num, den), "a long, b long"))
-        return table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify(num, den), "a long, b long"))
+        pairs = table(pairs.mapInArrow(released(_narrow(num, den)), "a long, b long"))
+        return table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(released(_verify(num, den)), "a long, b long"))
 
     bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))
     led = groups.withColumn("bucket", bucket)

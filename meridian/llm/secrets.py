@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 #: Least cost of a secret as a power of ten, and least length of its value.
 GUESSES, SHORTEST = 10.0, 8
@@ -143,6 +145,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
     Spans of equal start are ordered by kind, then end; repeated rows give repeated results; null ids keep their row. An empty table gives
     no rows."""
     keep = ["doc_id"] if keep is None else keep
+    bound_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("meridian_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_scan(redacted), schema + ", n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string" + ", redacted string" * redacted)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .common import table
+from .common import bound_batches, table
 
 #: Words that are broadcast: at most so many, each with its ids.
 HOT = 1 << 18
@@ -294,6 +294,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     no ids, hashes of the empty string. Special strings in a text become their ids. Repeated rows give repeated results; a null doc_id
     keeps its row. Other columns are not read. An empty table gives no rows."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.xxhash64(key, text).alias("row_key"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
     counted = docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"))
