@@ -49,11 +49,11 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return with_release
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: df written as Parquet into the shared folder, so that a lost executor costs only a new read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

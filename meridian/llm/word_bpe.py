@@ -297,7 +297,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     bound_batches(spark)
     docs = docs.select(F.xxhash64(key, text).alias("row_key"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
     counted = docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"))
+    words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"), "zstd")
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
     hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("ids").to_pylist()))
     # Both uses below read all columns of `packed`, so that its exchange is made once and used twice.
