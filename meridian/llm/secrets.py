@@ -1,14 +1,20 @@
 """Secret scans: three base patterns, and values in credential contexts whose guess cost is high.
 
 The guess cost of a value is the least number of guesses, as a power of ten, over all its segmentations into dictionary words (also with letters
-replaced by look-alikes), dates and years, repeats, keyboard walks and brute-force spans; dynamic programming finds it. A value
-whose cost is at least GUESSES is a secret that a pattern of fixed shape would miss.
+replaced by look-alikes), dates and years, repeats, keyboard walks and brute-force spans; dynamic programming finds it. The cost alone
+decides: a value of SHORTEST or more characters, of whatever kinds, whose cost is at least GUESSES is a secret that a pattern of fixed
+shape would miss.
+
+The ranked words are COMMON, then words.txt, a fixed file: the lower-case alphabetic entries of two public BPE vocabularies in the order of their
+merges, taken in turn, without repeats: whole words of 3 or more letters of word_bpe_49k (mostly English) and entries of 4 or more letters of
+byte_bpe_multi_50k (many languages).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pkgutil
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,8 +40,12 @@ COMMON = """password qwerty admin welcome letmein login monkey dragon master sun
 hello charlie freedom whatever secret test guest root user changeme default example sample demo temp summer winter spring autumn
 love hunter killer soccer hockey ranger buster thomas jordan robert daniel george andrew ginger pepper cookie cheese banana orange
 computer internet server service database system network access private public token value string null none true false todo
-your here my the key pass word name mail local host prod stage develop redacted placeholder insert enter""".split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON))}
+your here my the key pass word name mail local host prod stage develop redacted placeholder insert enter
+passwort kennwort geheim geheimnis contraseña clave secreto secreta motdepasse secrète senha segredo segreto parola wachtwoord hasło
+heslo salasana lösenord adgangskode şifre пароль секрет benutzer benutzername schlüssel zugang daten datenbank verbindung anmeldung
+usuario utilisateur identifiant utente usuário gebruiker""".split()
+WORDS = (pkgutil.get_data(__package__, "words.txt") or b"").decode().split()
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON + WORDS))}
 LONGEST = max(map(len, RANK))
 LOOKS = str.maketrans("0134578@$!", "oieastbasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -99,7 +109,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
             s, e = m.start(1), m.start(1) + len(value)
             if len(value) < SHORTEST or any(a < e and s < b for a, b in base):
                 continue
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and guess_cost(value, GUESSES) >= GUESSES:
+            if guess_cost(value, GUESSES) >= GUESSES:
                 out.append(("guess", s, e))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -339,6 +339,17 @@ def test_guess_spans_are_added_and_clean_text_is_not():
     assert redact("abcdef", [("hex", 0, 3), ("hex", 2, 5)]) == "[secret]f"
 
 
+def test_the_cost_alone_decides_on_values_of_any_kind(spark):
+    secret = ["passphrase: Zk!qWv#LxRtB", "pwd=QzXwKjVbNmTr", "bearer: qhwzvkxrtj", "auth_key = 83920174651029", "password: !#%^&*~@+?;", "password=Zk!qWv#LxRtB"]
+    plain = ["pwd=********", "passphrase: qwertyuiop", "bearer: 12345678", "credential: 20240517", "bearer: authentication", "secret: Geheimnis", "pwd: contraseña", "pass: développement", "pwd: información", "auth-key: --------", "secret: mypassword"]
+    for text in secret:
+        [(kind, s, e)] = find_secrets(text)
+        assert kind == "guess" and text[s:e] == re.split("[:=] ?", text, maxsplit=1)[1].rstrip(";")
+    assert {t: x for t in plain if (x := find_secrets(t))} == {}
+    got = scan_secrets(docs(spark, list(enumerate(secret + plain))), redacted=True)
+    assert {r.doc_id for r in got.where("redacted like '%[secret]%'").collect()} == set(range(len(secret)))
+
+
 # 8. Suffix arrays --------------------------------------------------------------
 
 
