@@ -1,7 +1,7 @@
 """Language identification by nearest centroids of TF-IDF vectors of hashed byte n-grams.
 
-Document frequencies are counted over all training rows. Centroids are fitted on a sample of SAMPLE distinct texts a language, the bound of what
-the driver holds; each language has up to CENTROIDS of them (spherical k-means). A text takes the language of the centroid with the
+Document frequencies are counted over all training rows. Centroids are fitted on a sample of about SAMPLE distinct texts a language (all, if it has no
+more), the bound of what the driver holds: the share drawn by the hash of the text comes from the number of distinct texts, so copies change nothing. Each language has up to CENTROIDS of them (spherical k-means). A text takes the language of the centroid with the
 highest cosine and is rejected if even this one is farther than REJECT allows.
 """
 
@@ -113,14 +113,14 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame):  # noqa: ANN201
     """(idf, language of each centroid, centroids) of the labelled rows that aren't held out; None without such rows."""
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    counts = train.groupBy("lang").count().orderBy("lang").toPandas()
+    pick = F.shiftrightunsigned(F.xxhash64("text", F.lit(7)), 11)  # 53 bits
+    counts = train.select("lang", pick.alias("pick")).distinct().groupBy("lang").count().orderBy("lang").toPandas()
     if counts.empty:
         return None
-    pick = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000))
     share = F.lit(0.0)
     for lang, n in zip(counts["lang"], counts["count"], strict=True):
-        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n) * 1e6).otherwise(share)
-    sample = train.where(pick < share).dropDuplicates(["lang", "text"]).orderBy("lang", F.xxhash64("text")).limit(2 * SAMPLE * len(counts))
+        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n) * 2.0**53).otherwise(share)
+    sample = train.where(pick < share).dropDuplicates(["lang", "text"])
     rows = sample.mapInArrow(released(_vectors), "lang string, counts binary").toPandas()
     frequency = train.select("text").mapInArrow(released(_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BUCKETS + 1)

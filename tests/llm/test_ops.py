@@ -223,6 +223,18 @@ def test_languages_of_held_out_rows(spark):
     assert got["score"].between(0, 1).all() and not got["rejected"].any()
 
 
+def test_a_language_of_many_copies_is_learned(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 60), "many") for i in range(1500)]
+    few = {f"few{n}": [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60)) for _ in range(n)] for n, letters in ((1, "klmnop"), (2, "uvwxyz"), (6, "pqrstu"))}
+    for lang, texts in few.items():
+        rows += [(len(rows) + i, texts[i % len(texts)], lang) for i in range(3000)]
+    model = language_id.fit(docs(spark, rows).repartition(5))
+    assert {lang: model[1].count(lang) for lang in few} == {"few1": 1, "few2": 2, "few6": 4} and model[1].count("many") == 4
+    got = identify(docs(spark, rows), keep=["lang"]).where("lang like 'few%' and lang <> lang_pred or rejected")
+    assert got.count() == 0
+
+
 def test_language_of_odd_rows(spark):
     d = docs(spark, [(i, t, "en") for i, t in enumerate(["the cat and the dog", "the house of the man", "this and that there", "with the other one"])] + [(10, None, "en"), (11, "", "en"), (12, "123 ### !", None), (None, "the end", None), (13, "の中で最も大きい", None)])
     got = {r.doc_id: (r.lang_pred, r.rejected) for r in identify(d).collect()}
