@@ -223,6 +223,23 @@ def test_languages_of_held_out_rows(spark):
     assert got["score"].between(0, 1).all() and not got["rejected"].any()
 
 
+def test_gibberish_and_unlearned_languages_are_rejected_at_their_lengths(spark):
+    rng = random.Random(12)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    turkish = "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler"
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    far = [" ".join(word() for _ in range(n)) for n in (40, 60, 120, 300, 1000, 3000) for _ in range(5)]
+    far += ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (400, 4000)]
+    far += [" ".join(rng.choice(t.split()) for _ in range(n)) for t in (finnish, turkish) for n in (60, 200, 1000)] + [finnish, turkish]
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = identify(docs(spark, list(enumerate(far))), train=train).collect()
+    assert [far[r.doc_id][:40] for r in got if not r.rejected] == [] and len(got) == len(far)
+    held = train.where(language_id.held_out()).where("length(text) > 200")
+    for n, least in ((20, 0.85), (40, 0.97), (100, 0.98)):
+        kept = identify(held.withColumn("text", F.substring("text", 1, n)), train=train).agg(F.avg((~F.col("rejected")).cast("int"))).first()[0]
+        assert kept >= least, (n, kept)
+
+
 def test_a_language_of_many_copies_is_learned(spark):
     rng = random.Random(11)
     rows = [(i, prose(rng, 60), "many") for i in range(1500)]
