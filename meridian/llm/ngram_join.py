@@ -202,6 +202,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     smallest doc_id reachable by links. Words are runs without white space, A-Z lowered. A text of fewer than k words is one shingle;
     a null or blank text has an empty set, n_copies 1, and is linked with nothing. Repeated rows count as copies. A null doc_id keeps its
     row and never names a component unless no other id is in it. Other columns of docs are not read. An empty table gives no rows."""
+    linked = _linked(docs, k, num, den, key, text)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key (hash of the text), n (set size), component (its smallest doc_id), copies and root (the component itself, null if n is 0) of each row."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -243,13 +249,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", num, den))
     second = verified(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
     joined = signatures.select("cls", "least", "copies").join(table(components(first.unionByName(second))), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component", "copies")
-    return rows.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component", "copies", "root")
+    return rows.select("doc_id", "text_key", "n", "cls").join(named, "cls", "left").select("doc_id", "text_key", "n", "component", "copies", F.when(F.col("n") > 0, F.col("root")).alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Keep one document of each group: the row whose doc_id names the component. Rows that repeat this doc_id keep one as well; rows without a doc_id stay."""
-    classes = jaccard_classes(docs.select("doc_id", "text"), k, num, den)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Keep one document of each group of linked rows: the one of the smallest doc_id (of several texts under this id, the one of the smallest hash).
+
+    Rows without a doc_id are grouped among themselves: of each group, one of them stays beside the named one. Rows with different texts
+    that aren't linked all stay, also under one doc_id. Blank texts are linked with nothing; only rows equal in doc_id and text keep one."""
+    blank = F.col("n") == 0
+    groups = _linked(docs, k, num, den).groupBy("root", F.col("doc_id").isNull(), F.when(blank, F.col("doc_id")), F.when(blank, F.col("text_key")))
+    kept = groups.agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
+    keyed = docs.withColumn("meridian_key", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("meridian_key") == F.col("kept_key"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "meridian_key"]).drop("meridian_key")

@@ -15,7 +15,7 @@ found by two rounds of counting in bins, so no source is sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -42,15 +42,20 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: f
     return x.select("source", "source_size", F.when(F.col("full") | F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target"))
 
 
+def words_in(text: str = "text") -> Column:
+    """The number of words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many words of every document the mix takes.
 
     Returns, for each row, doc_id, source, size (words; null text: 0), source_size, target (both of its source), rate, copies (0 to `most`)
     and taken (copies * size). Each source's taken words come within about one document of its target. Reruns agree: all sums are of decimals
-    or longs, and copies follow a hash of doc_id and size, not the order of rows. Rows that repeat are all taken or none. A null
+    or longs, and copies follow a hash of doc_id and size, not the order of rows. Rows that agree in doc_id, source and size have the same copies. A null
     source is a source of its own, the last; a null doc_id is hashed as such. Documents of size 0 take nothing. Other columns are not
     read. An empty table gives no rows."""
-    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words_in(text).alias("size"))
     sized = table(sized)
     lengths = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     lengths = table(lengths)

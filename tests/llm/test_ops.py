@@ -140,6 +140,13 @@ def test_one_document_of_each_group_stays(spark):
     assert by(kept, "doc_id") == [(2,), (8,), (9,), (None,)]
 
 
+def test_rows_of_one_id_or_of_none_are_told_apart_by_text(spark):
+    a, b, c, d = ("one two three four five six seven eight nine ten", "else " * 9, "red green blue black white grey brown pink", "up down left right in out over under")
+    rows = [(5, a), (5, b), (6, a), (7, b), (None, c), (None, c), (None, d), (4, d), (4, d), (9, None), (9, ""), (9, ""), (None, None)]
+    kept = drop_near_copies(docs(spark, rows).repartition(4))
+    assert by(kept, "doc_id", "text") == sorted([(5, a), (5, b), (None, c), (None, d), (4, d), (9, None), (9, ""), (None, None)], key=str)
+
+
 # 2. Top-k -----------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 from meridian.llm.secrets import find_secrets
+from meridian.llm.source_mix import mix_sources
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,3 +38,12 @@ def test_run_gives_what_the_stages_give(spark):
         docs = stage(spark, docs, DATA)
     row = lambda d: sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in d.collect())
     assert row(corpus_pipeline.run(spark, DATA)) == row(docs)
+
+
+def test_the_mix_takes_rows_of_null_and_repeated_ids_as_often_as_it_says(spark):
+    rows = [(None if i % 3 == 0 else i // 4, " ".join(f"w{i}x{j}" for j in range(i % 17)), None, ["a", "b", None][i % 5 % 3], 0) for i in range(240)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    taken = sorted((str(r.doc_id), str(r.source), r.size) for r in mix_sources(given).collect() for _ in range(r.copies))
+    got = corpus_pipeline.source_mix(spark, given, DATA).collect()
+    assert sorted((str(r.doc_id), str(r.source), len(r.text.split())) for r in got) == taken
+    assert max(Counter(r.text for r in got).values()) <= 2
