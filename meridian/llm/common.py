@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='meridian-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -32,6 +35,24 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_KEY, str(BATCH_BYTES))
 
 
+#: What this worker keeps from task to task, of one operator at a time.
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]):  # noqa: ANN201
+    """make(), once for each worker and key; whatever another key has kept goes first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _forget() -> None:
+    if _KEPT:
+        _KEPT.clear()
+        _release()
+
+
 def _release() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -40,9 +61,10 @@ def _release() -> None:
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker gives freed memory back, since workers are reused by later stages."""
+    """run, before which the worker drops what another operator keeps, and after which it gives freed memory back, since workers are reused by later stages."""
 
     def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         yield from run(batches)
         _release()
 
@@ -57,8 +79,12 @@ def table(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of a partition's links that are held at once.
+NODES = 500_000
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each partition's links reduced to (node, smallest node of its local tree)."""
+    """Each partition's links, NODES at a time, reduced to (node, smallest node of its local tree)."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -69,16 +95,21 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             parent[x], x = root, parent[x]
         return root
 
+    def trees() -> Iterator[pa.RecordBatch]:
+        out = [(x, r) for x in list(parent) if (r := find(x)) != x]
+        parent.clear()
+        for i in range(0, len(out), 100_000):
+            part = np.array(out[i : i + 100_000], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+
     for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             x, y = find(x), find(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    out = [(x, r) for x in nodes if (r := find(x)) != x]
-    for i in range(0, len(out), 100_000):
-        part = np.array(out[i : i + 100_000], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"])
+        if len(parent) > NODES:
+            yield from trees()
+    yield from trees()
 
 
 def components(links: DataFrame) -> DataFrame:

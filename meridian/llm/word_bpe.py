@@ -3,42 +3,88 @@
 1. Partitions count the words of their texts (after the tokenizer's normaliser and splitter); Spark sums them into one row a word.
 2. Each distinct word is encoded once. The HOT most frequent words, a fixed number, are broadcast with their ids.
 3. A text becomes the sequence of its words' numbers in that table; a word that isn't there leaves a hole, and goes as
-   (text, position, word) to a join with the table of all words; the ids come back by position and fill the holes. The text is split once for
+   (row, position, word) to a join with the table of all words; the ids come back by position and fill the holes. The text is split once for
    both: the packed numbers and the holes' words cross one exchange, which is used twice.
 4. Ids become pieces through the id-to-piece table, whose size the vocabulary fixes.
 
-No row of texts is shuffled, only the packed numbers and the rare words.
+No row of texts is shuffled, only the packed numbers and the rare words. Rows are told apart by a number of their own, so equal rows neither share
+a task nor multiply each other's holes. Inside a batch, Arrow splits the texts at white space and numbers the distinct pieces; Python sees each of these once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import unicodedata
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
-from itertools import chain, repeat
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .common import bound_batches, table
+from .common import bound_batches, kept, table
 
 #: Words that are broadcast: at most so many, each with its ids.
 HOT = 1 << 18
 #: A longer word is never broadcast.
 HOT_CHARS = 64
-#: Compresses the packed word numbers.
+#: Compresses the packed word numbers and the holes' words.
 _ZSTD = pa.Codec("zstd", compression_level=1)
-#: Fixed values of the vocabulary file: its splitter and its special strings with their ids.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
-_SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIAL)) + ")")
+#: Bytes of texts, and words, that a worker handles at once; a single longer text is handled alone.
+PART_BYTES, PART_WORDS = 4 << 20, 1 << 20
+
+
+class Rules:
+    """What a vocabulary file says of words: the splitter, the special strings with their ids, and the suffix that ends a word."""
+
+    def __init__(self, path: str) -> None:
+        spec = json.loads(Path(path).read_text())
+        normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        before = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        added, model = spec["added_tokens"], spec["model"]
+        if (
+            normal != ["NFC", "Replace", "Lowercase"]
+            or spec["normalizer"]["normalizers"][1] != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+            or [x["type"] for x in before] != ["Split", "ByteLevel"]
+            or (before[0]["behavior"], before[0]["invert"]) != ("Removed", True)
+            or before[1]["add_prefix_space"]
+            or before[1]["use_regex"]
+            or model["type"] != "BPE"
+            or not model["end_of_word_suffix"]
+            or spec["decoder"] is not None
+            or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or not x["content"].startswith("<|") for x in added)
+        ):
+            raise ValueError(f"{path} isn't a word-level BPE file: NFC, white space to one space, lower case; a splitter that keeps its matches; byte-level pieces with a word end; no decoder")
+        self.word = regex.compile(before[0]["pattern"]["Regex"])
+        self.special = {x["content"]: x["id"] for x in added}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if added else regex.compile(r"(?!)()")
+        self.suffix = model["end_of_word_suffix"]
+
+    def words_of(self, piece: str) -> list[str]:
+        """The words of a piece between white space."""
+        return [piece] if piece.isalpha() else self.word.findall(piece)
+
+    def split(self, text: str) -> list[str]:
+        """The words that the tokenizer's normaliser and splitter make of a text; special strings stand for themselves."""
+        if plain(text):
+            return [w for t in _normal(text).split() for w in self.words_of(t)]
+        out: list[str] = []
+        for part in self.specials.split(text):
+            out += [part] if part in self.special else self.word.findall(_normal(part))
+        return out
+
+
+@lru_cache(2)
+def rules(path: str) -> Rules:
+    return Rules(path)
 
 
 #: White space of Python's split() that the splitter takes for ordinary characters.
@@ -49,32 +95,18 @@ def _normal(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def _plain(text: str) -> bool:
+def plain(text: str) -> bool:
     """Whether white space alone parts the text into pieces whose words can be found one by one."""
     return "<|" not in text and not any(c in text for c in _ODD)
 
 
-def _words_of(token: str) -> list[str]:
-    return [token] if token.isalpha() else WORD.findall(token)
-
-
-def split_words(text: str) -> list[str]:
-    """The words that the tokenizer's normaliser and splitter make of a text; special strings stand for themselves."""
-    if _plain(text):
-        return [w for t in _normal(text).split() for w in _words_of(t)]
-    out: list[str] = []
-    for part in _SPECIAL.split(text):
-        out += [part] if part in SPECIAL else WORD.findall(_normal(part))
-    return out
-
-
 @lru_cache(2)
 def word_encoder(path: str) -> Tokenizer:
-    """The tokenizer for single words that split_words() has made."""
+    """The tokenizer for words that split() has made, with a space between them."""
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     t.normalizer = normalizers.Sequence([])
-    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return t
 
 
@@ -84,135 +116,159 @@ def pieces(path: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
 
 
+@lru_cache(2)
+def _ends(path: str) -> np.ndarray:
+    """Whether an id ends a word."""
+    return np.array([p.endswith(rules(path).suffix) for p in pieces(path)])
+
+
 @lru_cache(2)
 def id_type(path: str) -> np.dtype:
     """Ids are joined as packed bytes, two or four each as the vocabulary's size needs."""
     return np.dtype("<u2" if len(pieces(path)) <= 1 << 16 else "<u4")
 
 
-def _batched(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(len(names))], names)
+def encode_words(path: str, words: list[str]) -> list[bytes]:
+    """The packed ids of each word. The words are encoded in one string; where the word ends don't tell them apart, one by one."""
+    t, special, kind = word_encoder(path), rules(path).special, id_type(path)
+    given = [w for w in words if w not in special]
+    ids = np.array(t.encode_batch_fast([" ".join(given)], add_special_tokens=False)[0].ids, kind)
+    cut = np.flatnonzero(_ends(path)[ids]) + 1
+    if len(cut) == len(given) and (not len(cut) or cut[-1] == len(ids)):
+        raw, at = ids.tobytes(), [0, *(cut * kind.itemsize).tolist()]
+        found = iter([raw[a:b] for a, b in zip(at, at[1:])])  # noqa: B905
+    else:
+        found = iter([np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(given, add_special_tokens=False)])
+    return [np.array([special[w]], kind).tobytes() if w in special else next(found) for w in words]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
-    odd: Counter[str] = Counter()
+def parts(column: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows that hold about `most` bytes; null counts as empty."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield at, [x or "" for x in column.slice(at, to - at).to_pylist()]
+        at = to
 
-    def flush() -> pa.RecordBatch:
-        for token, n in seen.items():
-            for w in _words_of(token):
-                odd[w] += n
-        out = pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        odd.clear()
-        return out
 
-    for b in batches:
-        for value in b.column(0):
-            text = value.as_py() or ""
-            if _plain(text):
-                seen.update(_normal(text).split())
-            else:
-                odd.update(split_words(text))
-            if len(seen) + len(odd) > 600_000:
-                yield flush()
-    yield flush()
+def pieces_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(number of each piece between white space, bounds of the texts, the distinct pieces); a piece may be empty."""
+    lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    found = lists.flatten().dictionary_encode()
+    bounds = np.asarray(lists.offsets).astype(np.int64)
+    return np.asarray(found.indices), bounds - bounds[0], found.dictionary.to_pylist()
+
+
+def _counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = rules(path)
+        seen: Counter[str] = Counter()
+        odd: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            for piece, n in seen.items():
+                for w in r.words_of(piece):
+                    odd[w] += n
+            out = pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            odd.clear()
+            return out
+
+        for b in batches:
+            for value in b.column(0):
+                text = value.as_py() or ""
+                if plain(text):
+                    seen.update(_normal(text).split())
+                else:
+                    odd.update(r.split(text))
+                if len(seen) + len(odd) > 600_000:
+                    yield flush()
+        yield flush()
+
+    return run
 
 
 def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_encoder(path)
         for b in batches:
-            words = b.column(0).to_pylist()
-            for s in range(0, len(words), 5000):
-                part = words[s : s + 5000]
-                ids = [[SPECIAL[w]] if w in SPECIAL else e.ids for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, len(part)), b.column(1).slice(s, len(part)), pa.array([np.array(x, id_type(path)).tobytes() for x in ids], pa.binary())], ["word", "n", "ids"])
+            for s in range(0, len(b), 2000):
+                part = b.slice(s, 2000)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(encode_words(path, part.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
 
     return run
 
 
-#: Of this worker: the broadcast words that the codes below belong to, the codes of pieces between white space, and the codes of the words in
-#: each piece of several words (piece code len(known) + 1 + i stands for entry i).
-_memo: list = [None, {}, []]
-#: Pieces of several words that a worker remembers.
-MEMO = 200_000
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
-def _codes(batch: pa.RecordBatch, known: dict[str, int]) -> Iterator[tuple[int, np.ndarray, Callable[[], list[str]]]]:
-    """(row, word numbers, function giving the holes' words); the number len(known) stands for a word that isn't known."""
-    hole = len(known)
-    if _memo[0] is not known or len(_memo[2]) > MEMO:
-        _memo[:] = [known, dict(known), []]
-    _, memo, several = _memo
-
-    def of_words(code: np.ndarray, words: list[str]) -> list[str]:
-        return [words[p] for p in np.flatnonzero(code == hole).tolist()]
-
-    def of_pieces(code: np.ndarray, start: np.ndarray, pieces_: list[str]) -> list[str]:
-        at = np.flatnonzero(code == hole)
-        which = np.searchsorted(start, at, side="right") - 1
-        single = np.diff(start)[which] == 1
-        inside = (at - start[which]).tolist()
-        return [pieces_[w] if one else _words_of(pieces_[w])[i] for w, one, i in zip(which.tolist(), single.tolist(), inside, strict=True)]
-
-    for i, value in enumerate(batch.column(1)):
-        text = value.as_py() or ""
-        if not _plain(text):
-            words = split_words(text)
-            code = np.array([known.get(w, hole) for w in words], np.uint32)
-            yield i, code, partial(of_words, code, words)
-            continue
-        tokens = _normal(text).split()
-        piece = np.array(list(map(memo.get, tokens, repeat(-1))), np.int64)
-        for p in np.flatnonzero(piece < 0).tolist():
-            t = tokens[p]
-            words = () if t.isalpha() else WORD.findall(t)
-            if len(words) < 2:
-                piece[p] = hole
-                continue
-            c = memo.get(t)
-            if c is None:
-                c = memo[t] = hole + 1 + len(several)
-                several.append(tuple(known.get(w, hole) for w in words))
-            piece[p] = c
-        many = np.flatnonzero(piece > hole)
-        if not len(many):
-            code, start = piece.astype(np.uint32), np.arange(len(piece) + 1)
-        else:
-            parts = [several[c] for c in (piece[many] - hole - 1).tolist()]
-            size = np.ones(len(piece), np.int64)
-            size[many] = list(map(len, parts))
-            start = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-            code = np.repeat(piece, size)
-            code[np.repeat(size > 1, size)] = np.fromiter(chain.from_iterable(parts), np.int64)
-            code = code.astype(np.uint32)
-        yield i, code, partial(of_pieces, code, start, tokens)
+def _unsqueeze(packed: pa.Buffer) -> pa.Buffer:
+    return _ZSTD.decompress(packed[8:], int.from_bytes(packed[:8].to_pybytes(), "little"))
 
 
 def _pack(code: np.ndarray) -> bytes:
-    """Word numbers below 2**24 as the planes of their three bytes, compressed, after their count."""
-    planes = code.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
-    return len(code).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
+    """Word numbers below 2**24 as the planes of their three bytes, compressed."""
+    return _squeeze(code.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes())
 
 
 def _unpack(packed: pa.Buffer) -> np.ndarray:
-    n = int.from_bytes(packed[:8].to_pybytes(), "little")
-    planes = np.frombuffer(_ZSTD.decompress(packed[8:], 3 * n), np.uint8).astype(np.int32).reshape(3, n)
+    planes = np.frombuffer(_unsqueeze(packed), np.uint8).astype(np.int32).reshape(3, -1)
     return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
-def _packed(hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """(row_key, doc_id, packed word numbers, words of the holes in their order; a word has no line break)"""
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def codes(texts: list[str], known: dict[str, int], r: Rules) -> list[tuple[np.ndarray, list[str]]]:
+    """Of each text its words' numbers and the words of its holes; the number len(known) stands for a word that isn't known."""
+    hole = len(known)
+    out: list[tuple[np.ndarray, list[str]]] = [(np.zeros(0, np.int64), [])] * len(texts)
+    easy = [i for i, t in enumerate(texts) if plain(t)]
+    at, bounds, names = pieces_of([_normal(texts[i]) for i in easy])
+    number, size, words = [], np.ones(len(names), np.int64), []
+    for j, piece in enumerate(names):
+        c = known.get(piece)
+        if c is not None or piece.isalpha():
+            number.append(hole if c is None else c)
+            words.append(piece)
+        else:
+            parts_ = r.word.findall(piece)
+            size[j] = len(parts_)
+            number += [known.get(w, hole) for w in parts_]
+            words += parts_
+    where = spread((np.cumsum(size) - size)[at], size[at])
+    number = np.array(number, np.int64)
+    code = number[where] if len(where) else np.zeros(0, np.int64)
+    holes = np.flatnonzero(code == hole)
+    rare = [words[p] for p in where[holes].tolist()]
+    ends = np.concatenate(([0], np.cumsum(size[at])))[bounds]
+    cuts = np.searchsorted(holes, ends).tolist()
+    ends = ends.tolist()
+    for k, i in enumerate(easy):
+        out[i] = code[ends[k] : ends[k + 1]], rare[cuts[k] : cuts[k + 1]]
+    for i, t in enumerate(texts):
+        if not plain(t):
+            w = r.split(t)
+            x = np.array([known.get(y, hole) for y in w], np.int64)
+            out[i] = x, [w[p] for p in np.flatnonzero(x == hole).tolist()]
+    return out
+
+
+def _packed(path: str, hot) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """(row_key, doc_id, packed word numbers, words of the holes in their order; a word has no line break). hot: a broadcast of (name, words joined by line breaks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value[0]
+        name, joined = hot.value
+        known = kept((name, "known"), lambda: {w: i for i, w in enumerate(joined.split("\n") if joined else [])})
         for b in batches:
-            codes, rare = [], []
-            for _, x, holes in _codes(b, known):
-                codes.append(_pack(x))
-                rare.append(zlib.compress("\n".join(holes()).encode(), 6))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["row_key", "doc_id", "codes", "rare"])
+            for at, texts in parts(b.column(1)):
+                found = codes(texts, known, rules(path))
+                packed = [pa.array(x, pa.binary()) for x in ([_pack(c) for c, _ in found], [_squeeze("\n".join(w).encode()) for _, w in found])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), *packed], ["row_key", "doc_id", "codes", "rare"])
 
     return run
 
@@ -222,7 +278,7 @@ def _holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         row, at, words = [], [], []
         for i, x in enumerate(b.column(3)):
-            text = zlib.decompress(x.as_buffer()).decode()
+            text = _unsqueeze(x.as_buffer()).to_pybytes().decode()
             if text:
                 w = text.split("\n")
                 row += [i] * len(w)
@@ -231,57 +287,63 @@ def _holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.string())], ["row_key", "position", "word"])
 
 
-#: Of this worker: the broadcast ids that the strings below belong to, and each word's ids as text, its pieces, and how many.
-_shown: list = [None, [], [], None, False]
+class Shown:
+    """Ids of a list of words: as numbers, as decimal text, and as pieces, each joined by a space."""
 
+    def __init__(self, path: str, ids: np.ndarray, size: np.ndarray) -> None:
+        self.ids, self.size = ids, size
+        self.start = np.cumsum(size) - size
+        bounds = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int64))
+        joined = lambda names: pc.binary_join(pa.LargeListArray.from_arrays(bounds, names.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+        self.text = joined(pa.array([str(i) for i in range(len(pieces(path)))], pa.large_string()))
+        self.pieces = joined(pa.array(pieces(path), pa.large_string()))
 
-def _show(table_ids: list[bytes], piece: list[str], packed: np.dtype) -> list:
-    if _shown[0] is not table_ids:
-        _shown[:] = [None, [], [], None, False]  # those of another table go first
-        read = lambda x: np.frombuffer(x, packed).tolist()
-        size = np.array([len(x) // packed.itemsize for x in table_ids] or [0])
-        _shown[:] = [table_ids, [" ".join(map(str, read(x))) for x in table_ids], [" ".join([piece[i] for i in read(x)]) for x in table_ids], size, bool((size == 0).any())]
-    return _shown[1:]
+
+def _sha(joined: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined], pa.string())
 
 
 def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    """hot: a broadcast of (name, ids of all known words, ids of each)"""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
+
+    def solve(ids: pa.Array, word: list[np.ndarray], filled: list[list[bytes]], known: Shown) -> pa.RecordBatch:
+        code, rare = np.concatenate(word).astype(np.int64), [x for row in filled for x in row]
+        hole = len(known.size)
+        code[code == hole] = hole + np.arange(len(rare))
+        kind = id_type(path)
+        own = Shown(path, np.frombuffer(b"".join(rare), kind), np.array([len(x) // kind.itemsize for x in rare], np.int64))
+        size = np.concatenate((known.size, own.size))[code]
+        bounds = np.concatenate(([0], np.cumsum([len(w) for w in word])))
+        n = np.diff(np.concatenate(([0], np.cumsum(size)))[bounds])
+        full = size > 0  # a word without ids shows nothing
+        if not full.all():
+            bounds, code, size = np.concatenate(([0], np.cumsum(full)))[bounds], code[full], size[full]
+        at, index = pa.array(bounds.astype(np.int64)), pa.array(code)
+        joined = lambda x, y: pc.binary_join(pa.LargeListArray.from_arrays(at, pa.concat_arrays([x, y]).take(index)), pa.scalar(" ", pa.large_string()))
+        columns = [ids, pa.array(n), _sha(joined(known.text, own.text)), _sha(joined(known.pieces, own.pieces))]
+        if with_ids:
+            start = np.concatenate((known.start, len(known.ids) + own.start))[code]
+            flat = np.concatenate((known.ids, own.ids))[spread(start, size)].astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path)
-        table_ids = hot.value[1]
-        as_text, as_pieces, size, gaps = _show(table_ids, piece, id_type(path))
-        hole = len(table_ids)
+        name, ids, size = hot.value
+        known = kept((name, "shown"), lambda: Shown(path, ids, size))
         for b in batches:
-            rows, held = [], 0
+            at, word, filled, held = 0, [], [], 0
             for i in range(len(b)):
-                code = _unpack(b.column(1)[i].as_buffer())
-                empty = np.flatnonzero(code == hole).tolist()
-                filled = {}
-                if empty:
-                    at, ids = b.column(2)[i].values.flatten()
-                    filled = {empty[p]: np.frombuffer(x, id_type(path)).tolist() for p, x in zip(at.to_pylist(), ids.to_pylist(), strict=True)}
-                n = int(size[code[code != hole]].sum()) + sum(map(len, filled.values()))
-                word = code.tolist()
-                if not hole:
-                    text, shown = [""] * len(word), [""] * len(word)
-                else:
-                    for p in empty:
-                        word[p] = 0
-                    text, shown = [as_text[c] for c in word], [as_pieces[c] for c in word]
-                for p in empty:
-                    text[p] = " ".join(map(str, filled[p]))
-                    shown[p] = " ".join([piece[c] for c in filled[p]])
-                if gaps or not all(filled.values()):
-                    text, shown = list(filter(None, text)), list(filter(None, shown))
-                text = " ".join(text)
-                ids = np.fromstring(text, np.int32, sep=" ") if with_ids and text else np.zeros(0, np.int32)
-                rows.append((b.column(0)[i].as_py(), n, hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(" ".join(shown).encode()).hexdigest(), ids))
-                held += n
-                if held > 2_000_000:
-                    yield _batched(rows, names[: 4 + with_ids], types)
-                    rows, held = [], 0
-            yield _batched(rows, names[: 4 + with_ids], types)
+                word.append(_unpack(b.column(1)[i].as_buffer()))
+                rare: list[bytes] = []
+                if b.column(2)[i].is_valid:
+                    position, found = (x.to_pylist() for x in b.column(2)[i].values.flatten())
+                    rare = [x for _, x in sorted(zip(position, found, strict=True))]
+                filled.append(rare)
+                held += len(word[-1])
+                if held > PART_WORDS or i == len(b) - 1:
+                    yield solve(b.column(0).slice(at, len(word)), word, filled, known)
+                    at, word, filled, held = i + 1, [], [], 0
 
     return run
 
@@ -289,20 +351,25 @@ def _assemble(path: str, hot, with_ids: bool) -> Callable[[Iterator[pa.RecordBat
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", hot_words: int = HOT, with_ids: bool = True) -> DataFrame:
     """Encode every whole text as the library's encode(text, add_special_tokens=False) does, and decode the ids.
 
-    path: a word-level BPE file of the tokenizers library (lower case, words end in a suffix, no decoder). Returns, for each row, doc_id, n_tokens,
-    ids_sha256 (decimal ids joined by one space), decoded_sha256 (decode(ids, skip_special_tokens=False)) and, unless with_ids is false, ids. A null text is empty:
-    no ids, hashes of the empty string. Special strings in a text become their ids. Repeated rows give repeated results; a null doc_id
-    keeps its row. Other columns are not read. An empty table gives no rows."""
+    path: a word-level BPE file of the tokenizers library (lower case, words end in a suffix, no decoder); another kind of file raises ValueError.
+    Returns, for each row, doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 (decode(ids,
+    skip_special_tokens=False)) and, unless with_ids is false, ids. A null text is empty: no ids, hashes of the empty string. Special
+    strings in a text become their ids. Repeated rows give repeated results; a null doc_id keeps its row. Other columns, also of the names
+    of results, are not read. An empty table gives no rows."""
     spark = docs.sparkSession
+    rules(path)
     bound_batches(spark)
-    docs = docs.select(F.xxhash64(key, text).alias("row_key"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
-    counted = docs.select("text").mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    texts = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
+    counted = texts.select("text").mapInArrow(_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"), "zstd")
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
-    hot = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("ids").to_pylist()))
-    # Both uses below read all columns of `packed`, so that its exchange is made once and used twice.
-    packed = docs.mapInArrow(_packed(hot), "row_key long, doc_id long, codes binary, rare binary").repartition("row_key")
-    holes = packed.mapInArrow(_holes, "row_key long, position int, word string")  # equal rows give equal holes, of which one is used
+    packed_ids, kind, name = top.column("ids").to_pylist(), id_type(path), uuid.uuid4().hex
+    known = spark.sparkContext.broadcast((name, "\n".join(top.column("word").to_pylist())))
+    known_ids = spark.sparkContext.broadcast((name, np.frombuffer(b"".join(packed_ids), kind), np.array([len(x) // kind.itemsize for x in packed_ids], np.int64)))
+    # Both uses below read all columns of `packed`, so that its exchange is made once and used twice. A row's number follows from its place in the input.
+    numbered = texts.select(F.monotonically_increasing_id().alias("row_key"), "text", "doc_id")
+    packed = numbered.mapInArrow(_packed(path, known), "row_key long, doc_id long, codes binary, rare binary").repartition("row_key")
+    holes = packed.mapInArrow(_holes, "row_key long, position int, word string")
     filled = holes.join(words.select("word", "ids"), "word").groupBy("row_key").agg(F.collect_list(F.struct("position", "ids")).alias("filled"))
     both = packed.join(filled, "row_key", "left").select("doc_id", "codes", "filled", "rare", "row_key")
-    return both.mapInArrow(_assemble(path, hot, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return both.mapInArrow(_assemble(path, known_ids, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
