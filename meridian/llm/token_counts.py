@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import bound_batches, kept, released, table
+from .word_bpe import parts, plain, rules
 
 CHUNK, OVERLAP, WIDEN = 32_768, 512, 8
 
@@ -31,14 +32,30 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+#: Pieces between white space whose numbers of tokens a worker remembers.
+MEMO = 400_000
+
+
+def count_pieces(t: Tokenizer, texts: list[str], memo: dict[str, int]) -> list[int]:
+    """The number of tokens of each text. White space is stable, so a text has the tokens of its pieces; each new piece is encoded once. A text with what may be a special string, or with white space that the tokenizer doesn't know as such, is encoded whole."""
+    size = lambda given: [len(e) for e in t.encode_batch_fast(given, add_special_tokens=False)]
+    easy = [plain(x) for x in texts]
+    found = [x.split() if p else [] for x, p in zip(texts, easy, strict=True)]
+    new = list(set().union(*found).difference(memo))
+    for s in range(0, len(new), 4096):
+        memo.update(zip(new[s : s + 4096], size(new[s : s + 4096]), strict=True))
+    out = [sum(map(memo.__getitem__, x)) if p else size([text])[0] for text, x, p in zip(texts, found, easy, strict=True)]
+    if len(memo) > MEMO:
+        memo.clear()
+    return out
+
+
 def _whole(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t, memo = tokenizer(path), kept(("token counts", path), dict)
         for b in batches:
-            n: list[int] = []
-            for s in range(0, len(b), 256):
-                n += [len(e) for e in t.encode_batch_fast([x or "" for x in b.column(2).slice(s, 256).to_pylist()], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for at, texts in parts(b.column(2), 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(count_pieces(t, texts, memo), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -122,25 +139,27 @@ def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Count the tokens of every whole text as the tokenizers library's encode(text, add_special_tokens=False) gives them.
 
-    path: a tokenizer file of that library whose words hold no white space. Returns, for each row, doc_id, n_bytes (UTF-8), n_tokens and
+    path: a word-level file of that library, whose words hold no white space; another kind of file raises ValueError. Returns, for each row, doc_id, n_bytes (UTF-8), n_tokens and
     over_limit (n_tokens > limit). A null text is empty: 0 bytes, 0 tokens. Repeated rows give repeated results; a null doc_id keeps its row.
     Texts of more than two chunks are cut into chunks, which are encoded as rows of their own; their count is the same. Other columns are
     not read. An empty table gives no rows."""
+    rules(path)
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("n_bytes", F.octet_length("text").cast("long"))
     huge = F.length("text") > 2 * chunk
     whole = docs.where(~huge).select("doc_id", "n_bytes", "text").mapInArrow(_whole(path), "doc_id long, n_bytes long, n_tokens long")
-    long_docs = docs.where(huge).withColumn("text_key", F.xxhash64("text"))
+    long_docs = docs.where(huge).withColumn("text_key", F.md5(F.col("text").cast("binary")))
     long_texts = long_docs.select("text_key", "text")
     solved, todo, step, width = None, long_texts, chunk, overlap
     edge = "struct<places:array<int>,before:array<int>,ids:array<int>>"
     most = long_docs.agg(F.max(F.length("text"))).first()[0]
     while most is not None:
-        parts = todo.mapInArrow(_chunks(step, width), "text_key long, k long, start long, last boolean, chunk string").dropDuplicates(["text_key", "k"])
-        found = table(parts.mapInArrow(_encode_chunks(path, width), f"text_key long, k long, n long, left {edge}, right {edge}"))
+        parts = todo.mapInArrow(_chunks(step, width), "text_key string, k long, start long, last boolean, chunk string").dropDuplicates(["text_key", "k"])
+        found = table(parts.mapInArrow(_encode_chunks(path, width), f"text_key string, k long, n long, left {edge}, right {edge}"))
         before = found.select("text_key", (F.col("k") + 1).alias("k"), F.col("right").alias("prior"))
         pairs = found.join(before, ["text_key", "k"], "left").select("text_key", "n", "left", F.col("prior").alias("right"))
-        counts = pairs.mapInArrow(_join_chunks, "text_key long, n long").groupBy("text_key").agg(F.sum("n").alias("n_tokens"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
+        counts = pairs.mapInArrow(_join_chunks, "text_key string, n long").groupBy("text_key").agg(F.sum("n").alias("n_tokens"), F.bool_and(F.col("n").isNotNull()).alias("whole"))
         counts = table(counts)
         good = counts.where("whole").select("text_key", "n_tokens")
         solved = good if solved is None else solved.unionByName(good)
