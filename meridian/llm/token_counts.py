@@ -12,6 +12,7 @@ import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,30 +33,42 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
-#: Pieces between white space whose numbers of tokens a worker remembers.
-MEMO = 400_000
+#: Pieces between white space whose numbers of tokens a worker remembers: so many new ones, and as many from before.
+MEMO = 250_000
 
 
-def count_pieces(t: Tokenizer, texts: list[str], memo: dict[str, int]) -> list[int]:
+def sizes(t: Tokenizer, path: str, pieces: list[str]) -> list[int]:
+    """The number of tokens of each piece. They are encoded in one string, parted by a special string, which nothing reaches across."""
+    special = rules(path).special
+    if not special:
+        return [len(e) for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+    mark, number = next(iter(special.items()))
+    ids = np.array(t.encode_batch_fast([mark.join([*pieces, ""])], add_special_tokens=False)[0].ids)
+    return (np.diff(np.flatnonzero(ids == number), prepend=-1) - 1).tolist()
+
+
+def count_pieces(t: Tokenizer, path: str, texts: list[str], memo: list[dict[str, int]]) -> list[int]:
     """The number of tokens of each text. White space is stable, so a text has the tokens of its pieces; each new piece is encoded once. A text with what may be a special string, or with white space that the tokenizer doesn't know as such, is encoded whole."""
-    size = lambda given: [len(e) for e in t.encode_batch_fast(given, add_special_tokens=False)]
     easy = [plain(x) for x in texts]
     found = [x.split() if p else [] for x, p in zip(texts, easy, strict=True)]
-    new = list(set().union(*found).difference(memo))
-    for s in range(0, len(new), 4096):
-        memo.update(zip(new[s : s + 4096], size(new[s : s + 4096]), strict=True))
-    out = [sum(map(memo.__getitem__, x)) if p else size([text])[0] for text, x, p in zip(texts, found, easy, strict=True)]
-    if len(memo) > MEMO:
-        memo.clear()
+    young, old = memo
+    new = set().union(*found).difference(young)
+    young.update({x: old[x] for x in new if x in old})
+    new = list(new.difference(young))
+    for s in range(0, len(new), 2000):
+        young.update(zip(new[s : s + 2000], sizes(t, path, new[s : s + 2000]), strict=True))
+    out = [sum(map(young.__getitem__, x)) if p else len(t.encode(text, add_special_tokens=False)) for text, x, p in zip(texts, found, easy, strict=True)]
+    if len(young) > MEMO:
+        memo[:] = {}, young
     return out
 
 
 def _whole(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, memo = tokenizer(path), kept(("token counts", path), dict)
+        t, memo = tokenizer(path), kept(("token counts", path), lambda: [{}, {}])
         for b in batches:
             for at, texts in parts(b.column(2), 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(count_pieces(t, texts, memo), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(count_pieces(t, path, texts, memo), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
