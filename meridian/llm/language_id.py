@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, released, table
+from .common import bound_batches, forget, released, table
 from .kernels import U64, mix, text_parts
 
 #: Buckets of hashed n-grams; training texts a language; centroids a language.
@@ -127,18 +127,26 @@ def limits(scores, langs: list[str]) -> np.ndarray:  # noqa: ANN001
     return np.maximum.accumulate(out, 1)
 
 
-def _predict(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
-    """Appends lang_pred, score and far, whether the score is below the least for the language and length, to the columns before the text."""
+RESULTS = ("held_out", "lang_pred", "score", "rejected")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _predict(model) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:  # noqa: ANN001
+    """A struct of lang_pred, score and far, whether the score is below the least for the language and length, of each text."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         idf, names, centres, least = model.value
         names = np.array(names, object)
-        for b in batches:
-            for at, counts in _parts(b.column(len(b.columns) - 1)):
+        for column in texts:
+            langs, scores, far = [], [np.zeros(0)], [np.zeros(0, bool)]
+            for _, counts in _parts(column):
                 near = weighted(counts, idf) @ centres.T
                 best = near.argmax(1)
                 score = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(best)) for i in range(len(b.columns) - 1)), pa.array(names[best], pa.string()), pa.array(score), pa.array(score < least[best, band(counts)])], [*b.schema.names[:-1], "lang_pred", "score", "far"])
+                langs += names[best].tolist()
+                scores.append(score)
+                far.append(score < least[best, band(counts)])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(far))], ["lang_pred", "score", "far"])
 
     return run
 
@@ -191,19 +199,21 @@ def fit(docs: DataFrame):  # noqa: ANN201
 def identify(docs: DataFrame, train: DataFrame | None = None, keep: list[str] | None = None, reject: float = REJECT) -> DataFrame:
     """Predict the language of every whole text; lang, source and doc_id are not inputs.
 
-    Learns from `train` (docs if None; columns doc_id, text, lang). Returns the columns `keep` (doc_id if None), held_out, lang_pred, score (cosine
-    with the nearest centroid, 0 to 1) and rejected. lang_pred is `und`, score 0, and the row rejected if the text is null or has no letter,
-    or if nothing could be learned; else it is a learned value, and rejected tells that the cosine is below `reject` or below the least
-    learned for the language and the number of distinct n-grams. Ties go to the first
-    language. Repeated rows give repeated results. Rows with a null id or lang are predicted but not learned from. An empty table gives
-    no rows."""
-    keep = ["doc_id"] if keep is None else keep
-    bound_batches(docs.sparkSession)
+    Learns from `train` (docs if None; columns doc_id, text, lang). Returns the columns `keep` (doc_id if None; one named as a result is left out),
+    held_out, lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected. lang_pred is `und`, score 0, and the row rejected if the
+    text is null or has no letter, or if nothing could be learned; else it is a learned value, and rejected tells that the cosine is below `reject`
+    or below the least learned for the language and the number of distinct n-grams. Ties go to the first language. Repeated rows give
+    repeated results. Rows with a null id or lang are predicted but not learned from. An empty table gives no rows. The text goes to Python
+    once and doesn't come back."""
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in RESULTS]
+    spark = docs.sparkSession
+    bound_batches(spark)
     model = fit((docs if train is None else train).select("doc_id", "text", "lang"))
-    rows = docs.select(*keep, held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), F.coalesce("text", F.lit("")).alias("meridian_text"))
     if model is None:
-        return rows.select(*keep, "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double, far boolean"
-    found = rows.mapInArrow(released(_predict(shared)), schema)
-    return found.select(*keep, "held_out", F.when(F.col("has_letter"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"), F.when(F.col("has_letter"), F.col("score")).otherwise(0.0).alias("score"), (~F.col("has_letter") | (F.col("score") < reject) | F.col("far")).alias("rejected"))
+        return docs.select(*keep, held_out().alias("held_out"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    predict = F.arrow_udf(_predict(spark.sparkContext.broadcast(model)), "struct<lang_pred:string,score:double,far:boolean>").asNondeterministic()  # evaluated once a row
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = docs.select(*keep, held_out().alias("held_out"), has_letter.alias("meridian_letter"), predict(F.coalesce("text", F.lit(""))).alias("meridian_found"))
+    known = F.col("meridian_letter")
+    score = F.when(known, F.col("meridian_found.score")).otherwise(0.0)
+    return found.select(*keep, "held_out", F.when(known, F.col("meridian_found.lang_pred")).otherwise(UND).alias("lang_pred"), score.alias("score"), (~known | (score < reject) | F.col("meridian_found.far")).alias("rejected"))
