@@ -28,6 +28,8 @@ QUERY_BYTES = 32 << 20
 BLOCK = 512
 #: Stands for no score; its negative is a long, too.
 LEAST = -(2**63 - 1)
+#: Bounds the scaled components; a larger one counts as this, so lengths and partial sums stay finite.
+MOST = 2.0**62
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,24 +47,31 @@ def _integers(scale: int, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = matrix(b.column(1), dim)
-            x = np.floor(x * scale)
+            with np.errstate(over="ignore"):
+                x = np.clip(np.floor(x * scale), -MOST, MOST)
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), values, pa.array(np.sqrt((x * x).sum(1)))], ["vec_id", "v", "norm"])
 
     return run
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers; those beyond a long become its ends (the lower one less LEAST)."""
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
+    if most < 2**53:
+        return (q @ x.T).astype(np.int64)
+    if most < 2**62:
+        return q.astype(np.int64) @ x.T.astype(np.int64)
+    whole = lambda m: np.array([[int(v) for v in r] for r in m], object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(x).T, LEAST + 1, 2**63 - 1).astype(np.int64)
+
+
 def _best(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     """Candidates (any order) to each query's best scores of the partition that may be among its k best. shared: a broadcast of (rotation, ids, integers, k-th best so far)."""
 
-    def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if len(q) and len(x) and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2**53:
-            return np.array([[sum(int(a) * int(b) for a, b in zip(r, c, strict=True)) for c in x] for r in q], object).astype(np.int64)
-        return (q @ x.T).astype(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, ids, q, floor = shared.value
-        floor = floor.astype(np.float64)
+        floor = np.nextafter(floor.astype(np.float64), -np.inf)  # not above the exact score
         nq = len(ids)
         head = q @ turn[:, :HEAD]
         q_norm = np.sqrt((q * q).sum(1))
@@ -91,7 +100,7 @@ def _best(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 if not hit.any():
                     continue
                 rows, cols = live[hit], np.flatnonzero(cols)
-                score = exact(q[rows], x[part][cols])
+                score = products(q[rows], x[part][cols])
                 who = np.broadcast_to(names[part][cols], score.shape)
                 use = near[hit][:, cols] & (score >= floor[rows, None])
                 score, who = np.where(use, score, LEAST), np.where(use, who, np.iinfo(np.int64).max)
@@ -105,7 +114,7 @@ def _best(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 width = score.shape[1]
                 best[rows, :width], best_id[rows, :width] = score, who
                 if width == k:
-                    floor[rows] = np.maximum(floor[rows], score[:, k - 1].astype(np.float64))
+                    floor[rows] = np.maximum(floor[rows], np.nextafter(score[:, k - 1].astype(np.float64), -np.inf))
         use = best != LEAST
         at = np.nonzero(use)[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_id[use]), pa.array(best[use])], ["query_id", "vec_id", "score"])
@@ -117,10 +126,11 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, sca
     """For each query, the k other rows with the highest integer inner products of floor(scale * x); ties go to the smaller id.
 
     queries: rows with the same two columns; if None, the rows of `vectors` whose id is divisible by `every`. Returns query_id, rank (from 1),
-    vec_id, score. A row never answers a query of its own id, and repeated rows (same id and vector) answer once. Vectors that are
+    vec_id, score. A row never answers a query of its own id, and repeated rows (same id and vector) answer once. Rows of one id with different
+    vectors are candidates of their own, so an id may answer several times; as queries, such an id has the k best scores over its vectors. Vectors that are
     null, empty, hold null or non-finite components, have a null id, or another length than most take no part. Fewer than k
     candidates are all returned; zero vectors score 0. Other columns are not read. Without valid rows the result is empty.
-    Scores are exact while they fit into a long."""
+    Scores are exact; scaled components beyond 2**62 count as 2**62 in size, and scores beyond a long as its ends."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     vectors = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(value).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
