@@ -45,14 +45,12 @@ def fill_table(shards: dict[str, int] | list[str] | tuple[str, ...], size: int =
 
 def place(rows: DataFrame, key: str = "doc_id", shards: dict[str, int] | list[str] | tuple[str, ...] = SHARDS, size: int = SIZE) -> DataFrame:
     """Add slot (int) and shard (string) to every row. Equal keys, repeated rows included, share a slot; null keys share one slot as well.
-    Columns of those names are replaced; all others stay. An empty table gives no rows."""
-    spark = rows.sparkSession
-    names = sorted(shards)
-    number = {n: i for i, n in enumerate(names)}
-    table = F.array(*(F.lit(n) for n in names))
-    slots = spark.createDataFrame([(i, number[n]) for i, n in enumerate(fill_table(shards, size))], "slot int, shard_number int")
-    rows = rows.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(size)).cast("int"))
-    return rows.join(F.broadcast(slots), "slot").withColumn("shard", F.element_at(table, F.col("shard_number") + 1)).drop("shard_number").select(*[c for c in rows.columns if c != "slot"], "slot", "shard")
+    Columns of those names are replaced (one of them may still be the key); all others stay. An empty table gives no rows."""
+    slots = rows.sparkSession.createDataFrame(list(enumerate(fill_table(shards, size))), "meridian_slot int, meridian_shard string")
+    slot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(size)).cast("int")
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    hashed = rows.withColumn("meridian_slot", slot).select(*kept, "meridian_slot")
+    return hashed.join(F.broadcast(slots), "meridian_slot").select(*kept, F.col("meridian_slot").alias("slot"), F.col("meridian_shard").alias("shard"))
 
 
 def write_shards(rows: DataFrame, path: str, key: str = "doc_id", shards: dict[str, int] | list[str] | tuple[str, ...] = SHARDS, size: int = SIZE, tasks: int = 4) -> None:
