@@ -23,6 +23,10 @@ TILE = 1024
 DIRECTIONS = 12
 
 
+#: Components whose int8 products add up exactly in float32.
+EXACT_DIM = 2**24 // 127**2
+
+
 def directions(dim: int) -> np.ndarray:
     """Orthonormal directions, the same everywhere."""
     return np.linalg.qr(np.random.default_rng(20).standard_normal((dim, min(dim, DIRECTIONS))))[0]
@@ -36,6 +40,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.flatnonzero(sizes == d)
             part = b.take(pa.array(keep))
             rows, x = matrix(part.column(2), d)
+            # Scaled by powers of two, which changes no cosine, so that squares neither overflow nor vanish.
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
             x = np.where(x == 0, 0.0, x)
             norm = np.sqrt((x * x).sum(1))
             good = (norm > 0) & np.isfinite(norm)
@@ -75,7 +81,11 @@ def pairs_above(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray,
     """Index pairs whose cosine in double precision is at least `least`, and how many pairs were computed in full precision."""
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     (qx, sx, lx, ex), (qy, sy, ly, ey) = quantised(x / nx[:, None]), quantised(y / ny[:, None])
-    near = (qx.astype(np.float32) @ qy.T.astype(np.float32)).astype(np.float64) * sx[:, None] * sy[None, :]
+    near = np.zeros((len(x), len(y)))
+    for at in range(0, x.shape[1], EXACT_DIM):
+        part = slice(at, at + EXACT_DIM)
+        near += qx[:, part].astype(np.float32) @ qy[:, part].T.astype(np.float32)
+    near *= sx[:, None] * sy[None, :]
     error = ex[:, None] * ly[None, :] + lx[:, None] * ey[None, :] + ex[:, None] * ey[None, :] + 1e-9
     i, j = np.nonzero(near + error >= least)
     good = np.zeros(len(i), bool)
@@ -131,12 +141,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
     Returns one row per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included)
     and kept (vec_id = component_id). Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
     label, link with nothing; so do vectors of different length. Rows with equal vectors link with each other; repeated rows count
-    as rows. A null vec_id keeps its row, names no component, and is never kept. Other columns are not read. An empty table gives
+    as rows. Vectors of any dimension and finite size are compared. A null vec_id keeps its row, names no component, and is never kept. Other columns are not read. An empty table gives
     no rows."""
     vectors = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(value).cast("array<double>").alias("v"))
     units = table(vectors.where("label is not null and v is not null").select("vec_id", F.col("label").cast("string").alias("label"), "v").mapInArrow(_units, "vec_id long, label string, raw binary, cell long"))
-    units = units.withColumn("cls", F.xxhash64("label", "raw"))
-    classes = table(units.groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("raw").alias("raw"), F.first("cell").alias("cell")).withColumn("dim", F.octet_length("raw") / 8))
+    keys = ["key", "key2"]  # 128 bits of label and vector
+    units = units.withColumn("key", F.xxhash64("label", "raw")).withColumn("key2", F.xxhash64(F.lit("second"), "label", "raw"))
+    classes = units.groupBy(*keys).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("raw").alias("raw"), F.first("cell").alias("cell"))
+    classes = table(classes.withColumn("dim", F.octet_length("raw") / 8).withColumn("cls", F.monotonically_increasing_id()))
 
     # Tiles: neighbouring cells of a label share one until it is full; a fuller cell is split by hash.
     cells = classes.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
@@ -155,9 +167,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
     found = table(work.mapInArrow(_products(least), "cls long, other long, links long"))
     links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select("cls", "other"))
-    named = classes.select("cls", "least", "copies").join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
-    linked = units.select("vec_id", "cls").join(named, "cls").select("vec_id", "links", F.col("component").alias("component_id"))
+    named = classes.select("cls", *keys, "least", "copies").join(links, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(*keys, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
+    linked = units.select("vec_id", *keys).join(named, keys).select("vec_id", "links", F.col("component").alias("component_id"))
     alone = vectors.select("vec_id").exceptAll(units.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component_id"))
     both = linked.unionByName(alone)
     return both.select("vec_id", F.col("links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
