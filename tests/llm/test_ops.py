@@ -13,13 +13,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import language_id, sharding, token_counts, word_bpe
+from meridian.llm import language_id, secrets, sharding, token_counts, word_bpe
 from meridian.llm.common import components
 from meridian.llm.language_id import identify
 from meridian.llm.near_vectors import near_vectors, pairs_above
 from meridian.llm.ngram_join import drop_near_copies, jaccard_classes
 from meridian.llm.queries import vocabulary
-from meridian.llm.secrets import find_secrets, guess_cost, redact, scan_secrets
+from meridian.llm.secrets import find_secrets, guess_cost, ranks, redact, scan_secrets
 from meridian.llm.source_mix import mix_sources
 from meridian.llm.suffix_dedup import remove_repeats, repeated_starts, suffix_array
 from meridian.llm.token_counts import count_tokens
@@ -169,6 +169,18 @@ def test_top_k_matches_brute_force(spark):
     assert sorted(got) == brute_top(rows, 10, 100)
 
 
+def test_top_k_of_very_large_components(spark):
+    rng = random.Random(22)
+    rows = [(i, [rng.choice([1.0, -3e4, 1e6, 1e10, -1e10, 2e13]) * rng.random() for _ in range(4)]) for i in range(60)]
+    rows += [(100, [1e307, 1.0, 0.0, 0.0]), (200, [1.7e308, -1e300, 1.0, 2.0]), (300, [1.0, 0.0, 0.0, 0.0])]
+    whole = {i: [max(-(2**62), min(2**62, math.floor(1024 * x) if abs(x) < 1e300 else int(math.copysign(2**62, x)))) for x in v] for i, v in rows}
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=10).collect()
+    for q in [i for i in whole if i % 10 == 0]:
+        score = {c: max(-(2**63) + 2, min(2**63 - 1, sum(map(int.__mul__, whole[q], whole[c])))) for c in whole if c != q}
+        want = sorted(score, key=lambda c: (-score[c], c))[:5]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(c, score[c]) for c in want], q
+
+
 def test_top_k_of_few_and_no_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -323,6 +335,53 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
 
 
+def brute_multiplier(sizes, target, most=2):
+    """Lambda of the tilt, by bisection on the token constraint; sizes without zeros."""
+    z = np.array(sizes) / np.mean(sizes)
+    got = lambda lam: float((most * np.array(sizes) / (1 + np.exp(np.clip(-lam * z, -700, 700)))).sum())
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if got(mid) < target else (low, mid)
+    return low
+
+
+def test_rates_solve_the_dual_of_the_token_constraint(spark):
+    rng = random.Random(66)
+    rows = [(i, prose(rng, rng.choice([1, 3, 9, 40, 400])), None, rng.choice("aaaaabcd")) for i in range(600)]
+    got = mix_sources(docs(spark, rows)).collect()
+    for source in "abcd":
+        part = [r for r in got if r.source == source and r.size]
+        total = sum(r.rate * r.size for r in part)
+        assert abs(total - part[0].target) <= 1e-5 * part[0].target + 1
+        if part[0].target < 2 * part[0].source_size:
+            lam, mean = brute_multiplier([r.size for r in part], part[0].target), np.mean([r.size for r in part])
+            for r in part:
+                assert abs(r.rate - 2 / (1 + math.exp(-lam * r.size / mean))) < 2e-5
+        else:
+            assert all(r.rate == 2 for r in part)
+
+
+def test_equal_rows_are_taken_one_by_one(spark, monkeypatch):
+    from meridian.llm import source_mix
+
+    rows = [(7, "one two three", None, "a")] * 100 + [(None, "x y", None, "b")] * 90 + [(i, "w " * 5, None, "c") for i in range(50)]
+    first = None
+    for most in (source_mix.EQUAL_ROWS, 8):
+        monkeypatch.setattr(source_mix, "EQUAL_ROWS", most)
+        got = sorted((str(r.doc_id), r.source, r.size, r.source_size, r.target, r.taken) for r in mix_sources(docs(spark, rows)).collect())
+        assert len(got) == len(rows) and got == (first or got)
+        first = got
+    for source, size in (("a", 3), ("b", 2), ("c", 5)):
+        taken, target = sum(x[5] for x in got if x[1] == source), next(x[4] for x in got if x[1] == source)
+        assert abs(taken - target) <= size
+
+
+def test_mix_does_not_read_columns_named_as_its_results(spark):
+    rows = spark.createDataFrame([(i, "a b c", "s", 9, 9, 9.0, 9, 9, 9) for i in range(4)], "doc_id long, text string, source string, size int, taken int, rate double, copies int, number int, m int")
+    assert {(r.size, r.source_size) for r in mix_sources(rows).collect()} == {(3, 12)}
+
+
 def test_mix_of_empty_tables_and_texts(spark):
     assert mix_sources(docs(spark, [])).count() == 0
     got = mix_sources(docs(spark, [(1, None, None, "a"), (2, "", None, None)])).collect()
@@ -386,6 +445,70 @@ def test_the_cost_alone_decides_on_values_of_any_kind(spark):
     assert {r.doc_id for r in got.where("redacted like '%[secret]%'").collect()} == set(range(len(secret)))
 
 
+def brute_cost(value, rank):
+    """Recursion over all segmentations, with each kind of segment written out plainly."""
+
+    def brute(x):
+        size = 10 * any(map(str.isdigit, x)) + 26 * any(map(str.islower, x)) + 26 * any(map(str.isupper, x)) + 33 * any(not c.isalnum() for c in x)
+        return len(x) * math.log10(max(size, 2))
+
+    def one(x):
+        low, n, costs = x.lower(), len(x), [brute(x)]
+        if n >= 3:
+            case = 0 if x == low else 0.3 if x in (low.upper(), low.capitalize()) else 0.3 * n
+            for word, extra in ((low, 0), (low.translate(secrets.LOOKS), 0.6)):
+                if word in rank:
+                    costs.append(math.log10(rank[word] + 1) + extra + case)
+            if re.fullmatch(r"(19|20)\d\d", x):
+                costs.append(2)
+            if secrets.DATE.match(x) and 6 <= n <= 10:
+                costs.append(math.log10(365 * 120) + 0.5)
+            steps = [secrets.step_of(a, b) for a, b in zip(low, low[1:])]
+            if all(steps):
+                turns = 1 + sum(a != b for a, b in zip(steps, steps[1:]))
+                costs.append(math.log10(secrets.KEYS) + turns * math.log10(2 * n) + case)
+            gaps = {ord(b) - ord(a) for a, b in zip(low, low[1:])}
+            if low.isalnum() and gaps in ({1}, {-1}):
+                costs.append(math.log10(72 * n) + case)
+            for unit in range(1, n // 2 + 1):
+                if x == x[:unit] * (n // unit) and n % unit == 0:
+                    costs.append(brute(x[:unit]) + math.log10(n // unit))
+                    break
+        return min(costs)
+
+    best = [0.0]
+    for e in range(1, len(value) + 1):
+        best.append(min(best[s] + one(value[s:e]) + (0.3 if s else 0) for s in range(e)))
+    return best[-1]
+
+
+def test_guess_costs_match_brute_force():
+    rng = random.Random(77)
+    parts = ["password", "Dragon", "1999", "2024-05-17", "qwerty", "qazwsx", "aaaa", "abab", "321", "Zk!q", "P@ss", "poiuy", "cde", "x7", "__", "N0"]
+    rank = ranks()
+    for _ in range(150):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))[: secrets.SPAN]
+        assert abs(guess_cost(value, rank=rank) - brute_cost(value, rank)) < 1e-9, value
+    for value in ("ab" * 60, "7" * 100, "abcdefgh" * 9, "Xy9" * 30 + "qwertyuiop", "qwertyuiop" * 5):
+        assert guess_cost(value, rank=rank) < brute_cost(value, rank) + 1e-9 or len(value) > secrets.SPAN
+        assert guess_cost(value, rank=rank) >= brute_cost(value, rank) - 1e-9
+
+
+def test_keyboard_walks_and_known_words_are_cheap():
+    assert guess_cost("qazwsxedc123") < 9 and guess_cost("zxcvbnm,./") < 7 and guess_cost("qwerfdsa") < 9
+    assert guess_cost("sunflower22garden") < secrets.GUESSES <= guess_cost("TrustNoOneAtAllHere")
+    assert guess_cost("q" * 50_000) < 8 and guess_cost("x7Gq-2mZp9Lw" * 9_000, 12) >= 12
+
+
+def test_kept_columns_named_as_results_give_way(spark):
+    rows = spark.createDataFrame([(1, "pwd: Zk!qWv#LxRtB", "old", 5, "en", 0.5, True)], "doc_id long, text string, spans string, n_hex long, lang string, score double, rejected boolean")
+    [r] = scan_secrets(rows, keep=["doc_id", "spans", "n_hex", "text"], redacted=True).collect()
+    assert (r.spans, r.n_hex, r.redacted, r.text) == ("guess:5:17", 0, "pwd: [secret]", "pwd: Zk!qWv#LxRtB")
+    for train in (None, rows.limit(0)):
+        [r] = identify(rows, train, keep=["doc_id", "score", "rejected", "text"]).collect()
+        assert r.text == "pwd: Zk!qWv#LxRtB" and r.score != 0.5
+
+
 # 8. Suffix arrays --------------------------------------------------------------
 
 
@@ -485,6 +608,17 @@ def test_placement_keeps_rows_and_columns(spark, tmp_path):
 # 10. Near vectors -----------------------------------------------------------------
 
 
+def test_placement_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 7, "x", 3), (None, "b", 8, "y", 4)], "doc_id long, shard string, slot int, shard_number string, meridian int")
+    table = sharding.fill_table(sharding.SHARDS)
+    got = sharding.place(rows)
+    assert got.columns == ["doc_id", "shard_number", "meridian", "slot", "shard"]
+    assert all(r.shard == table[r.slot] for r in got.collect()) and got.count() == 2
+    by_slot = sharding.place(rows, key="slot").select("slot").collect()
+    want = rows.select(F.pmod(F.xxhash64(F.col("slot").cast("string")), F.lit(sharding.SIZE)).cast("int").alias("slot")).collect()
+    assert sorted(by_slot) == sorted(want)
+
+
 def brute_near(rows, least):
     unit = {}
     for k, (_, v, label) in enumerate(rows):
@@ -528,6 +662,17 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_any_size_and_dimension(spark):
+    rng = np.random.default_rng(41)
+    base = rng.standard_normal((6, 2600))
+    rows = [(i, (base[i % 6] + 0.3 * rng.standard_normal(2600)).tolist(), 1) for i in range(40)]
+    got = by(near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id", "n_links", "component_id", "kept")
+    assert got == brute_near(rows, 0.93)
+    rows = [(1, 1, [1e200, 1e200]), (2, 1, [2e200, 2e200]), (3, 1, [1e-200, 1e-200]), (4, 1, [-1e308, 1e308]), (5, 1, [0.0, 0.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
 def test_quantisation_bounds_lose_no_pair():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((200, 32))
