@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file, where that package is installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 #: Bytes of a batch that goes to Python, where the session hasn't set its own bound; a single longer row is its own batch.
 BATCH_BYTES, _KEY, _UNSET = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
@@ -47,7 +54,8 @@ def kept(key: object, make: Callable[[], object]):  # noqa: ANN201
     return _KEPT[key]
 
 
-def _forget() -> None:
+def forget() -> None:
+    """Drop what another operator keeps in this worker."""
     if _KEPT:
         _KEPT.clear()
         _release()
@@ -64,7 +72,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     """run, before which the worker drops what another operator keeps, and after which it gives freed memory back, since workers are reused by later stages."""
 
     def with_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _forget()
+        forget()
         yield from run(batches)
         _release()
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import vocabulary
 from .language_id import identify
 from .near_vectors import near_vectors
 from .ngram_join import jaccard_classes
@@ -18,12 +19,6 @@ from .topk_search import top_k
 from .word_bpe import encode_texts
 
 
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
