@@ -43,6 +43,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A random number for each byte at each of the first positions of a word; later blocks of positions multiply them by an odd number of their own.
+_BLOCK = 64
+_ZOBRIST = mix(np.arange(_BLOCK * 256, dtype=U64) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: sums of random numbers by byte and position, which no pattern of the words' letters makes collide."""
+    size = ends - starts
+    stop = np.cumsum(size)
+    where = np.repeat(starts - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+    position = where - np.repeat(starts, size)
+    value = _ZOBRIST[(position & (_BLOCK - 1)) * 256 + data[where]]
+    if len(size) and size.max() > _BLOCK:
+        value = value * (mix(position.astype(U64) // U64(_BLOCK)) | U64(1))
+    total = np.add.reduceat(value, stop - size) if len(size) else np.zeros(0, U64)
+    return mix(total + size.astype(U64))
+
+
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sums, down): the bytes [i, j) hash to (sums[j] - sums[i]) * down[i], wherever they stand."""
     up, down = powers(len(data) + 1)
@@ -91,8 +109,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(offsets) - 1
     data = LOWER[data]
     starts, ends, row = words(data, offsets)
-    sums, down = prefix_hash(data)
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    h = word_hashes(data, starts, ends)
     count = np.bincount(row, minlength=n)
     begin = np.concatenate(([0], np.cumsum(count)))
     full = np.arange(max(0, len(h) - k + 1))

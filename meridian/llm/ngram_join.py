@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class; all further work is per class. Every global order of the shingles gives a necessary
 condition: two sets with Jaccard >= num/den share a token among the first n - ceil(n * num / den) + 1 of each. Order 0 is the key of the
 candidate join: rare shingles first by hash, and the HOT most frequent shingles last by frequency, so that passages which many documents
-share stay out of the prefixes. A candidate pair must also share prefix tokens under ORDERS further orders before it is verified exactly.
-The frequencies only choose an order; any order gives the same links.
+share stay out of the prefixes. Its candidates are intersected with those of ORDERS further orders before any set is fetched: a pair must share prefix
+tokens under every one of them. Only what is left is verified exactly. The frequencies only choose an order; any order gives the same links.
 
 Two sets' parity signatures (bit i: parity of the shingles whose hash falls on i) differ in no more bits than the sets differ in
 shingles, so the join on prefix tokens drops a pair whose signatures differ too much without reading the sets, and loses no link. Signatures
@@ -35,6 +35,14 @@ BROADCAST_ROWS = 1_000_000
 SEEDS = [U64(0xA5A5A5A5 * (i + 1) + i) for i in range(ORDERS)]
 
 
+#: Columns that tell texts apart by 128 bits.
+KEYS = ["text_key", "text_key2"]
+
+
+def _text_keys(text: Column | str) -> list[Column]:
+    return [F.xxhash64(text).alias(KEYS[0]), F.xxhash64(F.lit("second"), text).alias(KEYS[1])]
+
+
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U64).view(np.int64))
 
@@ -61,7 +69,7 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     """A row for each document, and rows (null id, count, shingle) of what several classes of one run share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_key", "n", "cls", *(f"s{i}" for i in range(WORDS))]
+        names = ["doc_id", "text_key", "text_key2", "n", "cls", *(f"s{i}" for i in range(WORDS))]
         seen: set[int] = set()
         held: list[np.ndarray] = []
 
@@ -70,14 +78,14 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             held.clear()
             u, c = u[c >= 3], c[c >= 3]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(c.astype(np.int64)), _i64(u), *[none] * WORDS], names)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(c.astype(np.int64)), _i64(u), *[none] * WORDS], names)
 
         for b in batches:
-            for at, data, offsets in text_parts(b.column(2)):
+            for at, data, offsets in text_parts(b.column(3)):
                 h, bounds = shingles(data, offsets, k)
                 key, sig = _classes(h, bounds), _signatures(h, bounds)
                 rows = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, rows), b.column(1).slice(at, rows), pa.array(np.diff(bounds).astype(np.int64)), _i64(key), *(pa.array(sig[:, i].copy()) for i in range(WORDS))], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, rows) for c in range(3)), pa.array(np.diff(bounds).astype(np.int64)), _i64(key), *(pa.array(sig[:, i].copy()) for i in range(WORDS))], names)
                 for i, x in enumerate(key.tolist()):
                     if x and x not in seen:
                         seen.add(x)
@@ -139,8 +147,21 @@ def _wide(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
+def _prefixes(h: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[list[np.ndarray]]:
+    """Of each further order, the ascending prefix tokens of each set."""
+    out: list[list[np.ndarray]] = []
+    for seed in SEEDS:
+        order = mix(h ^ seed)
+        one = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            n = _prefix_length(b - a, num, den) if b > a else 0
+            one.append(np.sort(np.partition(order[a:b], n - 1)[:n] if 0 < n < b - a else order[a:b]))
+        out.append(one)
+    return out
+
+
 def _narrow(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b, sizes, wide signatures) whose signatures allow a link"""
+    """Pairs (a, b, sizes, wide signatures, prefixes under each further order of a, then of b) whose signatures allow a link and that share prefix tokens under every order"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,39 +171,42 @@ def _narrow(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
                 least = min(len(x), len(y))
                 x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
-                if int(np.bitwise_count(x ^ y).sum()) * (den + num) <= int(sizes[i]) * (den - num):
+                if int(np.bitwise_count(x ^ y).sum()) * (den + num) > int(sizes[i]) * (den - num):
+                    continue
+                tokens = lambda c: np.asarray(b.column(c)[i].values)  # noqa: B023, E731
+                if all(len(np.intersect1d(tokens(6 + o), tokens(6 + ORDERS + o), True)) for o in range(ORDERS)):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_PREFIXES = [f"prefix{i}" for i in range(ORDERS)]
+
+
+def _sets(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, data, offsets in text_parts(b.column(0)):
                 h, bounds = shingles(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([_i64(_classes(h, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _i64(h)), pa.array(np.diff(bounds)), pa.array(_wide(h, bounds), pa.binary())], ["cls", "shingles", "size", "wide"])
+                prefixes = [pa.array([x.view(np.int64) for x in one], pa.list_(pa.int64())) for one in _prefixes(h, bounds, num, den)]
+                shingled = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _i64(h))
+                yield pa.RecordBatch.from_arrays([_i64(_classes(h, bounds)), shingled, pa.array(np.diff(bounds)), pa.array(_wide(h, bounds), pa.binary()), *prefixes], ["cls", "shingles", "size", "wide", *_PREFIXES])
 
     return run
 
 
 def _verify(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs that share prefix tokens under all further orders, and whose sets are similar enough."""
-
-    def prefixes(x: np.ndarray) -> list[np.ndarray]:
-        n = _prefix_length(len(x), num, den)
-        return [np.sort(np.partition(m, n - 1)[:n]) if n < len(x) else np.sort(m) for s in SEEDS for m in (mix(x ^ s),)]
+    """Pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for i in range(len(b)):
                 x, y = (np.asarray(b.column(c)[i].values).view(U64) for c in (2, 3))
-                if all(len(np.intersect1d(p, q, True)) for p, q in zip(prefixes(x), prefixes(y), strict=True)):
-                    both = len(np.intersect1d(x, y, True))
-                    if den * both >= num * (len(x) + len(y) - both):
-                        good.append(i)
+                both = len(np.intersect1d(x, y, True))
+                if den * both >= num * (len(x) + len(y) - both):
+                    good.append(i)
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     return run
@@ -207,12 +231,12 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
 
 
 def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (hash of the text), n (set size), component (its smallest doc_id), copies and root (the component itself, null if n is 0) of each row."""
+    """doc_id, text_key and text_key2 (128 bits of hashes of the text), n (set size), component (its smallest doc_id), copies and root (the component itself, null if n is 0) of each row."""
     spark = docs.sparkSession
     bound_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    schema = "doc_id long, text_key long, n long, cls long, " + ", ".join(f"s{i} long" for i in range(WORDS))
+    texts = docs.select("doc_id", *_text_keys("text"), "text")
+    schema = "doc_id long, text_key long, text_key2 long, n long, cls long, " + ", ".join(f"s{i} long" for i in range(WORDS))
     features = table(texts.mapInArrow(released(_features(k)), schema))
     rows = features.where("s0 is not null")
     hot = features.where("s0 is null").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "cls").limit(HOT).toPandas()
@@ -220,19 +244,20 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     order = np.argsort(tokens)
     known = spark.sparkContext.broadcast((tokens[order], rank[order]))
 
-    signatures = table(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(WORDS))))))
+    signatures = table(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in (*KEYS, "n", *(f"s{i}" for i in range(WORDS))))))
     postings = table(docs.select("text").mapInArrow(released(_postings(k, num, den, known)), "token long, cls long, n long"))
     several = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("token")
     groups = table(postings.join(several, "token").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs)
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(signatures.select("cls", "text_key"), "cls").select("text_key").distinct()
+        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(signatures.select("cls", *KEYS), "cls").select(*KEYS).distinct()
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        sets = table(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text").mapInArrow(released(_sets(k)), "cls long, shingles array<long>, size long, wide binary"))
+        sets = table(texts.join(wanted, KEYS, "left_semi").dropDuplicates(KEYS).select("text").mapInArrow(released(_sets(k, num, den)), "cls long, shingles array<long>, size long, wide binary" + "".join(f", {c} array<long>" for c in _PREFIXES)))
         side = lambda c, *more: sets.select(F.col("cls").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
-        pairs = pairs.join(side("a", "size", "wide"), "a").join(side("b", "size", "wide"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+        filters = ("size", "wide", *_PREFIXES)
+        pairs = pairs.join(side("a", *filters), "a").join(side("b", *filters), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b", *(f"{c}_{x}" for x in "ab" for c in _PREFIXES))
         pairs = table(pairs.mapInArrow(released(_narrow(num, den)), "a long, b long"))
         return table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(released(_verify(num, den)), "a long, b long"))
 
@@ -243,14 +268,14 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     x, y = signatures.alias("x"), signatures.alias("y")
     first = verified(stars.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(_may_link("x", "y", num, den)).select("a", "b"))
     roots = table(components(first))
-    sides = groups.select("token", "cls").join(signatures.drop("least", "copies", "text_key"), "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    sides = groups.select("token", "cls").join(signatures.drop("least", "copies", *KEYS), "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     sides = table(sides)
     x, y = sides.alias("x"), sides.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", num, den))
     second = verified(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
     joined = signatures.select("cls", "least", "copies").join(table(components(first.unionByName(second))), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component", "copies", "root")
-    return rows.select("doc_id", "text_key", "n", "cls").join(named, "cls", "left").select("doc_id", "text_key", "n", "component", "copies", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    return rows.select("doc_id", *KEYS, "n", "cls").join(named, "cls", "left").select("doc_id", *KEYS, "n", "component", "copies", F.when(F.col("n") > 0, F.col("root")).alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -259,8 +284,10 @@ def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) ->
     Rows without a doc_id are grouped among themselves: of each group, one of them stays beside the named one. Rows with different texts
     that aren't linked all stay, also under one doc_id. Blank texts are linked with nothing; only rows equal in doc_id and text keep one."""
     blank = F.col("n") == 0
-    groups = _linked(docs, k, num, den).groupBy("root", F.col("doc_id").isNull(), F.when(blank, F.col("doc_id")), F.when(blank, F.col("text_key")))
-    kept = groups.agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.text_key").alias("kept_key"))
-    keyed = docs.withColumn("meridian_key", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("meridian_key") == F.col("kept_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "meridian_key"]).drop("meridian_key")
+    groups = _linked(docs, k, num, den).groupBy("root", F.col("doc_id").isNull(), *(F.when(blank, F.col(c)) for c in ("doc_id", *KEYS)))
+    # One exchange of the texts: equal rows are reduced before it, and the join needs the same partitions.
+    names = ["meridian_id", "meridian_none", *(f"meridian_{c}" for c in KEYS)]
+    known = lambda key, keys: [x.alias(n) for x, n in zip((F.coalesce(key, F.lit(0).cast("long")), key.isNull(), *keys), names, strict=True)]
+    kept = groups.agg(F.min(F.struct("doc_id", *KEYS)).alias("x")).select(*known(F.col("x.doc_id"), [F.col(f"x.{c}") for c in KEYS]))
+    keyed = docs.select("*", *known(F.col("doc_id").cast("long"), _text_keys(F.col("text").cast("string")))).dropDuplicates(names)
+    return keyed.join(kept, names, "left_semi").drop(*names)
