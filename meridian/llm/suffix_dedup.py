@@ -7,9 +7,11 @@ with equal minimizers, and a shard is a set of whole minimizers: all copies of a
 1. Segments are counted by (minimizer, content). Equal contents repeat wholly. A minimizer with one segment is done.
 2. Of a minimizer with several contents, each distinct content goes once into the suffix array of its shard: induced sorting, then
    permuted common prefixes; a string start whose common prefix with a neighbour of the suffix array reaches `length` is repeated.
-3. A minimizer with more than GROUP contents (a passage with other surroundings each time) is dealt out further: its segments are cut into
-   parts of PART string starts, keyed by all bytes that the strings of a part share, and what is still open by each string's own
-   hash. So no shard grows with the number of places that a passage has.
+3. A minimizer whose contents exceed a shard (a passage with other surroundings in very many places) is dealt out further: its segments are cut into
+   parts of PART string starts at equal distances from the minimizer, and those whose strings share the same bytes form a shard again. Only
+   where even such contents exceed a shard, the digests of single strings decide. So no shard grows with the number of places that a passage has.
+
+Contents, parts and texts are told apart by digests of 128 bits, minimizers by 64 (two of them in one group only share its shard).
 """
 
 from __future__ import annotations
@@ -22,42 +24,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, released, table
 from .kernels import U64, mix, prefix_hash, text_parts
 
-ANCHOR, GROUP, PART = 64, 256, 16
+ANCHOR, PART = 64, 16
 #: Bytes of a shard's suffix array; whole minimizers are added until it is reached.
 SHARD = 1 << 20
-#: Symbols up to which a reduced string is sorted by the induced sort again; above, by doubling of ranks.
+#: Symbols up to which a bucket of suffixes is scanned in vector steps; above, where buckets hold few suffixes, the scan takes them one by one.
 SYMBOLS = 2048
-
-
-def _doubling(text: np.ndarray) -> np.ndarray:
-    n = len(text)
-    rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        both = rank * (n + 1) + after
-        order = np.argsort(both, kind="stable")
-        fresh = np.concatenate(([0], np.cumsum(np.diff(both[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        k *= 2
+#: String starts of a text that are scanned at once.
+WINDOW = 1 << 20
+
+
+def _equal_substrings(text: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, by: int = 16) -> np.ndarray:
+    """Whether text[x : x + size] equals text[y : y + size], symbol by symbol."""
+    equal = np.ones(len(x), bool)
+    padded = np.concatenate((text, np.zeros(by, text.dtype)))
+    steps = np.arange(by)
+    for s in range(0, len(x), 1 << 16):
+        live, at = np.arange(s, min(len(x), s + (1 << 16))), 0
+        while len(live):
+            same = padded[x[live, None] + at + steps] == padded[y[live, None] + at + steps]
+            equal[live] &= (same | (at + steps >= size[live, None])).all(1)
+            at += by
+            live = live[equal[live] & (size[live] > at)]
+    return equal
+
+
+def _induce_singly(text: np.ndarray, smaller: np.ndarray, start: np.ndarray, end: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray:
+    """The scans of induced sorting, suffix by suffix."""
+    symbols, kind, array = text.tolist(), smaller.tolist(), [-1] * len(text)
+    tail = end.tolist()
+    for j in sorted_lms[::-1].tolist():
+        tail[symbols[j]] -= 1
+        array[tail[symbols[j]]] = j
+    head = start.tolist()
+    for i in range(len(array)):
+        j = array[i] - 1
+        if j >= 0 and not kind[j]:
+            array[head[symbols[j]]] = j
+            head[symbols[j]] += 1
+    tail = end.tolist()
+    for i in range(len(array) - 1, -1, -1):
+        j = array[i] - 1
+        if j >= 0 and kind[j]:
+            tail[symbols[j]] -= 1
+            array[tail[symbols[j]]] = j
+    return np.array(array, np.int64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of small non-negative integers that end in a unique least symbol, by induced sorting.
+    """Suffix array of small non-negative integers that end in a unique least symbol, by induced sorting, recursively on the string of names.
 
-    The scan over a bucket of suffixes is one vector step for each generation: what a bucket induces into itself is the next generation."""
+    In a small alphabet the scan over a bucket of suffixes is one vector step for each generation: what a bucket induces into itself is the next generation."""
     n = len(text)
     if n < 3:
         return np.argsort(text, kind="stable")
     symbols = int(text.max()) + 1
-    if symbols > SYMBOLS:
-        return _doubling(text)
     step = np.sign(np.diff(text.astype(np.int64))).astype(np.int8)
     nearest = np.where(step != 0, np.arange(n - 1), n)
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
@@ -83,6 +106,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         pointer += way * count
 
     def induce(sorted_lms: np.ndarray) -> np.ndarray:
+        if symbols > SYMBOLS:
+            return _induce_singly(text, smaller, start, end, sorted_lms)
         array = np.full(n, -1, np.int64)
         head = start.copy()
         of = np.searchsorted(text[sorted_lms], np.arange(symbols + 1))
@@ -103,17 +128,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         array[0] = n - 1
         return array
 
-    first = lms[np.argsort(text[lms], kind="stable")]
-    array = induce(first)
+    array = induce(lms[np.argsort(text[lms], kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = array[is_lms[array]]
-    sums, down = prefix_hash(text)
     stop = np.full(n, n, np.int64)
     stop[lms[:-1]] = lms[1:] + 1
-    key = mix((sums[stop[ordered]] - sums[ordered]) * down[ordered]) ^ (stop[ordered] - ordered).astype(U64)
+    reach = stop[ordered] - ordered
+    fresh = reach[1:] != reach[:-1]
+    same = np.flatnonzero(~fresh)
+    fresh[same] = ~_equal_substrings(text, ordered[same], ordered[same + 1], reach[same])
     names = np.empty(n, np.int64)
-    names[ordered] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    names[ordered] = np.concatenate(([0], np.cumsum(fresh)))
     reduced = names[lms]
     if reduced.max() + 1 < len(lms):
         return induce(lms[suffix_array(reduced)])
@@ -148,53 +174,70 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, most: int) -> np.ndarra
 
 def _stride(text: np.ndarray, before: np.ndarray, length: np.ndarray, active: np.ndarray, n: int, by: int = 32) -> np.ndarray:
     """Extend the common prefixes of `active` by whole strides while they last."""
-    sums, down = prefix_hash(text)
-    while len(go := active[(active + length[active] + by <= n) & (before[active] + length[active] + by <= n)]):
-        x, y = go + length[go], before[go] + length[go]
-        go = go[(sums[x + by] - sums[x]) * down[x] == (sums[y + by] - sums[y]) * down[y]]
-        if not len(go):
-            break
+    go, size = active, np.full(len(active), by)
+    while len(go := go[(go + length[go] + by <= n) & (before[go] + length[go] + by <= n)]):
+        go = go[_equal_substrings(text, go + length[go], before[go] + length[go], size[: len(go)], by)]
         length[go] += by
     return active
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, number of string starts, minimizer, content hash) of the segments of all rows."""
+def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
+    """Of each window of `width` grams, the place of the least hash, the leftmost on ties."""
+    m = len(grams)
+    blocks = -(-m // width)
+    value = np.full(blocks * width, ~U64(0))
+    value[:m] = grams
+    value = value.reshape(blocks, width)
+    place = np.arange(blocks * width).reshape(blocks, width)
+    ahead = np.minimum.accumulate(value, axis=1)
+    fresh = np.ones(value.shape, bool)
+    fresh[:, 1:] = value[:, 1:] < ahead[:, :-1]
+    ahead_at = np.maximum.accumulate(np.where(fresh, place, 0), axis=1).ravel()
+    behind = np.minimum.accumulate(value[:, ::-1], axis=1)[:, ::-1]
+    fresh[:, -1] = True
+    fresh[:, :-1] = value[:, :-1] <= behind[:, 1:]
+    behind_at = np.minimum.accumulate(np.where(fresh, place, place[-1, -1])[:, ::-1], axis=1)[:, ::-1].ravel()
+    ahead, behind = ahead.ravel(), behind.ravel()
+    starts = np.arange(m - width + 1)
+    stops = starts + width - 1
+    return np.where(behind[starts] <= ahead[stops], behind_at[starts], ahead_at[stops])
+
+
+def digest(raw: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(row, start in the row, number of string starts, minimizer, content digest) of the segments of all rows."""
     n, width = len(data), length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < length or not (np.diff(offsets) >= length).any():
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none.astype(U64), []
     sums, down = prefix_hash(data)
     grams = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1])
-    bits = U64(max(1, int(n).bit_length()))
-    keyed = (grams >> bits << bits) | np.arange(len(grams), dtype=U64)
-    m = len(keyed)
-    blocks = -(-m // width)
-    padded = np.full(blocks * width, ~U64(0))
-    padded[:m] = keyed
-    ahead = np.minimum.accumulate(padded.reshape(blocks, width), axis=1).ravel()
-    behind = np.minimum.accumulate(padded.reshape(blocks, width)[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(m - width + 1)
-    anchor = (np.minimum(behind[starts], ahead[starts + width - 1]) & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    anchor = _anchors(grams, width)
+    starts = np.arange(len(anchor))
     row = np.searchsorted(offsets, starts, "right") - 1
     fits = starts + length <= offsets[row + 1]
     cut = np.ones(len(starts), bool)
     cut[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(cut & fits)
     edge = np.flatnonzero(np.concatenate((cut[1:] | (fits[:-1] & ~fits[1:]), [True])) & fits)
-    count = edge - first + 1
-    stop = edge + length
-    content = mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(U64))
-    return row[first], first - offsets[row[first]], count, grams[anchor[first]], content
+    raw = memoryview(np.ascontiguousarray(data))
+    content = [digest(raw[s:t]) for s, t in zip(first.tolist(), (edge + length).tolist(), strict=True)]
+    return row[first], first - offsets[row[first]], edge - first + 1, grams[anchor[first]], content
 
 
 def _scan(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments of each text. A very long text is scanned by windows of string starts, at whose ends segments end, too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.asarray(b.column(0))
             for at, data, offsets in text_parts(b.column(1)):
-                row, start, count, anchor, content = segments(data, offsets, length)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(keys[at + row]), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int32))], ["anchor", "content", "text_key", "start", "n"])
+                for w in range(0, len(data), WINDOW) if len(offsets) == 2 else (0,):
+                    part, bounds = (data, offsets) if len(offsets) > 2 else (data[w : w + WINDOW + length - 1], None)
+                    row, start, count, anchor, content = segments(part, np.array([0, len(part)]) if bounds is None else bounds, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content, pa.binary()), b.column(0).take(pa.array(at + row)), pa.array((start + w).astype(np.int64)), pa.array(count.astype(np.int32))], ["anchor", "content", "text_key", "start", "n"])
 
     return run
 
@@ -203,10 +246,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, wanted segments) to each segment's bytes."""
     for b in batches:
         for i in range(len(b)):
-            raw = np.frombuffer(b.column(0)[i].as_buffer(), np.uint8)
-            want = b.column(1)[i].values.flatten()
-            anchor, content, start, stop, hot = (np.asarray(x) for x in want)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(hot), pa.array([raw[s:e].tobytes() for s, e in zip(start, stop, strict=True)], pa.binary())], ["anchor", "content", "hot", "bytes"])
+            raw = memoryview(b.column(0)[i].as_buffer())
+            anchor, content, start, stop, hot = b.column(1)[i].values.flatten()
+            cuts = [bytes(raw[s:e]) for s, e in zip(start.to_pylist(), stop.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([anchor, content, hot, pa.array(cuts, pa.binary())], ["anchor", "content", "hot", "bytes"])
 
 
 def repeated_starts(parts: list[bytes], length: int) -> np.ndarray:
@@ -231,26 +274,26 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _shards(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by anchor to the runs of repeated string starts of each content. A shard ends between two anchors."""
-    names = ["anchor", "content", "first", "last"]
+def _shards(length: int, group: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (group, content, bytes) sorted by group to the runs of repeated string starts of each content. A shard ends between two groups."""
 
-    def solve(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def solve(held: list[tuple[object, bytes, bytes]]) -> pa.RecordBatch:
         flags, at, out = repeated_starts([x[2] for x in held], length), 0, []
-        for anchor, content, raw in held:
+        for name, content, raw in held:
             a, b = _runs(flags[at : at + len(raw)])
-            out += [(anchor, content, int(s), int(e) - 1) for s, e in zip(a, b, strict=True)]
+            out += [(name, content, int(s), int(e) - 1) for s, e in zip(a, b, strict=True)]
             at += len(raw) + 1
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
+        types = (group, pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["name", "content", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for anchor, content, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if size >= SHARD and anchor != held[-1][0]:
+            for name, content, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if size >= SHARD and name != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
-                held.append((anchor, content, raw))
+                held.append((name, content, raw))
                 size += len(raw)
         if held:
             yield solve(held)
@@ -261,7 +304,7 @@ def _shards(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _parts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Segments of hot minimizers cut into parts of PART string starts, at the same distances from the minimizer in every copy.
 
-    (anchor, content, first, last, hash of the bytes that all strings of the part share, hash of all bytes of the part)"""
+    (anchor, content, first, last, digest of the bytes that all strings of the part share, digest of all bytes of the part, how many these are)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,47 +316,65 @@ def _parts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 far = int(at[np.flatnonzero(gram == np.array(anchor).view(U64))[0]]) - np.arange(n)
                 first = np.flatnonzero(np.concatenate(([True], np.diff(far // PART) != 0)))
                 last = np.append(first[1:], n) - 1
-                size = last - first + length
-                part = mix((sums[first + size] - sums[first]) * down[first] + size.astype(U64))
                 # What all strings at these distances share, whether or not the segment holds all of them.
                 left, right = far[first] // PART * PART, (far[first] // PART * PART + PART - 1)
                 start, stop = first + far[first] - left, first + far[first] - right + length
-                sub = mix((sums[stop] - sums[start]) * down[start] + left.astype(U64)) ^ np.array(anchor).view(U64)
+                name = anchor.to_bytes(8, "little", signed=True)
+                sub = [digest(name + x.to_bytes(8, "little", signed=True) + raw[s:e]) for x, s, e in zip(left.tolist(), start.tolist(), stop.tolist(), strict=True)]
+                part = [digest(x + raw[s : e + length]) for x, s, e in zip(sub, first.tolist(), last.tolist(), strict=True)]
                 k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, anchor)), pa.array(np.full(k, content)), pa.array(first), pa.array(last), pa.array(sub.view(np.int64)), pa.array((part ^ sub).view(np.int64))], ["anchor", "content", "first", "last", "sub", "part"])
+                columns = [pa.array([anchor] * k), pa.array([content] * k, pa.binary()), pa.array(first), pa.array(last), pa.array(sub, pa.binary()), pa.array(part, pa.binary()), pa.array(last - first + length)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "content", "first", "last", "sub", "part", "size"])
 
     return run
 
 
-def _strings(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(sub, part, position in the part, hash) of each string of the wanted parts of (bytes, wanted parts)"""
+def _cut_parts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bytes, wanted parts) to (sub, part, whether too many for a shard, bytes of the part)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                sums, down = prefix_hash(np.frombuffer(b.column(0)[i].as_buffer(), np.uint8))
-                sub, part, first, last = (np.asarray(x) for x in b.column(1)[i].values.flatten())
-                n = last - first + 1
-                which = np.repeat(np.arange(len(n)), n)
-                rel = np.arange(len(which)) - (np.cumsum(n) - n)[which]
-                at = first[which] + rel
-                yield pa.RecordBatch.from_arrays([pa.array(sub[which]), pa.array(part[which]), pa.array(rel), pa.array(mix((sums[at + length] - sums[at]) * down[at]).view(np.int64))], ["sub", "part", "first", "string"])
+                raw = b.column(0)[i].as_buffer().to_pybytes()
+                sub, part, first, last, many = b.column(1)[i].values.flatten()
+                cuts = [raw[s : e + length] for s, e in zip(first.to_pylist(), last.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([sub, part, many, pa.array(cuts, pa.binary())], ["sub", "part", "many", "bytes"])
 
     return run
 
 
-def _hot_runs(cut: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated string starts of the contents of hot minimizers, found like those of segments but with parts in the place of segments and single strings in the place of shards."""
-    parts = table(cut.mapInArrow(_parts(length), "anchor long, content long, first long, last long, sub long, part long"))
-    kinds = parts.groupBy("sub", "part").agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "content", "first", "last")).alias("one"))
-    subs = kinds.groupBy("sub").agg(F.count("*").alias("contents"), F.sum("copies").alias("rows")).where("rows > 1")
-    several = table(kinds.join(subs, "sub").select("sub", "part", "copies", "contents", "one.*"))
-    wanted = several.where("contents > 1").groupBy("anchor", "content").agg(F.collect_list(F.struct("sub", "part", "first", "last")).alias("want"))
-    strings = table(cut.join(wanted, ["anchor", "content"]).select("bytes", "want").mapInArrow(_strings(length), "sub long, part long, first long, string long"))
+def _strings(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(sub, part, position in the part, digest) of each string of (sub, part, bytes)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, strings = [], [], []
+            for i, raw in enumerate(b.column(2).to_pylist()):
+                n = len(raw) - length + 1
+                row += [i] * n
+                at += range(n)
+                strings += [digest(raw[s : s + length]) for s in range(n)]
+            where = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(at, pa.int64()), pa.array(strings, pa.binary())], ["sub", "part", "first", "string"])
+
+    return run
+
+
+def _hot_runs(cut: DataFrame, length: int, shard: int) -> DataFrame:
+    """Runs of repeated string starts of the contents of hot minimizers, found like those of segments but with parts in the place of segments."""
+    parts = table(cut.mapInArrow(released(_parts(length)), "anchor long, content binary, first long, last long, sub binary, part binary, size long"))
+    kinds = parts.groupBy("sub", "part").agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "content", "first", "last", "size")).alias("one"))
+    subs = kinds.groupBy("sub").agg(F.count("*").alias("contents"), F.sum("copies").alias("rows"), F.sum("one.size").alias("bytes")).where("rows > 1")
+    several = table(kinds.join(subs, "sub").select("sub", "part", "copies", "contents", (F.col("bytes") > shard).alias("many"), "one.*"))
+    wanted = several.where("contents > 1").groupBy("anchor", "content").agg(F.collect_list(F.struct("sub", "part", "first", "last", "many")).alias("want"))
+    pieces = table(cut.join(wanted, ["anchor", "content"]).select("bytes", "want").mapInArrow(released(_cut_parts(length)), "sub binary, part binary, many boolean, bytes binary"))
+    few = pieces.where("not many").select("sub", "part", "bytes").repartition("sub").sortWithinPartitions("sub")
+    sorted_ = few.mapInArrow(released(_shards(length, pa.binary())), "sub binary, part binary, `from` long, `to` long")
+    strings = table(pieces.where("many").select("sub", "part", "bytes").mapInArrow(released(_strings(length)), "sub binary, part binary, first long, string binary"))
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    whole = several.where("copies > 1").select("sub", "part", F.lit(0).cast("long").alias("from"), (F.col("last") - F.col("first")).alias("to"))
     single = strings.join(twice, "string").select("sub", "part", F.col("first").alias("from"), F.col("first").alias("to"))
-    found = whole.unionByName(single.join(whole.select("sub", "part"), ["sub", "part"], "left_anti"))
+    whole = several.where("copies > 1").select("sub", "part", F.lit(0).cast("long").alias("from"), (F.col("last") - F.col("first")).alias("to"))
+    found = whole.unionByName(sorted_.unionByName(single).join(whole.select("sub", "part"), ["sub", "part"], "left_anti"))
     return parts.join(found, ["sub", "part"]).select("anchor", "content", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"))
 
 
@@ -343,29 +404,32 @@ def _remove(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes that also starts anywhere else in the table, the same row included.
 
     Returns, for each row, doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the remaining bytes; a cut may
     fall inside a character). Overlapping copies count, every copy is removed, and strings are judged on the input. No match crosses
     rows. A null text is empty; a shorter text than `length` stays whole; repeated rows are copies of each other; a null doc_id keeps its
-    row. Other columns are not read. An empty table gives no rows. `length` is more than ANCHOR."""
+    row. Other columns, also of the names of results, are not read. An empty table gives no rows. `length` is more than ANCHOR. shard: bytes of the
+    contents of one minimizer up to which one suffix array takes them all."""
     if length <= ANCHOR:
         raise ValueError(f"length must be more than {ANCHOR}")
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = docs.withColumn("text_key", F.xxhash64("doc_id", "text"))
-    found = table(docs.where(F.octet_length("text") >= length).select("text_key", "text").mapInArrow(_scan(length), "anchor long, content long, text_key long, start long, n int"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))
+    docs = docs.withColumn("text_key", F.unhex(F.md5(named.cast("binary"))))
+    found = table(docs.where(F.octet_length("text") >= length).select("text_key", "text").mapInArrow(released(_scan(length)), "anchor long, content binary, text_key binary, start long, n int"))
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("text_key", "start", "n")).alias("one"))
-    anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("copies").alias("rows")).where("rows > 1")
-    several = table(contents.join(anchors, "anchor").select("anchor", "content", "copies", "contents", "one.*"))
-    wanted = several.where("contents > 1").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", F.col("start"), (F.col("start") + F.col("n") + (length - 1)).alias("stop"), (F.col("contents") > GROUP).alias("hot"))).alias("want"))
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("copies").alias("rows"), F.sum(F.col("one.n") + (length - 1)).alias("bytes")).where("rows > 1")
+    several = table(contents.join(anchors, "anchor").select("anchor", "content", "copies", "contents", "bytes", "one.*"))
+    wanted = several.where("contents > 1").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", F.col("start"), (F.col("start") + F.col("n") + (length - 1)).alias("stop"), (F.col("bytes") > shard).alias("hot"))).alias("want"))
     source = docs.join(wanted, "text_key").dropDuplicates(["text_key"]).select("text", "want")
-    cut = table(source.mapInArrow(_cut, "anchor long, content long, hot boolean, bytes binary"))
-    schema = "anchor long, content long, first long, last long"
-    shards = cut.where("not hot").select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), schema)
+    cut = table(source.mapInArrow(released(_cut), "anchor long, content binary, hot boolean, bytes binary"))
+    schema = "anchor long, content binary, first long, last long"
+    shards = cut.where("not hot").select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_shards(length, pa.int64())), schema)
     parts = several.where("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
-    partly = shards.unionByName(_hot_runs(cut.where("hot").drop("hot"), length))
+    partly = shards.unionByName(_hot_runs(cut.where("hot").drop("hot"), length, shard))
     runs = table(parts.unionByName(partly.join(several.where("copies > 1").select("content", "anchor"), ["anchor", "content"], "left_anti")))
     places = found.join(runs, ["anchor", "content"]).select("text_key", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).distinct()
     ranges = places.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return docs.join(ranges, "text_key", "left").select("doc_id", "text", "ranges").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(ranges, "text_key", "left").select("doc_id", "text", "ranges").mapInArrow(released(_remove(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
