@@ -134,6 +134,34 @@ def test_jaccard_of_an_empty_table_and_clashing_columns(spark):
     assert by(jaccard_classes(clash, 3, 9, 10), "doc_id", "n_shingles", "component_id") == brute_classes(ODD, 3, 9, 10)
 
 
+def test_patterned_words_differ_and_very_long_texts_link(spark):
+    """Words of two letters that a polynomial modulo a power of two can't tell apart; one text of a megabyte and its near copy."""
+    flip = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = flip.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(31)
+    long_text = prose(rng, 160_000).split()
+    near = list(long_text)
+    near[777] = "changed"
+    rows = [(1, flip), (2, other), (3, flip), (4, " ".join(long_text)), (5, " ".join(near)), (6, flip + other), (7, other + flip)]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(docs(spark, rows), 3, 9, 10).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_prefixes_of_links_meet_under_every_order():
+    from meridian.llm import ngram_join
+
+    rng = np.random.default_rng(5)
+    for num, den in ((9, 10), (4, 5)):
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64))
+            keep = x[rng.random(len(x)) > 0.1]
+            y = np.unique(np.concatenate((keep, rng.integers(0, 2**63, 2).astype(np.uint64))))
+            both = len(np.intersect1d(x, y))
+            h, bounds = np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)])
+            shared = [len(np.intersect1d(*one)) > 0 for one in ngram_join._prefixes(h, bounds, num, den)]
+            assert len(shared) == ngram_join.ORDERS and (all(shared) or den * both < num * (len(x) + len(y) - both))
+
+
 def test_one_document_of_each_group_stays(spark):
     a = "one two three four five six seven eight nine ten"
     kept = drop_near_copies(docs(spark, [(3, a), (2, a), (9, "else " * 9), (2, a), (None, a), (8, None)]))
@@ -525,11 +553,9 @@ def brute_removed(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [256, 2])
-def test_repeats_match_brute_force(spark, group, monkeypatch):
-    from meridian.llm import suffix_dedup
-
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+@pytest.mark.parametrize("shard", [1 << 20, 1200, 1])
+def test_repeats_match_brute_force(spark, shard):
+    """All contents in suffix arrays; the minimizers of many contents in parts; and the digests of single strings."""
     rng = random.Random(12)
     passage = prose(rng, 60)
     rows = list(ODD) + [(90, "a" * 700), (91, "ab" * 300), (92, passage + passage), (93, "é" * 150)]
@@ -542,7 +568,7 @@ def test_repeats_match_brute_force(spark, group, monkeypatch):
         if i % 7 == 0:
             rows.append((i, base))
     for length in (100, 140):
-        got = by(remove_repeats(docs(spark, rows).repartition(4), length), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        got = by(remove_repeats(docs(spark, rows).repartition(4), length, shard=shard), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert got == brute_removed([(d, (t or "").encode()) for d, t in rows], length)
     assert remove_repeats(docs(spark, [])).count() == 0
 
@@ -554,6 +580,48 @@ def test_suffix_arrays_are_sorted():
         assert suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())  # noqa: B023
 
 
+def test_repeats_of_400_bytes_match_brute_force(spark):
+    """The contract's length, over all documents of the smallest table."""
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in source.select("doc_id", "text").collect()]
+    assert by(remove_repeats(source, 400), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removed(rows, 400)
+
+
+def test_repeats_in_a_very_long_text(spark):
+    """A text of several windows; passages repeat across a window's end, and in another text."""
+    from meridian.llm import suffix_dedup
+
+    rng = random.Random(88)
+    passage, other = prose(rng, 100), prose(rng, 90)
+    filler = "".join(f"{rng.getrandbits(64):016x}" for _ in range(150_000))
+    edge = suffix_dedup.WINDOW - 200
+    text = filler[:edge] + passage + filler[edge:1_500_000] + other + filler[1_500_000:] + passage
+    rows = [(1, text), (2, "x" + other + "y"), (None, None), (3, "")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(docs(spark, rows), 400).collect()}
+    assert got == {1: (len(text), 2 * len(passage) + len(other), 3), 2: (len(other) + 2, len(other), 1), None: (0, 0, 0), 3: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("symbols", [2048, 0])
+def test_suffix_arrays_recurse_at_any_alphabet(symbols, monkeypatch):
+    from meridian.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SYMBOLS", symbols)
+    rng = np.random.default_rng(4)
+    for size, most in ((3000, 3), (4000, 2500), (2000, 2)):
+        text = np.concatenate((np.tile(rng.integers(1, most, size // 4), 4), [0])).astype(np.int32)
+        plain = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        assert suffix_array(text).tolist() == plain
+
+
+def test_minimizers_do_not_depend_on_neighbours():
+    from meridian.llm import suffix_dedup
+
+    grams = np.random.default_rng(3).integers(0, 6, 900).astype(np.uint64)
+    for width in (1, 5, 64, 337):
+        got = suffix_dedup._anchors(grams, width)
+        assert got.tolist() == [i + int(np.argmin(grams[i : i + width])) for i in range(len(grams) - width + 1)]
+
+
 def test_repeats_never_cross_parts():
     assert not repeated_starts([b"abcd", b"efab", b"cdef"], 4).any()
     assert repeated_starts([b"abcdx", b"abcdy"], 4).tolist() == [True] + [False] * 5 + [True] + [False] * 5

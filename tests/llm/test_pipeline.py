@@ -69,6 +69,7 @@ def test_stages_take_empty_tables_and_odd_rows(spark, stage):
     assert stage(spark, empty, DATA).count() == 0
     long_text = " ".join(f"palabra{i % 977} y otra" for i in range(60_000))
     rows = [(None, None, None, None, None), (1, "", "es", None, 0), (2, long_text, "es", "a", len(long_text)), (2, long_text, "es", "a", len(long_text)), (None, "el perro come pan en la casa grande de su madre", "es", "a", 48)]
+    rows += [(i, "la casa del perro y el pan de cada día", "es", "a", 38) for i in range(3, 9)]
     extra = " , size long, copies int, score double, spans string, root long, n_tokens long, copy int, cls long, text_key long, row_key string"
     wide = spark.createDataFrame([(*r, 1, 1, 0.5, "x", 7, 7, 1, 7, 7, "k") for r in rows], names + extra)
     got = stage(spark, wide, DATA)
