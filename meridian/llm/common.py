@@ -33,7 +33,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Bytes of a batch that goes to Python, where the session hasn't set its own bound; a single longer row is its own batch.
-BATCH_BYTES, _KEY, _UNSET = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES, _KEY, _UNSET = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -84,7 +84,16 @@ def table(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.meridian_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.meridian_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Nodes of a partition's links that are held at once.
@@ -135,7 +144,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and m <> v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now, old = table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()), now
+        drop(old)
         was, before = mark(now), was
         if was == before:
             break

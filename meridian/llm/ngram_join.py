@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, released, table
+from .common import bound_batches, components, drop, released, table
 from .kernels import U64, mix, shingles, text_parts
 
 WORDS, BITS, ORDERS = 8, 512, 3
@@ -90,7 +90,7 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                     if x and x not in seen:
                         seen.add(x)
                         held.append(h[bounds[i] : bounds[i + 1]])
-                if sum(map(len, held)) > 1 << 22:
+                if sum(map(len, held)) > 1 << 21:
                     yield frequent()
         yield frequent()
 
@@ -248,9 +248,10 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     postings = table(docs.select("text").mapInArrow(released(_postings(k, num, den, known)), "token long, cls long, n long"))
     several = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("token")
     groups = table(postings.join(several, "token").distinct())
+    drop(postings)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = table(pairs)
+        given = pairs = table(pairs)
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(signatures.select("cls", *KEYS), "cls").select(*KEYS).distinct()
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
@@ -259,7 +260,10 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
         filters = ("size", "wide", *_PREFIXES)
         pairs = pairs.join(side("a", *filters), "a").join(side("b", *filters), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b", *(f"{c}_{x}" for x in "ab" for c in _PREFIXES))
         pairs = table(pairs.mapInArrow(released(_narrow(num, den)), "a long, b long"))
-        return table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(released(_verify(num, den)), "a long, b long"))
+        drop(given)
+        linked = table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(released(_verify(num, den)), "a long, b long"))
+        drop(pairs, sets)
+        return linked
 
     bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num))
     led = groups.withColumn("bucket", bucket)
@@ -270,12 +274,19 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     roots = table(components(first))
     sides = groups.select("token", "cls").join(signatures.drop("least", "copies", *KEYS), "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     sides = table(sides)
+    drop(groups)
     x, y = sides.alias("x"), sides.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", num, den))
     second = verified(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
-    joined = signatures.select("cls", "least", "copies").join(table(components(first.unionByName(second))), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    drop(sides, roots)
+    links = table(components(first.unionByName(second)))
+    drop(first, second)
+    joined = signatures.select("cls", "least", "copies").join(links, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component", "copies", "root")
-    return rows.select("doc_id", *KEYS, "n", "cls").join(named, "cls", "left").select("doc_id", *KEYS, "n", "component", "copies", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    linked = rows.select("doc_id", *KEYS, "n", "cls").join(named, "cls", "left").select("doc_id", *KEYS, "n", "component", "copies", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    linked = table(linked)
+    drop(features, signatures, links)
+    return linked
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

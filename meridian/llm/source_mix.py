@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 WEIGHTS = (5, 2, 1)
 STEPS, BINS = 80, 4096
@@ -96,10 +96,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         step = F.greatest(F.least(F.coalesce(F.try_divide(-F.col("gap"), F.col("slope")), -F.signum("gap") * reach), reach), -reach) + F.col("lam")
         inside = F.coalesce(step > F.col("low"), F.lit(True)) & F.coalesce(step < F.col("high"), F.lit(True))
         done = F.abs("gap") <= F.greatest(F.lit(0.5), 1e-9 * F.col("target"))
-        state = table(moved.select("source", "target", "mean", F.when(done, F.col("lam")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), "low", "high", done.alias("done")))
+        was, state = state, table(moved.select("source", "target", "mean", F.when(done, F.col("lam")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), "low", "high", done.alias("done")))
+        drop(was)
         if not state.where("not done").limit(1).count():
             break
-        state = state.drop("done")
     solved = goals.join(state.select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
     # Hash less fraction, as a whole number: the lowest ones get the further copy.
@@ -109,6 +109,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     rated = rated.withColumn("rate", F.round(rate, 6)).withColumn("whole", F.floor("rate"))
     order = F.pmod(F.xxhash64("doc_id", "size", "number", *keep, F.lit(11)), F.lit(unit)) - ((F.col("rate") - F.col("whole")) * unit).cast("long") + unit
     rated = table(rated.withColumn("place", F.when((F.col("size") > 0) & (F.col("whole") < most) & (F.col("rate") > F.col("whole")), order)))
+    drop(sized, lengths, state)
     wide = 2 * unit // BINS
     lack = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure")).join(goals.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("sure")).alias("lack"))
     cut = lack.withColumn("base", F.lit(0).cast("long"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, released, table
+from .common import bound_batches, drop, released, table
 from .kernels import U64, mix, prefix_hash, text_parts
 
 ANCHOR, PART = 64, 16
@@ -375,7 +375,9 @@ def _hot_runs(cut: DataFrame, length: int, shard: int) -> DataFrame:
     single = strings.join(twice, "string").select("sub", "part", F.col("first").alias("from"), F.col("first").alias("to"))
     whole = several.where("copies > 1").select("sub", "part", F.lit(0).cast("long").alias("from"), (F.col("last") - F.col("first")).alias("to"))
     found = whole.unionByName(sorted_.unionByName(single).join(whole.select("sub", "part"), ["sub", "part"], "left_anti"))
-    return parts.join(found, ["sub", "part"]).select("anchor", "content", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"))
+    runs = table(parts.join(found, ["sub", "part"]).select("anchor", "content", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last")))
+    drop(parts, several, pieces, strings)
+    return runs
 
 
 def _remove(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -431,5 +433,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     partly = shards.unionByName(_hot_runs(cut.where("hot").drop("hot"), length, shard))
     runs = table(parts.unionByName(partly.join(several.where("copies > 1").select("content", "anchor"), ["anchor", "content"], "left_anti")))
     places = found.join(runs, ["anchor", "content"]).select("text_key", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).distinct()
-    ranges = places.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = table(places.groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
+    drop(found, several, cut, runs)
     return docs.join(ranges, "text_key", "left").select("doc_id", "text", "ranges").mapInArrow(released(_remove(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
