@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -96,6 +97,12 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps, which it does when the driver collects their garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Nodes of a partition's links that are held at once.
 NODES = 500_000
 

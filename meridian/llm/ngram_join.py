@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, drop, released, table
+from .common import bound_batches, components, drop, released, table, tidy
 from .kernels import U64, mix, shingles, text_parts
 
 WORDS, BITS, ORDERS = 8, 512, 3
@@ -90,7 +90,7 @@ def _features(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                     if x and x not in seen:
                         seen.add(x)
                         held.append(h[bounds[i] : bounds[i + 1]])
-                if sum(map(len, held)) > 1 << 21:
+                if sum(map(len, held)) > 1 << 22:
                     yield frequent()
         yield frequent()
 
@@ -230,6 +230,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """The rows whose token occurs with several values of `by`; they cross one exchange, by token."""
+    dealt = rows.repartition("token")
+    several = dealt.groupBy("token").agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least <> most").select("token")
+    return dealt.join(several, "token")
+
+
 def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key and text_key2 (128 bits of hashes of the text), n (set size), component (its smallest doc_id), copies and root (the component itself, null if n is 0) of each row."""
     spark = docs.sparkSession
@@ -246,9 +253,9 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
 
     signatures = table(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in (*KEYS, "n", *(f"s{i}" for i in range(WORDS))))))
     postings = table(docs.select("text").mapInArrow(released(_postings(k, num, den, known)), "token long, cls long, n long"))
-    several = postings.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("token")
-    groups = table(postings.join(several, "token").distinct())
+    groups = table(_shared(postings, "cls").distinct())
     drop(postings)
+    tidy(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         given = pairs = table(pairs)
@@ -272,9 +279,12 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
     x, y = signatures.alias("x"), signatures.alias("y")
     first = verified(stars.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(_may_link("x", "y", num, den)).select("a", "b"))
     roots = table(components(first))
-    sides = groups.select("token", "cls").join(signatures.drop("least", "copies", *KEYS), "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-    sides = table(sides)
+    mixed = groups.select("token", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = table(_shared(mixed, "root"))
     drop(groups)
+    sides = table(mixed.join(signatures.drop("least", "copies", *KEYS), "cls"))
+    drop(mixed)
+    tidy(spark)
     x, y = sides.alias("x"), sides.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & _may_link("x", "y", num, den))
     second = verified(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
