@@ -5,7 +5,7 @@ place in every copy of the string. A segment is a run of string starts with one
 with equal minimizers, and a shard is a set of whole minimizers: all copies of a string meet in one shard, wherever they come from.
 
 1. Segments are counted by (minimizer, content). Equal contents repeat wholly. A minimizer with one segment is done.
-2. Of a minimizer with several contents, each distinct content goes once into the suffix array of its shard: induced sorting, then
+2. Of a minimizer with several contents, those that agree with another one in half a string before or after the minimizer go once into the suffix array of its shard: induced sorting, then
    permuted common prefixes; a string start whose common prefix with a neighbour of the suffix array reaches `length` is repeated.
 3. A minimizer whose contents exceed a shard (a passage with other surroundings in very many places) is dealt out further: its segments are cut into
    parts of PART string starts at equal distances from the minimizer, and those whose strings share the same bytes form a shard again. Only
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop, released, table
+from .common import bound_batches, drop, released, table, tidy
 from .kernels import U64, mix, prefix_hash, text_parts
 
 ANCHOR, PART = 64, 16
@@ -53,23 +53,28 @@ def _equal_substrings(text: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.n
 
 def _induce_singly(text: np.ndarray, smaller: np.ndarray, start: np.ndarray, end: np.ndarray, sorted_lms: np.ndarray) -> np.ndarray:
     """The scans of induced sorting, suffix by suffix."""
-    symbols, kind, array = text.tolist(), smaller.tolist(), [-1] * len(text)
-    tail = end.tolist()
-    for j in sorted_lms[::-1].tolist():
-        tail[symbols[j]] -= 1
-        array[tail[symbols[j]]] = j
+    array = [-1] * len(text)
+    tail, symbols = end.tolist(), text[sorted_lms[::-1]].tolist()
+    for j, c in zip(sorted_lms[::-1].tolist(), symbols, strict=True):
+        tail[c] -= 1
+        array[tail[c]] = j
+    # Of each suffix, the symbol before it, and whether that begins a larger or a smaller suffix; the last entry stands for none (-1).
+    before = np.concatenate((text[:1], text[:-1], [0])).tolist()
+    smaller_before = np.concatenate(([False], smaller[:-1], [False])).tolist()
+    larger_before = np.concatenate(([False], ~smaller[:-1], [False])).tolist()
     head = start.tolist()
-    for i in range(len(array)):
-        j = array[i] - 1
-        if j >= 0 and not kind[j]:
-            array[head[symbols[j]]] = j
-            head[symbols[j]] += 1
+    for j in array:  # also sees what is put farther on
+        if larger_before[j]:
+            c = before[j]
+            at = head[c]
+            array[at] = j - 1
+            head[c] = at + 1
     tail = end.tolist()
-    for i in range(len(array) - 1, -1, -1):
-        j = array[i] - 1
-        if j >= 0 and kind[j]:
-            tail[symbols[j]] -= 1
-            array[tail[symbols[j]]] = j
+    for j in reversed(array):
+        if smaller_before[j]:
+            c = before[j]
+            at = tail[c] = tail[c] - 1
+            array[at] = j - 1
     return np.array(array, np.int64)
 
 
@@ -207,12 +212,12 @@ def digest(raw: bytes | memoryview) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(row, start in the row, number of string starts, minimizer, content digest) of the segments of all rows."""
+def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(row, start in the row, number of string starts, minimizer, content digest, place of the minimizer in the content) of the segments of all rows."""
     n, width = len(data), length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if n < length or not (np.diff(offsets) >= length).any():
-        return none, none, none, none.astype(U64), []
+        return none, none, none, none.astype(U64), [], none
     sums, down = prefix_hash(data)
     grams = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: n - ANCHOR + 1])
     anchor = _anchors(grams, width)
@@ -225,7 +230,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     edge = np.flatnonzero(np.concatenate((cut[1:] | (fits[:-1] & ~fits[1:]), [True])) & fits)
     raw = memoryview(np.ascontiguousarray(data))
     content = [digest(raw[s:t]) for s, t in zip(first.tolist(), (edge + length).tolist(), strict=True)]
-    return row[first], first - offsets[row[first]], edge - first + 1, grams[anchor[first]], content
+    return row[first], first - offsets[row[first]], edge - first + 1, grams[anchor[first]], content, anchor[first] - first
 
 
 def _scan(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -236,20 +241,31 @@ def _scan(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for at, data, offsets in text_parts(b.column(1)):
                 for w in range(0, len(data), WINDOW) if len(offsets) == 2 else (0,):
                     part, bounds = (data, offsets) if len(offsets) > 2 else (data[w : w + WINDOW + length - 1], None)
-                    row, start, count, anchor, content = segments(part, np.array([0, len(part)]) if bounds is None else bounds, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content, pa.binary()), b.column(0).take(pa.array(at + row)), pa.array((start + w).astype(np.int64)), pa.array(count.astype(np.int32))], ["anchor", "content", "text_key", "start", "n"])
+                    row, start, count, anchor, content, place = segments(part, np.array([0, len(part)]) if bounds is None else bounds, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content, pa.binary()), b.column(0).take(pa.array(at + row)), pa.array((start + w).astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(place.astype(np.int32))], ["anchor", "content", "text_key", "start", "n", "place"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted segments) to each segment's bytes."""
-    for b in batches:
-        for i in range(len(b)):
-            raw = memoryview(b.column(0)[i].as_buffer())
-            anchor, content, start, stop, hot = b.column(1)[i].values.flatten()
-            cuts = [bytes(raw[s:e]) for s, e in zip(start.to_pylist(), stop.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([anchor, content, hot, pa.array(cuts, pa.binary())], ["anchor", "content", "hot", "bytes"])
+def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(text, wanted segments) to each segment's bytes, and the digests of its minimizer with what stands before and after it.
+
+    A string of `length` bytes holds the minimizer and, on one side of it, half of the rest: contents that agree in neither share no string."""
+    half = (length - ANCHOR + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                raw = memoryview(b.column(0)[i].as_buffer())
+                anchor, content, start, stop, hot, place = b.column(1)[i].values.flatten()
+                cuts, left, right = [], [], []
+                for s, e, p in zip(start.to_pylist(), stop.to_pylist(), place.to_pylist(), strict=True):
+                    cuts.append(bytes(raw[s:e]))
+                    left.append(digest(raw[s + p - half : s + p + ANCHOR]) if p >= half else None)
+                    right.append(digest(raw[s + p : s + p + ANCHOR + half]) if s + p + ANCHOR + half <= e else None)
+                yield pa.RecordBatch.from_arrays([anchor, content, hot, pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(cuts, pa.binary())], ["anchor", "content", "hot", "left", "right", "bytes"])
+
+    return run
 
 
 def repeated_starts(parts: list[bytes], length: int) -> np.ndarray:
@@ -420,13 +436,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))
     docs = docs.withColumn("text_key", F.unhex(F.md5(named.cast("binary"))))
-    found = table(docs.where(F.octet_length("text") >= length).select("text_key", "text").mapInArrow(released(_scan(length)), "anchor long, content binary, text_key binary, start long, n int"))
-    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("text_key", "start", "n")).alias("one"))
+    found = table(docs.where(F.octet_length("text") >= length).select("text_key", "text").mapInArrow(released(_scan(length)), "anchor long, content binary, text_key binary, start long, n int, place int"))
+    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("text_key", "start", "n", "place")).alias("one"))
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("contents"), F.sum("copies").alias("rows"), F.sum(F.col("one.n") + (length - 1)).alias("bytes")).where("rows > 1")
     several = table(contents.join(anchors, "anchor").select("anchor", "content", "copies", "contents", "bytes", "one.*"))
-    wanted = several.where("contents > 1").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", F.col("start"), (F.col("start") + F.col("n") + (length - 1)).alias("stop"), (F.col("bytes") > shard).alias("hot"))).alias("want"))
+    wanted = several.where("contents > 1").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "content", F.col("start"), (F.col("start") + F.col("n") + (length - 1)).alias("stop"), (F.col("bytes") > shard).alias("hot"), "place")).alias("want"))
     source = docs.join(wanted, "text_key").dropDuplicates(["text_key"]).select("text", "want")
-    cut = table(source.mapInArrow(released(_cut), "anchor long, content binary, hot boolean, bytes binary"))
+    cut = table(source.mapInArrow(released(_cut(length)), "anchor long, content binary, hot boolean, left binary, right binary, bytes binary"))
+    both = lambda side: cut.where(F.col(side).isNotNull()).groupBy("anchor", side).agg(F.count("*").alias("m")).where("m > 1").select("anchor", side)
+    near = cut.join(both("left"), ["anchor", "left"]).select("anchor", "content").unionByName(cut.join(both("right"), ["anchor", "right"]).select("anchor", "content")).distinct()
+    whole, cut = cut, table(cut.select("anchor", "content", "hot", "bytes").join(near, ["anchor", "content"], "left_semi"))
+    drop(whole)
+    tidy(docs.sparkSession)
     schema = "anchor long, content binary, first long, last long"
     shards = cut.where("not hot").select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(released(_shards(length, pa.int64())), schema)
     parts = several.where("copies > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"))
