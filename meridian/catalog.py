@@ -1,4 +1,4 @@
 """The registries of the library's queries and of the SQL that they are checked against."""
 
-from .plans import eda, joins, measures  # noqa: F401
+from .plans import cleaning, eda, joins, measures, quality  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
