@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -161,7 +163,7 @@ def _prefixes(h: np.ndarray, bounds: np.ndarray, num: int, den: int) -> list[lis
 
 
 def _narrow(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b, sizes, wide signatures, prefixes under each further order of a, then of b) whose signatures allow a link and that share prefix tokens under every order"""
+    """Pairs (a, b, sizes, wide signatures) whose signatures allow a link"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,16 +173,14 @@ def _narrow(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
                 least = min(len(x), len(y))
                 x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
-                if int(np.bitwise_count(x ^ y).sum()) * (den + num) > int(sizes[i]) * (den - num):
-                    continue
-                tokens = lambda c: np.asarray(b.column(c)[i].values)  # noqa: B023, E731
-                if all(len(np.intersect1d(tokens(6 + o), tokens(6 + ORDERS + o), True)) for o in range(ORDERS)):
+                if int(np.bitwise_count(x ^ y).sum()) * (den + num) <= int(sizes[i]) * (den - num):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], ["a", "b"])
 
     return run
 
 
+#: Columns of the prefix tokens under the further orders, as the upper halves of their hashes: what two sets share they share in these, too.
 _PREFIXES = [f"prefix{i}" for i in range(ORDERS)]
 
 
@@ -189,7 +189,7 @@ def _sets(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for b in batches:
             for _, data, offsets in text_parts(b.column(0)):
                 h, bounds = shingles(data, offsets, k)
-                prefixes = [pa.array([x.view(np.int64) for x in one], pa.list_(pa.int64())) for one in _prefixes(h, bounds, num, den)]
+                prefixes = [pa.array([(x >> U64(32)).astype(np.uint32).view(np.int32) for x in one], pa.list_(pa.int32())) for one in _prefixes(h, bounds, num, den)]
                 shingled = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _i64(h))
                 yield pa.RecordBatch.from_arrays([_i64(_classes(h, bounds)), shingled, pa.array(np.diff(bounds)), pa.array(_wide(h, bounds), pa.binary()), *prefixes], ["cls", "shingles", "size", "wide", *_PREFIXES])
 
@@ -233,7 +233,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
 def _shared(rows: DataFrame, by: str) -> DataFrame:
     """The rows whose token occurs with several values of `by`; they cross one exchange, by token."""
     dealt = rows.repartition("token")
-    several = dealt.groupBy("token").agg(F.min(by).alias("least"), F.max(by).alias("most")).where("least <> most").select("token")
+    # The sums look at all columns, so that their exchange is the rows' own.
+    others = [c for c in rows.columns if c not in ("token", by)]
+    sums = dealt.groupBy("token").agg(F.min(by).alias("least"), F.max(by).alias("most"), *(F.max(c).alias(f"any_{c}") for c in others))
+    several = sums.where(" and ".join(["least <> most", *(f"any_{c} is not null" for c in others)])).select("token")
     return dealt.join(several, "token")
 
 
@@ -262,11 +265,14 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", te
         wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(signatures.select("cls", *KEYS), "cls").select(*KEYS).distinct()
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        sets = table(texts.join(wanted, KEYS, "left_semi").dropDuplicates(KEYS).select("text").mapInArrow(released(_sets(k, num, den)), "cls long, shingles array<long>, size long, wide binary" + "".join(f", {c} array<long>" for c in _PREFIXES)))
+        sets = table(texts.join(wanted, KEYS, "left_semi").dropDuplicates(KEYS).select("text").mapInArrow(released(_sets(k, num, den)), "cls long, shingles array<long>, size long, wide binary" + "".join(f", {c} array<int>" for c in _PREFIXES)))
         side = lambda c, *more: sets.select(F.col("cls").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
-        filters = ("size", "wide", *_PREFIXES)
-        pairs = pairs.join(side("a", *filters), "a").join(side("b", *filters), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b", *(f"{c}_{x}" for x in "ab" for c in _PREFIXES))
-        pairs = table(pairs.mapInArrow(released(_narrow(num, den)), "a long, b long"))
+        pairs = pairs.join(side("a", "size", "wide"), "a").join(side("b", "size", "wide"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+        pairs = near = table(pairs.mapInArrow(released(_narrow(num, den)), "a long, b long"))
+        pairs = pairs.join(side("a", *_PREFIXES), "a").join(side("b", *_PREFIXES), "b")
+        shares = reduce(and_, (F.arrays_overlap(f"{c}_a", f"{c}_b") for c in _PREFIXES))
+        pairs = table(pairs.where(shares).select("a", "b"))
+        drop(near)
         drop(given)
         linked = table(pairs.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(released(_verify(num, den)), "a long, b long"))
         drop(pairs, sets)
