@@ -30,16 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .common import bound_batches, kept, table
+from .common import bound_batches, kept, table, trimmed
 
 #: Words that are broadcast: at most so many, each with its ids.
-HOT = 1 << 18
+HOT = 1 << 17
 #: A longer word is never broadcast.
 HOT_CHARS = 64
 #: Compresses the packed word numbers and the holes' words.
 _ZSTD = pa.Codec("zstd", compression_level=1)
 #: Bytes of texts, and words, that a worker handles at once; a single longer text is handled alone.
-PART_BYTES, PART_WORDS = 4 << 20, 1 << 20
+PART_BYTES, PART_WORDS = 2 << 20, 1 << 18
 
 
 class Rules:
@@ -182,7 +182,7 @@ def _counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     seen.update(_normal(text).split())
                 else:
                     odd.update(r.split(text))
-                if len(seen) + len(odd) > 600_000:
+                if len(seen) + len(odd) > 400_000:
                     yield flush()
         yield flush()
 
@@ -360,16 +360,16 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     rules(path)
     bound_batches(spark)
     texts = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))
-    counted = texts.select("text").mapInArrow(_counts(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = table(counted.mapInArrow(_encode(path), "word string, n long, ids binary"), "zstd")
+    counted = texts.select("text").mapInArrow(trimmed(_counts(path)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = table(counted.mapInArrow(trimmed(_encode(path)), "word string, n long, ids binary"), "zstd")
     top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
     packed_ids, kind, name = top.column("ids").to_pylist(), id_type(path), uuid.uuid4().hex
     known = spark.sparkContext.broadcast((name, "\n".join(top.column("word").to_pylist())))
     known_ids = spark.sparkContext.broadcast((name, np.frombuffer(b"".join(packed_ids), kind), np.array([len(x) // kind.itemsize for x in packed_ids], np.int64)))
     # Both uses below read all columns of `packed`, so that its exchange is made once and used twice. A row's number follows from its place in the input.
     numbered = texts.select(F.monotonically_increasing_id().alias("row_key"), "text", "doc_id")
-    packed = numbered.mapInArrow(_packed(path, known), "row_key long, doc_id long, codes binary, rare binary").repartition("row_key")
-    holes = packed.mapInArrow(_holes, "row_key long, position int, word string")
+    packed = numbered.mapInArrow(trimmed(_packed(path, known)), "row_key long, doc_id long, codes binary, rare binary").repartition("row_key")
+    holes = packed.mapInArrow(trimmed(_holes), "row_key long, position int, word string")
     filled = holes.join(words.select("word", "ids"), "word").groupBy("row_key").agg(F.collect_list(F.struct("position", "ids")).alias("filled"))
     both = packed.join(filled, "row_key", "left").select("doc_id", "codes", "filled", "rare", "row_key")
-    return both.mapInArrow(_assemble(path, known_ids, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return both.mapInArrow(trimmed(_assemble(path, known_ids, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
