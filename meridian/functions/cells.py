@@ -9,7 +9,7 @@ INT = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 #: Texts that stand for a missing value.
-NULL_TOKENS = ("na", "n/a", "null", "none", "nan", "-", "?")
+NULL_TOKENS = ("na", "n/a", "null", "none", "nan", "-", "?", "missing", "nil")
 
 
 def is_blank(c: Column) -> Column:
@@ -21,6 +21,12 @@ def strict_date(c: Column) -> Column:
     return F.when(c.rlike(DATE), F.try_to_date(c, "yyyy-MM-dd"))
 
 
+def worded_date(c: Column) -> Column:
+    """September 1, 2026 or 9/1/2026 as a date; null for days that don't exist."""
+    x = F.trim(c)
+    return F.coalesce(F.when(x.rlike(r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$"), F.try_to_date(x, "MMMM d, yyyy")), F.when(x.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(x, "M/d/yyyy")))
+
+
 def number(c: Column) -> Column:
     """The finite number of a text, else null."""
     x = F.when(c.rlike(FLOAT), c.try_cast("double"))
@@ -34,8 +40,8 @@ def parses_as(c: Column, kind: str) -> Column:
 
 
 def value_shape(c: Column) -> Column:
-    """Letters as A, runs of digits as 9."""
-    return F.regexp_replace(F.regexp_replace(c, "[A-Za-z]", "A"), "[0-9]+", "9")
+    """Runs of letters as A, runs of digits as 9; <blank> for blanks."""
+    return F.when(is_blank(c), "<blank>").otherwise(F.regexp_replace(F.regexp_replace(c, "[A-Za-z]+", "A"), "[0-9]+", "9"))
 
 
 def normalize_key(c: Column) -> Column:
@@ -52,10 +58,10 @@ def out_of_bounds(c: Column, low: float | None, high: float | None) -> Column:
 
 
 def truncation_class(a: Column, b: Column) -> Column:
-    """How two texts differ: identical, case_or_space, truncated, other."""
-    norm = lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))
-    prefix = (b.startswith(a) & (F.length(a) < F.length(b))) | (a.startswith(b) & (F.length(b) < F.length(a)))
-    return F.when(a == b, "identical").when(norm(a) == norm(b), "case_or_space").when(prefix, "truncated").otherwise("other")
+    """How two texts differ: identical, case/whitespace, truncated/extended (the shorter one is filled and begins the longer, whatever the case), other."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    begins = lambda s, t: (F.length(s) > 0) & (F.length(s) < F.length(t)) & t.startswith(s)
+    return F.when(a == b, "identical").when(x == y, "case/whitespace").when(begins(x, y) | begins(y, x), "truncated/extended").otherwise("other")
 
 
 def money(c: Column, scale: int = 2) -> Column:
@@ -78,7 +84,7 @@ def signal(c: Column, band: float = 0.02) -> Column:
 
 def timing(days: Column) -> Column:
     """Class of a signed number of days from a dated record to an event."""
-    return F.when(days.isNull(), None).when(F.abs(days) <= 7, "same week").when(days < 0, "before").otherwise("after")
+    return F.when(days.isNull(), None).when(F.abs(days) <= 7, "same week").when(days < 0, "before earnings").otherwise("after earnings")
 
 
 def corrected_skewness(c: Column) -> Column:
@@ -86,15 +92,36 @@ def corrected_skewness(c: Column) -> Column:
     return F.when(n > 2, F.skewness(c) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's coefficient over rows with both values; null where one of them is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def accounting_number(c: Column) -> Column:
-    """(1,234) is negative, a dash is zero, percentages and texts are null."""
-    x = F.regexp_replace(F.trim(c), r"[$,\s]", "")
-    bare = F.regexp_replace(x, r"[()]", "")
-    value = F.when(bare.isin("-", "—", "–"), 0.0).when(bare.rlike(r"^[0-9]+(\.[0-9]+)?$"), bare.try_cast("double"))
-    return F.when(x.rlike(r"^\(.*\)$"), -value).otherwise(value)
+    """(1,234) and -1,234 are negative, a lone dash is zero; percentages, placeholders and what has no single number are null."""
+    x = F.regexp_replace(c, " ", "")
+    digits = F.regexp_replace(x, r"[^0-9.]", "")
+    value = F.when(digits.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)$"), digits.try_cast("double"))
+    negative = x.contains("(") | x.rlike(r"^\$*-")
+    none = x.contains("%") | F.lower(x).isin("n/a", "na", "nm", "n.m.")
+    return F.when(x.isin("-", "--"), 0.0).when(none, None).when(negative, -value).otherwise(value)
+
+
+#: Phrases that state a table's unit, and what turns it into millions.
+UNITS = ((r"in millions|\$\s*mm\b|\$\s*millions|millions of (u\.s\. )?dollars", 1.0), (r"in thousands|\$\s*000s?\b|thousands of (u\.s\. )?dollars", 0.001), (r"in billions|\$\s*billions|billions of (u\.s\. )?dollars", 1000.0))
 
 
 def scale_to_millions(c: Column) -> Column:
-    """The factor of the first unit word of a text."""
-    unit = F.regexp_extract(F.lower(c), r"in (thousand|million|billion)s", 1)
-    return F.when(unit == "thousand", 0.001).when(unit == "million", 1.0).when(unit == "billion", 1000.0)
+    """The factor of the first unit phrase of a text; null if there is none."""
+    low = F.lower(c)
+    at = [F.length(F.regexp_extract(low, f"(?s)^(.*?)(?:{p})", 1)) for p, _ in UNITS]
+    places = [F.when(low.rlike(p), n) for (p, _), n in zip(UNITS, at, strict=True)]
+    first = F.least(*places)
+    out = F.lit(None).cast("double")
+    for (_, factor), place in zip(reversed(UNITS), reversed(places), strict=True):
+        out = F.when(place == first, factor).otherwise(out)
+    return out
+
+

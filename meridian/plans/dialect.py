@@ -86,6 +86,10 @@ class _Spark(Dialect):
     def quantile(self, x: str, q: float) -> str:
         return f"percentile({x}, {q})"
 
+    def fan(self, source: str, names: str, rows: list[tuple[str, ...]]) -> str:
+        """A row of each tuple for every row of the source, which is read once."""
+        return f"SELECT stack({len(rows)}, {', '.join(x for r in rows for x in r)}) AS ({names}) FROM {source}"
+
     def joined(self, x: str, by: str, order: str) -> str:
         return f"listagg({x}, '{by}') WITHIN GROUP (ORDER BY {order})"
 
@@ -93,6 +97,10 @@ class _Spark(Dialect):
         """Months from a to b, both firsts of months."""
         return f"CAST(months_between({b}, {a}) AS BIGINT)"
 
+    def days(self, a: str, b: str) -> str:
+        """Days from a to b."""
+        return f"datediff({b}, {a})"
+
     def day_name(self, d: str) -> str:
         return f"date_format({d}, 'EEEE')"
 
@@ -116,12 +124,19 @@ class _Duck(Dialect):
     def quantile(self, x: str, q: float) -> str:
         return f"quantile_cont({x}, {q})"
 
+    def fan(self, source: str, names: str, rows: list[tuple[str, ...]]) -> str:
+        structs = ", ".join("{" + ", ".join(f"'{n}': {x}" for n, x in zip(names.split(", "), r, strict=True)) + "}" for r in rows)
+        return f"SELECT unnest([{structs}], recursive := true) FROM {source}"
+
     def joined(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, '{by}' ORDER BY {order})"
 
     def months(self, a: str, b: str) -> str:
         return f"CAST(date_diff('month', {a}, {b}) AS BIGINT)"
 
+    def days(self, a: str, b: str) -> str:
+        return f"date_diff('day', {a}, {b})"
+
     def day_name(self, d: str) -> str:
         return f"dayname({d})"
 

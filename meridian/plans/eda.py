@@ -12,13 +12,13 @@ TYPE = "concat(l_returnflag, l_linestatus)"
 
 
 @query("""WITH v AS (SELECT nullif(l_quantity, 1) AS l_quantity, nullif(l_returnflag, 'R') AS l_returnflag, CASE WHEN l_linenumber > 5 THEN NULL ELSE l_linenumber END AS l_linenumber FROM lineitem)
-SELECT 'l_quantity' AS column_name, count(*) AS n_rows, count(*) - count(l_quantity) AS n_null, round(100.0 * (count(*) - count(l_quantity)) / count(*), 4) AS pct_null FROM v
-UNION ALL SELECT 'l_returnflag', count(*), count(*) - count(l_returnflag), round(100.0 * (count(*) - count(l_returnflag)) / count(*), 4) FROM v
-UNION ALL SELECT 'l_linenumber', count(*), count(*) - count(l_linenumber), round(100.0 * (count(*) - count(l_linenumber)) / count(*), 4) FROM v""")
+SELECT 'l_quantity' AS column_name, count(*) AS n_rows, count(*) - count(l_quantity) AS n_null, round(100.0 * (count(*) - count(l_quantity)) / nullif(count(*), 0), 4) AS pct_null FROM v
+UNION ALL SELECT 'l_returnflag', count(*), count(*) - count(l_returnflag), round(100.0 * (count(*) - count(l_returnflag)) / nullif(count(*), 0), 4) FROM v
+UNION ALL SELECT 'l_linenumber', count(*), count(*) - count(l_linenumber), round(100.0 * (count(*) - count(l_linenumber)) / nullif(count(*), 0), 4) FROM v""")
 def ag01_null_profile(spark, sf_dir) -> DataFrame:
     v = read(spark, sf_dir, "lineitem").select(F.nullif("l_quantity", F.lit(1.0)).alias("l_quantity"), F.nullif("l_returnflag", F.lit("R")).alias("l_returnflag"), F.when(F.col("l_linenumber") <= 5, F.col("l_linenumber")).alias("l_linenumber"))
     one = v.agg(F.count("*").alias("n"), *(F.count(c).alias(c) for c in v.columns))
-    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(c)).alias("n_null"), F.round(100.0 * (F.col("n") - F.col(c)) / F.col("n"), 4).alias("pct_null")) for c in v.columns))
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(c)).alias("n_null"), F.round(100 * cells.divide(F.col("n") - F.col(c), F.col("n")), 4).alias("pct_null")) for c in v.columns))
     return one.select(F.inline(rows))
 
 
@@ -38,10 +38,10 @@ def ag03_value_counts(spark, sf_dir) -> DataFrame:
     return g.select("txn_type", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("pct"), F.row_number().over(Window.orderBy(F.desc("n"), "txn_type")).alias("place"))
 
 
-@query("""SELECT count(DISTINCT o_custkey) AS n_customers, count(DISTINCT p) AS n_priorities, count(DISTINCT p) + max(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS n_with_null FROM (SELECT o_custkey, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)""")
+@query("""SELECT count(DISTINCT o_custkey) AS n_customers, count(DISTINCT p) AS n_priorities, count(DISTINCT p) + coalesce(max(CASE WHEN p IS NULL THEN 1 ELSE 0 END), 0) AS n_with_null FROM (SELECT o_custkey, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)""")
 def ag04_distincts(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_custkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("p"))
-    return o.agg(F.countDistinct("o_custkey").alias("n_customers"), F.countDistinct("p").alias("n_priorities"), (F.countDistinct("p") + F.max(F.col("p").isNull().cast("long"))).alias("n_with_null"))
+    return o.agg(F.countDistinct("o_custkey").alias("n_customers"), F.countDistinct("p").alias("n_priorities"), (F.countDistinct("p") + F.coalesce(F.max(F.col("p").isNull().cast("long")), F.lit(0))).alias("n_with_null"))
 
 
 @query("""WITH t AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'not a date' WHEN o_orderkey % 11 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS s FROM orders),
@@ -54,10 +54,10 @@ def ag06_date_range(spark, sf_dir) -> DataFrame:
     return t.select(d.alias("d")).agg(F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.count_if(F.col("d").isNull()).alias("n_unparsed"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY 1, 2) SELECT CAST(sum(c - 1) AS BIGINT) AS n_extra, count(*) FILTER (c > 1) AS n_repeating_keys, count(*) AS n_keys FROM g""")
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY 1, 2) SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_extra, count(*) FILTER (c > 1) AS n_repeating_keys, count(*) AS n_keys FROM g""")
 def ag07_dup_counts(spark, sf_dir) -> DataFrame:
     g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c"))
-    return g.agg(F.sum(F.col("c") - 1).alias("n_extra"), F.count_if(F.col("c") > 1).alias("n_repeating_keys"), F.count("*").alias("n_keys"))
+    return g.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("n_extra"), F.count_if(F.col("c") > 1).alias("n_repeating_keys"), F.count("*").alias("n_keys"))
 
 
 @query("SELECT round(avg(l_extendedprice), 6) AS mean, round(median(l_extendedprice), 6) AS middle, round(skewness(l_extendedprice), 6) AS skew FROM lineitem")
@@ -77,7 +77,7 @@ u AS (SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, a AS r FROM c UNION ALL
 SELECT x, y, round(r, 6) AS r, CAST(row_number() OVER (ORDER BY abs(r) DESC, x, y) AS INTEGER) AS place FROM u""")
 def ag10_corr_pairs(spark, sf_dir) -> DataFrame:
     pairs = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
-    one = read(spark, sf_dir, "lineitem").agg(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.corr(x, y).alias("r")) for x, y in pairs)).alias("p"))
+    one = read(spark, sf_dir, "lineitem").agg(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), cells.correlation(F.col(x), F.col(y)).alias("r")) for x, y in pairs)).alias("p"))
     return one.select(F.inline("p")).select("x", "y", F.round("r", 6).alias("r"), F.row_number().over(Window.orderBy(F.desc(F.abs("r")), "x", "y")).alias("place"))
 
 
@@ -108,12 +108,12 @@ def ag14_iqr_fences(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS k FROM c)
-SELECT p_brand, string_agg(p_size || ' (' || n || ')', ', ' ORDER BY k) AS top_sizes FROM r WHERE k <= 5 GROUP BY 1""")
+SELECT p_brand, string_agg('''' || p_size || ''':' || n, '; ' ORDER BY k) AS top_sizes FROM r WHERE k <= 5 GROUP BY 1""")
 def ag16_topn_text(spark, sf_dir) -> DataFrame:
     c = read(spark, sf_dir, "part", "p_brand", "p_size").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
     r = c.withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_size"))).where("k <= 5")
-    items = F.array_sort(F.collect_list(F.struct("k", F.concat("p_size", F.lit(" ("), "n", F.lit(")")).alias("t"))))
-    return r.groupBy("p_brand").agg(F.array_join(F.transform(items, lambda x: x["t"]), ", ").alias("top_sizes"))
+    items = F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("'"), "p_size", F.lit("':"), "n").alias("t"))))
+    return r.groupBy("p_brand").agg(F.array_join(F.transform(items, lambda x: x["t"]), "; ").alias("top_sizes"))
 
 
 @query("""WITH c AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, p_brand) AS k, count(*) OVER (PARTITION BY p_type) AS n_values FROM c)
@@ -140,9 +140,9 @@ def ag20_pivot(spark, sf_dir) -> DataFrame:
     return d.groupBy("event_type").pivot("day", _DAYS).count().na.fill(0)
 
 
-@query("""SELECT p_type, concat_ws(',', CASE WHEN count(DISTINCT p_brand) > 1 THEN 'p_brand' END, CASE WHEN count(DISTINCT p_size) > 1 THEN 'p_size' END, CASE WHEN count(DISTINCT p_name) > 1 THEN 'p_name' END) AS differing, bool_and(p_retailprice > 0) AS all_priced, bool_or(p_size > 45) AS any_large FROM part GROUP BY 1""")
+@query("""SELECT p_type, concat_ws('+', CASE WHEN count(DISTINCT p_brand) > 1 THEN 'p_brand' END, CASE WHEN count(DISTINCT p_size) > 1 THEN 'p_size' END, CASE WHEN count(DISTINCT p_name) > 1 THEN 'p_name' END) AS differing, bool_and(p_retailprice > 0) AS all_priced, bool_or(p_size > 45) AS any_large FROM part GROUP BY 1""")
 def ag22_differing_attrs(spark, sf_dir) -> DataFrame:
-    differs = F.concat_ws(",", *(F.when(F.min(c) < F.max(c), c) for c in ("p_brand", "p_size", "p_name")))
+    differs = F.concat_ws("+", *(F.when(F.min(c) < F.max(c), c) for c in ("p_brand", "p_size", "p_name")))
     return read(spark, sf_dir, "part").groupBy("p_type").agg(differs.alias("differing"), F.bool_and(F.col("p_retailprice") > 0).alias("all_priced"), F.bool_or(F.col("p_size") > 45).alias("any_large"))
 
 
@@ -174,26 +174,14 @@ def prd_parse_kinds(spark, sf_dir) -> DataFrame:
     return t.select("s", cells.is_blank(s).alias("blank"), *(cells.parses_as(s, k).alias(f"is_{k}") for k in ("int", "float", "date", "bool")), cells.number(s).alias("num"))
 
 
-@query("""WITH t AS (SELECT 'l_quantity' AS c, CASE WHEN l_linenumber = 7 THEN 'junk' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS s FROM lineitem UNION ALL SELECT 'l_shipdate', strftime(l_shipdate, '%Y-%m-%d') FROM lineitem UNION ALL SELECT 'l_returnflag', l_returnflag FROM lineitem),
-k AS (SELECT c, avg(CASE WHEN regexp_full_match(s, '[+-]?[0-9]+') THEN 1.0 ELSE 0 END) AS i, avg(CASE WHEN regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 1.0 ELSE 0 END) AS d FROM t GROUP BY 1)
-SELECT c AS column_name, CASE WHEN greatest(i, d) < 0.5 THEN 'str' WHEN i >= d THEN 'int' ELSE 'date' END AS kind, round(greatest(i, d), 6) AS share FROM k""")
-def prd_infer_type(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "lineitem", "l_quantity", "l_linenumber", "l_shipdate", "l_returnflag")
-    t = d.select(F.when(F.col("l_linenumber") == 7, "junk").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("l_quantity"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"), "l_returnflag")
-    share = lambda c, k: F.avg(cells.parses_as(F.col(c), k).cast("double"))
-    one = t.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), share(c, "int").alias("i"), share(c, "date").alias("d")) for c in t.columns)).alias("x")).select(F.inline("x"))
-    best = F.greatest("i", "d")
-    return one.select("column_name", F.when(best < 0.5, "str").when(F.col("i") >= F.col("d"), "int").otherwise("date").alias("kind"), F.round(best, 6).alias("share"))
-
-
-@query("SELECT regexp_replace(regexp_replace(c_name, '[A-Za-z]', 'A', 'g'), '[0-9]+', '9', 'g') AS shape, count(*) AS n, count(DISTINCT lower(c_name)) AS n_values, count(*) FILTER (regexp_matches(c_name, '[eE]')) AS n_scientific_letters FROM customer GROUP BY 1")
+@query("SELECT regexp_replace(regexp_replace(c_name, '[A-Za-z]+', 'A', 'g'), '[0-9]+', '9', 'g') AS shape, count(*) AS n, count(DISTINCT lower(c_name)) AS n_values FROM customer GROUP BY 1")
 def prd_shapes(spark, sf_dir) -> DataFrame:
     d = read(spark, sf_dir, "customer", "c_name")
-    return d.groupBy(cells.value_shape(F.col("c_name")).alias("shape")).agg(F.count("*").alias("n"), F.countDistinct(F.lower("c_name")).alias("n_values"), F.count_if(F.col("c_name").rlike("[eE]")).alias("n_scientific_letters"))
+    return d.groupBy(cells.value_shape(F.col("c_name")).alias("shape")).agg(F.count("*").alias("n"), F.countDistinct(F.lower("c_name")).alias("n_values"))
 
 
 @query("""WITH t AS (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN ' none ' WHEN 2 THEN upper(o_orderstatus) || ' ' ELSE o_orderstatus END AS s FROM orders)
-SELECT count(*) FILTER (lower(trim(s)) IN ('na', 'n/a', 'null', 'none', 'nan', '-', '?')) AS n_tokens, count(*) FILTER (s IN ('F', 'O')) AS n_exact, count(*) FILTER (s NOT IN ('F', 'O') AND lower(trim(s)) IN ('f', 'o')) AS n_near, count(*) FILTER (s NOT IN ('F', 'O')) AS n_other FROM t""")
+SELECT count(*) FILTER (lower(trim(s)) IN ('na', 'n/a', 'null', 'none', 'nan', '-', '?', 'missing', 'nil')) AS n_tokens, count(*) FILTER (s IN ('F', 'O')) AS n_exact, count(*) FILTER (s NOT IN ('F', 'O') AND lower(trim(s)) IN ('f', 'o')) AS n_near, count(*) FILTER (s NOT IN ('F', 'O')) AS n_other FROM t""")
 def prd_tokens_allowed(spark, sf_dir) -> DataFrame:
     i = F.col("o_orderkey") % 6
     t = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select(F.when(i == 0, "N/A").when(i == 1, " none ").when(i == 2, F.concat(F.upper("o_orderstatus"), F.lit(" "))).otherwise(F.col("o_orderstatus")).alias("s"))

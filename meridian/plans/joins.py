@@ -57,7 +57,7 @@ def jn07_client_month(spark, sf_dir) -> DataFrame:
 
 @query("""WITH s AS (SELECT DISTINCT o_custkey AS client, CAST(l_shipdate AS DATE) AS ship FROM lineitem JOIN orders ON l_orderkey = o_orderkey), o AS (SELECT DISTINCT o_custkey AS client, CAST(o_orderdate AS DATE) AS d FROM orders),
 r AS (SELECT s.client, ship, d, row_number() OVER (PARTITION BY s.client, ship ORDER BY abs(date_diff('day', d, ship)), d) AS k FROM s JOIN o ON s.client = o.client)
-SELECT client, ship, d AS nearest_order, CAST(date_diff('day', d, ship) AS INTEGER) AS days, CASE WHEN abs(date_diff('day', d, ship)) <= 7 THEN 'same week' WHEN d > ship THEN 'before' ELSE 'after' END AS timing FROM r WHERE k = 1""", dates=("ship", "nearest_order"))
+SELECT client, ship, d AS nearest_order, CAST(date_diff('day', d, ship) AS INTEGER) AS days, CASE WHEN abs(date_diff('day', d, ship)) <= 7 THEN 'same week' WHEN d > ship THEN 'before earnings' ELSE 'after earnings' END AS timing FROM r WHERE k = 1""", dates=("ship", "nearest_order"))
 def jn09_nearest(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     ships = read(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("client"), F.to_date("l_shipdate").alias("ship")).distinct()
@@ -77,7 +77,7 @@ def jn10_prior_month(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_brand, p_type, p_size, p_partkey, p_name FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_name = b.p_name THEN 'identical' WHEN lower(regexp_replace(a.p_name, '\\s+', '', 'g')) = lower(regexp_replace(b.p_name, '\\s+', '', 'g')) THEN 'case_or_space' WHEN (starts_with(b.p_name, a.p_name) AND length(a.p_name) < length(b.p_name)) OR (starts_with(a.p_name, b.p_name) AND length(b.p_name) < length(a.p_name)) THEN 'truncated' ELSE 'other' END AS difference
+SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_name = b.p_name THEN 'identical' WHEN lower(trim(a.p_name)) = lower(trim(b.p_name)) THEN 'case/whitespace' WHEN trim(a.p_name) <> '' AND trim(b.p_name) <> '' AND (starts_with(lower(trim(b.p_name)), lower(trim(a.p_name))) OR starts_with(lower(trim(a.p_name)), lower(trim(b.p_name)))) THEN 'truncated/extended' ELSE 'other' END AS difference
 FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def jn11_near_dups(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part", "p_brand", "p_type", "p_size", "p_partkey", "p_name")
@@ -95,7 +95,7 @@ def jn12_guarded(spark, sf_dir) -> DataFrame:
     valid = cells.parses_as(F.col("k"), "int")
     keyed = keys.withColumn("p_partkey", F.when(valid, F.col("k").try_cast("long")))
     parts = rel.assert_unique(read(spark, sf_dir, "part", "p_partkey", "p_size"), ["p_partkey"]).where("p_size > 10").select("p_partkey", F.lit(1).alias("found"))
-    return keyed.join(parts, "p_partkey", "left").agg(F.sum(F.when(~valid, F.col("n")).otherwise(0)).alias("n_excluded"), F.sum(F.when(valid, F.col("n")).otherwise(0)).alias("n_joined"), F.sum(F.when(F.col("found") == 1, F.col("n")).otherwise(0)).alias("n_matched"))
+    return keyed.join(parts, "p_partkey", "left").agg(F.coalesce(F.sum(F.when(~valid, F.col("n")).otherwise(0)), F.lit(0)).cast("long").alias("n_excluded"), F.coalesce(F.sum(F.when(valid, F.col("n")).otherwise(0)), F.lit(0)).cast("long").alias("n_joined"), F.coalesce(F.sum(F.when(F.col("found") == 1, F.col("n")).otherwise(0)), F.lit(0)).cast("long").alias("n_matched"))
 
 
 @query("""SELECT c_custkey, 'c_acctbal' AS column_name, CAST(CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS old_value, CAST(-CAST(c_acctbal AS DECIMAL(18, 2)) AS VARCHAR) AS new_value FROM customer WHERE c_acctbal < 0
@@ -106,10 +106,10 @@ def jn14_cell_diff(spark, sf_dir) -> DataFrame:
     return rel.cell_diff(c, after, "c_custkey", ["c_name", "c_acctbal", "c_mktsegment"])
 
 
-@query("""WITH g AS (SELECT l_orderkey, min(l_linenumber) AS first_line, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1) SELECT count(*) AS n_keys, count(*) FILTER (n_suppliers > 1) AS n_conflicts, CAST(sum(first_line) AS BIGINT) AS sum_first FROM g""")
+@query("""WITH g AS (SELECT l_orderkey, min(l_linenumber) AS first_line, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1) SELECT count(*) AS n_keys, count(*) FILTER (n_suppliers > 1) AS n_conflicts, CAST(coalesce(sum(first_line), 0) AS BIGINT) AS sum_first FROM g""")
 def jn15_lookup(spark, sf_dir) -> DataFrame:
     g = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_line"), (F.min("l_suppkey") < F.max("l_suppkey")).alias("conflict"))
-    return g.agg(F.count("*").alias("n_keys"), F.count_if("conflict").alias("n_conflicts"), F.sum("first_line").alias("sum_first"))
+    return g.agg(F.count("*").alias("n_keys"), F.count_if("conflict").alias("n_conflicts"), F.coalesce(F.sum("first_line"), F.lit(0)).cast("long").alias("sum_first"))
 
 
 @query("""WITH last AS (SELECT o_custkey, max(date_trunc('month', o_orderdate)) AS m FROM orders GROUP BY 1) SELECT o.o_custkey AS client, count(*) AS n_late FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN last ON last.o_custkey = o.o_custkey WHERE date_trunc('month', l_shipdate) > m GROUP BY 1""")

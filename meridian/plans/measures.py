@@ -70,56 +70,6 @@ def dq_profile_columns(spark, sf_dir) -> DataFrame:
     return one.select(F.inline("x"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN l_partkey || '.0' ELSE CAST(l_partkey AS VARCHAR) END AS sec, CASE WHEN l_quantity = 13 THEN -l_quantity ELSE l_quantity END AS shares, l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 45) AS known FROM lineitem)
-SELECT count(*) AS n_raw, count(*) FILTER (NOT known) AS n_quarantined, count(*) FILTER (known AND regexp_matches(sec, '^[0-9]+\\.0+$')) AS n_ids_fixed, count(*) FILTER (known AND shares < 0) AS n_signs_fixed, count(*) FILTER (known) AS n_clean FROM t""")
-def cl_clean_counts(spark, sf_dir) -> DataFrame:
-    k = F.col("l_partkey")
-    t = read(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").select(k, F.when(k % 5 == 0, F.concat(k, F.lit(".0"))).otherwise(k.cast("string")).alias("sec"), F.when(F.col("l_quantity") == 13, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("shares"))
-    parts = read(spark, sf_dir, "part", "p_partkey", "p_size").where("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"))
-    d = t.join(parts, "l_partkey", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    fixed = cells.normalize_key(F.col("sec")) != F.col("sec")
-    return d.agg(F.count("*").alias("n_raw"), F.count_if(~F.col("known")).alias("n_quarantined"), F.count_if(F.col("known") & fixed).alias("n_ids_fixed"), F.count_if(F.col("known") & (F.col("shares") < 0)).alias("n_signs_fixed"), F.count_if("known").alias("n_clean"))
-
-
-# Measures: one row per slice (label, first and last day, segment) and shift in months; facts meet the slices once.
-_SLICES = [("Grand Total", None, None, None)] + [(str(y), f"{y}-01-01", f"{y}-12-31", None) for y in range(1996, 2001)] + [(f"2000 {s}", "2000-01-01", "2000-12-31", s) for s in ("BUILDING", "MACHINERY", "AUTOMOBILE")] + [("Dec 2000", "2000-12-01", "2000-12-31", None), ("1900", "1900-01-01", "1900-12-31", None)]
-_SLICE_SQL = "slices(label, d1, d2, seg) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"DATE '{v}'" if i in (1, 2) else f"'{v}'" for i, v in enumerate(s)) + ")" for s in _SLICES) + ")"
-_GRID = f"""WITH {_SLICE_SQL},
-bal AS (SELECT o_custkey AS client, c_mktsegment AS seg, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS aum FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
-fee AS (SELECT c_mktsegment AS seg, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, sum(CAST(l_extendedprice * l_discount AS DECIMAL(18, 4))) AS fees FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-sh AS (SELECT label, seg, s, CAST(d1 - to_months(s) AS DATE) AS d1, CASE WHEN d2 IS NULL THEN NULL ELSE last_day(CAST(d2 - to_months(s) AS DATE)) END AS d2 FROM slices, (VALUES (0), (12), (1)) v(s)),
-x AS (SELECT label, s, b.d, sum(aum) AS aum, count(DISTINCT client) AS clients FROM sh JOIN bal b ON (sh.d1 IS NULL OR b.d BETWEEN sh.d1 AND sh.d2) AND (sh.seg IS NULL OR sh.seg = b.seg) WHERE sh.s = 0 OR sh.d1 IS NOT NULL GROUP BY 1, 2, 3),
-e AS (SELECT label, s, arg_max(aum, d) AS ending, arg_max(clients, d) AS clients, sum(aum) AS naive, count(*) AS months FROM x GROUP BY 1, 2),
-f AS (SELECT label, sum(fees) AS fees FROM slices JOIN fee ON (d1 IS NULL OR fee.d BETWEEN d1 AND d2) AND (slices.seg IS NULL OR slices.seg = fee.seg) GROUP BY 1)
-SELECT l.label, round(CAST(f.fees AS DOUBLE), 2) AS total_fees, round(CAST(n.naive AS DOUBLE), 2) AS aum_naive, round(CAST(n.ending AS DOUBLE), 2) AS ending_aum, n.clients AS ending_clients, round(CAST(n.ending AS DOUBLE) / n.clients, 2) AS avg_aum, round(CAST(y.ending AS DOUBLE), 2) AS ending_ly,
-round((CAST(n.ending AS DOUBLE) - CAST(y.ending AS DOUBLE)) / nullif(CAST(y.ending AS DOUBLE), 0), 6) AS yoy, round(CAST(p.ending AS DOUBLE), 2) AS ending_pm, round((CAST(n.ending AS DOUBLE) - CAST(p.ending AS DOUBLE)) / nullif(CAST(p.ending AS DOUBLE), 0), 6) AS mom, round(CAST(n.naive AS DOUBLE) / n.months, 2) AS avg_monthly_aum, round(CAST(f.fees AS DOUBLE) * 120000 / nullif(CAST(n.naive AS DOUBLE), 0), 6) AS fee_yield_bps
-FROM slices l LEFT JOIN e n ON n.label = l.label AND n.s = 0 LEFT JOIN e y ON y.label = l.label AND y.s = 12 LEFT JOIN e p ON p.label = l.label AND p.s = 1 LEFT JOIN f ON f.label = l.label"""
-
-
-@query(_GRID)
-def ms_measure_grid(spark, sf_dir) -> DataFrame:
-    slices = spark.createDataFrame(_SLICES, "label string, d1 string, d2 string, seg string").select("label", F.to_date("d1").alias("d1"), F.to_date("d2").alias("d2"), "seg")
-    shifts = spark.createDataFrame([(0,), (12,), (1,)], "s int")
-    shifted = slices.crossJoin(shifts).where("s = 0 or d1 is not null").select("label", "seg", "s", F.add_months("d1", -F.col("s")).alias("d1"), F.last_day(F.add_months("d2", -F.col("s"))).alias("d2"))
-    segment = read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    bal = o.groupBy("o_custkey", F.trunc("o_orderdate", "MM").alias("d")).agg(F.sum(cells.money(F.col("o_totalprice"))).alias("aum"))
-    # Facts first shrink to (segment, month): a client has one row a month, so clients of a month are counted, not told apart.
-    bal = bal.join(segment, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("fseg"), "d").agg(F.sum("aum").alias("aum"), F.count("*").alias("clients"))
-    owner = o.select("o_orderkey", "o_custkey").join(segment, F.col("o_custkey") == F.col("c_custkey"))
-    fee = read(spark, sf_dir, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice", "l_discount").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("c_mktsegment").alias("fseg"), F.trunc("l_shipdate", "MM").alias("d")).agg(F.sum(cells.money(F.col("l_extendedprice") * F.col("l_discount"), 4)).alias("fees"))
-    inside = lambda: (F.col("d1").isNull() | F.col("d").between(F.col("d1"), F.col("d2"))) & (F.col("seg").isNull() | (F.col("seg") == F.col("fseg")))
-    by_day = bal.join(F.broadcast(shifted), inside()).groupBy("label", "s", "d").agg(F.sum("aum").alias("aum"), F.sum("clients").alias("clients"))
-    ends = by_day.groupBy("label", "s").agg(F.max_by(F.struct("aum", "clients"), "d").alias("at"), F.sum("aum").alias("naive"), F.count("*").alias("months"))
-    wide = ends.groupBy("label").agg(*(F.max(F.when(F.col("s") == s, F.col(c))).alias(n) for n, s, c in (("ending", 0, "at.aum"), ("clients", 0, "at.clients"), ("naive", 0, "naive"), ("months", 0, "months"), ("ly", 12, "at.aum"), ("pm", 1, "at.aum"))))
-    fees = fee.join(F.broadcast(slices), inside()).groupBy("label").agg(F.sum("fees").alias("fees"))
-    d = slices.select("label").join(wide, "label", "left").join(fees, "label", "left")
-    x = lambda c: F.col(c).cast("double")
-    money = lambda c, n: F.round(c, 2).alias(n)
-    ratio = lambda a, b, n: F.round(cells.divide(a, b), 6).alias(n)
-    return d.select("label", money(x("fees"), "total_fees"), money(x("naive"), "aum_naive"), money(x("ending"), "ending_aum"), F.col("clients").alias("ending_clients"), money(cells.divide(x("ending"), x("clients")), "avg_aum"), money(x("ly"), "ending_ly"), ratio(x("ending") - x("ly"), x("ly"), "yoy"), money(x("pm"), "ending_pm"), ratio(x("ending") - x("pm"), x("pm"), "mom"), money(cells.divide(x("naive"), x("months")), "avg_monthly_aum"), ratio(x("fees") * 120000, x("naive"), "fee_yield_bps"))
-
-
 @query("""WITH b AS (SELECT user_id, CAST(ts AS DATE) AS d, arg_max(value, (ts, event_id)) AS balance FROM events GROUP BY 1, 2),
 s AS (SELECT c_mktsegment AS segment, CAST(date_trunc('week', d) AS DATE) AS week, d, balance, user_id FROM b JOIN customer ON user_id = c_custkey),
 l AS (SELECT *, max(d) OVER (PARTITION BY segment, week) AS last_day FROM s)
@@ -141,37 +91,3 @@ def sl02_top10_share(spark, sf_dir) -> DataFrame:
     b = b.join(read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("c_mktsegment", "segment")
     r = b.withColumn("k", F.row_number().over(Window.partitionBy("segment", "year").orderBy(F.desc("t"), "o_custkey")))
     return r.groupBy("segment", "year").agg(F.round(cells.divide(F.sum(F.when(F.col("k") <= 10, F.col("t"))), F.sum("t")), 6).alias("top10_share"))
-
-
-_BOUNDS = [(1, 0.02), (2, -0.02), (3, 0.019999), (4, -0.019999), (5, 0.0), (6, None), (7, 0.5), (8, -3.0)]
-
-
-@query("WITH v(id, a) AS (VALUES " + ", ".join(f"({i}, {'NULL' if a is None else a})" for i, a in _BOUNDS) + ") SELECT CAST(id AS BIGINT) AS id, CASE WHEN a IS NULL THEN NULL WHEN a >= 0.02 THEN 'Outperforming' WHEN a <= -0.02 THEN 'Lagging' ELSE 'In line' END AS signal, CAST(a / nullif(id - 5, 0) AS DOUBLE) AS ratio FROM v")
-def ms_signal_bounds(spark, sf_dir) -> DataFrame:
-    v = spark.createDataFrame(_BOUNDS, "id long, a double")
-    return v.select("id", cells.signal(F.col("a")).alias("signal"), cells.divide(F.col("a"), F.col("id") - 5).alias("ratio"))
-
-
-_CELLS = [("m1", 10.0, 10.004), ("m2", None, None), ("m3", None, 0.0), ("m4", 5.0, 5.02), ("m5", 0.0, 0.0)]
-
-
-@query("WITH v(measure, a, b) AS (VALUES " + ", ".join(f"('{m}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for m, a, b in _CELLS) + ") SELECT measure, round(CAST(abs(a - b) AS DOUBLE), 6) AS abs_diff, CASE WHEN a IS NULL AND b IS NULL THEN true ELSE coalesce(abs(a - b) <= 0.01, false) END AS matches FROM v")
-def ms_compare(spark, sf_dir) -> DataFrame:
-    v = spark.createDataFrame(_CELLS, "measure string, a double, b double")
-    gap = F.abs(F.col("a") - F.col("b"))
-    return v.select("measure", F.round(gap, 6).alias("abs_diff"), (F.col("a").isNull() & F.col("b").isNull() | F.coalesce(gap <= 0.01, F.lit(False))).alias("matches"))
-
-
-_TEXTS = [(1, "(1,234)"), (2, "$ 5,678.90"), (3, "-"), (4, "12%"), (5, "n.a."), (6, "( 7 )"), (7, ""), (8, None)]
-
-
-@query("WITH v(id, s) AS (VALUES " + ", ".join(f"({i}, {'NULL' if s is None else repr(s)})" for i, s in _TEXTS) + """), x AS (SELECT id, regexp_replace(trim(s), '[$,\\s]', '', 'g') AS s FROM v), y AS (SELECT id, s, regexp_replace(s, '[()]', '', 'g') AS b FROM x)
-SELECT CAST(id AS BIGINT) AS id, (CASE WHEN regexp_full_match(s, '\\(.*\\)') THEN -1 ELSE 1 END) * CASE WHEN b = '-' THEN CAST(0 AS DOUBLE) WHEN regexp_full_match(b, '[0-9]+(\\.[0-9]+)?') THEN CAST(b AS DOUBLE) END AS amount FROM y""")
-def txt_amounts(spark, sf_dir) -> DataFrame:
-    v = spark.createDataFrame(_TEXTS, "id long, s string")
-    return v.select("id", cells.accounting_number(F.col("s")).alias("amount"))
-
-
-@query("""SELECT page_id, CAST(length(html) AS BIGINT) AS n_html, length(t) - length(replace(t, '<p', '')) >= 2 AS has_paragraph FROM (SELECT page_id, html, lower(html) AS t FROM pages)""")
-def txt_page_profile(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.length("html").cast("long").alias("n_html"), F.lower("html").contains("<p").alias("has_paragraph"))

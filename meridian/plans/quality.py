@@ -92,8 +92,8 @@ def _rules(d: Dialect, stage: str, table: str, name: str) -> str:
     for i, (rule, kind_of, kind, applies, ready, ok) in enumerate(rules_of(d, table)):
         a, r, p = f"coalesce({applies}, false)", f"coalesce({ready}, false)", f"coalesce({ok}, false)"
         counts += [f"{d.if_(f'NOT {a}')} AS a{i}", f"{d.if_(f'{a} AND NOT {r}')} AS b{i}", f"{d.if_(f'{a} AND {r} AND {p}')} AS c{i}", f"{d.if_(f'{a} AND {r} AND NOT {p}')} AS d{i}"]
-        rows.append(f"SELECT '{stage}' AS stage, '{table}' AS table_name, '{rule}' AS rule, '{kind_of}' AS rule_class, '{kind}' AS kind, n AS n_rows, a{i} AS not_applicable, b{i} AS unassessable, c{i} AS passed, d{i} AS failed FROM one")
-    out = [f"SELECT {_COLUMNS} FROM (WITH one AS (SELECT {', '.join(counts)} FROM {name}) {UNION.join(rows)}) r"] if rows else []
+        rows.append((*(f"'{x}'" for x in (stage, table, rule, kind_of, kind)), "n", f"a{i}", f"b{i}", f"c{i}", f"d{i}"))
+    out = [d.fan(f"(SELECT {', '.join(counts)} FROM {name}) one", _COLUMNS, rows)] if rows else []
     for key in SPECS[table].keys:
         blank = " OR ".join(d.blank(c) for c in key)
         groups = f"SELECT CASE WHEN {blank} THEN 0 ELSE 1 END AS ready, count(*) AS m FROM {name} GROUP BY {', '.join(key)}"
