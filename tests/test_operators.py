@@ -45,7 +45,7 @@ def test_cardinality_is_checked(spark):
     left, right = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
     assert sorted((r.k, r.v, r.hit) for r in rel.many_to_one(left, right, ["k"], found="hit").collect() if r.k == 1) == [(1, "x", True)] * 2
     with pytest.raises(PySparkException, match="keys repeat"):
-        rel.many_to_one(right, left, ["k"]).collect()
+        rel.many_to_one(right, left.withColumn("w", F.lit(1)), ["k"]).collect()
 
 
 def test_integrity_differences_and_proofs(spark):
