@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
+from ..operators.quantiles import exact_quantiles
 from .registry import query, read
 
 TYPE = "concat(l_returnflag, l_linestatus)"
@@ -28,8 +29,10 @@ _DESCRIBE = "SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS
 @query(" UNION ALL ".join(_DESCRIBE.format(c=c) for c in ("l_quantity", "l_extendedprice")))
 def ag02_describe(spark, sf_dir) -> DataFrame:
     d = read(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice")
-    stats = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("low"), F.round(F.percentile(c, 0.25), 6).alias("q25"), F.round(F.percentile(c, 0.5), 6).alias("q50"), F.round(F.percentile(c, 0.75), 6).alias("q75"), F.max(c).alias("high"))
-    return d.agg(F.array(*map(stats, d.columns)).alias("x")).select(F.inline("x"))
+    stats = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
+    long = d.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("x")) for c in d.columns))))
+    q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ("column_name",)).select("column_name", *(F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
+    return d.agg(F.array(*map(stats, d.columns)).alias("x")).select(F.inline("x")).join(F.broadcast(q), "column_name", "left")
 
 
 @query("""SELECT l_returnflag || l_linestatus AS txn_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct, CAST(row_number() OVER (ORDER BY count(*) DESC, l_returnflag || l_linestatus) AS INTEGER) AS place FROM lineitem GROUP BY 1""")
@@ -63,13 +66,17 @@ def ag07_dup_counts(spark, sf_dir) -> DataFrame:
 @query("SELECT round(avg(l_extendedprice), 6) AS mean, round(median(l_extendedprice), 6) AS middle, round(skewness(l_extendedprice), 6) AS skew FROM lineitem")
 def ag08_moments(spark, sf_dir) -> DataFrame:
     c = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem", "l_extendedprice").agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("middle"), F.round(cells.corrected_skewness(c), 6).alias("skew"))
+    d = read(spark, sf_dir, "lineitem", "l_extendedprice")
+    middle = exact_quantiles(d, "l_extendedprice", [0.5]).agg(F.round(F.max("q0"), 6).alias("middle"))
+    return d.agg(F.round(F.avg(c), 6).alias("mean"), F.round(cells.corrected_skewness(c), 6).alias("skew")).join(F.broadcast(middle)).select("mean", "middle", "skew")
 
 
 @query("SELECT l_returnflag || l_linestatus AS txn_type, count(*) AS n, round_even(avg(l_quantity), 2) AS mean_quantity, round_even(median(l_quantity), 2) AS median_quantity FROM lineitem GROUP BY 1")
 def ag09_group_stats(spark, sf_dir) -> DataFrame:
-    g = read(spark, sf_dir, "lineitem").groupBy(F.expr(TYPE).alias("txn_type")).agg(F.count("*").alias("n"), F.bround(F.avg("l_quantity"), 2).alias("mean_quantity"), F.bround(F.median("l_quantity"), 2).alias("median_quantity"))
-    return g.orderBy(F.desc("mean_quantity"), "txn_type")
+    d = read(spark, sf_dir, "lineitem").select(F.expr(TYPE).alias("txn_type"), "l_quantity")
+    middle = exact_quantiles(d, "l_quantity", [0.5], ("txn_type",)).select("txn_type", F.bround("q0", 2).alias("median_quantity"))
+    g = d.groupBy("txn_type").agg(F.count("*").alias("n"), F.bround(F.avg("l_quantity"), 2).alias("mean_quantity"))
+    return g.join(F.broadcast(middle), "txn_type", "left").orderBy(F.desc("mean_quantity"), "txn_type")
 
 
 @query("""WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
@@ -102,8 +109,8 @@ def ag13_all_or_nothing(spark, sf_dir) -> DataFrame:
 SELECT g, round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS low_fence, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS high_fence, count(*) FILTER (l_extendedprice < q1 - 1.5 * (q3 - q1)) AS n_low, count(*) FILTER (l_extendedprice > q3 + 1.5 * (q3 - q1)) AS n_high FROM lineitem JOIN f ON g = l_returnflag GROUP BY g""")
 def ag14_iqr_fences(spark, sf_dir) -> DataFrame:
     d = read(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_extendedprice").withColumnRenamed("l_returnflag", "g")
-    f = d.where("l_quantity <= 30").groupBy("g").agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    f = f.select("g", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high"))
+    f = exact_quantiles(d.where("l_quantity <= 30"), "l_extendedprice", [0.25, 0.75], ("g",))
+    f = F.broadcast(f.select("g", (F.col("q0") - 1.5 * (F.col("q1") - F.col("q0"))).alias("low"), (F.col("q1") + 1.5 * (F.col("q1") - F.col("q0"))).alias("high")))
     return d.join(f, "g").groupBy("g").agg(F.round(F.first("low"), 4).alias("low_fence"), F.round(F.first("high"), 4).alias("high_fence"), F.count_if(F.col("l_extendedprice") < F.col("low")).alias("n_low"), F.count_if(F.col("l_extendedprice") > F.col("high")).alias("n_high"))
 
 

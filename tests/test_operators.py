@@ -73,3 +73,21 @@ def test_accounting_numbers_units_and_worded_dates(spark):
     assert col(spark, ["PA 19", "", None, "Ab-1"], cells.value_shape) == ["A 9", "<blank>", "<blank>", "A-9"]
     df = spark.createDataFrame([("Smith", "SMI"), ("Smith", "smith "), ("Smith", ""), ("Smith", "Smyth"), ("a", "a")], "a string, b string")
     assert [r[0] for r in df.select(cells.truncation_class(F.col("a"), F.col("b"))).collect()] == ["truncated/extended", "case/whitespace", "other", "other", "identical"]
+
+
+def test_exact_quantiles_match_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from meridian.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", float(x)) for x in rng.integers(0, 4, 50)] + [(None, 7.0), ("c", None)] + [("d", 1e9)] + [("d", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for bins in (4096, 3):
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        got = {r.g: (r.n, r.q0, r.q1, r.q2) for r in quantiles.exact_quantiles(df, "x", [0.0, 0.25, 0.9], ("g",)).collect()}
+        assert set(got) == {"a", "b", "d", None}
+        for g in got:
+            x = [v for k, v in rows if k == g and v is not None]
+            assert got[g][0] == len(x) and np.allclose(got[g][1:], np.quantile(x, [0.0, 0.25, 0.9]))
+    assert quantiles.exact_quantiles(df.where("false"), "x", [0.5]).count() == 0
