@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import is_blank
+from ..functions.cells import is_blank, number
 
 
 class RuleBroken(ValueError):
@@ -34,6 +34,34 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return out.withColumn(found, F.coalesce(found, F.lit(False))) if found else out
 
 
+def find_column(columns: list[str], exact: list[str], keyword: str) -> str:
+    """The first column with one of the exact names (whatever their case), else the first whose name holds the keyword; RuleBroken if there is none."""
+    low = {c.lower(): c for c in reversed(columns)}
+    for name in exact:
+        if name.lower() in low:
+            return low[name.lower()]
+    found = next((c for c in columns if keyword.lower() in c.lower()), None)
+    if found is None:
+        raise RuleBroken(f"no column like {exact} or {keyword}")
+    return found
+
+
+def numeric_or_stop(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as finite numbers; a blank or another text fails the query when it is evaluated, as part of its plan."""
+    checked = {}
+    for c in columns:
+        x = number(F.col(c))
+        checked[c] = F.when(x.isNotNull(), x).otherwise(F.raise_error(F.concat(F.lit(f"{c} isn't numeric: "), F.coalesce(F.col(c), F.lit("null")))).cast("string").cast("double"))
+    return df.withColumns(checked)
+
+
+def inner_suffixed(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Many-to-one inner join; the right side's columns that clash get a suffix."""
+    right = assert_unique(right, keys)
+    clash = [c for c in right.columns if c in left.columns and c not in keys]
+    return left.join(right.withColumnsRenamed({c: c + suffix for c in clash}), keys)
+
+
 def outer_marked(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join with `side`: both, left or right."""
     a, b = left.withColumn("_l", F.lit(1)), right.withColumn("_r", F.lit(1))

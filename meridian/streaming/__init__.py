@@ -1,0 +1 @@
+"""Structured Streaming: an extension beyond batch tables."""
