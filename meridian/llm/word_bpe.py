@@ -33,7 +33,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from .common import bound_batches, kept, table, trimmed
 
 #: Words that are broadcast: at most so many, each with its ids.
-HOT = 1 << 17
+HOT = 1 << 18
 #: A longer word is never broadcast.
 HOT_CHARS = 64
 #: Compresses the packed word numbers and the holes' words.
