@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
 from .common import bound_batches, kept, table, trimmed
 
@@ -63,23 +62,47 @@ class Rules:
             or any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or not x["content"].startswith("<|") for x in added)
         ):
             raise ValueError(f"{path} isn't a word-level BPE file: NFC, white space to one space, lower case; a splitter that keeps its matches; byte-level pieces with a word end; no decoder")
-        self.word = regex.compile(before[0]["pattern"]["Regex"])
+        #: The library's own, for its tables of letters aren't those of Python or of other packages.
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = pre_tokenizers.Split(Regex(before[0]["pattern"]["Regex"]), "removed", invert=True)
+        self.ascii_word = regex.compile(before[0]["pattern"]["Regex"], regex.ASCII)
         self.special = {x["content"]: x["id"] for x in added}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if added else regex.compile(r"(?!)()")
         self.suffix = model["end_of_word_suffix"]
 
-    def words_of(self, piece: str) -> list[str]:
-        """The words of a piece between white space."""
-        return [piece] if piece.isalpha() else self.word.findall(piece)
+    def _given(self, text: str) -> list[str]:
+        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+
+    def words_of(self, pieces: list[str]) -> list[list[str]]:
+        """The words of each piece between white space. ASCII pieces are split here; all others at once by the library, parted by spaces, which no word holds."""
+        out: list[list[str]] = [[]] * len(pieces)
+        beyond = []
+        for i, p in enumerate(pieces):
+            if p.isascii():
+                p = p.lower()
+                out[i] = [p] if p.isalpha() else self.ascii_word.findall(p)
+            else:
+                beyond.append(i)
+        for s in range(0, len(beyond), 5000):
+            some = beyond[s : s + 5000]
+            text = self.normalizer.normalize_str(" ".join([pieces[i] for i in some]))
+            ends = np.cumsum([len(x) + 1 for x in text.split(" ")])
+            if len(ends) != len(some):  # a piece holds what the library takes for white space
+                for i in some:
+                    out[i] = self._given(pieces[i])
+                continue
+            found = self.splitter.pre_tokenize_str(text)
+            cuts = np.searchsorted(np.array([at for _, (at, _) in found], np.int64), ends).tolist()
+            words = [w for w, _ in found]
+            for i, a, b in zip(some, [0, *cuts], cuts):  # noqa: B905
+                out[i] = words[a:b]
+        return out
 
     def split(self, text: str) -> list[str]:
         """The words that the tokenizer's normaliser and splitter make of a text; special strings stand for themselves."""
         if plain(text):
-            return [w for t in _normal(text).split() for w in self.words_of(t)]
-        out: list[str] = []
-        for part in self.specials.split(text):
-            out += [part] if part in self.special else self.word.findall(_normal(part))
-        return out
+            return [w for words in self.words_of(text.split()) for w in words]
+        return [w for part in self.specials.split(text) for w in ([part] if part in self.special else self._given(part))]
 
 
 @lru_cache(2)
@@ -91,10 +114,6 @@ def rules(path: str) -> Rules:
 _ODD = "\x1c\x1d\x1e\x1f"
 
 
-def _normal(text: str) -> str:
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-
 def plain(text: str) -> bool:
     """Whether white space alone parts the text into pieces whose words can be found one by one."""
     return "<|" not in text and not any(c in text for c in _ODD)
@@ -167,8 +186,8 @@ def _counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         odd: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            for piece, n in seen.items():
-                for w in r.words_of(piece):
+            for n, words in zip(list(seen.values()), r.words_of(list(seen)), strict=True):
+                for w in words:
                     odd[w] += n
             out = pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], ["word", "n"])
             seen.clear()
@@ -179,7 +198,7 @@ def _counts(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for value in b.column(0):
                 text = value.as_py() or ""
                 if plain(text):
-                    seen.update(_normal(text).split())
+                    seen.update(text.split())
                 else:
                     odd.update(r.split(text))
                 if len(seen) + len(odd) > 400_000:
@@ -228,18 +247,11 @@ def codes(texts: list[str], known: dict[str, int], r: Rules) -> list[tuple[np.nd
     hole = len(known)
     out: list[tuple[np.ndarray, list[str]]] = [(np.zeros(0, np.int64), [])] * len(texts)
     easy = [i for i, t in enumerate(texts) if plain(t)]
-    at, bounds, names = pieces_of([_normal(texts[i]) for i in easy])
-    number, size, words = [], np.ones(len(names), np.int64), []
-    for j, piece in enumerate(names):
-        c = known.get(piece)
-        if c is not None or piece.isalpha():
-            number.append(hole if c is None else c)
-            words.append(piece)
-        else:
-            parts_ = r.word.findall(piece)
-            size[j] = len(parts_)
-            number += [known.get(w, hole) for w in parts_]
-            words += parts_
+    at, bounds, names = pieces_of([texts[i] for i in easy])
+    split = r.words_of(names)
+    size = np.array([len(w) for w in split], np.int64)
+    words = [w for x in split for w in x]
+    number = [known.get(w, hole) for w in words]
     where = spread((np.cumsum(size) - size)[at], size[at])
     number = np.array(number, np.int64)
     code = number[where] if len(where) else np.zeros(0, np.int64)

@@ -13,13 +13,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import language_id, secrets, sharding, token_counts, word_bpe
+from meridian.llm import fill_middle, language_id, secrets, sharding, source_audit, token_counts, word_bpe
 from meridian.llm.common import components
+from meridian.llm.fill_middle import fill_in_middle
 from meridian.llm.language_id import identify
 from meridian.llm.near_vectors import near_vectors, pairs_above
 from meridian.llm.ngram_join import drop_near_copies, jaccard_classes
+from meridian.llm.page_text import extract_main, main_text
 from meridian.llm.queries import vocabulary
 from meridian.llm.secrets import find_secrets, guess_cost, ranks, redact, scan_secrets
+from meridian.llm.source_audit import audit_sources
 from meridian.llm.source_mix import mix_sources
 from meridian.llm.suffix_dedup import remove_repeats, repeated_starts, suffix_array
 from meridian.llm.token_counts import count_tokens
@@ -748,3 +751,176 @@ def test_quantisation_bounds_lose_no_pair():
     i, j, computed = pairs_above(x, y, 0.93)
     cosine = x @ y.T / np.sqrt((x * x).sum(1))[:, None] / np.sqrt((y * y).sum(1))
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(cosine >= 0.93)))) and computed < 200
+
+
+# 11. Fill in the middle ------------------------------------------------------
+
+
+def brute_fill(doc_id, text, seed, rate, spm):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(units)
+    h = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    a, z = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return (doc_id, n, "plain", None, None, text)
+    p, m, s = "".join(units[:a]), "".join(units[a:z]), "".join(units[z:])
+    if h4 % 100 < spm:
+        return (doc_id, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}")
+    return (doc_id, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+@pytest.mark.parametrize(("chunk", "seed", "rate", "spm"), [(1 << 16, 7, 100, 50), (64, 7, 100, 50), (1000, 3, 60, 20)])
+def test_fill_in_middle_equals_brute_force(spark, chunk, seed, rate, spm):
+    rng = random.Random(chunk)
+    rows = [*ODD, (11, "\n"), (12, "\n\n\n"), (13, "a<P"), (14, "a<<P>x\n"), (15, "é\n\U0001f600\nß"), (16, "<P\n><S"), (17, "<S>"), (18, "no line end\n<"), (19, "<<S\n<P<M")]
+    rows += [(i, "".join(rng.choice("ab\n<PSé>") for _ in range(rng.randint(0, 700)))) for i in range(20, 120)]
+    rows += [(i, "".join(rng.choice("abcdefghé\U0001f600\n<PS") for _ in range(rng.randint(1000, 9000)))) for i in range(200, 215)]
+    rows += [(300, rows[-1][1]), (301, rows[-1][1]), (None, rows[-1][1]), (300, rows[-1][1]), (300, rows[-2][1])]
+    got = fill_in_middle(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, form string, n int"), seed=seed, rate=rate, spm=spm, chunk=chunk).collect()
+    assert sorted((str(r[:5]), r.output) for r in got) == sorted((str(w[:5]), w[5]) for w in (brute_fill(*r, seed, rate, spm) for r in rows))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    kept = {(d, sha(t or "")) for d, t in rows}
+    assert all(r.output_sha256 == sha(r.output) and (r.doc_id, r.restored_sha256) in kept for r in got)
+
+
+def test_fill_in_middle_of_a_giant_text(spark):
+    text = "line of some words\n" * 200_000 + "x" * 3_000_000 + "\n" * 100_000
+    got = fill_in_middle(docs(spark, [(5, text), (6, "x" * 2_000_000)])).collect()
+    assert {r.doc_id: tuple(r)[:5] + (r.output,) for r in got} == {5: brute_fill(5, text, 7, 100, 50), 6: brute_fill(6, "x" * 2_000_000, 7, 100, 50)}
+
+
+def test_blocks_compose_from_every_state(spark):
+    """A text's function is that of its parts, wherever it is cut."""
+    auto = fill_middle.automaton(fill_middle.MARKS)
+    rng = random.Random(8)
+    data = np.frombuffer("".join(rng.choice("<PSM>\n a") for _ in range(3000)).encode(), np.uint8)
+    every = np.arange(auto.states, dtype=np.uint8)[None, :]
+    whole = fill_middle.Scan(auto, data, np.array([0, len(data)]), block=7).composed(every)
+    state, units = every.copy(), np.zeros(every.shape, np.int64)
+    for s in range(0, len(data), 111):
+        part = data[s : s + 111]
+        to, n, _, _ = fill_middle.Scan(auto, part, np.array([0, len(part)]), block=5).composed(every)
+        units += np.take_along_axis(n, state.astype(np.intp), 1)
+        state = np.take_along_axis(to, state.astype(np.intp), 1)
+    assert (state == whole[0]).all() and (units == whole[1]).all()
+
+
+def test_fill_in_middle_of_empty_tables(spark):
+    assert fill_in_middle(docs(spark, [])).collect() == []
+
+
+# 12. Main text of pages ------------------------------------------------------
+
+_LONG = "Word after word of an article that goes on for a while, as articles do. " * 3
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>Title</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
+
+
+def article(*blocks):
+    return "\n\n".join(" ".join(b.split()) for b in blocks)
+
+
+MENU = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+PAGES = {
+    "article element, unclosed tags": (page(f"{MENU}<div class='ad'>{_LONG}</div><article><h1>Head &amp; line</h1><p><b>{_LONG}<br><p>Short.</p><p>&eacute;t&#233;</p></article><footer>&copy; us</footer>"), article("Head & line", _LONG, "Short.", "été")),
+    "boilerplate in the article": (page(f"<article><h2>H</h2><p>{_LONG}</p><aside>{_LONG}</aside><div class='cookie-notice'>{_LONG}</div><form><p>{_LONG}</p></form><p>End <span class='ad'>buy</span>of it</p><section id='comments'><p>{_LONG}</p></section></article>"), article("H", _LONG, "End of it")),
+    "main element, table": (page(f"<header><p>{_LONG}</p></header><main><header><h1>T</h1></header><p>{_LONG}</p><table><tr><td>a<td>b<tr><td>c</table></main><div role='complementary'>{_LONG}</div>"), article("T", _LONG, "a", "b", "c")),
+    "only class names": (page(f"<div id='top-menu'><a href=x>Home</a></div><div id='wrap'><div class='post'><h2>Head</h2><p>{_LONG}</p><p>Short.</p><p>{_LONG}</p></div><div class='sidebar'><p>{_LONG}</p></div></div><div class='site-footer'>us</div>"), article("Head", _LONG, "Short.", _LONG)),
+    "bare text": ("just &lt;text&gt;\n here", "just <text> here"),
+    "odd white space": (page(f"<article><p>a b\t\n c</p><p> \n </p><p>{_LONG}</p></article>"), article("a b c", _LONG)),
+    "no article": (page(MENU), ""),
+    "cut off": (f"<article><p>{_LONG}</p><p>tail<a href='", article(_LONG, "tail")),
+    "odd declarations": (f"<![foo[x]]><article><![CDATA[y]]><!-- c --><p>{_LONG}</p><!-- open <p>gone</p></article>", article(_LONG)),
+    "null": (None, ""),
+    "empty": ("", ""),
+}
+
+
+def test_pages_of_many_kinds(spark):
+    rows = [(i, f"u{i}", h, "clash") for i, (h, _) in enumerate(PAGES.values())] + [(None, None, PAGES["bare text"][0], None)] * 2
+    got = extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    want = [t for _, t in PAGES.values()] + ["just <text> here"] * 2
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], r[1], w, len(w))) for r, w in zip(rows, want, strict=True))
+
+
+def test_random_pages_never_fail():
+    rng = random.Random(2)
+    bits = "< > </ <! <!-- --> <![ [ ]]> p div article nav &amp; &#x &#99999999; ; \" ' = script </script> text <p> </p> <div> </div> <article> </article> <? /> é \x00 <td> <li>".split(" ")
+    for _ in range(2000):
+        assert "\n\n\n" not in main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 40))))
+
+
+def test_large_odd_pages_take_linear_time():
+    for bit in ("<!--", "<p>a", "<div>", "</p ", "<![CDATA[", "<p><b>x"):
+        main_text(bit * 20_000)
+
+
+def test_pages_of_empty_tables(spark):
+    assert extract_main(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+# 13. Source divergence audit ---------------------------------------------------
+
+
+def brute_audit(rows, least, top):
+    rows = [(t or "", x or "", s or "") for t, x, s in rows]
+    words = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), x, s) for t, x, s in rows]
+    out = []
+    for lang in {x for _, x, _ in words}:
+        total, docs_with = collections.Counter(), collections.Counter()
+        for w, x, _ in words:
+            if x == lang:
+                total.update(w)
+                docs_with.update(set(w))
+        kept = [t for t in total if docs_with[t] >= least]
+        v = len(kept)
+        groups = {s: collections.Counter() for _, x, s in words if x == lang}
+        for w, x, s in words:
+            if x == lang:
+                groups[s].update(t for t in w if docs_with[t] >= least)
+        rate = lambda c, n: 1 + 1_000_000_000 * (c + 1) // (n + v)
+        n = {s: sum(c.values()) for s, c in groups.items()}
+        every = sum(total[t] for t in kept)
+        f = lambda p, q: (p - q) ** 2 // q
+        for s, c in groups.items():
+            pairs = [(o, sum(f(rate(c[t], n[s]), rate(groups[o][t], n[o])) for t in kept)) for o in groups if o != s]
+            terms = [(t, f(rate(c[t], n[s]), rate(total[t], every))) for t in kept if c[t] and rate(c[t], n[s]) > rate(total[t], every)]
+            for part, items, most in (("pair", pairs, None), ("term", terms, top)):
+                items.sort(key=lambda i: (-i[1], i[0].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(items[:most])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("least", "top", "few"), [(3, 200, 100_000), (1, 5, 0), (2, 1, 100_000), (10_000, 200, 100_000)])
+def test_audit_equals_brute_force(spark, monkeypatch, least, top, few):
+    monkeypatch.setattr(source_audit, "FEW_GROUPS", few)
+    rng = random.Random(least)
+    rows = [(prose(rng, rng.randint(0, 60), 80), rng.choice(["en", "de", None]), rng.choice(["a", "b", "é", "", None])) for _ in range(150)]
+    rows += [("hot " * 500 + "Tie tie x1yéZ", "en", "a")] * 4 + [(None, "en", "none"), ("", "xx", "one"), ("...", "xx", "two"), ("Only once", "zz", "s")]
+    given = spark.createDataFrame([(*r, 1, "t") for r in rows], "text string, lang string, source string, rank int, part string").repartition(5)
+    got = audit_sources(given, least=least, top=top).select("lang", "source", "part", "item", "value", "rank")
+    assert sorted(map(tuple, got.collect())) == brute_audit(rows, least, top)
+
+
+def test_audit_of_empty_tables(spark):
+    assert audit_sources(docs(spark, [])).collect() == []
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    """Each code point alone, inside a word, after a letter and before a digit; texts of a few thousand of them."""
+    path = vocabulary()
+    t, r = token_counts.tokenizer(path), word_bpe.rules(path)
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    kind = word_bpe.id_type(path)
+    for s in range(0, len(every), 8192):
+        text = " ".join(f"ab{c}cd {c} x{c} {c}9" for c in every[s : s + 8192])
+        words = r.split(text)
+        distinct = sorted(set(words))
+        ids = dict(zip(distinct, word_bpe.encode_words(path, distinct), strict=True))
+        assert np.frombuffer(b"".join(ids[w] for w in words), kind).tolist() == t.encode(text, add_special_tokens=False).ids
+        (_, rare), = word_bpe.codes([text], {}, r)
+        assert rare == words

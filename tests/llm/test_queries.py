@@ -94,3 +94,17 @@ def test_secrets_equal_the_patterns(spark, texts):
         want = brute_base(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert set(want) <= set(r.spans.split(","))
+
+
+def test_pages_equal_what_stands_between_the_article_tags(spark):
+    """The given pages have one article element each, of headings and paragraphs only."""
+    import html  # noqa: PLC0415
+    import re  # noqa: PLC0415
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = QUERIES["op12_page_text"](spark, DATA).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        inner = re.search("<article>(.*?)</article>", pages[r.page_id].html, re.S)
+        blocks = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in re.split("</?(?:p|h1)>", inner[1])]
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, want := "\n\n".join(b for b in blocks if b), len(want))
