@@ -81,25 +81,41 @@ def steps(d: Dialect) -> dict[str, str]:
     }
 
 
-def _log(d: Dialect) -> str:
-    """CL-10: what each repair says that it changed, by its own condition."""
-    raw = lambda t, c, test: f"SELECT '{t}' AS table_name, '{PK[t]}' AS key_column, r.{PK[t]} AS key_value, '{c}' AS column_name, r.{c} AS old_value, k.{c} AS new_value FROM {d.t(t)} r JOIN clean_{t} k ON r.{PK[t]} = k.{PK[t]} WHERE {test}"
+def _repairs(d: Dialect) -> dict[tuple[str, str], str]:
+    """CL-10: of each repaired column the condition under which its repair says that it changed a cell, over the raw row (old_) and the clean one (new_)."""
     names = ", ".join(f"'{n}'" for n in STATE_NAMES)
-    return UNION.join([raw("dim_client", "state", f"r.state IN ({names})"), raw("fact_transactions", "security_id", d.match("r.security_id", "^[0-9]+[.]0+$")), raw("fact_transactions", "shares", "k.shares_sign_corrected_flag = '1'"), raw("fact_portfolio_snapshot", "return_ytd", "trim(r.return_ytd) LIKE '%!%' ESCAPE '!' AND k.return_ytd NOT LIKE '%!%' ESCAPE '!'")])
+    return {
+        ("dim_client", "state"): f"old_state IN ({names})",
+        ("fact_transactions", "security_id"): d.match("old_security_id", "^[0-9]+[.]0+$"),
+        ("fact_transactions", "shares"): "new_shares_sign_corrected_flag = '1'",
+        ("fact_portfolio_snapshot", "return_ytd"): "trim(old_return_ytd) LIKE '%!%' ESCAPE '!' AND new_return_ytd NOT LIKE '%!%' ESCAPE '!'",
+    }
+
+
+_CELL = "table_name, key_column, key_value, column_name, old_value, new_value"
 
 
-def _differences(d: Dialect) -> str:
-    """JN-14: the cells that differ between raw and clean, by key, over all original columns."""
-    rows = []
+def touched_cells(d: Dialect) -> str:
+    """JN-14, CL-10: the cells that differ between raw and clean, or that a repair says it changed, with both marks. Raw and clean rows meet once a table, by key; rows are
+    compared by 128 bits of each side, and only those that differ or are repaired are taken apart into cells. (The hash is each side's last column and nothing is renamed
+    above it: Spark infers a constraint from it, which doubles with every later alias of a column.)"""
+    out, repairs = [], _repairs(d)
     for t in CLEAN:
-        for c in COLUMNS[t]:
-            if c != PK[t]:
-                rows.append(f"SELECT '{t}' AS table_name, '{PK[t]}' AS key_column, r.{PK[t]} AS key_value, '{c}' AS column_name, r.{c} AS old_value, k.{c} AS new_value FROM {d.t(t)} r JOIN clean_{t} k ON r.{PK[t]} = k.{PK[t]} WHERE r.{c} IS DISTINCT FROM k.{c}")
-    return UNION.join(rows)
+        columns = [c for c in COLUMNS[t] if c != PK[t]]
+        logged = {c: f"coalesce({test}, false)" for (of, c), test in repairs.items() if of == t}
+
+        def side(source: str, prefix: str, names: tuple[str, ...], t: str = t, columns: list[str] = columns) -> str:
+            return f"SELECT {PK[t]} AS {prefix}key, " + ", ".join(f"{c} AS {prefix}{c}" for c in names) + f", {d.row_hash(columns)} AS {prefix}hash FROM {source}"
+
+        met = f"({side(d.t(t), 'old_', COLUMNS[t][1:])}) r JOIN ({side(f'clean_{t}', 'new_', (*COLUMNS[t][1:], *CLEAN[t]))}) k ON old_key = new_key"
+        changed = " OR ".join(["old_hash <> new_hash", *logged.values()])
+        rows = [(f"'{t}'", f"'{PK[t]}'", "old_key", f"'{c}'", f"old_{c}", f"new_{c}", f"(old_{c} IS DISTINCT FROM new_{c})", logged.get(c, "false")) for c in columns]
+        out.append(f"SELECT * FROM ({d.fan(f'(SELECT * FROM {met} WHERE {changed}) m', f'{_CELL}, differs, logged', rows)}) c WHERE differs OR logged")
+    return UNION.join(out)
 
 
 def change_log(d: Dialect) -> str:
-    return _log(d)
+    return f"SELECT {_CELL} FROM ({touched_cells(d)}) c WHERE logged"
 
 
 def stop_rules(d: Dialect) -> str:
@@ -128,17 +144,19 @@ def stop_rules(d: Dialect) -> str:
 
 
 def verification(d: Dialect) -> str:
-    """CL-11, ST-04, ST-05, JN-14: raw is clean and quarantine together, key by key; every changed cell is logged and every log row is a change."""
-    same = lambda a, b: f"(SELECT count(*) FROM ({a}) a WHERE NOT EXISTS (SELECT 1 FROM ({b}) b WHERE a.table_name = b.table_name AND a.key_value = b.key_value AND a.column_name = b.column_name AND a.old_value IS NOT DISTINCT FROM b.old_value AND a.new_value IS NOT DISTINCT FROM b.new_value))"
-    rows = []
+    """CL-11, ST-04, ST-05, JN-14: raw is clean and quarantine together, key by key; every changed cell is logged and every log row is a change. One join and one
+    aggregate by key a table."""
+    keys = []
     for t in CLEAN:
         gone = {"dim_client": "quarantine_clients", "fact_transactions": "quarantine_transactions"}.get(t)
-        quarantine = f"SELECT {PK[t]} AS k FROM {gone}" if gone else f"SELECT {PK[t]} AS k FROM clean_{t} WHERE false"
-        parts = f"SELECT k, count(*) AS m FROM (SELECT {PK[t]} AS k FROM clean_{t} UNION ALL {quarantine}) u GROUP BY 1"
-        keys = f"SELECT count(*) FILTER (WHERE r.{PK[t]} IS NULL OR p.k IS NULL OR p.m <> 1) AS broken FROM {d.t(t)} r FULL JOIN ({parts}) p ON r.{PK[t]} = p.k"
-        rows.append(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {d.t(t)}) AS n_raw, (SELECT count(*) FROM clean_{t}) AS n_clean, (SELECT count(*) FROM ({quarantine}) q) AS n_quarantined, broken AS n_keys_broken, (SELECT count(*) FROM differences WHERE table_name = '{t}') AS n_changed FROM ({keys}) z")
-    log, diff = "SELECT * FROM change_rows", "SELECT * FROM differences"
-    return f"WITH change_rows AS ({_log(d)}), differences AS ({_differences(d)}) SELECT x.*, {same(diff, log)} AS n_unlogged, {same(log, diff)} AS n_not_applied FROM ({UNION.join(rows)}) x"
+        sides = [(d.t(t), "1, 0, 0"), (f"clean_{t}", "0, 1, 0")] + ([(gone, "0, 0, 1")] if gone else [])
+        marked = UNION.join(f"SELECT {PK[t]} AS k, " + ", ".join(f"{x} AS {n}" for x, n in zip(m.split(", "), ("a", "b", "c"), strict=True)) + f" FROM {source}" for source, m in sides)
+        by_key = f"SELECT k, count(*) FILTER (WHERE a = 1) AS a, count(*) FILTER (WHERE b = 1) AS b, count(*) FILTER (WHERE c = 1) AS c FROM ({marked}) u GROUP BY k"
+        total = lambda x: f"CAST(coalesce(sum({x}), 0) AS BIGINT)"
+        broken = total("CASE WHEN a = 0 THEN b + c WHEN b + c <> 1 THEN a ELSE 0 END")
+        keys.append(f"SELECT '{t}' AS table_name, {total('a')} AS n_raw, {total('b')} AS n_clean, {total('c')} AS n_quarantined, {broken} AS n_keys_broken FROM ({by_key}) g")
+    cells = f"SELECT table_name, {d.if_('differs')} AS n_changed, {d.if_('differs AND NOT logged')} AS unlogged, {d.if_('logged AND NOT differs')} AS idle FROM ({touched_cells(d)}) c GROUP BY 1"
+    return f"SELECT t.*, coalesce(n_changed, 0) AS n_changed, coalesce(unlogged, 0) AS n_unlogged, coalesce(idle, 0) AS n_not_applied FROM ({UNION.join(keys)}) t LEFT JOIN ({cells}) c ON t.table_name = c.table_name"
 
 
 def flags(d: Dialect) -> str:

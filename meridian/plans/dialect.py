@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import FLOAT, INT, NULL_TOKENS
-from ..sources.scratch import written
+from ..sources.scratch import kept, state_of
 from .registry import ORACLE_SQL, QUERIES
-from .star import STAR, star, star_sql
+from .star import SOURCES, STAR, star, star_sql
 
 _DAY = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
@@ -90,6 +90,10 @@ class _Spark(Dialect):
         """A row of each tuple for every row of the source, which is read once."""
         return f"SELECT stack({len(rows)}, {', '.join(x for r in rows for x in r)}) AS ({names}) FROM {source}"
 
+    def row_hash(self, columns: list[str]) -> str:
+        """128 bits of a row of texts; lengths keep cells apart, a null isn't an empty text."""
+        return "md5(concat(" + ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns) + "))"
+
     def joined(self, x: str, by: str, order: str) -> str:
         return f"listagg({x}, '{by}') WITHIN GROUP (ORDER BY {order})"
 
@@ -128,6 +132,9 @@ class _Duck(Dialect):
         structs = ", ".join("{" + ", ".join(f"'{n}': {x}" for n, x in zip(names.split(", "), r, strict=True)) + "}" for r in rows)
         return f"SELECT unnest([{structs}], recursive := true) FROM {source}"
 
+    def row_hash(self, columns: list[str]) -> str:
+        return "md5(concat(" + ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns) + "))"
+
     def joined(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, '{by}' ORDER BY {order})"
 
@@ -164,16 +171,27 @@ def needed(build: Build, steps: Steps | None) -> tuple[list[str], list[str], str
     return [n for n in all_steps if n in used], _named(text, STAR), text
 
 
+def _whole_text(name: str, all_steps: dict[str, str]) -> str:
+    """A step's text with that of all steps that it reads."""
+    text, done = all_steps[name], {name}
+    while new := [n for n in _named(text, all_steps) if n not in done]:
+        done |= set(new)
+        text += "\n" + "\n".join(f"{n}: {all_steps[n]}" for n in new)
+    return text
+
+
 def run(spark: SparkSession, sf_dir: str, build: Build, steps: Steps | None = None) -> DataFrame:
-    """The result of a text over the star. Tables and steps that are read more than once are written first, so that no plan holds them twice. Views have names of their own and are gone once the plan is resolved."""
+    """The result of a text over the star. Cleaned tables, and tables and steps that are read more than once, are written, once in the application for all queries and anew if the
+    driver's files change, so that no plan holds them twice. Views have names of their own and are gone once the plan is resolved."""
     used, tables, text = needed(build, steps)
     names: dict[str, str] = {}
     d = _Spark(names)
-    often = lambda n: len(re.findall(rf"\b{n}\b", text)) > 1
+    state = (sf_dir, state_of(spark, [f"{sf_dir}/{s}.parquet" for s in SOURCES]))
+    often = lambda n: n.startswith("clean_") or len(re.findall(rf"\b{n}\b", text)) > 1
 
-    def view(name: str, df: DataFrame) -> None:
+    def view(name: str, definition: str, df: Callable[[], DataFrame]) -> None:
         names[name] = f"meridian_{name}_{uuid.uuid4().hex}"
-        (written(df) if often(name) else df).createOrReplaceTempView(names[name])
+        (kept(spark, (*state, name, definition), df) if often(name) else df()).createOrReplaceTempView(names[name])
 
     def sql(x: str) -> DataFrame:
         for n in used:
@@ -181,10 +199,11 @@ def run(spark: SparkSession, sf_dir: str, build: Build, steps: Steps | None = No
         return spark.sql(x)
 
     try:
-        for n, df in star(spark, sf_dir, *tables).items() if tables else ():
-            view(n, df)
+        for n in tables:
+            view(n, STAR[n], lambda n=n: star(spark, sf_dir, n)[n])
+        plain = steps(_Duck()) if steps else {}
         for n in used:
-            view(n, sql(steps(d)[n]))
+            view(n, _whole_text(n, plain), lambda n=n: sql(steps(d)[n]))
         return sql(build(d))
     finally:
         for v in names.values():

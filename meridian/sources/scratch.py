@@ -1,12 +1,14 @@
-"""Written tables in the folder that the driver and all executors share."""
+"""Written tables in the folder that the driver and all executors share. They go when the application ends."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,8 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(file system, path) for Hadoop's API."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, kind: str = "step") -> str:
-    return f"{shared_folder(spark)}/{kind}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    """A new path, whatever is written to which is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -29,3 +41,32 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: (application, folder, state of its files, name, definition) to (path, schema)
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
+
+
+def state_of(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files of some paths: another state means other contents."""
+    out = []
+    for path in paths:
+        fs, p = file_system(spark, path)
+        out += sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)) if fs.exists(p) else [None]
+    return tuple(out)
+
+
+def kept(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written once in the application for each key, and read by all queries that need it."""
+    key = (spark.sparkContext.applicationId, *key)
+    found = _KEPT.get(key)
+    if found:
+        fs, p = file_system(spark, found[0])
+        if not fs.exists(p):
+            found = None
+    if not found:
+        df = make()
+        path = new_path(spark)
+        df.write.parquet(path)
+        _KEPT[key] = found = path, df.schema
+    return spark.read.schema(found[1]).parquet(found[0])
