@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import FLOAT, INT, NULL_TOKENS
+from ..operators.numbering import RANGES
 from ..sources.scratch import kept, state_of
 from .registry import ORACLE_SQL, QUERIES
 from .star import SOURCES, STAR, star, star_sql
@@ -97,6 +98,13 @@ class _Spark(Dialect):
     def joined(self, x: str, by: str, order: str) -> str:
         return f"listagg({x}, '{by}') WITHIN GROUP (ORDER BY {order})"
 
+    def numbered(self, source: str, order: str, name: str) -> str:
+        """The rows of a step with their number, from 1, by a numeric column that tells them apart: ranges between approximate quantiles number their own rows."""
+        cuts = f"SELECT approx_percentile({order}, array({', '.join(str(i / RANGES) for i in range(1, RANGES))}), {10 * RANGES}) AS cuts FROM {source}"
+        placed = f"SELECT s.*, size(filter(cuts, c -> c < {order})) AS range_no FROM {source} s CROSS JOIN ({cuts}) q"
+        before = f"SELECT range_no, sum(n) OVER (ORDER BY range_no) - n AS before FROM (SELECT range_no, count(*) AS n FROM ({placed}) p GROUP BY 1) z"
+        return f"SELECT p.*, row_number() OVER (PARTITION BY p.range_no ORDER BY {order}) + before AS {name} FROM ({placed}) p JOIN ({before}) b ON p.range_no = b.range_no"
+
     def months(self, a: str, b: str) -> str:
         """Months from a to b, both firsts of months."""
         return f"CAST(months_between({b}, {a}) AS BIGINT)"
@@ -138,6 +146,9 @@ class _Duck(Dialect):
     def joined(self, x: str, by: str, order: str) -> str:
         return f"string_agg({x}, '{by}' ORDER BY {order})"
 
+    def numbered(self, source: str, order: str, name: str) -> str:
+        return f"SELECT *, row_number() OVER (ORDER BY {order}) AS {name} FROM {source}"
+
     def months(self, a: str, b: str) -> str:
         return f"CAST(date_diff('month', {a}, {b}) AS BIGINT)"
 

@@ -198,17 +198,23 @@ def near_pairs(d: Dialect) -> str:
     return f"SELECT a.client_id AS a, b.client_id AS b, " + ", ".join(f"{difference(d, f'a.{c}', f'b.{c}')} AS {c}_differs" for c in compare) + f" FROM {d.t('dim_client')} a JOIN {d.t('dim_client')} b ON {same} AND CAST(a.client_id AS BIGINT) < CAST(b.client_id AS BIGINT)"
 
 
-def near_evidence(d: Dialect) -> str:
-    """DQ-06, WN-06, JN-06, AG-22: of each member of a near-duplicate group, the facts that refer to it and the other attributes that differ in its group."""
+def near_steps(d: Dialect) -> dict[str, str]:
+    """The near-duplicate groups, one row each."""
     match, compare = SPECS["dim_client"].near or ((), ())
     rest = [c for c in SPECS["dim_client"].types if c not in (*match, *compare, "client_id")]
     differ = " || ".join(f"CASE WHEN min({c}) < max({c}) THEN '+{c}' ELSE '' END" for c in rest)
-    groups = f"SELECT {', '.join(match)}, min(CAST(client_id AS BIGINT)) AS first_id, substr({differ}, 2) AS others_differ FROM {d.t('dim_client')} GROUP BY {', '.join(match)} HAVING count(*) > 1"
+    return {"near_client_groups": f"SELECT {', '.join(match)}, min(CAST(client_id AS BIGINT)) AS first_id, substr({differ}, 2) AS others_differ FROM {d.t('dim_client')} GROUP BY {', '.join(match)} HAVING count(*) > 1"}
+
+
+def near_evidence(d: Dialect) -> str:
+    """DQ-06, WN-06, JN-06, AG-22: of each member of a near-duplicate group, the facts that refer to it and the other attributes that differ in its group. Groups
+    are numbered by their first member, in ranges."""
+    match, compare = SPECS["dim_client"].near or ((), ())
     facts = lambda t, day: f"(SELECT client_id, count(*) AS n, min({day}) AS a, max({day}) AS b FROM {d.t(t)} GROUP BY 1)"
-    numbered = f"SELECT *, dense_rank() OVER (ORDER BY first_id) AS group_no FROM ({groups}) z"
     parts = (("fees", "fact_fees", "fee_date"), ("snapshots", "fact_portfolio_snapshot", "snapshot_date"), ("transactions", "fact_transactions", "txn_date"))
     joins = " ".join(f"LEFT JOIN {facts(t, day)} {n} ON c.client_id = {n}.client_id" for n, t, day in parts)
     shown = ", ".join(f"coalesce({n}.n, 0) AS n_{n}, coalesce({n}.a, '') AS {n}_first, coalesce({n}.b, '') AS {n}_last" for n, _, _ in parts)
+    numbered = d.numbered("near_client_groups", "first_id", "group_no")
     return f"SELECT CAST(g.group_no AS BIGINT) AS group_no, c.client_id, {', '.join('c.' + x for x in compare)}, g.others_differ, {shown} FROM ({numbered}) g JOIN {d.t('dim_client')} c ON {' AND '.join(f'g.{m} = c.{m}' for m in match)} {joins}"
 
 
@@ -257,7 +263,7 @@ over_star("dq17_cross_findings", lambda d: _graded(d, cross_table(d)))
 over_star("sl01_findings", report)
 over_star("ag20_severities", by_severity)
 over_star("dq05_near_pairs", near_pairs)
-over_star("dq06_near_evidence", near_evidence)
+over_star("dq06_near_evidence", near_evidence, near_steps)
 over_star("dq13_dividend_holdings", dividend_holdings)
 over_star("ag17_benchmark_profiles", benchmark_profiles)
 over_star("sv01_star_validation", star_validation)

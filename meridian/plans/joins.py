@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import relational as rel
+from ..operators.near import near_groups
+from ..operators.numbering import numbered, numbered_groups, text_code
 from ..operators.quantiles import exact_quantiles
 from .registry import query, read
 
@@ -90,6 +92,19 @@ def jn11_near_dups(spark, sf_dir) -> DataFrame:
     return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), cells.truncation_class(F.col("a.p_name"), F.col("b.p_name")).alias("difference"))
 
 
+@query("""WITH c AS (SELECT p_partkey AS k, p_brand, p_type, p_size, lower(trim(CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 3) WHEN p_partkey % 3 = 1 THEN substr(p_name, 1, 7) || ' ' ELSE p_name END)) AS x FROM part WHERE p_size < 5),
+l AS (SELECT a.k, b.k AS other, CASE WHEN length(b.x) < length(a.x) THEN b.x ELSE a.x END AS short FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.k <> b.k AND (a.x = b.x OR (a.x <> '' AND b.x <> '' AND (starts_with(a.x, b.x) OR starts_with(b.x, a.x))))),
+r AS (SELECT c.k, p_brand, p_size, arg_min(short, length(short)) AS root, count(other) AS n_links FROM c LEFT JOIN l ON c.k = l.k GROUP BY ALL), t AS (SELECT r.k, r.p_brand, r.p_size, n_links, coalesce(root, c.x) AS root FROM r JOIN c ON r.k = c.k),
+s AS (SELECT t.p_brand, t.p_size, t.root, count(*) AS n_members, min(CASE WHEN c.x = t.root THEN c.k END) AS representative FROM t JOIN c ON t.k = c.k GROUP BY 1, 2, 3)
+SELECT t.k AS p_partkey, representative, n_members, n_links FROM t JOIN s ON t.p_brand = s.p_brand AND t.p_size = s.p_size AND t.root = s.root""")
+def jn11_near_groups(spark, sf_dir) -> DataFrame:
+    """JN-11, FN-PFX: parts of one brand and size whose names are equal or continue each other, as groups with a representative and counts of links."""
+    k, n = F.col("p_partkey"), F.col("p_name")
+    p = read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_size", "p_name").where("p_size < 5")
+    cut = F.when(k % 3 == 0, F.substring(n, 1, 3)).when(k % 3 == 1, F.concat(F.substring(n, 1, 7), F.lit(" "))).otherwise(n)
+    return near_groups(p.withColumn("name", cut), "p_partkey", ["p_brand", "p_size"], "name")
+
+
 @query("""WITH l AS (SELECT CASE WHEN l_linenumber = 7 THEN 'x' || l_partkey ELSE CAST(l_partkey AS VARCHAR) END AS k FROM lineitem)
 SELECT count(*) FILTER (NOT regexp_full_match(k, '[0-9]+')) AS n_excluded, count(*) FILTER (regexp_full_match(k, '[0-9]+')) AS n_joined, count(p_partkey) AS n_matched FROM l LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) ON try_cast(k AS BIGINT) = p_partkey""")
 def jn12_guarded(spark, sf_dir) -> DataFrame:
@@ -162,9 +177,23 @@ def wn04_group_max(spark, sf_dir) -> DataFrame:
 
 @query("""WITH g AS (SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS first_key FROM orders GROUP BY 1, 2) SELECT o_orderpriority, o_orderstatus, CAST(row_number() OVER (ORDER BY first_key) - 1 AS INTEGER) AS group_no, 'F' || lpad(CAST(row_number() OVER (ORDER BY first_key) AS VARCHAR), 3, '0') AS finding FROM g""")
 def wn06_ngroup(spark, sf_dir) -> DataFrame:
-    g = read(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_orderkey").alias("first_key"))
-    n = F.row_number().over(Window.orderBy("first_key"))
-    return g.select("o_orderpriority", "o_orderstatus", (n - 1).alias("group_no"), F.concat(F.lit("F"), F.lpad(n.cast("string"), 3, "0")).alias("finding"))
+    g = numbered_groups(read(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey")
+    n = F.col("group_no")
+    return g.select("o_orderpriority", "o_orderstatus", (n - 1).cast("int").alias("group_no"), F.concat(F.lit("F"), F.lpad(n.cast("string"), 3, "0")).alias("finding"))
+
+
+@query("""WITH g AS (SELECT o_custkey AS client, min(o_orderkey) AS first_order FROM orders GROUP BY 1) SELECT client, first_order, row_number() OVER (ORDER BY first_order) AS place FROM g""")
+def sl07_first_appearance(spark, sf_dir) -> DataFrame:
+    """SL-07, WN-06: clients numbered in the order in which they first appear among the orders; no task sees more than a range of them."""
+    o = read(spark, sf_dir, "orders", "o_custkey", "o_orderkey").withColumnsRenamed({"o_custkey": "client", "o_orderkey": "order"})
+    return numbered_groups(o, ["client"], "order", "place")
+
+
+@query("""WITH n AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT o_orderkey, row_number() OVER (ORDER BY day DESC, o_orderkey) AS place FROM n""")
+def wn07_running_ids(spark, sf_dir) -> DataFrame:
+    """WN-07, SL-08: all orders numbered from the newest day on; the days cut the work, not one task's window."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").withColumn("back", -F.unix_date(F.to_date("o_orderdate")))
+    return numbered(o, "back", "place", ("o_orderkey",)).select("o_orderkey", "place")
 
 
 @query("""WITH q AS (SELECT DISTINCT o_custkey AS client, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter FROM orders) SELECT client, quarter, k AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY client ORDER BY quarter DESC) AS INTEGER) AS k FROM q) WHERE k <= 4""", dates=("quarter",))
@@ -175,7 +204,10 @@ def sl04_newest_distinct(spark, sf_dir) -> DataFrame:
 
 @query("SELECT p_brand, CAST(row_number() OVER (ORDER BY length(p_brand), p_brand) AS INTEGER) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def sl06_natural_sort(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "part", "p_brand").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.length("p_brand"), "p_brand")))
+    """SL-06: by length, then by text; a code of both cuts the order."""
+    brands = read(spark, sf_dir, "part", "p_brand").distinct()
+    code = F.length("p_brand").cast("long") * (1 << 48) + text_code(F.col("p_brand"), 6)
+    return numbered(brands.withColumn("code", code), "code", "place", ("p_brand",)).select("p_brand", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT true AS holds, count(*) AS n_raw, count(*) FILTER (o_totalprice >= 1000) AS n_kept, count(*) FILTER (o_totalprice < 1000) AS n_removed FROM orders")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import time
 import urllib.request
 import warnings
@@ -23,25 +24,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
-def _csv(spark: SparkSession):  # noqa: ANN202
-    """A reader for which an empty cell is an empty text and nothing else is null."""
-    return spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "FAILFAST")
+def csv_reader(spark: SparkSession, lines: bool = False):  # noqa: ANN201
+    """A reader for which an empty cell is an empty text and nothing else is null. lines: cells may hold line feeds; such files can't be split, so it is only for those that need it."""
+    return spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option("quote", '"').option("escape", '"').option("multiLine", lines).option("mode", "FAILFAST")
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """The column names of the file or the folder of files, without a byte order mark and spaces; none of an empty file."""
     first = spark.read.text(path).limit(1).collect()
-    return [c.strip().strip('"') for c in first[0][0].removeprefix("\ufeff").split(",")] if first else []
+    if not first:
+        return []
+    return [c.strip() for c in next(csv.reader([first[0][0].removeprefix("\ufeff")]))]
 
 
-def text_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Every cell as the text that is stored: no types and no nulls are inferred. `columns` keeps only these, which alone are parsed."""
+def text_table(spark: SparkSession, path: str, columns: list[str] | None = None, lines: bool = False) -> DataFrame:
+    """Every cell as the text that is stored: no types and no nulls are inferred. `columns` keeps only these, which alone are parsed. Large files are split between
+    tasks unless `lines` says that cells may hold line feeds."""
     if not _exists(spark, path):
         raise InputError(f"missing file: {path}")
     names = header_of(spark, path)
-    df = _csv(spark).schema(StructType([StructField(c, StringType()) for c in names])).csv(path)
-    df = df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in (columns or names)))
-    return df
+    df = csv_reader(spark, lines).schema(StructType([StructField(c, StringType()) for c in names])).csv(path)
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in (columns or names)))
 
 
 def text_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -137,7 +140,9 @@ def wanted_filings(filings: DataFrame, form: str, item: str, start: str, end: st
     """Filings of a form that list an item, inside the window, once each, the newest first. Columns: accession, form, items (parted by commas), filed (ISO text)."""
     listed = F.array_contains(F.transform(F.split("items", ","), lambda x: F.trim(x)), item)
     kept = filings.where((F.col("form") == form) & listed & F.col("filed").between(start, end))
-    return kept.dropDuplicates(["accession"]).orderBy(F.desc("filed"), "accession")
+    rest = [c for c in filings.columns if c != "accession"]
+    newest = kept.groupBy("accession").agg(F.max(F.struct("filed", *(c for c in rest if c != "filed"))).alias("x"))
+    return newest.select("accession", *(F.col(f"x.{c}").alias(c) for c in rest)).select(*filings.columns).orderBy(F.desc("filed"), "accession")
 
 
 def pages_needed(recent: DataFrame, pages: DataFrame, start: str) -> DataFrame:

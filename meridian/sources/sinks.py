@@ -50,7 +50,7 @@ def write_csv(df: DataFrame, path: str, null: str = "", one_file: bool = False)
 def write_checked(df: DataFrame, path: str, null: str = "") -> DataFrame:
     """write_csv(), read again and compared row by row as bags; RuleBroken if they differ."""
     write_csv(df, path, null)
-    back = text_table(df.sparkSession, path)
+    back = text_table(df.sparkSession, path, lines=True)
     if not same_rows(as_text(df, null), back):
         raise RuleBroken(f"{path} doesn't read back as it was written")
     return back

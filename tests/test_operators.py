@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import datetime as dt
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from meridian.operators.near import near_groups
+from meridian.operators.numbering import numbered, numbered_groups, text_code
 from meridian.functions import cells
 from meridian.operators import relational as rel
 from meridian.operators.rules import Rule, evaluate
@@ -91,3 +94,67 @@ def test_exact_quantiles_match_numpy(spark, monkeypatch):
             x = [v for k, v in rows if k == g and v is not None]
             assert got[g][0] == len(x) and np.allclose(got[g][1:], np.quantile(x, [0.0, 0.25, 0.9]))
     assert quantiles.exact_quantiles(df.where("false"), "x", [0.5]).count() == 0
+
+
+# Numbering and near groups --------------------------------------------------------
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 128])
+def test_numbers_follow_the_whole_order(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.choice([None, *range(-50, 50)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "x int, i int").repartition(6)
+    got = sorted((r.no, r.x, r.i) for r in numbered(df, "x", "no", ("i",), ranges).collect())
+    assert got == [(k + 1, x, i) for k, (x, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))]
+    plan = numbered(df, "x", "no", ("i",), ranges)._jdf.queryExecution().optimizedPlan().toString()
+    one_task = [x for x in plan.splitlines() if x.lstrip("+-: ").startswith("Window") and "row_number" in x]
+    assert one_task and all("_range" in x for x in one_task)
+    assert numbered(df.where("false"), "x", "no", ("i",), ranges).collect() == []
+
+
+def test_groups_are_numbered_by_first_appearance(spark):
+    rows = [(5, "b"), (1, "c"), (3, "b"), (2, "a"), (9, None), (7, "c")]
+    got = {r.g: (r.no, r.first_at) for r in numbered_groups(spark.createDataFrame(rows, "at int, g string"), ["g"], "at", "no").collect()}
+    assert got == {"c": (1, 1), "a": (2, 2), "b": (3, 3), None: (4, 9)}
+
+
+def test_text_codes_keep_the_order(spark):
+    rng = random.Random(1)
+    texts = ["", "a", "ab", "é", "\U0001f600", "abcdefgh", "abcdefgi"] + ["".join(rng.choice("abcé\x01z") for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    code = {r.t: r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_code(F.col("t")).alias("c")).collect()}
+    order = sorted(set(texts), key=lambda t: t.encode())
+    assert all(code[a] <= code[b] for a, b in zip(order, order[1:], strict=False)) and code["a"] < code["ab"] and code["abcdefgh"] == code["abcdefgi"]
+
+
+def brute_near(rows):
+    norm = [(m, None if x is None else x.strip(" ").lower()) for _, m, x in rows]
+    linked = lambda a, b: None not in (*a, *b) and a[0] == b[0] and (a[1] == b[1] or a[1] != "" != b[1] and (a[1].startswith(b[1]) or b[1].startswith(a[1])))
+    out = []
+    for i, a in enumerate(norm):
+        group, todo = {i}, [i]
+        while todo:
+            k = todo.pop()
+            new = {j for j, b in enumerate(norm) if j not in group and linked(norm[k], b)}
+            group |= new
+            todo += new
+        root = min((norm[j][1] for j in group), key=lambda x: len(x or ""), default=None)
+        out.append((rows[i][0], min(rows[j][0] for j in group if norm[j][1] == root), len(group), sum(linked(a, b) for j, b in enumerate(norm) if j != i)))
+    return sorted(out)
+
+
+def test_near_groups_equal_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["m", "n", None]), rng.choice([None, "", " ", "".join(rng.choice("ab") for _ in range(rng.randint(0, 6))), "A" * rng.randint(1, 3) + " "])) for i in range(160)]
+    got = near_groups(spark.createDataFrame(rows, "k int, match string, name string"), "k", ["match"], "name")
+    assert sorted(map(tuple, got.collect())) == brute_near(rows)
+
+
+def test_a_near_group_of_100000_members(spark):
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit("one").alias("match"), F.when(F.col("id") % 2 == 0, F.lit("client")).otherwise(F.concat(F.lit("Client "), F.col("id").cast("string"))).alias("name"))
+    r = near_groups(df, "k", ["match"], "name").groupBy("representative", "n_members").agg(F.count("*").alias("n"), F.max("n_links").alias("most"), F.min("n_links").alias("fewest")).collect()
+    assert [(x.representative, x.n_members, x.n, x.most) for x in r] == [(0, n, n, n - 1)] and r[0].fewest >= n // 2
+
+
+def test_near_groups_of_nothing(spark):
+    assert near_groups(spark.createDataFrame([], "k int, match string, name string"), "k", ["match"], "name").collect() == []
