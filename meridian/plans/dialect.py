@@ -162,6 +162,38 @@ class _Duck(Dialect):
         return f"monthname({d})"
 
 
+class Typed(Dialect):
+    """A dialect under which what is parsed from a plain column is a column of its own, written once a row; `source` is a table with those that were asked for."""
+
+    def __init__(self, d: Dialect) -> None:
+        self._d, self.columns = d, {}
+
+    def __getattr__(self, name: str):  # noqa: ANN204
+        return getattr(self._d, name)
+
+    def _once(self, kind: str, x: str) -> str:
+        text = getattr(self._d, kind)(x)
+        if not x.isidentifier():
+            return text
+        self.columns[f"{kind}_of_{x}"] = text
+        return f"{kind}_of_{x}"
+
+    def number(self, x: str) -> str:
+        return self._once("number", x)
+
+    def money(self, x: str) -> str:
+        return self._once("money", x)
+
+    def date(self, x: str) -> str:
+        return self._once("date", x)
+
+    def blank(self, x: str) -> str:
+        return self._once("blank", x)
+
+    def source(self, table: str) -> str:
+        return f"(SELECT *{''.join(f', {text} AS {name}' for name, text in self.columns.items())} FROM {table}) typed"
+
+
 Build = Callable[[Dialect], str]
 #: Named steps in their order; a text names those that it reads.
 Steps = Callable[[Dialect], dict[str, str]]
@@ -192,13 +224,13 @@ def _whole_text(name: str, all_steps: dict[str, str]) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, build: Build, steps: Steps | None = None) -> DataFrame:
-    """The result of a text over the star. Cleaned tables, and tables and steps that are read more than once, are written, once in the application for all queries and anew if the
+    """The result of a text over the star. Cleaned tables, results of checks, and tables and steps that are read more than once are written, once in the application for all queries and anew if the
     driver's files change, so that no plan holds them twice. Views have names of their own and are gone once the plan is resolved."""
     used, tables, text = needed(build, steps)
     names: dict[str, str] = {}
     d = _Spark(names)
     state = (sf_dir, state_of(spark, [f"{sf_dir}/{s}.parquet" for s in SOURCES]))
-    often = lambda n: n.startswith("clean_") or len(re.findall(rf"\b{n}\b", text)) > 1
+    often = lambda n: n.startswith("clean_") or n.endswith(("_results", "_findings")) or len(re.findall(rf"\b{n}\b", text)) > 1
 
     def view(name: str, definition: str, df: Callable[[], DataFrame]) -> None:
         names[name] = f"meridian_{name}_{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ The checks of single rows are one aggregate a table. A check that found nothing
 from __future__ import annotations
 
 from ..operators.spec import CASH, SPECS, STATES, TRADED
-from .dialect import Dialect, over_star
+from .dialect import Dialect, Typed, over_star
 from .quality import _between, _day, calendar
 from .star import PK
 
@@ -99,10 +99,12 @@ def single_table(d: Dialect) -> str:
     """The checks of single rows of every table."""
     out = []
     for t in SPECS:
-        checks = [("1_column", *c) for c in column_checks(d, t)] + [("2_row", *c) for c in row_checks(d, t)]
-        sums = ", ".join(f"{d.if_(f'coalesce(({bad}) AND ({of}), false)')} AS a{i}, {d.if_(f'coalesce({of}, false)')} AS b{i}" for i, (_, _, _, _, bad, of) in enumerate(checks))
+        typed = Typed(d)
+        checks = [("1_column", *c) for c in column_checks(typed, t)] + [("2_row", *c) for c in row_checks(typed, t)]
+        codes = ", ".join(f"CASE WHEN NOT coalesce({of}, false) THEN 0 WHEN coalesce(({bad}), false) THEN 2 ELSE 1 END AS k{i}" for i, (_, _, _, _, bad, of) in enumerate(checks))
+        sums = ", ".join(f"{d.if_(f'k{i} = 2')} AS a{i}, {d.if_(f'k{i} > 0')} AS b{i}" for i in range(len(checks)))
         rows = [(*(f"'{x}'" for x in (severity, group, t, target, name)), f"a{i}", f"b{i}") for i, (group, severity, target, name, _, _) in enumerate(checks)]
-        out.append(d.fan(f"(SELECT {sums} FROM {d.t(t)}) one", _COLUMNS, rows))
+        out.append(d.fan(f"(SELECT {sums} FROM (SELECT {codes} FROM {typed.source(d.t(t))}) coded) one", _COLUMNS, rows))
     return UNION.join(out)
 
 
@@ -172,16 +174,23 @@ def _graded(d: Dialect, source: str) -> str:
     return f"SELECT {_GRADED} AS severity, check_group, table_name, target, check_name, affected, denominator, {d.pct('affected', 'denominator')} AS pct_affected FROM ({source}) f"
 
 
+def finding_steps(d: Dialect) -> dict[str, str]:
+    return {"single_findings": single_table(d), "several_findings": several_rows(d), "cross_findings": cross_table(d)}
+
+
+_EVERY = " UNION ALL ".join(f"SELECT * FROM {n}" for n in ("single_findings", "several_findings", "cross_findings"))
+
+
 def report(d: Dialect) -> str:
     """SL-01, WN-07: all findings in the order of severity, group and table, with running ids. There are some hundreds of them, whatever the data's size."""
     rank = "CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARN' THEN 1 WHEN 'INFO' THEN 2 ELSE 3 END"
     place = f"row_number() OVER (ORDER BY {rank}, check_group, table_name, target, check_name)"
-    return f"SELECT 'F' || lpad(CAST({place} AS STRING), 3, '0') AS finding_id, g.* FROM ({_graded(d, UNION.join([single_table(d), several_rows(d), cross_table(d)]))}) g"
+    return f"SELECT 'F' || lpad(CAST({place} AS STRING), 3, '0') AS finding_id, g.* FROM ({_graded(d, _EVERY)}) g"
 
 
 def by_severity(d: Dialect) -> str:
     """AG-20: findings by table and severity."""
-    return "SELECT table_name, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS n_{s.lower()}" for s in ("ERROR", "WARN", "INFO", "PASS")) + f" FROM ({_graded(d, UNION.join([single_table(d), several_rows(d), cross_table(d)]))}) g GROUP BY 1"
+    return "SELECT table_name, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS n_{s.lower()}" for s in ("ERROR", "WARN", "INFO", "PASS")) + f" FROM ({_graded(d, _EVERY)}) g GROUP BY 1"
 
 
 def difference(d: Dialect, a: str, b: str) -> str:
@@ -257,11 +266,11 @@ def star_validation(d: Dialect) -> str:
     return UNION.join(tests)
 
 
-over_star("dq03_column_findings", lambda d: _graded(d, single_table(d)))
-over_star("dq04_table_findings", lambda d: _graded(d, several_rows(d)))
-over_star("dq17_cross_findings", lambda d: _graded(d, cross_table(d)))
-over_star("sl01_findings", report)
-over_star("ag20_severities", by_severity)
+over_star("dq03_column_findings", lambda d: _graded(d, "SELECT * FROM single_findings"), finding_steps)
+over_star("dq04_table_findings", lambda d: _graded(d, "SELECT * FROM several_findings"), finding_steps)
+over_star("dq17_cross_findings", lambda d: _graded(d, "SELECT * FROM cross_findings"), finding_steps)
+over_star("sl01_findings", report, finding_steps)
+over_star("ag20_severities", by_severity, finding_steps)
 over_star("dq05_near_pairs", near_pairs)
 over_star("dq06_near_evidence", near_evidence, near_steps)
 over_star("dq13_dividend_holdings", dividend_holdings)

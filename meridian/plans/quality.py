@@ -11,7 +11,7 @@ from functools import partial
 
 from ..operators.spec import HARD_LISTS, INFERRED_SIGNS, SPECS, TRADED, TableSpec
 from .cleaning import CLEAN, steps
-from .dialect import Dialect, over_star
+from .dialect import Dialect, Typed, over_star
 from .star import PK, RELATIONSHIPS
 
 #: (rule, class, kind, applies, assessable, passes)
@@ -87,13 +87,14 @@ _COLUMNS = "stage, table_name, rule, rule_class, kind, n_rows, not_applicable, u
 
 
 def _rules(d: Dialect, stage: str, table: str, name: str) -> str:
-    """All rules of a table: one aggregate, then a row each. Keys that must be unique are one more aggregate each."""
-    counts, rows = ["count(*) AS n"], []
-    for i, (rule, kind_of, kind, applies, ready, ok) in enumerate(rules_of(d, table)):
-        a, r, p = f"coalesce({applies}, false)", f"coalesce({ready}, false)", f"coalesce({ok}, false)"
-        counts += [f"{d.if_(f'NOT {a}')} AS a{i}", f"{d.if_(f'{a} AND NOT {r}')} AS b{i}", f"{d.if_(f'{a} AND {r} AND {p}')} AS c{i}", f"{d.if_(f'{a} AND {r} AND NOT {p}')} AS d{i}"]
+    """All rules of a table: cells are parsed once a row, each rule is then one small code a row (not applicable, not assessable, passed, failed), and one aggregate counts the codes. Keys that must be unique are one more aggregate each."""
+    typed = Typed(d)
+    codes, counts, rows = [], ["count(*) AS n"], []
+    for i, (rule, kind_of, kind, applies, ready, ok) in enumerate(rules_of(typed, table)):
+        codes.append(f"CASE WHEN NOT coalesce({applies}, false) THEN 0 WHEN NOT coalesce({ready}, false) THEN 1 WHEN coalesce({ok}, false) THEN 2 ELSE 3 END AS r{i}")
+        counts += [f"{d.if_(f'r{i} = {k}')} AS {x}{i}" for k, x in enumerate("abcd")]
         rows.append((*(f"'{x}'" for x in (stage, table, rule, kind_of, kind)), "n", f"a{i}", f"b{i}", f"c{i}", f"d{i}"))
-    out = [d.fan(f"(SELECT {', '.join(counts)} FROM {name}) one", _COLUMNS, rows)] if rows else []
+    out = [d.fan(f"(SELECT {', '.join(counts)} FROM (SELECT {', '.join(codes)} FROM {typed.source(name)}) coded) one", _COLUMNS, rows)] if rows else []
     for key in SPECS[table].keys:
         blank = " OR ".join(d.blank(c) for c in key)
         groups = f"SELECT CASE WHEN {blank} THEN 0 ELSE 1 END AS ready, count(*) AS m FROM {name} GROUP BY {', '.join(key)}"
@@ -147,21 +148,19 @@ def parent_keys(d: Dialect) -> str:
 
 def scorecard(d: Dialect) -> str:
     """DQ-26: completeness, key uniqueness, type validity, rule pass and referential match of each table and stage; ratios of sums, null without a denominator."""
-    cells, rules, links = [], [], []
+    cells = []
     for stage, name in _stages(d):
-        links += _integrity(d, stage, name)
         for t, spec in SPECS.items():
-            if r := _rules(d, stage, t, name(t)):
-                rules.append(r)
             applies = [_applies(d, spec, c) for c in spec.types]
-            filled = [f"({a}) AND NOT ({d.blank(c)})" for a, c in zip(applies, spec.types, strict=True)]
-            valid = [f"{f} AND {d.valid(c, k)}" for f, (c, k) in zip(filled, spec.types.items(), strict=True)]
+            typed = Typed(d)
+            filled = [f"({a}) AND NOT ({typed.blank(c)})" for a, c in zip(applies, spec.types, strict=True)]
+            valid = [f"{f} AND {typed.valid(c, k)}" for f, (c, k) in zip(filled, spec.types.items(), strict=True)]
             total = lambda tests: " + ".join(d.if_(x) for x in tests)
             groups = f"SELECT count(*) AS m FROM {name(t)} WHERE NOT ({d.blank(spec.pk)}) GROUP BY {spec.pk}"
-            cells.append(f"SELECT '{stage}' AS stage, '{t}' AS table_name, a.*, u.uniq FROM (SELECT count(*) AS row_count, {total(applies)} AS cells_applicable, {total(filled)} AS cells_filled, {total(valid)} AS cells_valid FROM {name(t)}) a CROSS JOIN (SELECT count(*) FILTER (WHERE m = 1) AS uniq FROM ({groups}) g) u")
+            cells.append(f"SELECT '{stage}' AS stage, '{t}' AS table_name, a.*, u.uniq FROM (SELECT count(*) AS row_count, {total(applies)} AS cells_applicable, {total(filled)} AS cells_filled, {total(valid)} AS cells_valid FROM {typed.source(name(t))}) a CROSS JOIN (SELECT count(*) FILTER (WHERE m = 1) AS uniq FROM ({groups}) g) u")
     counted = "rule_class <> 'plausibility'"
-    ruled = f"SELECT stage, table_name, CAST(sum(CASE WHEN rule_class <> 'plausibility' THEN passed ELSE 0 END) AS BIGINT) AS rule_passed, CAST(sum(CASE WHEN rule_class <> 'plausibility' THEN passed + failed ELSE 0 END) AS BIGINT) AS rule_eligible, CAST(sum(CASE WHEN rule_class <> 'plausibility' THEN unassessable ELSE 0 END) AS BIGINT) AS rule_unassessable, {d.if_(counted)} AS rules_counted, CAST(sum(CASE WHEN rule_class = 'plausibility' THEN failed ELSE 0 END) AS BIGINT) AS warnings FROM ({UNION.join(rules)}) r GROUP BY 1, 2"
-    linked = f"SELECT stage, child, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(n_rows - n_blank) AS BIGINT) AS eligible, count(*) AS relationships FROM ({UNION.join(links)}) l GROUP BY 1, 2"
+    ruled = f"SELECT stage, table_name, CAST(sum(CASE WHEN rule_class <> 'plausibility' THEN passed ELSE 0 END) AS BIGINT) AS rule_passed, CAST(sum(CASE WHEN rule_class <> 'plausibility' THEN passed + failed ELSE 0 END) AS BIGINT) AS rule_eligible, CAST(sum(CASE WHEN rule_class <> 'plausibility' THEN unassessable ELSE 0 END) AS BIGINT) AS rule_unassessable, {d.if_(counted)} AS rules_counted, CAST(sum(CASE WHEN rule_class = 'plausibility' THEN failed ELSE 0 END) AS BIGINT) AS warnings FROM rule_results r GROUP BY 1, 2"
+    linked = f"SELECT stage, child, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(n_rows - n_blank) AS BIGINT) AS eligible, count(*) AS relationships FROM link_results l GROUP BY 1, 2"
     return f"""SELECT c.stage, c.table_name, row_count, {d.pct('cells_filled', 'cells_applicable')} AS pct_completeness, {d.pct('uniq', 'row_count')} AS pct_key_uniqueness, {d.pct('cells_valid', 'cells_filled')} AS pct_type_validity,
 {d.pct('rule_passed', 'rule_eligible')} AS pct_rule_pass, rule_unassessable, rules_counted, {d.pct('matched', 'eligible')} AS pct_referential_match, coalesce(relationships, 0) AS relationships, warnings
 FROM ({UNION.join(cells)}) c LEFT JOIN ({ruled}) r ON c.stage = r.stage AND c.table_name = r.table_name LEFT JOIN ({linked}) l ON c.stage = l.stage AND c.table_name = l.child"""
@@ -169,7 +168,7 @@ FROM ({UNION.join(cells)}) c LEFT JOIN ({ruled}) r ON c.stage = r.stage AND c.ta
 
 def rule_totals(d: Dialect) -> str:
     """AG-26: the rule results by stage, table and class."""
-    return f"SELECT stage, table_name, rule_class, count(*) AS n_rules, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed FROM ({rulebook(d)}) r GROUP BY 1, 2, 3"
+    return f"SELECT stage, table_name, rule_class, count(*) AS n_rules, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(failed) AS BIGINT) AS failed FROM rule_results r GROUP BY 1, 2, 3"
 
 
 def examples(d: Dialect) -> str:
@@ -270,12 +269,17 @@ def reconciliations(d: Dialect) -> str:
     return f"SELECT *, {d.pct('passed', '(passed + failed)')} AS pass_pct FROM ({UNION.join(rows)}) x"
 
 
+def result_steps(d: Dialect) -> dict[str, str]:
+    """The steps of cleaning, and what rules and relationships give on both stages."""
+    return steps(d) | {"rule_results": rulebook(d), "link_results": integrity(d)}
+
+
 DIMENSIONS = ("dim_advisor", "dim_benchmark", "dim_client", "dim_security")
-over_star("dq24_rulebook", rulebook, steps)
-over_star("dq15_integrity", integrity, steps)
+over_star("dq24_rulebook", lambda d: "SELECT * FROM rule_results", result_steps)
+over_star("dq15_integrity", lambda d: "SELECT * FROM link_results", result_steps)
 over_star("dq16_parent_keys", parent_keys, steps)
-over_star("dq26_scorecard", scorecard, steps)
-over_star("ag26_rule_totals", rule_totals, steps)
+over_star("dq26_scorecard", scorecard, result_steps)
+over_star("ag26_rule_totals", rule_totals, result_steps)
 over_star("ag27_examples", examples)
 over_star("dq01_profile_dimensions", partial(column_profile, tables=DIMENSIONS))
 over_star("dq01_profile_snapshots", partial(column_profile, tables=("fact_portfolio_snapshot",)))

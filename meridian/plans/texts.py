@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cells
-from ..text.events import events_of
+from ..functions import cells, filings
 from ..text.pages import to_blocks, to_flat_text, to_text
-from ..text.periods import end_dates_of, periods_of
-from ..text.sections import section_of, sentences_of
 from ..text.statements import release_of, values_of
 from .registry import query, read
 
@@ -52,7 +49,7 @@ def txt05_periods(spark, sf_dir) -> DataFrame:
     o, i = _orders(spark, sf_dir), F.col("o_orderkey") % 6
     y, short, n = F.col("y").cast("string"), F.substring(F.col("y").cast("string"), 3, 2), F.col("q").cast("string")
     said = F.when(i == 0, F.concat(_nth(), F.lit(" quarter of fiscal year "), y)).when(i == 1, F.concat(F.lit("fiscal "), y, F.lit(" "), _nth(), F.lit("-quarter"))).when(i == 2, F.concat(F.lit("Q"), n, F.lit(" FY"), y)).when(i == 3, F.concat(F.lit("FY"), y, F.lit(" Q"), n)).when(i == 4, F.concat(_nth(), F.lit("-quarter "), y)).otherwise(F.concat(n, F.lit("Q"), short))
-    p = periods_of(F.concat(F.lit("Acme today reported results for its "), said, F.lit(". More follows.")))[0]
+    p = filings.period_of(F.concat(F.lit("Acme today reported results for its "), said, F.lit(". More follows.")))
     found = o.select("o_orderkey", "y", p.alias("p"))
     # Two digits name a year of this century; the last grammar has no other.
     year = F.when((F.col("o_orderkey") % 6 == 5) & (F.col("y") < 2000), F.col("p.year") - 100).otherwise(F.col("p.year"))
@@ -64,7 +61,7 @@ def txt06_end_dates(spark, sf_dir) -> DataFrame:
     """TXT-06: the end of the quarter of four ways to write it."""
     o, i = _orders(spark, sf_dir), F.col("o_orderkey") % 4
     span = F.when(i == 0, "quarter ended").when(i == 1, "three months ending on").when(i == 2, "thirteen weeks ended").otherwise("13 weeks ended")
-    return o.select("o_orderkey", F.get(end_dates_of(F.concat(F.lit("For the "), span, F.lit(" "), F.date_format("end", "MMMM d, yyyy"), F.lit(" we saw."))), F.lit(0)).alias("quarter_end"))
+    return o.select("o_orderkey", F.get(filings.end_dates_in(F.concat(F.lit("For the "), span, F.lit(" "), F.date_format("end", "MMMM d, yyyy"), F.lit(" we saw."))), F.lit(0)).alias("quarter_end"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -1 ELSE 0 END * round(o_totalprice, 2) AS amount FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 0")
@@ -108,7 +105,7 @@ def txt16_sections(spark, sf_dir) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     head = F.when(F.col("o_orderkey") % 5 == 0, "Item 9.01 Exhibits").otherwise("Item 5.02. Departure of Directors or Certain Officers")
     text = F.concat(F.lit("Index\n"), head, F.lit("\nItem 7.01 Other\nnothing\n"), head, F.lit("\n(b)\nOrder "), key, F.lit(" is reported.\nIt has a customer.\nSIGNATURES\nnobody"))
-    return read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", section_of(text).alias("section"))
+    return read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", filings.section_in(text).alias("section"))
 
 
 @query("SELECT o_orderkey, CAST(3 + o_orderkey % 3 AS INTEGER) AS n_sentences, 'Mr. A. Smith Jr. of Acme Inc. bought No. ' || o_orderkey || ' on Jan. 5 in the U.S. market.' AS first_sentence FROM orders")
@@ -116,7 +113,7 @@ def txt17_sentences(spark, sf_dir) -> DataFrame:
     """TXT-17: abbreviations and initials end no sentence."""
     key = F.col("o_orderkey")
     text = F.concat(F.lit("Mr. A. Smith Jr. of Acme Inc. bought No. "), key.cast("string"), F.lit(" on Jan. 5 in the U.S. market. It was effective immediately.1 In addition it was cheap."), F.repeat(F.lit(" Was it? "), key % 3))
-    return read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", sentences_of(text).alias("s")).select("o_orderkey", F.size("s").alias("n_sentences"), F.col("s")[0].alias("first_sentence"))
+    return read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", filings.sentences_in(text).alias("s")).select("o_orderkey", F.size("s").alias("n_sentences"), F.col("s")[0].alias("first_sentence"))
 
 
 _OFFICES = ("Chief Financial Officer", "General Counsel", "President", "Treasurer")
@@ -133,7 +130,7 @@ def txt22_events(spark, sf_dir) -> DataFrame:
     takes = F.concat(F.lit("On January 2, 2024, the Board appointed Jane "), last, F.lit(" as "), office, F.lit(", effective as of "), day, F.lit(' (the "Start Date"). Ms. '), last, F.lit(" is 50 years old."))
     both = F.concat(leaves, F.lit(" Ms. "), last, F.lit(" will serve as Lead Independent Director after that."))
     text = F.when(key % 3 == 0, leaves).when(key % 3 == 1, takes).otherwise(both)
-    return read(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.explode(events_of(text)).alias("e")).select("c_custkey", "e.*")
+    return filings.executive_events(read(spark, sf_dir, "customer", "c_custkey").select("c_custkey", text.alias("text")), "c_custkey", "text")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'not available' WHEN c_custkey % 3 = 1 THEN 'match' ELSE 'differs' END AS status FROM customer")

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from meridian.text import events, pages, periods, sections, statements
+from pyspark.sql import functions as F
+
+from meridian.functions import filings
+from meridian.text import pages, periods, statements
+
+
+def of(spark, f, *texts):
+    """What a column function makes of texts, in their order."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.x for r in df.select("i", f(F.col("t")).alias("x")).orderBy("i").collect()]
 
 
 def test_pages_become_lines_and_tables():
@@ -19,9 +28,20 @@ def test_pages_become_lines_and_tables():
     assert pages.merge_cells(["", "$", "5", "%", "(", "3", ")"]) == ["$5%", "(3)"]
 
 
+PERIODS = "Q3 FY25 and 2Q24, third quarter of fiscal 2025; fiscal 2024 fourth-quarter; first quarter 2026; FY26 Q2"
+NAMED = [(3, 2025, True), (2, 2024, False), (3, 2025, True), (4, 2024, True), (1, 2026, False), (2, 2026, True)]
+
+
+def test_periods_and_end_dates_of_columns(spark):
+    found = of(spark, filings.periods_in, PERIODS, "", "no quarter here", "Q5 2024", None)
+    assert [[tuple(p) for p in x] if x is not None else None for x in found] == [NAMED, [], [], [], None]
+    assert [x and tuple(x) for x in of(spark, filings.period_of, PERIODS, "none", "the fourth quarter of the fiscal year 1999 and Q1 2000")] == [NAMED[0], None, (4, 1999, True)]
+    assert of(spark, filings.end_dates_in, "three months ended Sept. 30, 2025 and quarter ending February 30, 2024", "", None) == [[dt.date(2025, 9, 30)], [], None]
+    assert of(spark, filings.day_of, "Sept. 5, 2024", "February 30, 2024", "Smarch 1, 2024", "x") == [dt.date(2024, 9, 5), None, None, None]
+
+
 def test_periods_and_end_dates():
-    got = [(p["quarter"], p["year"], p["fiscal"]) for p in periods.find_periods("Q3 FY25 and 2Q24, third quarter of fiscal 2025; fiscal 2024 fourth-quarter; first quarter 2026; FY26 Q2")]
-    assert got == [(3, 2025, True), (2, 2024, False), (3, 2025, True), (4, 2024, True), (1, 2026, False), (2, 2026, True)]
+    assert [(p["quarter"], p["year"], p["fiscal"]) for p in periods.find_periods(PERIODS)] == NAMED
     assert periods.find_end_dates("three months ended Sept. 30, 2025 and quarter ending February 30, 2024") == [dt.date(2025, 9, 30)]
     filed = dt.date(2025, 10, 30)
     assert periods.release_period("Results for the quarter ended September 30, 2025", filed)["end"] == dt.date(2025, 9, 30)
@@ -29,26 +49,27 @@ def test_periods_and_end_dates():
     assert periods.release_period("first quarter 2025 against second quarter 2025", filed)["reason"] == "the headline names several quarters"
 
 
-def test_sections_and_sentences():
+def test_sections_and_sentences(spark):
     text = "Item 5.02\nItem 9.01 Exhibits\nItem 5.02. Departure of Directors\n(b)\nMr. J. Doe left Acme Inc. He is 50.\nSIGNATURE\nx"
-    assert sections.item_section(text) == "Mr. J. Doe left Acme Inc. He is 50."
-    assert sections.item_section("nothing") is None
-    assert sections.split_sentences("Mr. J. Doe of the U.S. left.2 She stayed! \"Why?\" (No. 5)") == ["Mr. J. Doe of the U.S. left.", "She stayed!", "\"Why?\" (No. 5)"]
+    assert of(spark, filings.section_in, text, "nothing", "", None, "item 5.02 a\nshort\n ITEM 5.02\nlonger one\nhere") == ["Mr. J. Doe left Acme Inc. He is 50.", None, None, None, "longer one\nhere"]
+    said = of(spark, filings.sentences_in, "Mr. J. Doe of the U.S. left.2 She stayed! \"Why?\" (No. 5)", "One line\nand two. Three on Sept. 5. Acme Corp. ended", "", None)
+    assert said == [["Mr. J. Doe of the U.S. left.", "She stayed!", "\"Why?\" (No. 5)"], ["One line", "and two.", "Three on Sept. 5.", "Acme Corp. ended"], [], None]
 
 
-def test_one_column_of_the_quarter_or_none():
-    period = {"quarter": 3, "year": 2025, "end": dt.date(2025, 9, 30)}
-    assert statements.column_of([["Item", "Q2 FY25", "Q3 FY25", "Change"]], period) == 1
-    assert statements.column_of([["Three months ended September 30, 2025", "Nine months ended September 30, 2025"]], period) == 0
-    assert statements.column_of([["Item", "Q3 FY25", "Q3 FY25"]], period) is None
-    assert statements.column_of([["Item", "2024", "2023"]], period) is None
-    assert [statements.cell_value(c) for c in ("$ 94,930", "(1,234)", "-", "12%", "n/a", "1.2.3")] == [94930.0, -1234.0, 0.0, None, None, None]
-    assert statements.unit_scale(["(in thousands, shares in millions)"]) == 0.001 and statements.unit_scale(["x"]) is None
-    assert statements.agrees(94930.0, "revenue of $94.9 billion") and not statements.agrees(94930.0, "revenue of $95.2 billion") and statements.agrees(1.0, "x") is None
+def events(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return sorted(map(tuple, filings.executive_events(df, "i", "t").collect()))
 
 
-def test_events_of_people():
+def test_events_of_people(spark):
     text = 'On April 20, 2026, Jane Q. Miller notified the Board of her decision to resign as Chief Financial Officer, effective June 1, 2026 (the "Transition Date"). The Board appointed Carlos Di Marco as Chief Financial Officer, effective on the Transition Date.'
-    got = {(e["event_type"], e["person_name"], e["title"], e["effective_date"]) for e in events.section_events(text)}
-    assert got == {("departure", "Jane Q. Miller", "Chief Financial Officer", "2026-06-01"), ("appointment", "Carlos Di Marco", "Chief Financial Officer", "2026-06-01")}
-    assert events.section_events("") == [] and events.section_events("Nothing happened here.") == []
+    passive = "Ana Silva was appointed as General Counsel and Secretary of the Company. Ms. Silva is 50. Certain Officers met an Investment Bank."
+    moved = "Bob Stone will step down as President, effective May 2, 2025. Mr. Stone will serve as Chair of the Board after that."
+    got = events(spark, text, "", "Nothing happened here.", None, passive, moved, "Eve Long retired from the board of directors.")
+    assert got == [
+        (0, "appointment", "Carlos Di Marco", "Chief Financial Officer", "2026-06-01"),
+        (0, "departure", "Jane Q. Miller", "Chief Financial Officer", "2026-06-01"),
+        (4, "appointment", "Ana Silva", "General Counsel and Secretary of the Company", "NOT_FOUND"),
+        (5, "both", "Bob Stone", "President -> Chair of the Board", "2025-05-02"),
+        (6, "departure", "Eve Long", "Director", "NOT_FOUND"),
+    ]
