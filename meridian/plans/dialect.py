@@ -105,6 +105,14 @@ class _Spark(Dialect):
         before = f"SELECT range_no, sum(n) OVER (ORDER BY range_no) - n AS before FROM (SELECT range_no, count(*) AS n FROM ({placed}) p GROUP BY 1) z"
         return f"SELECT p.*, row_number() OVER (PARTITION BY p.range_no ORDER BY {order}) + before AS {name} FROM ({placed}) p JOIN ({before}) b ON p.range_no = b.range_no"
 
+    def running(self, source: str, keys: str, number: str, order: str, value: str, name: str) -> str:
+        """The rows of a step with the sum of `value` over the rows of their keys before them: totals by ranges of a numeric column are carried into each range. Keys aren't null."""
+        cuts = f"SELECT approx_percentile({number}, array({', '.join(str(i / RANGES) for i in range(1, RANGES))}), {10 * RANGES}) AS cuts FROM {source}"
+        placed = f"SELECT s.*, coalesce(size(filter(cuts, c -> c < {number})), -1) AS range_no FROM {source} s CROSS JOIN ({cuts}) q"
+        start = f"SELECT {keys}, range_no, sum(t) OVER (PARTITION BY {keys} ORDER BY range_no) - t AS start FROM (SELECT {keys}, range_no, sum({value}) AS t FROM ({placed}) p GROUP BY ALL) z"
+        inside = f"coalesce(sum({value}) OVER (PARTITION BY {', '.join('p.' + k for k in keys.split(', '))}, p.range_no ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        return f"SELECT p.*, start + {inside} AS {name} FROM ({placed}) p JOIN ({start}) b ON {' AND '.join(f'p.{k} = b.{k}' for k in [*keys.split(', '), 'range_no'])}"
+
     def months(self, a: str, b: str) -> str:
         """Months from a to b, both firsts of months."""
         return f"CAST(months_between({b}, {a}) AS BIGINT)"
@@ -149,6 +157,9 @@ class _Duck(Dialect):
     def numbered(self, source: str, order: str, name: str) -> str:
         return f"SELECT *, row_number() OVER (ORDER BY {order}) AS {name} FROM {source}"
 
+    def running(self, source: str, keys: str, number: str, order: str, value: str, name: str) -> str:
+        return f"SELECT *, coalesce(sum({value}) OVER (PARTITION BY {keys} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {name} FROM {source}"
+
     def months(self, a: str, b: str) -> str:
         return f"CAST(date_diff('month', {a}, {b}) AS BIGINT)"
 

@@ -227,12 +227,18 @@ def near_evidence(d: Dialect) -> str:
     return f"SELECT CAST(g.group_no AS BIGINT) AS group_no, c.client_id, {', '.join('c.' + x for x in compare)}, g.others_differ, {shown} FROM ({numbered}) g JOIN {d.t('dim_client')} c ON {' AND '.join(f'g.{m} = c.{m}' for m in match)} {joins}"
 
 
-def dividend_holdings(d: Dialect) -> str:
-    """DQ-13, WN-01: shares of dividends against what earlier trades add up to, per client and security. The windows are per position, so no client is held whole."""
-    n, key = f"({d.number('shares')})", d.key("security_id")
+def move_steps(d: Dialect) -> dict[str, str]:
+    """Every movement of a position with its size; whole and decimal shares are added exactly."""
+    n, key = f"({d.money('shares')})", d.key("security_id")
     signed = f"CASE txn_type WHEN 'Buy' THEN abs({n}) WHEN 'Sell' THEN -abs({n}) ELSE 0 END"
-    rows = f"SELECT txn_id, client_id, {key} AS sec, txn_date, txn_type, {n} AS shares, coalesce({signed}, 0) AS moved FROM {d.t('fact_transactions')} WHERE NOT ({d.blank('security_id')})"
-    held = f"SELECT *, sum(moved) OVER (PARTITION BY client_id, sec ORDER BY txn_date, CAST(txn_id AS BIGINT) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - moved AS held FROM ({rows}) r"
+    day = d.days("DATE '1970-01-01'", f"({d.date('txn_date')})")
+    return {"security_moves": f"SELECT txn_id, client_id, {key} AS sec, {day} AS day_no, txn_type, {d.number('shares')} AS shares, coalesce({signed}, 0) AS moved FROM {d.t('fact_transactions')} WHERE NOT ({d.blank('security_id')})"}
+
+
+def dividend_holdings(d: Dialect) -> str:
+    """DQ-13, WN-01: shares of dividends against what earlier trades add up to, per client and security. A position is summed in ranges of days, so that none is held whole."""
+    before = d.running("security_moves", "client_id, sec", "day_no", "day_no, CAST(txn_id AS BIGINT)", "moved", "held_exactly")
+    held = f"SELECT *, CAST(held_exactly AS DOUBLE) AS held FROM ({before}) b"
     return f"SELECT txn_id, shares, held, held > 0 AS has_position, held > 0 AND abs(abs(shares) / nullif(held, 0) - 1) <= 0.01 AS equals_position FROM ({held}) h WHERE txn_type = 'Dividend'"
 
 
@@ -273,6 +279,6 @@ over_star("sl01_findings", report, finding_steps)
 over_star("ag20_severities", by_severity, finding_steps)
 over_star("dq05_near_pairs", near_pairs)
 over_star("dq06_near_evidence", near_evidence, near_steps)
-over_star("dq13_dividend_holdings", dividend_holdings)
+over_star("dq13_dividend_holdings", dividend_holdings, move_steps)
 over_star("ag17_benchmark_profiles", benchmark_profiles)
 over_star("sv01_star_validation", star_validation)

@@ -9,6 +9,7 @@ from ..functions import cells
 from ..operators import relational as rel
 from ..operators.near import near_groups
 from ..operators.numbering import numbered, numbered_groups, text_code
+from ..operators.running import running_before
 from ..operators.quantiles import exact_quantiles
 from .registry import query, read
 
@@ -149,9 +150,17 @@ w AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY o_custkey ORDER BY l_shipdate
 SELECT o_custkey AS client, l_orderkey, l_linenumber, l_partkey, l_suppkey, held FROM w""")
 def wn01_running_excl(spark, sf_dir) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    w = Window.partitionBy("o_custkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax").rowsBetween(Window.unboundedPreceding, -1)
-    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
-    return lines.withColumn("q", signed).select(F.col("o_custkey").alias("client"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(F.sum("q").over(w), F.lit(0.0)).alias("held"))
+    ties = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("decimal(18,2)")
+    held = running_before(lines.withColumns({"q": signed, "day": F.unix_date(F.to_date("l_shipdate"))}), ["o_custkey"], "day", ties, "q", "held")
+    return held.select(F.col("o_custkey").alias("client"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("held").cast("double").alias("held"))
+
+
+@query("""SELECT event_id, CAST(coalesce(sum(CAST(value AS DECIMAL(18, 4))) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS before FROM events""")
+def wn01_one_position(spark, sf_dir) -> DataFrame:
+    """WN-01: all events as one position: the hottest group there can be is still summed by many tasks."""
+    e = read(spark, sf_dir, "events", "event_id", "ts", "value").select("event_id", "ts", F.unix_date(F.to_date("ts")).alias("day"), F.col("value").cast("decimal(18,4)").alias("value"), F.lit("all").alias("position"))
+    return running_before(e, ["position"], "day", ["ts", "event_id"], "value", "before").select("event_id", F.col("before").cast("double").alias("before"))
 
 
 @query("""WITH r AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events), c AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM r)

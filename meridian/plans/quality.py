@@ -176,11 +176,30 @@ def examples(d: Dialect) -> str:
     bad = {"fact_transactions": ("shares", f"({d.number('shares')}) < 0"), "dim_client": ("state", f"NOT {d.isin('state', SPECS['dim_client'].allowed['state'])}"), "fact_fees": ("amount", f"NOT {d.valid('amount', 'float')}")}
     rows = []
     for t, (c, test) in bad.items():
-        ranked = f"SELECT '{PK[t]}=' || {PK[t]} || ', {c}=' || {c} AS shown, row_number() OVER (ORDER BY CAST({PK[t]} AS BIGINT)) AS place FROM {d.t(t)} WHERE {test}"
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY k) AS place FROM (SELECT '{c}' AS column_name, CAST({PK[t]} AS BIGINT) AS k, '{PK[t]}=' || {PK[t]} || ', {c}=' || {c} AS shown FROM {d.t(t)} WHERE {test}) f"
         rows.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {d.joined('shown', ' | ', 'place')} AS examples FROM ({ranked}) r WHERE place <= 3")
     return UNION.join(rows)
 
 
+def rule_examples(d: Dialect) -> str:
+    """AG-27, SL-03: of every rule that a raw table breaks, the first three rows by key. All rules of a table are judged in one pass; of each rule a task keeps no more than
+    three rows before anything is exchanged (a limit within the window), however many fail."""
+    out = []
+    for t in SPECS:
+        typed = Typed(d)
+        rules = rules_of(typed, t)
+        if not rules:
+            continue
+        failed = [f"(coalesce({applies}, false) AND coalesce({ready}, false) AND NOT coalesce({ok}, false))" for _, _, _, applies, ready, ok in rules]
+        marks = ", ".join(f"{f} AS f{i}" for i, f in enumerate(failed))
+        key = f"try_cast({PK[t]} AS BIGINT)"
+        rows = [(f"'{rule}'", "k", "shown", f"f{i}") for i, (rule, *_) in enumerate(rules)]
+        every = d.fan(f"(SELECT {key} AS k, {PK[t]} AS shown, {marks} FROM {typed.source(d.t(t))}) one", "rule, k, shown, failed", rows)
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY rule ORDER BY k, shown) AS place FROM ({every}) e WHERE failed"
+        out.append(f"SELECT '{t}' AS table_name, rule, {d.joined('shown', ', ', 'place')} AS first_keys FROM ({ranked}) r WHERE place <= 3 GROUP BY rule")
+    return UNION.join(out)
+
+
 def column_profile(d: Dialect, tables: tuple[str, ...]) -> str:
     """DQ-01: the metrics of every column. A column is first reduced to its distinct values with counts, so all metrics come from one small table."""
     values, kinds = [], {}
@@ -281,6 +300,7 @@ over_star("dq16_parent_keys", parent_keys, steps)
 over_star("dq26_scorecard", scorecard, result_steps)
 over_star("ag26_rule_totals", rule_totals, result_steps)
 over_star("ag27_examples", examples)
+over_star("ag27_rule_examples", rule_examples)
 over_star("dq01_profile_dimensions", partial(column_profile, tables=DIMENSIONS))
 over_star("dq01_profile_snapshots", partial(column_profile, tables=("fact_portfolio_snapshot",)))
 over_star("prd06_infer_types", partial(inferred_types, tables=(*DIMENSIONS, "fact_fees", "fact_transactions")))
