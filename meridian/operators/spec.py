@@ -101,4 +101,4 @@ SPECS: dict[str, TableSpec] = {
 }
 #: Code lists and sign rules that are standard or by definition; the others are inferred from the data.
 HARD_LISTS = {("dim_client", "state"), *(("dim_date", c) for c in SPECS["dim_date"].allowed)}
-INFERRED_SIGNS = {("fact_transactions", "shares"), ("fact_transactions", "amount")}
+INFERRED_SIGNS = {("fact_fees", "amount"), ("fact_transactions", "shares"), ("fact_transactions", "amount")}

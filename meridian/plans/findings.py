@@ -131,11 +131,13 @@ def several_rows(d: Dialect) -> str:
 
 
 def cross_table(d: Dialect) -> str:
-    """DQ-14, DQ-17 to DQ-23, JN-12, JN-15, JN-16, JN-18: rules over several tables. Clients are one row a key, the first by text, and repeated keys are a finding of their own."""
+    """DQ-14, DQ-17 to DQ-23, JN-12, JN-15, JN-16, JN-18: rules over several tables. Clients are one whole row a key, the first by text, and repeated keys are a finding of their own."""
     out = []
     row = lambda severity, t, target, name, affected, denominator, source: out.append(f"SELECT '{severity}' AS severity, '4_cross' AS check_group, '{t}' AS table_name, '{target}' AS target, '{name}' AS check_name, {affected} AS affected, {denominator} AS denominator FROM {source}")
     fee, snap, txn, client, cal = (d.t(t) for t in ("fact_fees", "fact_portfolio_snapshot", "fact_transactions", "dim_client", "dim_date"))
-    one = f"(SELECT client_id, min(advisor_id) AS advisor_id, min(client_since) AS client_since, min(primary_account_type) AS primary_account_type, min(is_active) AS is_active FROM {client} GROUP BY 1)"
+    looked = ("advisor_id", "client_since", "primary_account_type", "is_active")
+    whole_row = " || '|' || ".join(f"coalesce({c}, '')" for c in looked)
+    one = f"(SELECT client_id, {', '.join(f'min_by({c}, row_text) AS {c}' for c in looked)} FROM (SELECT *, {whole_row} AS row_text FROM {client}) w GROUP BY 1)"
     row("WARN", "dim_client", "client_id", "lookup key unique", "count(*) FILTER (WHERE m > 1)", "count(*)", f"(SELECT count(*) AS m FROM {client} GROUP BY client_id) g")
     row("ERROR", "dim_client", "client_id", "repeated lookup keys disagree", "count(*) FILTER (WHERE a <> b)", "count(*)", f"(SELECT min(advisor_id) AS a, max(advisor_id) AS b FROM {client} GROUP BY client_id) g")
     for t, day in (("fact_fees", "fee_date"), ("fact_portfolio_snapshot", "snapshot_date"), ("fact_transactions", "txn_date")):

@@ -172,6 +172,20 @@ def snk06_histogram(spark, sf_dir) -> DataFrame:
     return sinks.histogram(read(spark, sf_dir, "customer", "c_acctbal"), "c_acctbal").select("bin", F.round("low", 4).alias("low"), "n")
 
 
+@query("""WITH q AS (SELECT c_mktsegment AS segment, count(*) AS n, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS median, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer GROUP BY 1), r AS (SELECT q.*, c_acctbal AS x, q1 - 1.5 * (q3 - q1) AS a, q3 + 1.5 * (q3 - q1) AS z FROM customer JOIN q ON c_mktsegment = segment)
+SELECT segment, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, min(x) FILTER (x >= a AND x <= z) AS low, max(x) FILTER (x >= a AND x <= z) AS high, count(*) FILTER (x < a) AS n_below, count(*) FILTER (x > z) AS n_above FROM r GROUP BY ALL""")
+def snk06_box(spark, sf_dir) -> DataFrame:
+    """SNK-06: the data of a box chart of balances by segment."""
+    c = read(spark, sf_dir, "customer", "c_mktsegment", "c_acctbal").withColumnRenamed("c_mktsegment", "segment")
+    return sinks.box_data(c, "segment", "c_acctbal").withColumns({q: F.round(q, 6) for q in ("q1", "median", "q3")})
+
+
+@query("""SELECT o_orderpriority, o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k FROM orders) r WHERE k <= 200""")
+def snk06_scatter(spark, sf_dir) -> DataFrame:
+    """SNK-06: the points of a chart of clients and prices by priority, a bounded and repeatable draw of each."""
+    return sinks.scatter_data(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice")
+
+
 def _fingerprint_sql(table: str, columns: dict[str, str], label: str | None = None) -> str:
     """The fingerprint of text cells; columns: name to expression."""
     cell = lambda x: f"coalesce(length({x}) || ':' || {x}, '-')"

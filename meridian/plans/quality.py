@@ -201,7 +201,7 @@ def rule_examples(d: Dialect) -> str:
 
 
 def column_profile(d: Dialect, tables: tuple[str, ...]) -> str:
-    """DQ-01: the metrics of every column. A column is first reduced to its distinct values with counts, so all metrics come from one small table."""
+    """DQ-01: the metrics of every column of the specs, also of a table without rows. A column is first reduced to its distinct values with counts, so all metrics come from one small table."""
     values, kinds = [], {}
     for t in tables:
         for c, kind in SPECS[t].types.items():
@@ -222,8 +222,13 @@ def column_profile(d: Dialect, tables: tuple[str, ...]) -> str:
     one = f"""SELECT table_name, column_name, kind AS expected_type, {total('true')} AS n_rows, {total('NOT filled')} AS n_blank, {total('filled AND ' + d.token('v'))} AS n_null_tokens, {total('filled')} AS n_filled, {d.if_('filled')} AS n_distinct,
 count(DISTINCT shape) AS n_shapes, {total('filled AND NOT ok')} AS n_parse_fails, {total('v <> trim(v)')} AS n_edge_space, {total(d.match('v', '[ ]{2,}'))} AS n_inner_space, CASE WHEN {typed} THEN {formats} > 1 ELSE {variants} > 0 END AS mixed_formats,
 CAST(min(CASE WHEN filled THEN length(v) END) AS INT) AS min_len, CAST(max(CASE WHEN filled THEN length(v) END) AS INT) AS max_len, {bound('min')} AS least, {bound('max')} AS most FROM cells GROUP BY 1, 2, 3"""
-    return f"""WITH cells AS ({cells}), one AS ({one}) SELECT o.*, {d.pct('n_blank', 'n_rows')} AS pct_blank, {d.pct('n_distinct', 'n_filled')} AS pct_distinct, {d.pct('n_parse_fails', 'n_filled')} AS pct_parse_fails, tv.shown AS top_values, ts.shown AS top_shapes, coalesce(pf.shown, '') AS parse_fail_examples
-FROM one o LEFT JOIN ({top('cells', 'v')}) tv ON o.table_name = tv.table_name AND o.column_name = tv.column_name LEFT JOIN ({top('(' + shapes + ') q', 'shape')}) ts ON o.table_name = ts.table_name AND o.column_name = ts.column_name LEFT JOIN ({fails}) pf ON o.table_name = pf.table_name AND o.column_name = pf.column_name"""
+    specs = UNION.join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS expected_type" for (t, c), kind in kinds.items())
+    counts = ("n_rows", "n_blank", "n_null_tokens", "n_filled", "n_distinct", "n_shapes", "n_parse_fails", "n_edge_space", "n_inner_space")
+    shown = ", ".join(f"coalesce(o.{c}, 0) AS {c}" for c in counts)
+    same = lambda x: f"s.table_name = {x}.table_name AND s.column_name = {x}.column_name"
+    return f"""WITH cells AS ({cells}), one AS ({one}), specs AS ({specs}) SELECT s.table_name, s.column_name, s.expected_type, {shown}, coalesce(o.mixed_formats, false) AS mixed_formats, o.min_len, o.max_len, o.least, o.most,
+{d.pct('n_blank', 'n_rows')} AS pct_blank, {d.pct('n_distinct', 'n_filled')} AS pct_distinct, {d.pct('n_parse_fails', 'n_filled')} AS pct_parse_fails, tv.shown AS top_values, ts.shown AS top_shapes, coalesce(pf.shown, '') AS parse_fail_examples
+FROM specs s LEFT JOIN one o ON {same('o')} LEFT JOIN ({top('cells', 'v')}) tv ON {same('tv')} LEFT JOIN ({top('(' + shapes + ') q', 'shape')}) ts ON {same('ts')} LEFT JOIN ({fails}) pf ON {same('pf')}"""
 
 
 def inferred_types(d: Dialect, tables: tuple[str, ...]) -> str:
@@ -303,6 +308,7 @@ over_star("ag27_examples", examples)
 over_star("ag27_rule_examples", rule_examples)
 over_star("dq01_profile_dimensions", partial(column_profile, tables=DIMENSIONS))
 over_star("dq01_profile_snapshots", partial(column_profile, tables=("fact_portfolio_snapshot",)))
+over_star("dq01_profile_facts", partial(column_profile, tables=("dim_date", "fact_fees", "fact_transactions")))
 over_star("prd06_infer_types", partial(inferred_types, tables=(*DIMENSIONS, "fact_fees", "fact_transactions")))
 over_star("dq27_iqr", iqr, steps)
 over_star("dq27_iqr_flags", iqr_flags, steps)

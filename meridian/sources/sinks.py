@@ -7,9 +7,10 @@ import math
 from datetime import date
 from enum import IntEnum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ..operators.relational import RuleBroken, same_rows
 from .files import text_table
 from .scratch import new_path
@@ -125,3 +126,22 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     every = span.where("a is not null").select("a", "b", "mean", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("b") - F.col("a")) / bins
     return every.join(F.broadcast(counts), "bin", "left").select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"), "mean")
+
+
+def box_data(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n, q1, median, q3, low and high whisker (the outermost values within 1.5 times the middle half's width of it), n_below and n_above them. Quartiles are exact;
+    nulls are left out, a null group is a group."""
+    rows = df.select(group, F.col(value).cast("double").alias("x")).where("x is not null")
+    q = exact_quantiles(rows, "x", [0.25, 0.5, 0.75], (group,)).withColumn("reach", 1.5 * (F.col("q2") - F.col("q0")))
+    met = rows.alias("r").join(q.alias("q"), F.col(f"r.{group}").eqNullSafe(F.col(f"q.{group}")))
+    x, low, high = F.col("x"), F.col("q0") - F.col("reach"), F.col("q2") + F.col("reach")
+    inside = F.when((x >= low) & (x <= high), x)
+    return met.groupBy(F.col(f"q.{group}").alias(group), "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")).agg(F.min(inside).alias("low"), F.max(inside).alias("high"), F.count_if(x < low).alias("n_below"), F.count_if(x > high).alias("n_above"))
+
+
+def scatter_data(df: DataFrame, group: str, key: str, x: str, y: str, most: int = 200) -> DataFrame:
+    """At most `most` rows of each group for a chart of points: those whose keys have the lowest hashes, so any run on any partitioning draws the same ones. Each task
+    keeps no more than `most` rows a group before anything is exchanged."""
+    rows = df.select(group, key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
