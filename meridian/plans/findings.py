@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from ..operators.spec import CASH, SPECS, STATES, TRADED
 from .dialect import Dialect, Typed, over_star
+from .cleaning import steps
 from .quality import _between, _day, calendar
-from .star import PK
+from .star import PK, RELATIONSHIPS
 
 UNION = "\nUNION ALL "
 #: (severity, target, check, what is wrong, of which rows)
@@ -252,25 +253,57 @@ def benchmark_profiles(d: Dialect) -> str:
 
 
 def star_validation(d: Dialect) -> str:
-    """SV-01: shape, keys, foreign keys, structural blanks, dates, grain, advisor paths and arithmetic, each PASS, FAIL or INFO."""
+    """SV-01: shape, keys, foreign keys, structural blanks, dates, grain, advisor paths and measures: 56 checks, each PASS, FAIL or, if it only informs, INFO."""
     tests = []
-    add = lambda group, name, bad, source, kind="FAIL": tests.append(f"SELECT '{group}' AS check_group, '{name}' AS check_name, {bad} AS n_bad, CASE WHEN {bad} = 0 THEN 'PASS' ELSE '{kind}' END AS status FROM {source}")
+
+    def add(group: str, name: str, source: str, bad: str = "count(*)", info: bool = False) -> None:
+        status = "'INFO'" if info else f"CASE WHEN {bad} = 0 THEN 'PASS' ELSE 'FAIL' END"
+        tests.append(f"SELECT '{group}' AS check_group, '{name}' AS check_name, {bad} AS n_bad, {status} AS status FROM {source}")
+
+    facts = {"fact_fees": "fee_date", "fact_portfolio_snapshot": "snapshot_date", "fact_transactions": "txn_date"}
+    n, money, blank = (lambda c: f"({d.number(c)})"), (lambda c: f"({d.money(c)})"), (lambda c: f"({d.blank(c)})")
+    txn, fees, snaps = (d.t(t) for t in ("fact_transactions", "fact_fees", "fact_portfolio_snapshot"))
     for t in SPECS:
-        add("shape", f"{t} has rows", "CASE WHEN count(*) = 0 THEN 1 ELSE 0 END", d.t(t))
-        add("key", f"{t}.{PK[t]}", "count(*)", f"(SELECT {PK[t]} FROM {d.t(t)} GROUP BY 1 HAVING count(*) > 1 OR {d.blank(PK[t])}) g")
-    for child, ck, parent, pk in (("dim_security", "benchmark_id", "dim_benchmark", "benchmark_id"), *((f, "client_id", "dim_client", "client_id") for f in ("fact_fees", "fact_portfolio_snapshot", "fact_transactions")), ("fact_fees", "fee_date", "dim_date", "date"), ("fact_portfolio_snapshot", "snapshot_date", "dim_date", "date"), ("fact_transactions", "txn_date", "dim_date", "date")):
-        add("foreign key", f"{child}.{ck}", "count(*)", f"{d.t(child)} c WHERE NOT ({d.blank('c.' + ck)}) AND NOT EXISTS (SELECT 1 FROM {d.t(parent)} p WHERE p.{pk} = c.{ck})")
-    add("structure", "security blank exactly on cash rows", "count(*)", f"{d.t('fact_transactions')} WHERE ({d.blank('security_id')}) <> {d.isin('txn_type', CASH)}")
-    add("structure", "sector blank outside equity", "count(*)", f"{d.t('dim_security')} WHERE ({d.blank('sector')}) = (asset_class = 'Equity')")
-    add("grain", "one fee a client and day", "count(*)", f"(SELECT 1 FROM {d.t('fact_fees')} GROUP BY client_id, fee_date HAVING count(*) > 1) g")
-    add("grain", "one balance a client and day", "count(*)", f"(SELECT 1 FROM {d.t('fact_portfolio_snapshot')} GROUP BY client_id, snapshot_date HAVING count(*) > 1) g")
-    add("advisor", "fact advisor is the client advisor", "count(*)", f"{d.t('fact_portfolio_snapshot')} f JOIN {d.t('dim_client')} c ON f.client_id = c.client_id WHERE f.advisor_id <> c.advisor_id")
-    n = lambda c: f"({d.number(c)})"
-    add("arithmetic", "fee amount, missing counts as failure", "count(*)", f"{d.t('fact_fees')} WHERE NOT coalesce(abs({n('amount')} - {n('aum_basis')} * {n('bps_charged')} / 120000) <= 0.01, false)")
-    add("arithmetic", "alpha within 1e-5, missing counts as failure", "count(*)", f"{d.t('fact_portfolio_snapshot')} WHERE NOT coalesce(abs({n('return_ytd')} - {n('benchmark_return_ytd')} - {n('active_alpha_ytd')}) <= 1e-5, false)")
-    for t in TRADED:
-        add("arithmetic", f"{t} amount", "count(*)", f"{d.t('fact_transactions')} WHERE txn_type = '{t}' AND NOT coalesce(abs({n('amount')} - {n('shares')} * {n('price')}) <= 0.01, false)")
-    add("flags", "suspect returns", "count(*)", f"{d.t('fact_portfolio_snapshot')} WHERE is_return_suspect = '1'", "INFO")
+        add("row counts", f"{t} has rows", d.t(t), "CASE WHEN count(*) = 0 THEN 1 ELSE 0 END")
+        add("primary keys", f"{t}.{PK[t]}", f"(SELECT {PK[t]} FROM {d.t(t)} GROUP BY 1 HAVING count(*) > 1 OR {blank(PK[t])}) g")
+    for child, ck, parent, pk in RELATIONSHIPS:
+        if parent != "dim_date":
+            key = d.key(f"c.{ck}") if ck == "security_id" else f"c.{ck}"
+            add("foreign keys", f"{child}.{ck}", f"{d.t(child)} c LEFT JOIN (SELECT DISTINCT {pk} AS k FROM {d.t(parent)}) p ON {key} = p.k WHERE p.k IS NULL" + (f" AND NOT {blank('c.' + ck)}" if ck == "security_id" else ""))
+    cash = d.isin("txn_type", CASH)
+    add("security blanks", "blank on cash rows", f"{txn} WHERE {blank('security_id')} AND {cash}", info=True)
+    add("security blanks", "blank on traded rows", f"{txn} WHERE {blank('security_id')} AND NOT {cash}")
+    add("security blanks", "filled on cash rows", f"{txn} WHERE NOT {blank('security_id')} AND {cash}")
+    day = f"({d.date('date')})"
+    add("dates", "calendar dates parse and are unique", f"(SELECT date FROM {d.t('dim_date')} GROUP BY 1 HAVING count(*) > 1 OR min(CASE WHEN {day} IS NULL THEN 0 ELSE 1 END) = 0) g")
+    add("dates", "calendar is contiguous", f"(SELECT count(DISTINCT day) AS n, min(day) AS a, max(day) AS b FROM (SELECT {day} AS day FROM {d.t('dim_date')}) z) g", f"CAST(max(coalesce({d.days('a', 'b')} + 1 - n, 0)) AS BIGINT)")
+    for t, c in facts.items():
+        add("dates", f"{t}.{c} is in the calendar", f"{d.t(t)} c LEFT JOIN (SELECT DISTINCT date AS k FROM {d.t('dim_date')}) p ON c.{c} = p.k WHERE p.k IS NULL OR ({d.date(f'c.{c}')}) IS NULL")
+    add("dates", "fact dates are calendar dates", f"{fees} WHERE ({d.date('fee_date')}) IS NOT NULL", info=True)
+    add("dates", "balances on the last day of a month", f"{snaps} c JOIN (SELECT DISTINCT date AS k FROM {d.t('dim_date')} WHERE is_month_end = '1') p ON c.snapshot_date = p.k", info=True)
+    add("dates", "clients since a day outside the calendar", f"{d.t('dim_client')} c LEFT JOIN (SELECT DISTINCT date AS k FROM {d.t('dim_date')}) p ON c.client_since = p.k WHERE p.k IS NULL", info=True)
+    extra = lambda t, key: f"(SELECT count(*) AS m FROM {d.t(t)} GROUP BY {key} HAVING count(*) > 1) g"
+    repeated = "CAST(coalesce(sum(m - 1), 0) AS BIGINT)"
+    for t, key in (("fact_fees", "client_id, fee_date"), ("fact_portfolio_snapshot", "client_id, snapshot_date"), ("fact_transactions", "txn_id")):
+        add("grain", f"{t} unique on {key}", extra(t, key), repeated)
+    for t in ("fact_fees", "fact_portfolio_snapshot"):
+        add("grain", f"{t}.{facts[t]} is the 1st of a month", f"{d.t(t)} WHERE substr({facts[t]}, 9, 2) <> '01'")
+    on = f"({d.date('snapshot_date')})"
+    add("grain", "year and month agree with the date", f"{snaps} WHERE coalesce(year <> CAST(extract(year FROM {on}) AS STRING) OR month <> CAST(extract(month FROM {on}) AS STRING), true)")
+    add("grain", "transactions identical but for the key", extra("fact_transactions", ", ".join(c for c in SPECS["fact_transactions"].types if c != "txn_id")), repeated, info=True)
+    for t in facts:
+        add("advisor paths", f"{t} advisor differs from the client advisor", f"{d.t(t)} f JOIN (SELECT client_id, min(advisor_id) AS advisor_id FROM {d.t('dim_client')} GROUP BY 1) c ON f.client_id = c.client_id WHERE f.advisor_id <> c.advisor_id", info=True)
+    add("advisor paths", "transactions after an inactive client last month", "clean_fact_transactions WHERE after_last_snapshot_flag = '1'", info=True)
+    add("measures", "fee amount = basis x bps / 10000 / 12", f"{fees} WHERE NOT coalesce(abs({n('amount')} - {n('aum_basis')} * {n('bps_charged')} / 120000) <= 0.01, false)")
+    add("measures", "fee basis = balance of the client and month", f"{fees} f LEFT JOIN (SELECT client_id, snapshot_date, min(aum) AS aum FROM {snaps} GROUP BY 1, 2) s ON f.client_id = s.client_id AND f.fee_date = s.snapshot_date WHERE NOT coalesce(abs({money('f.aum_basis')} - {money('s.aum')}) <= 0.01, false)")
+    add("measures", "alpha = return - benchmark within 1e-5", f"{snaps} WHERE NOT coalesce(abs({n('return_ytd')} - {n('benchmark_return_ytd')} - {n('active_alpha_ytd')}) <= 1e-5, false)")
+    add("measures", "rows flagged as suspect returns", f"{snaps} WHERE is_return_suspect = '1'", info=True)
+    add("measures", "no negative amounts", f"(SELECT amount FROM {txn} UNION ALL SELECT amount FROM {fees}) a WHERE {n('amount')} < 0")
+    add("measures", "traded amount = shares x price", f"{txn} WHERE {d.isin('txn_type', TRADED)} AND NOT coalesce(abs({n('amount')} - {n('shares')} * {n('price')}) <= 0.01, false)")
+    add("measures", "shares and price are blank on cash rows", f"{txn} WHERE {cash} AND NOT ({blank('shares')} AND {blank('price')})")
+    cents = lambda t, where: f"(SELECT coalesce(sum({money('amount')}), 0) FROM {t}{where})"
+    advisory = " WHERE txn_type = 'Advisory Fee'"
+    add("measures", "cents between advisory debits and billed fees", f"(SELECT {cents(txn, advisory)} - {cents(fees, '')} AS gap) g", "CAST(round(max(abs(gap)) * 100) AS BIGINT)", info=True)
     return UNION.join(tests)
 
 
@@ -283,4 +316,4 @@ over_star("dq05_near_pairs", near_pairs)
 over_star("dq06_near_evidence", near_evidence, near_steps)
 over_star("dq13_dividend_holdings", dividend_holdings, move_steps)
 over_star("ag17_benchmark_profiles", benchmark_profiles)
-over_star("sv01_star_validation", star_validation)
+over_star("sv01_star_validation", star_validation, steps)

@@ -43,3 +43,36 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_key_of_the_sql_is_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_classes_of_the_rules():
+    """The rulebook's classes, and every rule once a table."""
+    from collections import Counter  # noqa: PLC0415
+
+    from meridian.operators.spec import SPECS  # noqa: PLC0415
+    from meridian.plans.dialect import _Duck  # noqa: PLC0415
+    from meridian.plans.quality import rules_of  # noqa: PLC0415
+
+    rules = [(t, r[0], r[1]) for t in SPECS for r in rules_of(_Duck(), t)] + [(t, "+".join(k), "hard") for t, s in SPECS.items() for k in s.keys]
+    assert Counter(c for *_, c in rules) == {"hard": 44, "inferred": 23, "plausibility": 8}
+    assert len({r[:2] for r in rules}) == 75
+
+
+def test_planted_differences_of_the_export_are_found_and_no_others(spark):
+    odd = {(r.measure, r.label): r.status for r in QUERIES["cx04_exported"](spark, DATA).where("status <> 'match'").collect()}
+    assert odd == {("ending_aum", "Year=1998"): "differs", ("ending_clients", "Year=1999"): "differs", ("aum_naive", "Year=1996"): "missing", ("total_fees", "Year=1850"): "unexpected"}
+
+
+def test_plans_stay_small(spark):
+    for name in ("cl11_verification", "cl10_change_log", "dq24_rulebook", "dq26_scorecard", "dq25_reconciliations", "sl01_findings", "ag27_rule_examples", "ms01_17_measures", "dq13_dividend_holdings"):
+        assert len(QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()) < 100_000, name
+
+
+def test_differences_are_one_join_a_table(spark):
+    plan = QUERIES["cl11_verification"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 4
+
+
+def test_first_rows_of_rules_are_limited_before_the_exchange(spark):
+    plan = QUERIES["ag27_rule_examples"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from meridian.operators.near import near_groups
 from meridian.operators.numbering import numbered, numbered_groups, text_code
 from meridian.functions import cells
 from meridian.operators import relational as rel
+from meridian.operators.running import running_before
+from meridian.sources import sinks
 from meridian.operators.rules import Rule, evaluate
 
 
@@ -158,3 +161,34 @@ def test_a_near_group_of_100000_members(spark):
 
 def test_near_groups_of_nothing(spark):
     assert near_groups(spark.createDataFrame([], "k int, match string, name string"), "k", ["match"], "name").collect() == []
+
+
+# Running totals, charts ------------------------------------------------------------
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_running_totals_of_a_hot_group(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.choice(["hot"] * 8 + ["cold", None]), rng.choice([None, *range(30)]), i, rng.choice([None, 1, -2, 7])) for i in range(600)]
+    got = running_before(spark.createDataFrame(rows, "g string, at int, i int, v long").repartition(5), ["g"], "at", ["i"], "v", "before", ranges)
+    want, seen = {}, {}
+    for g, at, i, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        want[i] = seen.get(g, 0)
+        seen[g] = want[i] + (v or 0)
+    assert {r.i: r.before for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in x for x in plan.splitlines() if x.lstrip("+-: ").startswith("Window"))
+
+
+def test_box_and_scatter_data(spark):
+    values = [1.0, 2.0, 3.0, 4.0, 100.0, -50.0, None]
+    df = spark.createDataFrame([("a", float(i), v) for i, v in enumerate(values)] + [(None, 9.0, 5.0)], "g string, k double, v double")
+    box = {r.g: tuple(r)[1:] for r in sinks.box_data(df, "g", "v").collect()}
+    q1, q3 = np.quantile(values[:6], [0.25, 0.75])
+    inside = [v for v in values[:6] if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+    assert box["a"] == (6, q1, 2.5, q3, min(inside), max(inside), 1, 1) and box[None] == (1, 5.0, 5.0, 5.0, 5.0, 5.0, 0, 0)
+    many = spark.range(5000).selectExpr("id", "id % 3 AS g", "id * 2 AS x", "cast(NULL AS int) AS nothing")
+    draw = lambda d: sorted(map(tuple, sinks.scatter_data(d, "g", "id", "id", "x", 40).collect()))
+    assert draw(many) == draw(many.repartition(7)) and len(draw(many)) == 120
+    assert sinks.scatter_data(many, "g", "id", "x", "nothing").collect() == []
+    assert "WindowGroupLimit" in sinks.scatter_data(many, "g", "id", "id", "x", 40)._jdf.queryExecution().executedPlan().toString()
