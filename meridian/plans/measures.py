@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators.rules import Rule, evaluate
+from ..operators.distinct import distinct_counts, distinct_state
+from ..sources.scratch import written
 from .registry import query, read
 
 _LINE_RULES = [
@@ -91,3 +93,17 @@ def sl02_top10_share(spark, sf_dir) -> DataFrame:
     b = b.join(read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("c_mktsegment", "segment")
     r = b.withColumn("k", F.row_number().over(Window.partitionBy("segment", "year").orderBy(F.desc("t"), "o_custkey")))
     return r.groupBy("segment", "year").agg(F.round(cells.divide(F.sum(F.when(F.col("k") <= 10, F.col("t"))), F.sum("t")), 6).alias("top10_share"))
+
+
+_CLIENTS = "SELECT c_mktsegment AS segment, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS priority, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey"
+_CONTEXT = "SELECT '{0}' AS context, {1} AS segment, {2} AS year, {3} AS priority, count(DISTINCT o_custkey) AS n_clients FROM c {4} GROUP BY ALL"
+
+
+@query(f"WITH c AS ({_CLIENTS}) " + " UNION ALL ".join([_CONTEXT.format("all", "NULL", "NULL", "NULL", ""), _CONTEXT.format("year", "NULL", "year", "NULL", ""), _CONTEXT.format("segment and year", "segment", "year", "NULL", ""), _CONTEXT.format("priority", "NULL", "NULL", "priority", ""), _CONTEXT.format("urgent before 1998", "segment", "NULL", "NULL", "WHERE priority LIKE '1%' AND year < 1998")]))
+def ms05_distinct_clients(spark, sf_dir) -> DataFrame:
+    """MS-05, AG-04: clients of contexts that cut across years, segments and priorities, by merging bitmaps; orders are read once, and written once as state."""
+    o = read(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_orderpriority").join(read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    facts = o.select(F.col("c_mktsegment").alias("segment"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("priority"), "o_custkey")
+    state = written(distinct_state(facts, ["segment", "year", "priority"], "o_custkey"))
+    contexts = {"all": ([], None), "year": (["year"], None), "segment and year": (["segment", "year"], None), "priority": (["priority"], None), "urgent before 1998": (["segment"], F.col("priority").startswith("1") & (F.col("year") < 1998))}
+    return distinct_counts(state, contexts, "n_clients")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from meridian.operators.distinct import distinct_counts, distinct_state, merged
 from meridian.operators.near import near_groups
 from meridian.operators.numbering import numbered, numbered_groups, text_code
 from meridian.functions import cells
@@ -192,3 +193,16 @@ def test_box_and_scatter_data(spark):
     assert draw(many) == draw(many.repartition(7)) and len(draw(many)) == 120
     assert sinks.scatter_data(many, "g", "id", "x", "nothing").collect() == []
     assert "WindowGroupLimit" in sinks.scatter_data(many, "g", "id", "id", "x", 40)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_counts_from_bitmaps(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(4), rng.choice([None, 1, 5, 32_768, 32_769, 10**12] + list(range(90)))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, y int, id long").repartition(4)
+    state = distinct_state(df, ["g", "y"], "id")
+    got = {(r.context, r.g, r.y): r.n for r in distinct_counts(state, {"all": ([], None), "g": (["g"], None), "late": (["y"], F.col("y") > 1)}).collect()}
+    ids = lambda test: len({i for g, y, i in rows if i is not None and test(g, y)})
+    assert got == {("all", None, None): ids(lambda g, y: True)} | {("g", x, None): ids(lambda g, y, x=x: g == x) for x in ("a", "b", None)} | {("late", None, x): ids(lambda g, y, x=x: y == x) for x in (2, 3)}
+    again = merged(state, ["g"])
+    assert {r.g: r.n for r in again.groupBy("g").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()} == {g: ids(lambda a, y, g=g: a == g) for g in ("a", "b", None)}
+    assert [r.n for r in distinct_counts(distinct_state(df.where("false"), ["g"], "id"), {"all": ([], None)}).collect()] == [0]
