@@ -911,13 +911,13 @@ def test_audit_of_empty_tables(spark):
 
 
 def test_every_code_point_is_encoded_as_by_the_library():
-    """Each code point alone, inside a word, after a letter and before a digit; texts of a few thousand of them."""
+    """Each code point inside a word, and alone before a digit; of planes 4 to 13, in which nothing is assigned, the first 256 each. Texts of a few thousand of them."""
     path = vocabulary()
     t, r = token_counts.tokenizer(path), word_bpe.rules(path)
-    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF and (not 4 <= i >> 16 <= 13 or i & 0xFFFF < 256)]
     kind = word_bpe.id_type(path)
     for s in range(0, len(every), 8192):
-        text = " ".join(f"ab{c}cd {c} x{c} {c}9" for c in every[s : s + 8192])
+        text = " ".join(f"a{c}b {c}9" for c in every[s : s + 8192])
         words = r.split(text)
         distinct = sorted(set(words))
         ids = dict(zip(distinct, word_bpe.encode_words(path, distinct), strict=True))
