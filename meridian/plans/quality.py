@@ -255,6 +255,19 @@ SELECT c.stage, c.table_name, coalesce(f.g, '(no reference group)') AS group_nam
 FROM cells c LEFT JOIN fences f ON c.table_name = f.table_name AND c.g = f.g GROUP BY 1, 2, 3"""
 
 
+def iqr_row_flags(d: Dialect) -> str:
+    """DQ-27: for every row of both tables on both stages, whether it can be judged and lies outside its group's fences, which come from the cleaned stage."""
+    fences, rows = [], []
+    for t, (c, group) in {"dim_client": ("initial_aum", "'(all)'"), "fact_transactions": ("amount", "txn_type")}.items():
+        cells = f"SELECT {group} AS g, ({d.number(c)}) AS x FROM clean_{t}"
+        fences.append(f"SELECT '{t}' AS table_name, g, {d.quantile('x', 0.25)} AS q1, {d.quantile('x', 0.75)} AS q3 FROM ({cells}) z WHERE x IS NOT NULL GROUP BY g")
+        for stage, name in _stages(d):
+            rows.append(f"SELECT '{stage}' AS stage, '{t}' AS table_name, {PK[t]} AS key_value, {group} AS g, {c} AS value_text, ({d.number(c)}) AS x FROM {name(t)}")
+    known = "CASE WHEN x IS NULL OR f.g IS NULL THEN 0 ELSE 1 END"
+    return f"""WITH fences AS (SELECT table_name, g, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM ({UNION.join(fences)}) q), cells AS ({UNION.join(rows)})
+SELECT c.stage, c.table_name, c.key_value, c.value_text, {known} AS assessable, CASE WHEN x < low OR x > high THEN 1 ELSE 0 END AS iqr_outlier_flag FROM cells c LEFT JOIN fences f ON c.table_name = f.table_name AND c.g = f.g"""
+
+
 def iqr_flags(d: Dialect) -> str:
     """DQ-27: the flag of every client's opening balance on the raw stage."""
     x = f"({d.number('initial_aum')})"
@@ -312,4 +325,5 @@ over_star("dq01_profile_facts", partial(column_profile, tables=("dim_date", "fac
 over_star("prd06_infer_types", partial(inferred_types, tables=(*DIMENSIONS, "fact_fees", "fact_transactions")))
 over_star("dq27_iqr", iqr, steps)
 over_star("dq27_iqr_flags", iqr_flags, steps)
+over_star("dq27_row_flags", iqr_row_flags, steps)
 over_star("dq25_reconciliations", reconciliations, steps)

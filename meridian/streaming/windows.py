@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.scratch import new_path
 
 
-def daily_totals(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """day, event_type, n, total of events (ts, event_type, value). What comes later than `late` behind the newest event of earlier batches is left out, so state stays bounded."""
-    windows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def daily_totals(events: DataFrame, late: str | None = None) -> DataFrame:
+    """day, event_type, n, total of events (ts, event_type, value). With `late`, what comes later than that behind the newest event of earlier batches is left out, so
+    that an endless stream's state stays bounded; without it every event counts, as a table that is read to its end needs."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = (timed.withWatermark("ts", late) if late else timed).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return windows.select(F.to_date("window.start").alias("day"), "event_type", "n", "total")
 
 
