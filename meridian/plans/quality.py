@@ -155,7 +155,7 @@ def scorecard(d: Dialect) -> str:
             typed = Typed(d)
             filled = [f"({a}) AND NOT ({typed.blank(c)})" for a, c in zip(applies, spec.types, strict=True)]
             valid = [f"{f} AND {typed.valid(c, k)}" for f, (c, k) in zip(filled, spec.types.items(), strict=True)]
-            total = lambda tests: " + ".join(d.if_(x) for x in tests)
+            total = lambda tests: f"CAST(coalesce(sum({' + '.join(f'CASE WHEN {x} THEN 1 ELSE 0 END' for x in tests)}), 0) AS BIGINT)"
             groups = f"SELECT count(*) AS m FROM {name(t)} WHERE NOT ({d.blank(spec.pk)}) GROUP BY {spec.pk}"
             cells.append(f"SELECT '{stage}' AS stage, '{t}' AS table_name, a.*, u.uniq FROM (SELECT count(*) AS row_count, {total(applies)} AS cells_applicable, {total(filled)} AS cells_filled, {total(valid)} AS cells_valid FROM {typed.source(name(t))}) a CROSS JOIN (SELECT count(*) FILTER (WHERE m = 1) AS uniq FROM ({groups}) g) u")
     counted = "rule_class <> 'plausibility'"
