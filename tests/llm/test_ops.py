@@ -756,7 +756,7 @@ def test_quantisation_bounds_lose_no_pair():
 # 11. Fill in the middle ------------------------------------------------------
 
 
-def brute_fill(doc_id, text, seed, rate, spm):
+def brute_middle(doc_id, text, seed, rate, spm):
     text = text or ""
     units = re.findall(r"[^\n]*\n|[^\n]+", text)
     n = len(units)
@@ -779,7 +779,7 @@ def test_fill_in_middle_equals_brute_force(spark, chunk, seed, rate, spm):
     rows += [(i, "".join(rng.choice("abcdefghé\U0001f600\n<PS") for _ in range(rng.randint(1000, 9000)))) for i in range(200, 215)]
     rows += [(300, rows[-1][1]), (301, rows[-1][1]), (None, rows[-1][1]), (300, rows[-1][1]), (300, rows[-2][1])]
     got = fill_in_middle(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, form string, n int"), seed=seed, rate=rate, spm=spm, chunk=chunk).collect()
-    assert sorted((str(r[:5]), r.output) for r in got) == sorted((str(w[:5]), w[5]) for w in (brute_fill(*r, seed, rate, spm) for r in rows))
+    assert sorted((str(r[:5]), r.output) for r in got) == sorted((str(w[:5]), w[5]) for w in (brute_middle(*r, seed, rate, spm) for r in rows))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     kept = {(d, sha(t or "")) for d, t in rows}
     assert all(r.output_sha256 == sha(r.output) and (r.doc_id, r.restored_sha256) in kept for r in got)
@@ -788,7 +788,7 @@ def test_fill_in_middle_equals_brute_force(spark, chunk, seed, rate, spm):
 def test_fill_in_middle_of_a_giant_text(spark):
     text = "line of some words\n" * 200_000 + "x" * 3_000_000 + "\n" * 100_000
     got = fill_in_middle(docs(spark, [(5, text), (6, "x" * 2_000_000)])).collect()
-    assert {r.doc_id: tuple(r)[:5] + (r.output,) for r in got} == {5: brute_fill(5, text, 7, 100, 50), 6: brute_fill(6, "x" * 2_000_000, 7, 100, 50)}
+    assert {r.doc_id: tuple(r)[:5] + (r.output,) for r in got} == {5: brute_middle(5, text, 7, 100, 50), 6: brute_middle(6, "x" * 2_000_000, 7, 100, 50)}
 
 
 def test_blocks_compose_from_every_state(spark):
