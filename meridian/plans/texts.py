@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, filings
-from ..text.pages import to_blocks, to_flat_text, to_text
-from ..text.statements import release_of, values_of
+from ..text.blocks import blocks
+from ..text.pages import page_lines
+from ..text.releases import releases
 from .registry import query, read
 
 _ORDER = "o_orderkey, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(year(o_orderdate) AS INTEGER) AS year"
@@ -26,9 +27,8 @@ def _nth(q: str = "q"):  # noqa: ANN202
 @query()
 def txt01_page_text(spark, sf_dir) -> DataFrame:
     """TXT-01, TXT-02, TXT-04: pages as lines with tables, flat, and in blocks."""
-    p = read(spark, sf_dir, "pages", "page_id", "html").select("page_id", to_text("html").alias("text"), to_flat_text("html").alias("flat"))
-    p = p.withColumn("blocks", to_blocks("text"))
-    return p.select("page_id", "text", F.length("flat").alias("n_flat"), F.length("blocks.prose").alias("n_prose"), F.size("blocks.tables").alias("n_tables"))
+    p = blocks(page_lines(read(spark, sf_dir, "pages"), "page_id", "html"))
+    return p.select("page_id", "text", F.length("flat").alias("n_flat"), F.length("prose").alias("n_prose"), F.size("tables").alias("n_tables"))
 
 
 @query("SELECT r_name, n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -39,7 +39,8 @@ def txt04_tables(spark, sf_dir) -> DataFrame:
     tables = n.groupBy("r_name").agg(F.concat_ws("\n", F.array_sort(F.collect_list(row))).alias("rows"))
     table = F.concat(F.lit("<h2>"), "r_name", F.lit("</h2><script>x='<table>'</script><table><tr><td>Nation</td><td>Key</td></tr>"), "rows", F.lit("</table>"))
     page = tables.agg(F.concat(F.lit("<html><head><title>t</title></head><body><p>Start<br>here</p>"), F.concat_ws("", F.collect_list(table)), F.lit("</body></html>")).alias("html"))
-    found = page.select(F.explode(to_blocks(to_text("html"))["tables"]).alias("t")).select(F.element_at("t.context", -1).alias("r_name"), F.explode(F.slice("t.rows", 2, 100000)).alias("r"))
+    lines = blocks(page_lines(page.withColumn("page_id", F.lit(1)), "page_id", "html"))
+    found = lines.select(F.explode("tables").alias("t")).select(F.element_at("t.context", -1).alias("r_name"), F.explode(F.slice("t.rows", 2, 100000)).alias("r"))
     return found.select("r_name", F.col("r")[0].alias("n_name"), F.regexp_extract(F.col("r")[1], r"^\$\((\d+)\)$", 1).alias("n_nationkey"))
 
 
@@ -66,12 +67,11 @@ def txt06_end_dates(spark, sf_dir) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -1 ELSE 0 END * round(o_totalprice, 2) AS amount FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 0")
 def txt11_amounts(spark, sf_dir) -> DataFrame:
-    """TXT-11: amounts as accountants write them, read by built-in functions and by the cell parser of tables, which agree."""
+    """TXT-11: amounts as accountants write them."""
     o, i = read(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), F.col("o_orderkey")
     shown = F.format_number("o_totalprice", 2)
     text = F.when(i % 5 == 0, F.concat(shown, F.lit(" %"))).when(i % 4 == 0, F.concat(F.lit("$ "), shown)).when(i % 4 == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(i % 4 == 2, F.concat(F.lit("-"), shown)).otherwise("--")
-    both = o.select("o_orderkey", text.alias("text")).select("o_orderkey", cells.accounting_number(F.col("text")).alias("amount"), values_of("text").alias("other"))
-    return both.select("o_orderkey", F.when(F.col("amount").eqNullSafe(F.col("other")), F.col("amount")).alias("amount"))
+    return o.select("o_orderkey", cells.accounting_number(text).alias("amount"))
 
 
 @query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.001 WHEN 2 THEN 1000.0 END AS DOUBLE) AS scale FROM orders")
@@ -95,8 +95,8 @@ def txt15_releases(spark, sf_dir) -> DataFrame:
     title = F.when(key % 7 == 0, F.concat(title, F.lit(" after the first quarter fiscal 1990"))).otherwise(title)
     heading = lambda back: F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" FY"), (F.col("y") - back).cast("string"))
     lines = [title, F.lit("We expect revenue of $99,999.0 billion next year."), F.lit("(In thousands, except per share amounts)"), F.lit("[TABLE]"), F.concat(F.lit("Item | "), heading(0), F.lit(" | "), heading(1), F.lit(" | Change")), F.concat(F.lit("Adjusted revenue | 1 | 2 | 3%")), F.concat(F.lit("Revenue | "), cell(revenue), F.lit(" | 5 | 3%")), F.concat(F.lit("Net income | "), signed, F.lit(" | 7 | 2%")), F.when(key % 5 != 0, F.lit("Diluted earnings per share | 1.25 | 0.75 | n/a")).otherwise("Shares used | 9 | 9 | -"), F.lit("[/TABLE]")]
-    found = o.select("o_orderkey", release_of(F.concat_ws("\n", *lines), F.date_add("end", 30)).alias("r"))
-    return found.select("o_orderkey", "r.quarter", "r.year", F.round("r.revenue", 3).alias("revenue"), F.round("r.net_income", 3).alias("net_income"), "r.eps", "r.reason")
+    found = releases(o.select("o_orderkey", F.concat_ws("\n", *lines).alias("text"), F.date_add("end", 30).alias("filed")), "o_orderkey", "text", "filed")
+    return found.select("o_orderkey", "quarter", "year", F.round("revenue", 3).alias("revenue"), F.round("net_income", 3).alias("net_income"), "eps", "reason")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Order ' || o_orderkey || ' is reported.' || chr(10) || 'It has a customer.' END AS section FROM orders")
