@@ -116,12 +116,9 @@ UNITS = ((r"in millions|\$\s*mm\b|\$\s*millions|millions of (u\.s\. )?dollars",
 def scale_to_millions(c: Column) -> Column:
     """The factor of the first unit phrase of a text; null if there is none."""
     low = F.lower(c)
-    at = [F.length(F.regexp_extract(low, f"(?s)^(.*?)(?:{p})", 1)) for p, _ in UNITS]
-    places = [F.when(low.rlike(p), n) for (p, _), n in zip(UNITS, at, strict=True)]
-    first = F.least(*places)
-    out = F.lit(None).cast("double")
-    for (_, factor), place in zip(reversed(UNITS), reversed(places), strict=True):
-        out = F.when(place == first, factor).otherwise(out)
-    return out
+    places = F.array(*(F.when(low.rlike(p), F.length(F.regexp_extract(low, f"(?s)^(.*?)(?:{p})", 1))) for p, _ in UNITS))
+    # The place in the list of the least place in the text; of equal ones the first.
+    which = F.get(F.transform(F.array(places), lambda a: F.array_position(a, F.array_min(a))), F.lit(0))
+    return F.get(F.array(*(F.lit(factor) for _, factor in UNITS)), which.cast("int") - 1)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ _DAY = r"\p{Lu}\p{Ll}{2,8}\.? \d{1,2}, \d{4}"
 _ENDED = rf"(?:[Qq]uarter|[Tt]hree months|(?:[Tt]hirteen|13) weeks)(?:,? which)? end(?:ed|ing|s) (?:on )?({_DAY})"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def day_of(text: Column) -> Column:
     """The date of a text like `Sept. 5, 2024`; null if there is no such day."""
     part = lambda i: F.regexp_extract(text, r"^(\p{L}{3})\p{L}*\.? (\d{1,2}), (\d{4})$", i)
@@ -30,14 +36,17 @@ def day_of(text: Column) -> Column:
 
 def period_of(text: Column) -> Column:
     """(quarter, year, fiscal) of the first quarter that a text names with its year; null if it names none. Two digits are a year of this century."""
-    part = lambda i: F.regexp_extract(text, _PERIOD, i)
-    either = lambda *groups: F.concat(*map(part, groups))
-    nth, digit, year = F.lower(either(1, 8)), either(2, 3, 9, 10), either(5, 7)
-    quarter = F.when(digit != "", digit.try_cast("int")).otherwise(F.array_position(F.array(*map(F.lit, _NTH)), nth).cast("int"))
-    number = year.try_cast("int")
-    fiscal = F.lower(either(4, 6)).rlike("fiscal|fy")
-    return F.when(year != "", F.struct(quarter.alias("quarter"), F.when(F.length(year) == 2, number + 2000).otherwise(number).alias("year"), fiscal.alias("fiscal")))
+    # One match, put into a fixed order of its parts: word, digit, year, mark.
+    parts = F.split(F.regexp_replace(F.regexp_extract(text, _PERIOD, 0), _PERIOD, "$1$8|$2$3$9$10|$5$7|$4$6"), "[|]")
+
+    def of(p: Column) -> Column:
+        nth, digit, year, mark = (F.get(p, F.lit(i)) for i in range(4))
+        quarter = F.when(digit != "", digit.try_cast("int")).otherwise(F.array_position(F.array(*map(F.lit, _NTH)), F.lower(nth)).cast("int"))
+        number = year.try_cast("int")
+        fiscal = F.lower(mark).rlike("fiscal|fy")
+        return F.when(F.size(p) == 4, F.struct(quarter.alias("quarter"), F.when(F.length(year) == 2, number + 2000).otherwise(number).alias("year"), fiscal.alias("fiscal")))
 
+    return once(parts, of)
 
 def periods_in(text: Column) -> Column:
     """All quarters that a text names, in their order."""

@@ -95,6 +95,8 @@ def txt15_releases(spark, sf_dir) -> DataFrame:
     title = F.when(key % 7 == 0, F.concat(title, F.lit(" after the first quarter fiscal 1990"))).otherwise(title)
     heading = lambda back: F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" FY"), (F.col("y") - back).cast("string"))
     lines = [title, F.lit("We expect revenue of $99,999.0 billion next year."), F.lit("(In thousands, except per share amounts)"), F.lit("[TABLE]"), F.concat(F.lit("Item | "), heading(0), F.lit(" | "), heading(1), F.lit(" | Change")), F.concat(F.lit("Adjusted revenue | 1 | 2 | 3%")), F.concat(F.lit("Revenue | "), cell(revenue), F.lit(" | 5 | 3%")), F.concat(F.lit("Net income | "), signed, F.lit(" | 7 | 2%")), F.when(key % 5 != 0, F.lit("Diluted earnings per share | 1.25 | 0.75 | n/a")).otherwise("Shares used | 9 | 9 | -"), F.lit("[/TABLE]")]
+    # Texts are far longer than the rows that they are composed of, so these are spread first, by the key of the aggregate that follows.
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     found = releases(o.select("o_orderkey", F.concat_ws("\n", *lines).alias("text"), F.date_add("end", 30).alias("filed")), "o_orderkey", "text", "filed")
     return found.select("o_orderkey", "quarter", "year", F.round("revenue", 3).alias("revenue"), F.round("net_income", 3).alias("net_income"), "eps", "reason")
 

@@ -72,19 +72,25 @@ def with_period(df: DataFrame, prose: str, filed: str) -> DataFrame:
 def describe(cell: Column) -> Column:
     """What a heading says of its column: quarter, year, end, month and day, a longer span, a quarter's span, a change, or nothing."""
     day = r"\b(\p{Lu}\p{Ll}{2,8})\.? (\d{1,2})(?:, ((?:19|20)\d\d))?"
-    month, number, year = (F.regexp_extract(cell, day, i) for i in (1, 2, 3))
-    worded = F.when(year != "", filings.day_of(F.concat(month, F.lit(" "), number, F.lit(", "), year)))
-    period = filings.period_of(cell)
-    own_year = F.when(cell.rlike(r"^\s*(?:19|20)\d\d\s*$"), F.trim(cell).try_cast("int"))
-    end = F.coalesce(_first(filings.end_dates_in(cell)), worded)
-    open_day = F.when((month != "") & (year == ""), F.concat(month, F.lit(" "), number))
-    longer, change, quarterly = _plain(cell).rlike(LONGER), cell.rlike(CHANGE), cell.rlike(QUARTERLY)
-    silent = period.isNull() & own_year.isNull() & end.isNull() & open_day.isNull() & ~longer & ~change & ~quarterly
-    return F.struct(
-        period["quarter"].alias("quarter"), F.coalesce(own_year, period["year"]).alias("year"), end.alias("end"), open_day.alias("day"),
-        longer.alias("longer"), change.alias("change"), silent.alias("silent"),
+    worded = F.split(F.regexp_replace(F.regexp_extract(cell, day, 0), day, "$1 $2|$3"), "[|]")
+    plain = _plain(cell)
+    parts = F.struct(
+        filings.period_of(cell).alias("period"), _first(filings.end_dates_in(cell)).alias("end"), worded.alias("worded"),
+        F.when(cell.rlike(r"^\s*(?:19|20)\d\d\s*$"), F.trim(cell).try_cast("int")).alias("own"),
+        plain.rlike(LONGER).alias("longer"), cell.rlike(CHANGE).alias("change"), cell.rlike(QUARTERLY).alias("quarterly"),
     )
 
+    def said(p: Column) -> Column:
+        month, year = F.get(p["worded"], F.lit(0)), F.get(p["worded"], F.lit(1))
+        end = F.coalesce(p["end"], F.when(year != "", filings.day_of(F.concat(month, F.lit(", "), year))))
+        silent = p["period"].isNull() & p["own"].isNull() & p["end"].isNull() & (month == "") & ~p["longer"] & ~p["change"] & ~p["quarterly"]
+        return F.struct(
+            p["period"]["quarter"].alias("quarter"), F.coalesce(p["own"], p["period"]["year"]).alias("year"), end.alias("end"), F.when((month != "") & (year == ""), month).alias("day"),
+            p["longer"].alias("longer"), p["change"].alias("change"), silent.alias("silent"),
+        )
+
+    return filings.once(parts, said)
+
 
 def _is_data(row: Column) -> Column:
     """A label, and a cell behind it that is an amount and no year."""
@@ -147,7 +153,8 @@ def releases(df: DataFrame, key: str, text: str, filed: str) -> DataFrame:
     flat = F.array_join(F.flatten("header"), " ")
     context = lambda i: F.get("context", F.size("context") - i)
     heading = F.concat_ws(" ", context(1), flat)
-    t = t.withColumn("_scale", F.coalesce(*(cells.scale_to_millions(c) for c in (flat, context(1), context(2), context(3)))))
+    lines = F.array_compact(F.array(flat, context(1), context(2), context(3)))
+    t = t.withColumn("_scale", F.when(F.col("at").isNotNull(), _first(F.filter(F.transform(lines, cells.scale_to_millions), lambda x: x.isNotNull()))))
     use = F.col("at").isNotNull() & F.col("reason").isNull() & ~heading.rlike(OUTLOOK) & ~F.lower(heading).rlike("non-gaap|adjusted|pro forma")
     name = lambda r: F.regexp_replace(F.regexp_replace(F.lower(F.get(r, F.lit(0))), r"\((?:\d{1,2}|[a-z])\)|[*†‡]", ""), "^[ :]+|[ :]+$", "")
     named = F.transform("body", lambda r, i: F.struct(i.alias("row"), name(r).alias("name"), cells.accounting_number(F.get(r, F.col("at") + 1)).alias("value")))
