@@ -28,14 +28,21 @@ QUERY_BYTES = 32 << 20
 BLOCK = 512
 #: Stands for no score; its negative is a long, too.
 LEAST = -(2**63 - 1)
-#: Bounds the scaled components; a larger one counts as this, so lengths and partial sums stay finite.
+#: Bounds the components of rotations and partial sums. A vector with a larger one counts as endless there, so no bound skips it; its scores are exact all the same.
 MOST = 2.0**62
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Length of each row; infinite with a component beyond MOST."""
+    y = np.clip(x, -MOST, MOST)
+    return np.where((np.abs(x) > MOST).any(1), np.inf, np.sqrt((y * y).sum(1)))
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         x = np.asarray(b.column(0).flatten(), np.float64).reshape(len(b), -1) if len(b) else np.zeros((0, 0))
+        x = np.clip(x, -MOST, MOST)
         if len(x):
             sums[x.shape[1]] = sums.get(x.shape[1], 0) + x.T @ x
     for d, m in sums.items():
@@ -48,16 +55,17 @@ def _integers(scale: int, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for b in batches:
             rows, x = matrix(b.column(1), dim)
             with np.errstate(over="ignore"):
-                x = np.clip(np.floor(x * scale), -MOST, MOST)
+                x = np.nan_to_num(np.floor(x * scale))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), values, pa.array(np.sqrt((x * x).sum(1)))], ["vec_id", "v", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), values, pa.array(_lengths(x))], ["vec_id", "v", "norm"])
 
     return run
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers; those beyond a long become its ends (the lower one less LEAST)."""
-    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
+    with np.errstate(over="ignore"):
+        most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
     if most < 2**53:
         return (q @ x.T).astype(np.int64)
     if most < 2**62:
@@ -73,8 +81,8 @@ def _best(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         turn, ids, q, floor = shared.value
         floor = np.nextafter(floor.astype(np.float64), -np.inf)  # not above the exact score
         nq = len(ids)
-        head = q @ turn[:, :HEAD]
-        q_norm = np.sqrt((q * q).sum(1))
+        head = np.clip(q, -MOST, MOST) @ turn[:, :HEAD]
+        q_norm = _lengths(q)
         q_rest = np.sqrt(np.maximum(q_norm**2 - (head * head).sum(1), 0))
         best = np.full((nq, 0), 0, np.int64)
         best_id = np.full((nq, 0), 0, np.int64)
@@ -86,15 +94,19 @@ def _best(k: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             norm = np.asarray(b.column(2))
             order = np.argsort(-norm, kind="stable")
             names, x, norm = names[order], x[order], norm[order]
-            x_head = x @ turn[:, :HEAD]
+            x_head = np.clip(x, -MOST, MOST) @ turn[:, :HEAD]
             x_rest = np.sqrt(np.maximum(norm**2 - (x_head * x_head).sum(1), 0))
             for s in range(0, len(x), BLOCK):
                 part = slice(s, s + BLOCK)
-                slack = 1e-6 * (1 + q_norm * norm[s])
-                live = np.flatnonzero(q_norm * norm[s] + slack >= floor)
+                with np.errstate(invalid="ignore"):
+                    longest = np.nan_to_num(q_norm * norm[s], nan=0.0, posinf=np.inf)  # a zero vector's products are zero
+                slack = 1e-6 * (1 + longest)
+                live = np.flatnonzero(longest + slack >= floor)
                 if not len(live):
                     break  # all that follow are shorter
-                bound = head[live] @ x_head[part].T + q_rest[live, None] * x_rest[None, part] + slack[live, None]
+                with np.errstate(invalid="ignore"):
+                    bound = head[live] @ x_head[part].T + q_rest[live, None] * x_rest[None, part] + slack[live, None]
+                bound[np.isnan(bound)] = np.inf
                 near = (bound >= floor[live, None]) & (ids[live, None] != names[None, part])
                 hit, cols = near.any(1), near.any(0)
                 if not hit.any():
@@ -130,7 +142,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, sca
     vectors are candidates of their own, so an id may answer several times; as queries, such an id has the k best scores over its vectors. Vectors that are
     null, empty, hold null or non-finite components, have a null id, or another length than most take no part. Fewer than k
     candidates are all returned; zero vectors score 0. Other columns are not read. Without valid rows the result is empty.
-    Scores are exact; scaled components beyond 2**62 count as 2**62 in size, and scores beyond a long as its ends."""
+    Scores are exact, whatever the components' size; those beyond a long count as its ends, scaled components beyond the largest double as that."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     vectors = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(value).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")

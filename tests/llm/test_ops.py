@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -203,8 +204,10 @@ def test_top_k_matches_brute_force(spark):
 def test_top_k_of_very_large_components(spark):
     rng = random.Random(22)
     rows = [(i, [rng.choice([1.0, -3e4, 1e6, 1e10, -1e10, 2e13]) * rng.random() for _ in range(4)]) for i in range(60)]
-    rows += [(100, [1e307, 1.0, 0.0, 0.0]), (200, [1.7e308, -1e300, 1.0, 2.0]), (300, [1.0, 0.0, 0.0, 0.0])]
-    whole = {i: [max(-(2**62), min(2**62, math.floor(1024 * x) if abs(x) < 1e300 else int(math.copysign(2**62, x)))) for x in v] for i, v in rows}
+    rows += [(100, [1e307, 1.0, 0.0, 0.0]), (200, [1.7e308, -1e300, 1.0, 2.0]), (300, [1 / 1024, 0.0, 0.0, 0.0]), (301, [6e15, 0.0, 0.0, 0.0]), (302, [-8e15, 7e15, 1.0, 0.0]), (400, [0.0] * 4), (401, [0.0, 0.0, 7.5e15, 1e200])]
+    most = int(sys.float_info.max)
+    whole = {i: [int(1024 * x // 1) if math.isfinite(1024 * x) else int(math.copysign(most, x)) for x in v] for i, v in rows}
+    assert 2**62 < whole[301][0] * whole[300][0] < 2**63  # fits a long
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=10).collect()
     for q in [i for i in whole if i % 10 == 0]:
         score = {c: max(-(2**63) + 2, min(2**63 - 1, sum(map(int.__mul__, whole[q], whole[c])))) for c in whole if c != q}
