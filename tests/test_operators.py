@@ -6,10 +6,12 @@ import random
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from meridian.operators import quantiles
 from meridian.operators.distinct import distinct_counts, distinct_state, merged
 from meridian.operators.near import near_groups
 from meridian.operators.numbering import numbered, numbered_groups, text_code
@@ -83,10 +85,6 @@ def test_accounting_numbers_units_and_worded_dates(spark):
 
 
 def test_exact_quantiles_match_numpy(spark, monkeypatch):
-    import numpy as np
-
-    from meridian.operators import quantiles
-
     rng = np.random.default_rng(3)
     rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", float(x)) for x in rng.integers(0, 4, 50)] + [(None, 7.0), ("c", None)] + [("d", 1e9)] + [("d", float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "g string, x double")
@@ -206,3 +204,16 @@ def test_distinct_counts_from_bitmaps(spark):
     again = merged(state, ["g"])
     assert {r.g: r.n for r in again.groupBy("g").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()} == {g: ids(lambda a, y, g=g: a == g) for g in ("a", "b", None)}
     assert [r.n for r in distinct_counts(distinct_state(df.where("false"), ["g"], "id"), {"all": ([], None)}).collect()] == [0]
+
+
+def test_exact_quantiles_with_far_outliers_look_into_few_values(spark):
+    """One value of 1e300 and one of -1e300 leave the others apart: the bins that are ranked hold a small share of them."""
+    x = np.concatenate([np.linspace(1, 1e6, 40_000), [1e300, -1e300, 0.0, -0.0, 5e-324, float("inf")]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = quantiles.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.9]).first()
+    assert (got.n, got.q0) == (len(x), -1e300)
+    np.testing.assert_allclose([got.q1, got.q2, got.q3], np.quantile(x, [0.25, 0.5, 0.9]), rtol=1e-12)
+    counts = df.select(F.lit("").alias("k"), "x", F.lit(1).alias("c"))
+    wanted = spark.createDataFrame([("", 0, 0, len(x) // 2, 0.0)], "k string, i int, side int, r long, part double")
+    values, _ = quantiles._narrow(counts, wanted, ["k"], "size_bin", quantiles._size_bin(F.col("x")))
+    assert 0 < values.count() < len(x) / 20
