@@ -97,7 +97,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, " " + _DASHES, " " + "-" * len(_DASHES)), "​", "")
+    return F.regexp_replace(F.translate(text, "\xa0" + _DASHES, " " + "-" * len(_DASHES)), "\u200b", "")
 
 
 def tidy_lines(text: Column) -> Column:
