@@ -71,17 +71,17 @@ def steps(d: Dialect) -> dict[str, str]:
         "top_rows": "SELECT e.label, x.client_id, sum(x.aum) AS aum, row_number() OVER (PARTITION BY e.label ORDER BY sum(x.aum) DESC, x.client_id) AS place FROM ends e JOIN contexts h ON e.label = h.label AND h.s = 0 JOIN snaps x ON x.day = e.last_day AND (h.tier IS NULL OR h.tier = x.tier) WHERE e.s = 0 AND x.aum IS NOT NULL GROUP BY 1, 2",
         "measured": f"""SELECT p.label, f.fees AS fees, {_minus('w.deposits', 'w.withdrawals')} AS flows, n.naive AS naive, n.ending AS ending, n.clients AS clients, y.ending AS ly, q.ending AS pm, n.n_dates AS n_dates, f.basis AS basis, {_divide('n.weighted', 'n.weight')} AS alpha, t.top AS top
 FROM periods p LEFT JOIN endings n ON p.label = n.label AND n.s = 0 LEFT JOIN endings y ON p.label = y.label AND y.s = 12 LEFT JOIN endings q ON p.label = q.label AND q.s = 1 LEFT JOIN fee_sums f ON p.label = f.label LEFT JOIN flow_sums w ON p.label = w.label LEFT JOIN (SELECT label, sum(aum) AS top FROM top_rows WHERE place <= 10 GROUP BY 1) t ON p.label = t.label""",
-        "grid": _grid(),
+        "grid": _grid(d),
         "cells": UNION.join(f"SELECT '{m}' AS measure, '{kind}' AS kind, {tolerance} AS tolerance, label, {'CAST(NULL AS DOUBLE)' if kind == 'text' else f'CAST({m} AS DOUBLE)'} AS x, {m if kind == 'text' else 'CAST(NULL AS STRING)'} AS word FROM grid" for m, (kind, tolerance) in MEASURES.items()),
     }
 
 
-def _grid() -> str:
-    money = lambda x, name: f"round(CAST({x} AS DOUBLE), 2) AS {name}"
-    ratio = lambda a, b, name: f"round({_divide(a, b)}, 6) AS {name}"
+def _grid(d: Dialect) -> str:
+    money = lambda x, name: f"{d.rounded(f'CAST({x} AS DOUBLE)', 2)} AS {name}"
+    ratio = lambda a, b, name: f"{d.rounded(_divide(a, b), 6)} AS {name}"
     return f"""SELECT label, {money('fees', 'total_fees')}, {money('flows', 'net_flows')}, {money('naive', 'aum_naive')}, {money('ending', 'ending_aum')}, CAST(clients AS BIGINT) AS ending_clients, {money(_divide('ending', 'clients'), 'avg_aum_per_client')},
 {money('ly', 'ending_aum_ly')}, {ratio(_minus('ending', 'ly'), 'ly', 'aum_yoy')}, {money('pm', 'ending_aum_pm')}, {ratio(_minus('ending', 'pm'), 'pm', 'aum_mom')}, {money(_divide('naive', 'n_dates'), 'avg_monthly_aum')}, {ratio('fees * 120000', 'naive', 'fee_yield_bps')}, {ratio('flows', 'ly', 'organic_growth')},
-round(alpha, 6) AS weighted_alpha, CASE WHEN alpha IS NULL THEN NULL WHEN alpha >= 0.02 THEN 'Outperforming' WHEN alpha <= -0.02 THEN 'Lagging' ELSE 'In line' END AS alpha_signal, {ratio('top', 'ending', 'top10_share')}, {ratio('fees * 120000', 'basis', 'effective_fee_bps')} FROM measured"""
+{d.rounded('alpha', 6)} AS weighted_alpha, CASE WHEN alpha IS NULL THEN NULL WHEN alpha >= 0.02 THEN 'Outperforming' WHEN alpha <= -0.02 THEN 'Lagging' ELSE 'In line' END AS alpha_signal, {ratio('top', 'ending', 'top10_share')}, {ratio('fees * 120000', 'basis', 'effective_fee_bps')} FROM measured"""
 
 
 def reconcile(d: Dialect) -> str:
@@ -94,7 +94,7 @@ def reconcile(d: Dialect) -> str:
 
 def display(d: Dialect) -> str:
     """FN-FMT: the cells as shown: money and counts with two or no decimals, ratios as percent, blanks as nothing."""
-    fixed = lambda x, n: f"CAST(CAST(round({x}, {n}) AS DECIMAL(30, {n})) AS STRING)"
+    fixed = lambda x, n: f"CAST(CAST({d.rounded(x, n)} AS DECIMAL(30, {n})) AS STRING)"
     return f"SELECT measure, label, CASE kind WHEN 'text' THEN coalesce(word, '') WHEN 'currency' THEN coalesce('$' || {fixed('x', 2)}, '') WHEN 'count' THEN coalesce({fixed('x', 0)}, '') WHEN 'ratio' THEN coalesce({fixed('x * 100', 2)} || '%', '') ELSE coalesce({fixed('x', 4)}, '') END AS shown FROM cells"
 
 
