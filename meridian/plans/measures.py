@@ -80,9 +80,14 @@ def ms_day_balance(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events", "user_id", "ts", "event_id", "value")
     b = e.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.max(F.struct("ts", "event_id", "value"))["value"].alias("balance"))
     s = b.join(read(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), F.col("user_id") == F.col("c_custkey"))
-    day = s.groupBy(F.col("c_mktsegment").alias("segment"), F.to_date(F.date_trunc("week", "d")).alias("week"), "d").agg(F.sum("balance").alias("total"), F.count("*").alias("clients"))
-    last = day.groupBy("segment", "week").agg(F.max_by(F.struct("d", "total", "clients"), "d").alias("x"))
-    return last.select("segment", "week", F.col("x.d").alias("last_day"), F.round("x.total", 2).alias("ending_balance"), F.col("x.clients").alias("ending_clients"), F.round(F.col("x.total") / F.col("x.clients"), 4).alias("balance_per_client"))
+    # Added as decimals, so that neither the sum nor a half of the quotient depends on the order of the rows; as doubles only where a balance has more places.
+    exact = F.col("balance").try_cast("decimal(24,8)")
+    fits = F.bool_and(F.col("balance").isNull() | F.coalesce(exact.cast("double") == F.col("balance"), F.lit(False)))
+    day = s.groupBy(F.col("c_mktsegment").alias("segment"), F.to_date(F.date_trunc("week", "d")).alias("week"), "d").agg(F.when(fits, F.sum(exact)).alias("total"), F.sum("balance").alias("rough"), F.count("*").alias("clients"))
+    last = day.groupBy("segment", "week").agg(F.max_by(F.struct("d", "total", "rough", "clients"), "d").alias("x"))
+    total, rough, n = F.col("x.total"), F.col("x.rough"), F.col("x.clients")
+    shown = lambda x, y, places: F.coalesce(F.round(x, places).cast("double"), F.round(y, places))
+    return last.select("segment", "week", F.col("x.d").alias("last_day"), shown(total, rough, 2).alias("ending_balance"), n.alias("ending_clients"), shown(total / n, rough / n, 4).alias("balance_per_client"))
 
 
 @query("""WITH b AS (SELECT c_mktsegment AS segment, CAST(extract(year FROM o_orderdate) AS INTEGER) AS year, o_custkey, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),

@@ -94,3 +94,35 @@ def test_measures_match_their_definitions(spark, model):
             assert (x is None) == (want is None) and (want is None or math.isclose(float(x), want, rel_tol=1e-5, abs_tol=0.011 if abs(want) > 10 else 2e-6)), (label, name, x, want)
     assert all(v is None for k, v in got["Year=1900"].items() if k != "label")
     assert got["Grand Total"]["ending_aum_ly"] is not None and got["Grand Total"]["aum_mom"] is not None
+
+
+def test_roundings_are_those_of_duckdb(spark):
+    """Halves in decimal that aren't halves in binary: a ratio as percent, a share, a count."""
+    import duckdb  # noqa: PLC0415
+
+    from meridian.plans.dialect import _Duck, _Spark  # noqa: PLC0415
+    from meridian.plans.semantic import display  # noqa: PLC0415
+
+    cells = "SELECT 'm' || k || kind AS measure, 'l' AS label, kind, CAST(k AS DOUBLE) / 100000 AS x, CAST(NULL AS STRING) AS word FROM (SELECT k, unnest(['ratio', 'bps', 'currency', 'count']) AS kind FROM range(-500, 2000) r(k)) t"
+    duck = duckdb.sql(f"WITH cells AS ({cells}) {display(_Duck())}").fetchall()
+    spark_cells = cells.replace("unnest(['ratio', 'bps', 'currency', 'count'])", "explode(array('ratio', 'bps', 'currency', 'count'))")
+    assert sorted(map(tuple, spark.sql(f"WITH cells AS ({spark_cells}) {display(_Spark({}))}").collect())) == sorted(duck)
+    pct = lambda d: f"SELECT p, {d.pct('p', 'w')} AS x FROM (SELECT k AS p, 200000 AS w FROM range(20000) r(k)) t"
+    assert sorted(map(tuple, spark.sql(pct(_Spark({}))).collect())) == sorted(duckdb.sql(pct(_Duck())).fetchall())
+
+
+def test_balance_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """1080.87 of 24 clients is 45.03625 each, a half: sums of doubles in some orders lie below it."""
+    from datetime import datetime  # noqa: PLC0415
+
+    import numpy as np  # noqa: PLC0415
+
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        cents = rng.integers(100, 9000, 24)
+        cents[-1] += 108087 - cents.sum()
+        d = tmp_path / str(seed)
+        spark.createDataFrame([(i, datetime(2024, 1, 28, 1), i, float(c) / 100) for i, c in enumerate(cents)], "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{d}/events.parquet")
+        spark.createDataFrame([(i, "FURNITURE") for i in range(24)], "c_custkey long, c_mktsegment string").write.parquet(f"{d}/customer.parquet")
+        (row,) = QUERIES["ms_day_balance"](spark, str(d)).collect()
+        assert (row.ending_balance, row.ending_clients, row.balance_per_client) == (1080.87, 24, 45.0363), seed
