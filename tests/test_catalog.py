@@ -78,3 +78,10 @@ def test_differences_are_one_join_a_table(spark):
 def test_first_rows_of_rules_are_limited_before_the_exchange(spark):
     plan = QUERIES["ag27_rule_examples"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_fences_hold_no_group_in_one_task(spark):
+    """Quartiles come from counted bins, written once; rows meet their fences where they are, not by the few groups."""
+    for name in ("dq27_iqr", "dq27_row_flags", "dq27_iqr_flags"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "SortMergeJoin" not in plan, name
