@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cells
+
+#: Rows of a group that meet each other in one block, and pairs that a task should list.
+SLICE, PAIRS = 1000, 1 << 21
+
 
 def near_groups(df: DataFrame, key: str, match: list[str], name: str) -> DataFrame:
     """One row for each row of df: key, representative (the least key of the group's root name), n_members of the group and n_links (other rows that are linked directly).
@@ -36,3 +41,20 @@ def near_groups(df: DataFrame, key: str, match: list[str], name: str) -> DataFra
     known = trees.select(*by, "x", "root", "n_links").join(sizes, [*by, "root"]).select(*by, "x", "representative", "n_members", "n_links")
     one = F.lit(1).cast("long")
     return rows.join(known, [*by, "x"], "left").select(F.col("key").alias(key), F.coalesce("representative", "key").alias("representative"), F.coalesce("n_members", one).alias("n_members"), F.coalesce("n_links", zero).alias("n_links"))
+
+
+def near_pairs(df: DataFrame, key: str, match: list[str], name: str, most: int = SLICE, pairs: int = PAIRS) -> DataFrame:
+    """All pairs a < b of keys that agree on the match columns, and how their names differ. The result is a group's square, as asked for; no task has to list it alone.
+
+    Groups of one row go no further. Larger ones are cut into slices of about `most` rows, and each two slices meet in a block of their own, dealt over as many tasks as the counted
+    pairs ask for. (Left to itself, Spark merges partitions by their small inputs, so a few tasks list everything.)"""
+    sizes = df.groupBy(*match).agg(F.count("*").alias("_m")).where("_m > 1").withColumn("_cuts", F.ceil(F.col("_m") / most).cast("int"))
+    work = sizes.agg(F.coalesce(F.sum(F.col("_m") * (F.col("_m") - 1.0) / 2), F.lit(0.0))).first()[0]
+    parts = int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(work // pairs + 1, 20_000)))
+    rows = df.join(sizes, match).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_cuts")))
+    others = F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))
+    block = [*match, "_i", "_j"]
+    a = rows.select(*match, F.col("_own").cast("int").alias("_i"), others.alias("_j"), F.col(key).alias("a"), F.col(name).alias("_x")).repartition(parts, *block)
+    b = rows.select(*match, others.alias("_i"), F.col("_own").cast("int").alias("_j"), F.col(key).alias("b"), F.col(name).alias("_y")).repartition(parts, *block)
+    met = a.hint("merge").join(b, block).where(F.col("a") < F.col("b"))
+    return met.select("a", "b", cells.truncation_class(F.col("_x"), F.col("_y")).alias("difference"))

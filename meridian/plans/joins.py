@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells
 from ..operators import relational as rel
-from ..operators.near import near_groups
+from ..operators.near import near_groups, near_pairs
 from ..operators.numbering import numbered, numbered_groups, text_code
 from ..operators.running import running_before
 from ..operators.quantiles import exact_quantiles
@@ -87,10 +87,7 @@ SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_name = b.p_name THEN 'i
 FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def jn11_near_dups(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part", "p_brand", "p_type", "p_size", "p_partkey", "p_name")
-    a, b = p.alias("a"), p.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("p_brand", "p_type", "p_size")]
-    pairs = a.join(b, same[0] & same[1] & same[2] & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), cells.truncation_class(F.col("a.p_name"), F.col("b.p_name")).alias("difference"))
+    return near_pairs(p, "p_partkey", ["p_brand", "p_type", "p_size"], "p_name")
 
 
 @query("""WITH c AS (SELECT p_partkey AS k, p_brand, p_type, p_size, lower(trim(CASE WHEN p_partkey % 3 = 0 THEN substr(p_name, 1, 3) WHEN p_partkey % 3 = 1 THEN substr(p_name, 1, 7) || ' ' ELSE p_name END)) AS x FROM part WHERE p_size < 5),

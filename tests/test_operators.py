@@ -215,3 +215,15 @@ def test_exact_quantiles_with_far_outliers_look_into_few_values(spark):
     np.testing.assert_allclose([got.q1, got.q2, got.q3], np.quantile(x, [0.25, 0.5, 0.9]), rtol=1e-12)
     fullest = df.groupBy(quantiles.bin_of(F.col("x"), F.lit(-1e300), F.lit(1e300)).alias("bin")).count().agg(F.max("count")).first()[0]
     assert fullest < len(x) / 100
+
+
+def test_pairs_of_a_hot_group_are_dealt_over_tasks(spark):
+    """More tasks than shuffle partitions, each with a bounded share of the pairs, and every pair once."""
+    from meridian.operators.near import near_pairs  # noqa: PLC0415
+
+    df = spark.createDataFrame([(i, "hot" if i < 300 else str(i % 150) if i < 500 else None, "Ab" if i % 3 else "abc") for i in range(510)], "k long, g string, n string")
+    got = near_pairs(df, "k", ["g"], "n", most=50, pairs=1000)
+    rows = df.collect()
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((x.k, y.k) for x in rows for y in rows if x.g is not None and x.g == y.g and x.k < y.k)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert got.rdd.getNumPartitions() >= 40 and max(sizes) < 15_000
