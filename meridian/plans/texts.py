@@ -132,7 +132,9 @@ def txt22_events(spark, sf_dir) -> DataFrame:
     takes = F.concat(F.lit("On January 2, 2024, the Board appointed Jane "), last, F.lit(" as "), office, F.lit(", effective as of "), day, F.lit(' (the "Start Date"). Ms. '), last, F.lit(" is 50 years old."))
     both = F.concat(leaves, F.lit(" Ms. "), last, F.lit(" will serve as Lead Independent Director after that."))
     text = F.when(key % 3 == 0, leaves).when(key % 3 == 1, takes).otherwise(both)
-    return filings.executive_events(read(spark, sf_dir, "customer", "c_custkey").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    # Rows are spread before the work, for a file of many customers is small enough for one task.
+    customers = read(spark, sf_dir, "customer", "c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return filings.executive_events(customers.select("c_custkey", text.alias("text")), "c_custkey", "text")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'not available' WHEN c_custkey % 3 = 1 THEN 'match' ELSE 'differs' END AS status FROM customer")

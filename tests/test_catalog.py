@@ -96,3 +96,8 @@ def test_whole_rows_are_grouped_by_their_hash(spark):
     assert not [t for t, s in SPECS.items() if f"GROUP BY {', '.join(s.types)}" in text]
     same = _Spark({}).same(["a", "b"])
     assert spark.sql(f"SELECT count(DISTINCT {same}) AS n FROM VALUES ('1', '23'), ('12', '3'), (NULL, '1'), ('1', NULL), ('1', ''), ('1', '') AS t(a, b)").first().n == 5
+
+
+def test_customers_are_spread_before_their_events_are_read(spark):
+    plan = QUERIES["txt22_events"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [c_custkey" in plan
