@@ -66,10 +66,14 @@ _PROFILE = "SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_fil
 
 @query(" UNION ALL ".join(_PROFILE.format(c=c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
 def dq_profile_columns(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    s = lambda c: F.col(c).cast("string")
-    one = d.agg(F.array(*(F.struct(F.lit(c).alias("column_name"), F.count("*").alias("n_rows"), F.count(c).alias("n_filled"), F.countDistinct(c).alias("n_distinct"), F.min(F.length(s(c))).alias("shortest"), F.max(F.length(s(c))).alias("longest"), F.min(s(c)).alias("least"), F.max(s(c)).alias("most")) for c in d.columns)).alias("x"))
-    return one.select(F.inline("x"))
+    """Rows are spread before anything is counted, and each column's distinct values are counted on their own: no task holds a column, and no row is expanded."""
+    spread = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    out = None
+    for c in spread.columns:
+        s = F.col(c).cast("string")
+        one = spread.groupBy(c).agg(F.count("*").alias("m")).agg(F.lit(c).alias("column_name"), F.coalesce(F.sum("m"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("m"))), F.lit(0)).alias("n_filled"), F.count(c).alias("n_distinct"), F.min(F.length(s)).alias("shortest"), F.max(F.length(s)).alias("longest"), F.min(s).alias("least"), F.max(s).alias("most"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("column_name", "n_rows", "n_filled", "n_distinct", "shortest", "longest", "least", "most")
 
 
 @query("""WITH b AS (SELECT user_id, CAST(ts AS DATE) AS d, arg_max(value, (ts, event_id)) AS balance FROM events GROUP BY 1, 2),

@@ -101,3 +101,8 @@ def test_whole_rows_are_grouped_by_their_hash(spark):
 def test_customers_are_spread_before_their_events_are_read(spark):
     plan = QUERIES["txt22_events"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [c_custkey" in plan
+
+
+def test_profile_of_columns_expands_no_row(spark):
+    plan = QUERIES["dq_profile_columns"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "RepartitionByExpression" in plan
