@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def running_before(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], order: str, ties: list[str], value: str, name: str, ranges: int = RANGES, sizes: DataFrame | None = None) -> DataFrame:
     """df with the sum of `value` over the rows of the same keys that come before the row: by the numeric column `order` (nulls first), then by `ties`, which tell rows apart.
 
-    Nulls of `value` add nothing, the first row of a group has 0. Null keys are a group of their own."""
+    Nulls of `value` add nothing, the first row of a group has 0. Null keys are a group of their own. `sizes`: rows with `order` that are cheaper to read than df and spread alike; they only say
+    where the ranges are cut."""
     by = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
+    cuts = (df if sizes is None else sizes).agg(F.percentile_approx(by, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
     range_no = F.when(by.isNull(), -1).otherwise(F.coalesce(F.size(F.filter("_cuts", lambda c: c < by)), F.lit(0)))
     names = {f"_g{i}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for i, k in enumerate(keys)}  # so that null keys meet
     placed = df.join(F.broadcast(cuts), F.lit(True)).withColumns(names | {"_range": range_no}).drop("_cuts")

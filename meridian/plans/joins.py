@@ -146,10 +146,11 @@ def jn18_unused(spark, sf_dir) -> DataFrame:
 w AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM t)
 SELECT o_custkey AS client, l_orderkey, l_linenumber, l_partkey, l_suppkey, held FROM w""")
 def wn01_running_excl(spark, sf_dir) -> DataFrame:
+    day = F.unix_date(F.to_date("l_shipdate")).alias("day")
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     ties = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax"]
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("decimal(18,2)")
-    held = running_before(lines.withColumns({"q": signed, "day": F.unix_date(F.to_date("l_shipdate"))}), ["o_custkey"], "day", ties, "q", "held")
+    held = running_before(lines.withColumns({"q": signed, "day": day}), ["o_custkey"], "day", ties, "q", "held", sizes=read(spark, sf_dir, "lineitem", "l_shipdate").select(day))
     return held.select(F.col("o_custkey").alias("client"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("held").cast("double").alias("held"))
 
 

@@ -106,3 +106,8 @@ def test_customers_are_spread_before_their_events_are_read(spark):
 def test_profile_of_columns_expands_no_row(spark):
     plan = QUERIES["dq_profile_columns"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "RepartitionByExpression" in plan
+
+
+def test_ranges_of_running_shares_are_cut_without_a_join(spark):
+    plan = QUERIES["wn01_running_excl"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 2  # the totals and the rows themselves
