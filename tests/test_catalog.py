@@ -111,3 +111,26 @@ def test_profile_of_columns_expands_no_row(spark):
 def test_ranges_of_running_shares_are_cut_without_a_join(spark):
     plan = QUERIES["wn01_running_excl"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [o_orderkey") == 2  # the totals and the rows themselves
+
+
+def test_clients_of_a_fact_table_are_counted_without_a_shuffle(spark):
+    from meridian.plans.dialect import run  # noqa: PLC0415
+
+    counts = lambda d: " UNION ALL ".join(f"SELECT '{t}' AS t, client_id, count(*) AS n FROM {d.t(t)} GROUP BY 1, 2" for t in ("fact_fees", "fact_transactions", "fact_fees", "fact_transactions"))
+    df = run(spark, DATA, counts)
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("shift", [0, 12])
+def test_facts_dealt_by_client_are_the_same_rows(spark, tmp_path, shift):
+    """Also where line numbers above 9 make keys of two orders equal."""
+    from meridian.plans.star import FACTS, facts_by_client, star  # noqa: PLC0415
+
+    for t in ("lineitem", "orders"):
+        df = spark.read.parquet(f"{DATA}/{t}.parquet")
+        if t == "lineitem":
+            df = df.selectExpr(*(f"CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_linenumber + {shift} AS INT) ELSE l_linenumber END AS l_linenumber" if c == "l_linenumber" else c for c in df.columns))
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    for name in FACTS:
+        want, got = star(spark, str(tmp_path), name)[name], facts_by_client(spark, str(tmp_path), name, 3)
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
