@@ -134,3 +134,10 @@ def test_facts_dealt_by_client_are_the_same_rows(spark, tmp_path, shift):
     for name in FACTS:
         want, got = star(spark, str(tmp_path), name)[name], facts_by_client(spark, str(tmp_path), name, 3)
         assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
+
+
+def test_keys_of_a_relationship_are_counted_once(spark):
+    from meridian.plans.dialect import _Spark  # noqa: PLC0415
+    from meridian.plans.quality import integrity  # noqa: PLC0415
+
+    assert not re.search(r"SELECT DISTINCT .{1,400} AS k FROM fact_", integrity(_Spark({})))
