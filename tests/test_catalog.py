@@ -141,3 +141,9 @@ def test_keys_of_a_relationship_are_counted_once(spark):
     from meridian.plans.quality import integrity  # noqa: PLC0415
 
     assert not re.search(r"SELECT DISTINCT .{1,400} AS k FROM fact_", integrity(_Spark({})))
+
+
+def test_profiles_sort_and_expand_no_column(spark):
+    for name in ("dq01_profile_snapshots", "dq01_profile_facts"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and "TakeOrderedAndProject" in plan, name
