@@ -147,3 +147,8 @@ def test_profiles_sort_and_expand_no_column(spark):
     for name in ("dq01_profile_snapshots", "dq01_profile_facts"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Expand" not in plan and "TakeOrderedAndProject" in plan, name
+
+
+def test_kinds_of_keys_and_amounts_are_judged_without_a_shuffle(spark):
+    plan = QUERIES["prd06_infer_types"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((txn_id|fee_id|amount|price)#", plan)
