@@ -12,6 +12,8 @@ from .registry import QUERIES
 from .semantic import MEASURES, SLICES, steps
 
 INDEPENDENT = ("total_fees", "net_flows", "aum_naive", "ending_aum", "ending_clients")
+#: Steps that both sides read: fact rows meet their clients once.
+SHARED = ("snaps", "fee_rows", "flow_rows")
 _SETS = "GROUP BY GROUPING SETS ((), (y), (y, m), (y, tier))"
 
 
@@ -25,8 +27,12 @@ def by_grouping_sets(d: Dialect) -> str:
     counted as such, whatever tiers they have. Rows outside the calendar count in the grand total alone, as under no filter."""
     parts = lambda source, rest: f"(SELECT CASE WHEN in_cal THEN CAST(extract(year FROM day) AS INT) END AS y, CASE WHEN in_cal THEN CAST(extract(month FROM day) AS INT) END AS m, tier, day, in_cal, {rest} FROM {source}) f"
     sums = lambda source, rest, x: f"SELECT {_label()} AS label, {x} AS x FROM {parts(source, rest)} {_SETS}"
+    if d.spread:  # sums are exact, so rows are added up by all columns of the sets before each is expanded into four
+        sums = lambda source, rest, x: f"SELECT {_label()} AS label, sum(x) AS x FROM (SELECT y, m, tier, {x} AS x FROM {parts(source, rest)} GROUP BY 1, 2, 3) t {_SETS}"
     flows = "sum(CASE txn_type WHEN 'Deposit' THEN amount WHEN 'Withdrawal' THEN -amount END)"
     last = f"SELECT {_label()} AS label, max(CASE WHEN in_cal AND aum IS NOT NULL THEN day END) AS last_day FROM {parts('snaps', 'aum')} {_SETS}"
+    if d.spread:
+        last = f"SELECT {_label()} AS label, max(x) AS last_day FROM (SELECT y, m, tier, max(CASE WHEN in_cal AND aum IS NOT NULL THEN day END) AS x FROM {parts('snaps', 'aum')} GROUP BY 1, 2, 3) t {_SETS}"
     in_context = "(l.label = 'Grand Total' OR l.label = 'Year=' || CAST(extract(year FROM s.day) AS STRING) OR l.label = 'Year=' || CAST(extract(year FROM s.day) AS STRING) || '|Tier=' || coalesce(s.tier, '') OR l.label = 'Month=' || substr(CAST(s.day AS STRING), 1, 7))"
     wanted = ", ".join(f"'{s[0]}'" for s in SLICES)
     ending = lambda x: f"SELECT l.label, {x} AS x FROM (SELECT * FROM ({last}) z WHERE label IN ({wanted})) l JOIN snaps s ON s.day = l.last_day WHERE {in_context} GROUP BY 1"
@@ -56,8 +62,8 @@ def _judged(d: Dialect) -> str:
 def cx04_exported(spark, sf_dir) -> DataFrame:
     """CX-04, SRC-05, JN-17: the grid's cells against a file that the grouping sets have filled, both ways."""
     path = new_path(spark, "export")
-    sinks.write_csv(run(spark, sf_dir, exported, steps).select("measure", F.col("label").alias("slice"), F.col("x").alias("value")), path)
-    cells = run(spark, sf_dir, lambda d: "SELECT * FROM cells", steps).where(F.col("measure").isin(*INDEPENDENT)).withColumnRenamed("label", "slice")
+    sinks.write_csv(run(spark, sf_dir, exported, steps, SHARED).select("measure", F.col("label").alias("slice"), F.col("x").alias("value")), path)
+    cells = run(spark, sf_dir, lambda d: "SELECT * FROM cells", steps, SHARED).where(F.col("measure").isin(*INDEPENDENT)).withColumnRenamed("label", "slice")
     values, problems = files.exported_values(spark, path, cells.select("measure", "slice", "kind"))
     known = values.select("measure", "slice", F.col("x").alias("other"))
     equal = F.col("x").eqNullSafe(F.col("other")) | F.coalesce(F.abs(F.col("x") - F.col("other")) <= F.col("tolerance") + 1e-9, F.lit(False))
